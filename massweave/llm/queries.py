@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality_mcd
-from .common import table
+from . import licenses, quality_mcd, toxicity_crf
+from .common import remainder, table
+
+
+def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text of ``documents``; rows with remainder 0 are held out of the fit."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_crf.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity_crf.score(docs, model)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("span_starts").alias("n_spans"))
 
 
 def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +31,7 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity_crf": op1_toxicity_crf,
         "op2_quality_mcd": op2_quality_mcd,
         "op6_license_rules": op6_license_rules,
     }
