@@ -198,10 +198,11 @@ def _mcd(rows: DataFrame, d: int) -> DataFrame:
     est = materialise(est.where(F.col("n") >= SMALL), "mcd")
     for _ in range(STEPS):
         near = _with_distance(rows, est, d)
-        edges = _edges(near, KEEP_SHARE)
-        held = near.join(edges.select("g", "edge"), "g").where(F.col("b") <= F.col("edge"))
+        # Written, so that the join below knows its size: broadcast while small, else a join that splits hot groups.
+        edges = materialise(_edges(near, KEEP_SHARE).select("g", "edge"), "edges")
+        held = near.join(edges, "g").where(F.col("b") <= F.col("edge"))
         last, est = est, materialise(_scatter(held, ["g"], d), "mcd")
-        drop(last)
+        drop(last, edges)
     return est
 
 
