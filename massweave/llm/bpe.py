@@ -21,12 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .textvec import ALNUM, Words, slices
 
 #: Fixed value: the split of byte-level BPE into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -438,7 +438,7 @@ def runs(texts: pa.Array, size: int = RUN) -> Iterator[list[str]]:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", keep: int = LEXICON, proposed: int = PROPOSED) -> list[str]:
-    """The most frequent words of all texts, each task proposing its most frequent ones.
+    """The most frequent words (with the space before them) of all texts, each task proposing its most frequent ones.
 
     The lexicon only decides which words skip merging, never an id, so a word that a
     task leaves out costs time and nothing else.  Both lists are bounded.
@@ -446,17 +446,20 @@ def frequent_words(docs: DataFrame, text_col: str = "text", keep: int = LEXICON,
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(PATTERN).findall
         total: Counter = Counter()
         for batch in batches:
-            for texts in runs(batch.column(0)):
-                words = [w for t in texts for w in find(t)]
-                vc = pc.value_counts(pa.array(words, pa.large_string()))
-                c = vc.field(1).to_numpy()
-                big = np.flatnonzero(c > 1)
-                total.update(dict(zip(vc.field(0).take(pa.array(big)).to_pylist(), c[big].tolist(), strict=True)))
+            for _, _, buf, off in slices(batch.column(0)):
+                w = Words(buf, off, ALNUM)
+                at = np.flatnonzero((w.starts > 0) & (buf[np.maximum(w.starts - 1, 0)] == 0x20)) if len(w) else np.zeros(0, np.int64)
+                starts, ends = w.starts[at] - 1, w.ends[at]
+                _, first, n = np.unique(w.hashes(starts, ends), return_index=True, return_counts=True)
+                big = n > 1
+                raw = buf.tobytes()
+                for i, j, c in zip(starts[first[big]].tolist(), ends[first[big]].tolist(), n[big].tolist(), strict=True):
+                    total[raw[i:j]] += c
             if len(total) > 8 * proposed:
                 total = Counter(dict(total.most_common(4 * proposed)))
+        total = Counter({w.decode(): n for w, n in total.items()})
         top = total.most_common(proposed)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 

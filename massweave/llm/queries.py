@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality_mcd, toxicity_crf
+from . import bpe, licenses, quality_mcd, token_spans, toxicity_crf
 from .common import remainder, table
 
 
@@ -29,11 +29,31 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def tokenizer_path() -> str:
+    """Where the public byte-level BPE file is (a parameter of the operators)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text of ``documents``."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every text of ``documents``; the counts of the lines as one text."""
+    out = token_spans.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_crf": op1_toxicity_crf,
         "op2_quality_mcd": op2_quality_mcd,
         "op6_license_rules": op6_license_rules,
+        "op9_bpe_transducer": op9_bpe_transducer,
+        "op10_token_spans": op10_token_spans,
     }
 
 
