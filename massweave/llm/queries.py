@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality_mcd, token_spans, toxicity_crf
+from . import bpe, licenses, quality_mcd, token_spans, toxicity_crf, urlfilter, warc
 from .common import remainder, table
 
 
@@ -24,6 +24,16 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page of ``pages`` and assemble its transaction again."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every url of ``pages``."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered signature rules over every text of ``documents``."""
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
@@ -52,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity_crf": op1_toxicity_crf,
         "op2_quality_mcd": op2_quality_mcd,
         "op6_license_rules": op6_license_rules,
+        "op5_warc": op5_warc,
+        "op7_url_filter": op7_url_filter,
         "op9_bpe_transducer": op9_bpe_transducer,
         "op10_token_spans": op10_token_spans,
     }
