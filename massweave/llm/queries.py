@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality_mcd, token_spans, toxicity_crf, urlfilter, warc
+from . import bpe, licenses, quality_mcd, tiling, token_spans, toxicity_crf, urlfilter, warc
 from .common import remainder, table
 
 
@@ -39,6 +39,11 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of ``benchmark`` in all of ``documents``."""
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     """Where the public byte-level BPE file is (a parameter of the operators)."""
     import public_tokenizers
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_rules": op6_license_rules,
         "op5_warc": op5_warc,
         "op7_url_filter": op7_url_filter,
+        "op8_string_tiling": op8_string_tiling,
         "op9_bpe_transducer": op9_bpe_transducer,
         "op10_token_spans": op10_token_spans,
     }
