@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
-import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -341,15 +340,10 @@ class Lexicon:
 
 @lru_cache(maxsize=2)
 def mapped(digest: str, get) -> Lexicon:
-    """The lexicon in a memory-mapped file of this machine's temp folder (a rebuildable copy of the broadcast)."""
-    path = os.path.join(tempfile.gettempdir(), f"massweave-lexicon-{digest}")
-    if not os.path.exists(path):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        fd, tmp = tempfile.mkstemp(dir=os.path.dirname(path))
-        with os.fdopen(fd, "wb") as f:
-            f.write(get())
-        os.replace(tmp, path)
-    with open(path, "rb") as f:
+    """The lexicon of this name in mapped memory; its file is unlinked at once, so nothing is left behind."""
+    with tempfile.TemporaryFile() as f:
+        f.write(get())
+        f.flush()
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
