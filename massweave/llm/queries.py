@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality_mcd, tiling, token_spans, toxicity_crf, urlfilter, warc
+from . import bpe, jaccard_join, licenses, quality_mcd, tiling, token_spans, toxicity_crf, urlfilter, warc
 from .common import remainder, table
 
 
@@ -24,6 +24,11 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 4-word shingle sets with 85 of 100 in common, over all of ``documents``."""
+    return jaccard_join.link(table(spark, sf_dir, "documents"), jaccard_join.Scheme(4, 85, 100))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page of ``pages`` and assemble its transaction again."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_crf": op1_toxicity_crf,
         "op2_quality_mcd": op2_quality_mcd,
+        "op3_jaccard_join": op3_jaccard_join,
         "op6_license_rules": op6_license_rules,
         "op5_warc": op5_warc,
         "op7_url_filter": op7_url_filter,
