@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licenses, quality_mcd, tiling, token_spans, toxicity_crf, urlfilter, warc
+from . import bloom_lm, bpe, jaccard_join, licenses, quality_mcd, tiling, token_spans, toxicity_crf, urlfilter, warc
 from .common import remainder, table
 
 
@@ -29,6 +29,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), jaccard_join.Scheme(4, 85, 100))
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text of ``documents``; rows with remainder 0 are held out of the counts."""
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page of ``pages`` and assemble its transaction again."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity_crf": op1_toxicity_crf,
         "op2_quality_mcd": op2_quality_mcd,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_bloom_lm": op4_bloom_lm,
         "op6_license_rules": op6_license_rules,
         "op5_warc": op5_warc,
         "op7_url_filter": op7_url_filter,
