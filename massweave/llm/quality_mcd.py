@@ -214,8 +214,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     its language's estimate, and a language with under ``SMALL`` by that of all rows;
     with no estimate at all (an empty or tiny table) base rules alone decide.
     """
-    taken = docs.select(F.col(id_col), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), F.col(text_col))
-    stats = base_statistics(taken, id_col, text_col, ("_lang", "_source"))
+    return _judge(docs, id_col, text_col, lang_col, source_col, ()).select(
+        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"
+    )
+
+
+def keep_inliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns; rows travel with their statistics, so nothing is joined back."""
+    whole = docs.select(id_col, text_col, lang_col, source_col, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    return _judge(whole, id_col, text_col, lang_col, source_col, ("_row",)).where("kept").select("_row.*")
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
+    taken = docs.select(F.col(id_col), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), F.col(text_col), *carry)
+    stats = base_statistics(taken, id_col, text_col, ("_lang", "_source", *carry))
     xs = features()
     d = len(xs)
     stats = materialise(stats.select("*", base_failed().alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(xs)]), "stats")
@@ -233,14 +245,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     low = {(i, k): m[f"l{i}_{k}"] for i in range(d) for k in range(i + 1)}
     d2 = F.when(~F.col("base_failed"), _distance([F.col(c) for c in x], [m[f"m{i}"] for i in range(d)], low))
     out = out.withColumn("d2", d2)
-    return out.select(
-        id_col,
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))).alias("kept"),
-        "d2",
-    )
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))

@@ -218,3 +218,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "item_words", "matched_words", "coverage", "n_tiles", "longest_tile")
+
+
+def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` that leak no benchmark item, with all their columns, in one pass without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    at, out = docs.columns.index(text_col), docs
+    for ids, texts in blocks(benchmark, item_col, item_text_col):
+        shared = spark.sparkContext.broadcast(index_items(ids, texts, min_match))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                plain = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at).cast(pa.string())], ["i", "t"])
+                _, found = next(match_batches(shared.value, iter([plain]), min_match, coverage))
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r[0] for r in found]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
