@@ -233,7 +233,7 @@ query("a05_survey_passes")(lambda s, d: fold.survey(views.peaks(s, d).select("fl
 query("a07_collapse")(
     lambda s, d: fold.collapse_clusters(views.peaks(s, d).groupBy("flag", F.round("mz", 1).alias("mz")).agg(F.array_sort(F.collect_set("sample")).alias("samples")), ["flag"], 0.15).groupBy("flag", "merged").agg(F.count("*").alias("n"))
 )
-query("a10_scan_average", W + ", n AS (SELECT sample, count(DISTINCT scan_id) AS n_scans FROM peaks GROUP BY 1) SELECT sample, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i), 6) AS mz, round(sum(i) / n_scans, 6) AS i, count(DISTINCT scan_id) AS n_hit, n_scans FROM peaks JOIN n USING (sample) GROUP BY sample, bin, n_scans")(
+query("a10_scan_average", W + ", n AS (SELECT sample, count(DISTINCT scan_id) AS ns FROM peaks GROUP BY 1) SELECT sample, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i), 6) AS mz, round(sum(i) / ns, 6) AS i, count(DISTINCT scan_id) AS n_hit, ns AS n_scans FROM peaks JOIN n USING (sample) GROUP BY sample, bin, ns")(
     lambda s, d: A.scan_average(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["sample", "bin"], views.peaks(s, d).groupBy("sample").agg(F.countDistinct("scan_id").alias("n_scans")), ["sample"]).withColumns({"mz": rd("mz", 6), "i": rd("i", 6)})
 )
 query("a11_within_scan", W + "SELECT scan_id, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i), 6) AS mz, round(avg(i), 6) AS i FROM peaks GROUP BY 1, 2")(

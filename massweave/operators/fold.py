@@ -12,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..chem import Tolerance
+from ..scratch import ship
 
 
 def greedy(m: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -60,6 +62,10 @@ def islands(df: DataFrame, keys: list[str], tol: Tolerance, block: float, mz: st
     return j.join(last, [*keys, "_b"]).withColumn(out, F.coalesce("_i", "_carry")).drop("_b", "_before", "_p", "_s", "_i", "_carry")
 
 
+def _added(df: DataFrame, *names: str) -> StructType:
+    return StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+
+
 def align(df: DataFrame, keys: list[str], tol: Tolerance, passes: int = 3, weighted: bool = False, block: float = 10.0, mz: str = "mz", i: str = "i") -> DataFrame:
     """a01, a02: the rows with ``bin_mz`` (mean of the members' masses, or weighted) and ``bin_first`` (least mass).
 
@@ -67,7 +73,8 @@ def align(df: DataFrame, keys: list[str], tol: Tolerance, passes: int = 3, weigh
     Null masses must be filtered before.
     """
     cut = islands(df, keys, tol, block, mz).withColumn("_g", F.floor(F.col("island") / block))
-    schema = df.schema.add("bin_mz", "double").add("bin_first", "double")
+    ship(df.sparkSession)
+    schema = _added(df, "bin_mz", "bin_first")
     cols = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +135,8 @@ def collapse_clusters(entries: DataFrame, keys: list[str], most: float, mz: str
     """a07 over a table: entries with ``merged`` (least mass of the merged cluster)."""
     cut = islands(entries, keys, Tolerance("da", np.nextafter(most, np.inf)), block, mz).withColumn("_g", F.floor(F.col("island") / block))
     cols = entries.columns
-    schema = entries.schema.add("merged", "double")
+    ship(entries.sparkSession)
+    schema = _added(entries, "merged")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(mz, kind="stable")

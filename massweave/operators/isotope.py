@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..chem import Tolerance
+from ..scratch import ship
 from .intervals import ladder
 
 # Abundances of the isotopes at +0, +1, +2, ... nominal masses.
@@ -60,7 +62,8 @@ def monoisotopic(m: Column, ratio: Column) -> Column:
 def patterns(spark, counts: DataFrame, cols: dict[str, str]) -> DataFrame:
     """Distinct formulas with their patterns p1..p4; counts is small (distinct formulas only)."""
     names = list(cols)
-    schema = counts.schema.add("pattern", "array<double>")
+    ship(spark)
+    schema = StructType([*counts.schema.fields, StructField("pattern", ArrayType(DoubleType()))])
 
     def run(batches):
         for pdf in batches:
@@ -86,7 +89,8 @@ def correct(marked: DataFrame, tol: Tolerance, largest: float, keys: list[str],
     out = edges.groupBy(F.col("base_key").alias(key)).agg(F.collect_list(F.struct("iso_key", "step")).alias("_to"))
     m = m.join(out, key, "left")
     cols = marked.columns
-    schema = marked.schema.add("corrected", "double")
+    ship(marked.sparkSession)
+    schema = StructType([*marked.schema.fields, StructField("corrected", DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([mz, key], kind="stable").reset_index(drop=True)

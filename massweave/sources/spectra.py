@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import ship
+
 SCANS = "sample string, scan_id string, idx int, filter_string string, time double, ms_level int, polarity int, precursor_id string, target_mz double, max_i double, tic double"
 RAW = SCANS + ", mz array<double>, i array<double>"
 CSV_PEAKS = "scanNum int, filterLine string, retTime double, mz double, i double, r double, n double, z double, charge int"
@@ -110,6 +112,7 @@ def parse_mzxml(content: bytes) -> Iterator[dict]:
 
 def read_raw(spark: SparkSession, path: str, kind: str = "mzML") -> DataFrame:
     """One row per scan with its peak arrays; ``kind`` is mzML or mzXML; hidden files are skipped."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"[!.]*.{kind}").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
