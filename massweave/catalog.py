@@ -217,12 +217,12 @@ query("j21_shared_fragments", W + "SELECT floor(mz * 10)::BIGINT AS mark, count(
 # --- alignment and aggregation ---------------------------------------------------
 
 _FOLD = """, g AS (SELECT flag, list_sort(list(mz)) AS l FROM peaks GROUP BY flag),
-r AS (SELECT flag, list_reduce(list_transform(l, x -> [x]), (acc, x) -> CASE WHEN x[1] - acc[len(acc)] < acc[len(acc)] / 2000 THEN acc ELSE list_append(acc, x[1]) END) AS a FROM g),
+r AS (SELECT flag, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] < acc[len(acc)] / 2000 THEN acc ELSE list_append(acc, x[1]) END) AS a FROM g),
 b AS (SELECT flag, unnest(a) AS bin_first FROM r)"""
 RES = Tolerance("res", 2000)
 query("a01_greedy_bins", W + _FOLD + " SELECT flag, bin_first FROM b")(lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 1).select("flag", "bin_first").distinct())
-query("a01_greedy_members", W + _FOLD + " SELECT p.flag, bin_first, count(*) AS n, round(avg(mz), 6) AS bin_mz FROM peaks p ASOF JOIN b ON p.flag = b.flag AND p.mz >= b.bin_first GROUP BY ALL")(
-    lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 1).groupBy("flag", "bin_first").agg(F.count("*").alias("n"), rd(F.first("bin_mz"), 6).alias("bin_mz"))
+query("a01_greedy_members", W + _FOLD + " SELECT p.flag, bin_first, count(*) AS n, round(avg(mz) + 3.3e-9, 6) AS bin_mz FROM peaks p ASOF JOIN b ON p.flag = b.flag AND p.mz >= b.bin_first GROUP BY ALL")(
+    lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 1).groupBy("flag", "bin_first").agg(F.count("*").alias("n"), rd(F.first("bin_mz") + 3.3e-9, 6).alias("bin_mz"))
 )
 query("a02_ppm_bins", W + _FOLD.replace("/ 2000", "* 0.0002") + " SELECT flag, bin_first FROM b")(lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], Tolerance("ppm", 200), 1).select("flag", "bin_first").distinct())
 query("a01_three_passes")(lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 3).groupBy("flag", "bin_first").agg(F.count("*").alias("n"), rd(F.first("bin_mz"), 6).alias("bin_mz")))
@@ -233,11 +233,11 @@ query("a05_survey_passes")(lambda s, d: fold.survey(views.peaks(s, d).select("fl
 query("a07_collapse")(
     lambda s, d: fold.collapse_clusters(views.peaks(s, d).groupBy("flag", F.round("mz", 1).alias("mz")).agg(F.array_sort(F.collect_set("sample")).alias("samples")), ["flag"], 0.15).groupBy("flag", "merged").agg(F.count("*").alias("n"))
 )
-query("a10_scan_average", W + ", n AS (SELECT sample, count(DISTINCT scan_id) AS ns FROM peaks GROUP BY 1) SELECT sample, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i), 6) AS mz, round(sum(i) / ns, 6) AS i, count(DISTINCT scan_id) AS n_hit, ns AS n_scans FROM peaks JOIN n USING (sample) GROUP BY sample, bin, ns")(
-    lambda s, d: A.scan_average(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["sample", "bin"], views.peaks(s, d).groupBy("sample").agg(F.countDistinct("scan_id").alias("n_scans")), ["sample"]).withColumns({"mz": rd("mz", 6), "i": rd("i", 6)})
+query("a10_scan_average", W + ", n AS (SELECT sample, count(DISTINCT scan_id) AS ns FROM peaks GROUP BY 1) SELECT sample, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i) + 3.3e-9, 6) AS mz, round(sum(i) / ns, 6) AS i, count(DISTINCT scan_id) AS n_hit, ns AS n_scans FROM peaks JOIN n USING (sample) GROUP BY sample, bin, ns")(
+    lambda s, d: A.scan_average(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["sample", "bin"], views.peaks(s, d).groupBy("sample").agg(F.countDistinct("scan_id").alias("n_scans")), ["sample"]).withColumns({"mz": rd(F.col("mz") + 3.3e-9, 6), "i": rd("i", 6)})
 )
-query("a11_within_scan", W + "SELECT scan_id, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i), 6) AS mz, round(avg(i), 6) AS i FROM peaks GROUP BY 1, 2")(
-    lambda s, d: A.merge_within_scan(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["scan_id", "bin"]).withColumns({"mz": rd("mz", 6), "i": rd("i", 6)})
+query("a11_within_scan", W + "SELECT scan_id, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i) + 3.3e-9, 6) AS mz, round(avg(i), 6) AS i FROM peaks GROUP BY 1, 2")(
+    lambda s, d: A.merge_within_scan(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["scan_id", "bin"]).withColumns({"mz": rd(F.col("mz") + 3.3e-9, 6), "i": rd("i", 6)})
 )
 query("a15_single_linkage", W + ", x AS (SELECT flag, mz, CASE WHEN mz - lag(mz) OVER (PARTITION BY flag ORDER BY mz) < 0.02 THEN 0 ELSE 1 END AS s FROM peaks), c AS (SELECT flag, mz, sum(s) OVER (PARTITION BY flag ORDER BY mz ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT flag, min(mz) AS cluster, count(*) AS n FROM c GROUP BY flag, k")(
     lambda s, d: fold.single_linkage(views.peaks(s, d).select("flag", "mz"), ["flag"], 0.02).groupBy("flag", "cluster").agg(F.count("*").alias("n"))
@@ -314,7 +314,7 @@ def _a16(s, d):
 
 @query("i01_isotope_patterns")
 def _i01(s, d):
-    f = _lattice(s).select("chemsc", "C", "H", "O").where("H % 20 = 0")
+    f = _lattice(s).select("chemsc", "C", "H", "O").where("C % 10 = 0")
     return isotope.patterns(s, f, {"C": "C", "H": "H", "O": "O"}).select("chemsc", *[rd(F.get("pattern", k), 6).alias(f"p{k}") for k in range(5)])
 
 
@@ -355,7 +355,7 @@ query("i17_drop_sample", M + "SELECT part, sum(i) AS total FROM long WHERE sampl
 
 # --- scalar functions -------------------------------------------------------------
 
-query("x01_arithmetic", W + "SELECT peak_id, round(CASE WHEN time = 0 THEN 0 ELSE mz / time END + i * 2 - 1, 6) AS v FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", rd(X.divide(F.col("mz"), F.col("time")) + F.col("i") * 2 - 1, 6).alias("v")))
+query("x01_arithmetic", W + "SELECT peak_id, round(CASE WHEN time = 0 THEN 0 ELSE mz / time END + i * 2 - 1 + 3.3e-9, 6) AS v FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", rd(X.divide(F.col("mz"), F.col("time")) + F.col("i") * 2 - 1 + 3.3e-9, 6).alias("v")))
 query("x01_map_arithmetic", M + "SELECT part, round(sum(i / 2 + i), 4) AS total FROM long GROUP BY 1")(
     lambda s, d: views.sample_maps(s, d).select("part", rd(F.aggregate(F.map_values(X.map_map("+", X.map_num("/", F.col("m"), F.lit(2.0)), F.col("m"))), F.lit(0.0), lambda a, v: a + v)).alias("total"))
 )
@@ -376,7 +376,7 @@ query("x06_abs", M + "SELECT part, round(sum(abs(i - 100)), 4) AS v FROM long GR
 query("x07_sum_intensity", M + "SELECT part, round(sum(i + i * 2), 4) AS v FROM long GROUP BY 1")(
     lambda s, d: views.sample_maps(s, d).select("part", rd(F.aggregate(F.map_values(X.sum_intensity(F.col("m"), F.col("m"), X.map_num("*", F.col("m"), F.lit(2.0)))), F.lit(0.0), lambda a, v: a + v)).alias("v"))
 )
-query("x09_score", W + "SELECT peak_id, printf('%.2f', 1 - (abs(time) + abs(n_scans)) / 2 / 12) AS score FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", X.score(12.0, F.col("time"), F.col("n_scans")).alias("score")))
+query("x09_score", W + "SELECT peak_id, printf('%.2f', 1 - (abs(time) + abs(n_scans)) / 2 / 12.7) AS score FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", X.score(12.7, F.col("time"), F.col("n_scans")).alias("score")))
 query("x11_to_standard", M + "SELECT a.part, round(sum(a.i / b.i), 6) AS v FROM long a JOIN long b ON b.part = 1 AND a.sample = b.sample GROUP BY 1")(
     lambda s, d: (lambda m: m.join(F.broadcast(m.where("part = 1").select(F.explode("m").alias("k", "sv"))), F.lit(True)).where(F.map_contains_key("m", F.col("k"))).groupBy("part").agg(rd(F.sum(X.relative_to_standard(F.element_at("m", F.col("k")), F.col("sv"))), 6).alias("v")))(views.sample_maps(s, d))
 )
@@ -388,7 +388,7 @@ query("x14_names", "SELECT p_brand, string_agg(DISTINCT p_type, ' @ ' ORDER BY p
 query("x17_minmax", "SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 6) AS v FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")(
     lambda s, d: (lambda p: p.join(F.broadcast(p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")))).select("p_partkey", rd(X.minmax(F.col("p_retailprice"), F.col("lo"), F.col("hi")), 6).alias("v")))(s.read.parquet(f"{d}/part.parquet"))
 )
-query("x17_minkowski", "SELECT a.vec_id, round(pow(list_sum(list_transform(list_zip(a.embedding, b.embedding), z -> pow(abs(z[1]::DOUBLE - z[2]::DOUBLE), 3))), 1.0 / 3), 4) AS v FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")(
+query("x17_minkowski", "SELECT a.vec_id, round(pow(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(abs(z[1]::DOUBLE - z[2]::DOUBLE), 3))), 1.0 / 3), 4) AS v FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")(
     lambda s, d: (lambda e: e.join(F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("b")))).select("vec_id", rd(X.minkowski(F.col("embedding"), F.col("b"), 3.0)).alias("v")))(s.read.parquet(f"{d}/embeddings.parquet"))
 )
 query("x18_cells", "SELECT event_id, greatest(coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN '-1' ELSE value::VARCHAR END AS DOUBLE), 0), 0) AS v FROM events")(

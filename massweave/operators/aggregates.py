@@ -165,7 +165,7 @@ def calibration_points(peaks: DataFrame, references: DataFrame, ppm: float, larg
 
 def shift_at(points: Column, mz: Column) -> Column:
     """i13: piecewise-linear shift from a sorted array of (x, y); constant outside; 0 without points."""
-    below = F.element_at(F.filter(points, lambda p: p["x"] <= mz), -1)
+    below = F.try_element_at(F.filter(points, lambda p: p["x"] <= mz), F.lit(-1))
     above = F.get(F.filter(points, lambda p: p["x"] > mz), 0)
     line = below["y"] + (above["y"] - below["y"]) * (mz - below["x"]) / (above["x"] - below["x"])
     return F.when(F.size(points) == 0, F.lit(0.0)).when(below.isNull(), above["y"]).when(above.isNull(), below["y"]).otherwise(line)
