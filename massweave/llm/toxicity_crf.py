@@ -162,6 +162,7 @@ def pooled(post: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = len(bounds) - 1
     sure = post * post
     out = np.zeros((n, 3))
+    out[:, 2] = -12  # no token, no toxic one
     some = np.flatnonzero(np.diff(bounds))
     if len(some):
         at = bounds[:-1][some]
