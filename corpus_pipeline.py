@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of five-word shingle sets with a similarity of 0.8 or more the smallest id stays."""
-    return jaccard_join.keep_one(docs, jaccard_join.Scheme(5, 80, 100))
+    return jaccard_join.keep_one(docs, jaccard_join.Scheme(5, 80, 100, 48))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
