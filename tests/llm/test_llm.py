@@ -172,10 +172,10 @@ def brute_components(rows, k, num):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "num", "seed"), [(4, 85, 3), (5, 80, 8), (1, 50, 9)])
-def test_jaccard_components(spark, k, num, seed):
+@pytest.mark.parametrize(("k", "num", "seed", "small"), [(4, 85, 3, 0), (5, 80, 8, 48), (1, 50, 9, 4)])
+def test_jaccard_components(spark, k, num, seed, small):
     rows = corpus(160, seed)
-    out = jaccard_join.link(docs_of(spark, rows), jaccard_join.Scheme(k, num, 100)).collect()
+    out = jaccard_join.link(docs_of(spark, rows), jaccard_join.Scheme(k, num, 100, small)).collect()
     assert len(out) == len(rows)
     want = brute_components(rows, k, num)
     for r in out:
@@ -198,6 +198,20 @@ def test_jaccard_cluster_of_edits(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_profiles_exclude_no_link():
+    rng = np.random.default_rng(2)
+    scheme, excluded = jaccard_join.Scheme(4, 85, 100), 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.uniform(0, 0.3)], rng.integers(0, 2**63, rng.integers(0, 90)).astype(np.uint64) * np.uint64(2)]))
+        inter = len(np.intersect1d(a, b))
+        linked = 100 * inter >= 85 * (len(a) + len(b) - inter)
+        may = jaccard_join.may_link(jaccard_join.profile(a), jaccard_join.profile(b), scheme)
+        assert may or not linked
+        excluded += not may
+    assert excluded
+
+
 def test_jaccard_edges(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(None, text, "x"), (None, text, "y"), (5, text, "z"), (5, text, "z"), (6, None, "q"), (None, "alone in here now", "r")], "doc_id long, text string, node string")
