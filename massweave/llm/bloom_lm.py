@@ -2,14 +2,16 @@
 
 Counts of words and of word pairs are quantised on a logarithmic scale and stored as
 membership alone: an n-gram of level q is entered with each of the levels 1..q, and
-reading probes level after level until one is missing.  The filter is built in
-segments by the executors, broadcast, and gives the counts of an interpolated bigram
-model.  Beside it stands the exact unigram score, whose counts of rare words come by
-a join.
+reading probes level after level until one is missing.  The filter grows with the
+n-grams and stays on the executors: its segments lie in groups, the n-grams of a run of
+texts travel to the groups of their segments, and their levels travel back.  The levels
+give the counts of an interpolated bigram model over all words.  Beside it stands the
+exact unigram score, whose counts of rare words come by a join.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, remainder, ship
+from .common import materialise, remainder, ship
 from .textvec import Words, mix, slices
 
-#: Words whose exact counts are broadcast (the rest comes by a join), and words that pairs tell apart; all other words are one class in pairs.
+#: Words whose exact counts are broadcast (the rest comes by a join).
 HOT = 1 << 19
-PAIRED = 1 << 13
 #: Word pairs seen less often are unseen to the filter; words are entered from the first time.
 LEAST = 2
-#: Bits for one level of an n-gram, probes for it, bits of a segment, and segments at most (2^10 * 2^19 bits = 64 MB): with more
-#: n-grams the filter stays that large and errs more often, upwards, on unseen ones; no n-gram is left out.
-KEY_BITS, PROBES, SEGMENT, MOST_SEGMENTS = 12, 5, 1 << 19, 1 << 10
+#: Bits for one level of an n-gram, probes for it, bits of a segment.
+KEY_BITS, PROBES, SEGMENT = 12, 5, 1 << 19
+#: Bytes of text whose n-grams are asked for together.
+RUN = 1 << 21
 #: Levels of a doubling of the count.
 STEPS = 2
 #: Weight of the pair model.
@@ -36,8 +38,8 @@ LAMBDA = 0.7
 #: Fixed value: added to every count.
 ADD = 0.1
 _PAIR = np.uint64(0xA0761D6478BD642F)
-#: Hashes of the end of a text and of the class of words that pairs do not tell apart.
-END, OTHER = np.uint64(0x1), np.uint64(0x2)
+#: Hash of the end of a text.
+END = np.uint64(0x1)
 FLUSH = 1 << 22
 
 
@@ -54,8 +56,10 @@ def count_of(level: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    bits: np.ndarray  # uint8
-    segments: int
+    bits: np.ndarray  # uint8, of the segments from ``first`` on
+    segments: int  # of the whole filter
+    first: int = 0
+    top: int = STEPS * 63 + 1  # highest level that a count can have
 
     @staticmethod
     def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -69,12 +73,12 @@ class Filter:
         return np.stack([((a + np.uint64(i) * b) & np.uint64(SEGMENT - 1)).astype(np.int64) for i in range(PROBES)])
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key: probes go on until a level is missing."""
+        """Level of each key: probes go on until a level is missing, to ``top`` at most."""
         out = np.zeros(len(keys), np.int64)
-        base = self.segment_of(keys, self.segments) * (SEGMENT // 8)
+        base = (self.segment_of(keys, self.segments) - self.first) * (SEGMENT // 8)
         live = np.arange(len(keys))
         q = 1
-        while len(live):
+        while len(live) and q <= self.top:
             at = self.places(keys[live], q)
             hit = np.ones(len(live), bool)
             for row in at:
@@ -87,19 +91,25 @@ class Filter:
 
 @dataclass
 class Model:
-    filter: Filter
     hot: np.ndarray  # sorted hashes of frequent words
     hot_count: np.ndarray
-    paired: np.ndarray  # sorted hashes of the words that pairs tell apart
     total: int  # N
     distinct: int  # V
     ends: int  # training texts
-    other: int  # training tokens of the class OTHER
+    segments: int
+    groups: int  # of segments
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Exact counts of frequent words; 0 for others."""
+        if not len(self.hot):
+            return np.zeros(len(keys), np.int64)
+        k = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
+        return np.where(self.hot[k] == keys, self.hot_count[k], 0)
 
 
 def tokens(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words with one END behind each text, bounds)."""
-    h = w.hashes() | np.uint64(4)  # apart from END and OTHER
+    h = w.hashes() | np.uint64(4)  # apart from END
     n = np.diff(w.bounds) + 1
     bounds = np.concatenate([[0], np.cumsum(n)])
     out = np.empty(int(bounds[-1]), np.uint64)
@@ -111,52 +121,63 @@ def tokens(w: Words, docs: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _classes(t: np.ndarray, paired: np.ndarray) -> np.ndarray:
-    if not len(paired):
-        return np.where(t == END, END, OTHER)
-    k = np.minimum(np.searchsorted(paired, t), len(paired) - 1)
-    return np.where((paired[k] == t) | (t == END), t, OTHER)
+def pairs_of(u: np.ndarray, inv: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each distinct pair of a word and the one before it, place of each token's pair); END stands before the first.
+
+    u, inv: sorted distinct tokens and the place of each token.
+    """
+    before = np.empty(len(inv), np.int64)
+    before[1:] = inv[:-1]
+    before[bounds[:-1]] = np.searchsorted(u, END)
+    pu, pinv = np.unique(before * len(u) + inv, return_inverse=True)
+    return mix(u[pu // len(u)] * _PAIR + u[pu % len(u)]) | np.uint64(4), pinv
+
+
+def group_of(seg: np.ndarray, segments: int, groups: int) -> np.ndarray:
+    return seg * groups // segments
 
 
-def pair_keys(t: np.ndarray, bounds: np.ndarray, paired: np.ndarray) -> np.ndarray:
-    """Key of (class before, class) for every token; END stands before the first."""
-    c = _classes(t, paired)
-    before = np.empty_like(c)
-    before[1:] = c[:-1]
-    before[bounds[:-1]] = END
-    return mix(before * _PAIR + c) | np.uint64(4)
+def _first(group: int, segments: int, groups: int) -> int:
+    """First segment of a group."""
+    return -(-group * segments // groups)
 
 
-def _count(rows: DataFrame, paired=None) -> DataFrame:
-    """(key, c) of words, or with ``paired`` (a broadcast) of pairs; a task sums up before the shuffle."""
+def _count(rows: DataFrame) -> DataFrame:
+    """(pair, key, c) of words and of pairs; a task sums up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: tuple[list, list] = ([], [])
+        n = 0
 
-        def flush() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c, pa.int64())], ["key", "c"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for pair in (0, 1):
+                u, at = np.unique(np.concatenate([k for k, _ in held[pair]]), return_inverse=True)
+                c = np.bincount(at, np.concatenate([c for _, c in held[pair]])).astype(np.int64)
+                held[pair].clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), bool(pair))), pa.array(u.view(np.int64)), pa.array(c)], ["pair", "key", "c"])
 
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(0)):
+            for a, b, buf, off in slices(batch.column(0), RUN):
                 t, bounds = tokens(Words(buf, off, lower=True), b - a)
-                held.append(t if paired is None else pair_keys(t, bounds, paired.value))
-                n += len(t)
+                u, inv = np.unique(t, return_inverse=True)
+                keys, pinv = pairs_of(u, inv, bounds)
+                held[0].append((u, np.bincount(inv, minlength=len(u))))
+                held[1].append((keys, np.bincount(pinv, minlength=len(keys))))
+                n += len(keys)
                 if n > FLUSH:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
+                    yield from flush()
+                    n = 0
+        if held[0]:
+            yield from flush()
 
-    return rows.select("_t").mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    return rows.select("_t").mapInArrow(run, "pair boolean, key bigint, c bigint").groupBy("pair", "key").agg(F.sum("c").alias("c"))
 
 
-def _build(counts: DataFrame) -> Filter:
-    """The filter of (key, c) rows: each segment by one task, collected one row a segment."""
+def _build(counts: DataFrame) -> tuple[DataFrame, int]:
+    """The filter of (key, c) rows as a table (seg, bits), each segment by one task, and the number of segments."""
     spark = counts.sparkSession
-    kept = counts
-    n = kept.agg(F.sum(F.floor(STEPS * F.log2("c") + 1e-9) + 1)).first()[0] or 0
-    segments = int(min(MOST_SEGMENTS, max(1, -(-n * KEY_BITS // SEGMENT))))
+    n = counts.agg(F.sum(F.floor(STEPS * F.log2("c") + 1e-9) + 1)).first()[0] or 0
+    segments = int(max(1, -(-n * KEY_BITS // SEGMENT)))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,13 +203,16 @@ def _build(counts: DataFrame) -> Filter:
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
 
-    tagged = kept.mapInArrow(tag, "key bigint, c bigint, seg int")
+    tagged = counts.select("key", "c").mapInArrow(tag, "key bigint, c bigint, seg int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = tagged.repartition(parts, "seg").sortWithinPartitions("seg").mapInArrow(fill, "seg int, bits binary").toArrow()
-    bits = np.zeros(segments * SEGMENT // 8, np.uint8)
-    for s, b in zip(done.column(0).to_pylist(), done.column(1), strict=True):
-        bits[s * SEGMENT // 8 : (s + 1) * SEGMENT // 8] = np.frombuffer(b.as_buffer(), np.uint8)
-    return Filter(bits, segments)
+    done = tagged.repartition(parts, "seg").sortWithinPartitions("seg").mapInArrow(fill, "seg int, bits binary")
+    return materialise(done, "filter"), segments
+
+
+def _release(spark) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -198,47 +222,140 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[order], c[order]
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """(model, exact counts of all training tokens); train: text column ``_t``."""
-    spark = train.sparkSession
-    counts = materialise(_count(train), "counts")
+def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, filter, exact counts of all training words); train: text column ``_t``."""
+    counts = materialise(_count(train).where(~F.col("pair") | (F.col("c") >= LEAST)), "counts")
+    _release(train.sparkSession)
     end = int(END)
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    words = counts.where(F.col("key") != end)
-    hot, hot_count = _arrays(words.orderBy(F.desc("c"), "key").limit(HOT))
-    top = np.lexsort((hot, -hot_count))[:PAIRED]
-    paired = np.sort(hot[top])
-    ends = next((r[0] for r in counts.where(F.col("key") == end).select("c").collect()), 0)
-    pairs = materialise(_count(train, spark.sparkContext.broadcast(paired)), "pairs")
-    flt = _build(words.unionByName(pairs.where(F.col("c") >= LEAST)))
-    drop(pairs)
-    other = int(total - ends - hot_count[top].sum())
-    return Model(flt, hot, hot_count, paired, int(total), int(distinct), int(ends), other), counts
-
-
-def text_scores(m: Model, t: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 probability of each text under the interpolated model."""
-    d = m.total + ADD * (m.distinct + 1)
-    u, inv = np.unique(t, return_inverse=True)
-    q1 = count_of(m.filter.levels(u))
+    single = counts.where(~F.col("pair")).select("key", "c")
+    total, distinct = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    hot, hot_count = _arrays(single.where(F.col("key") != end).orderBy(F.desc("c"), "key").limit(HOT))
+    ends = next((r[0] for r in single.where(F.col("key") == end).select("c").collect()), 0)
+    flt, segments = _build(counts.where(F.col("pair") | (F.col("key") != end)))
+    _release(train.sparkSession)
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Model(hot, hot_count, int(total), int(distinct), int(ends), segments, min(segments, parts)), flt, single
+
+
+def _pack(u: np.ndarray, inv: np.ndarray, bounds: np.ndarray, rk: np.ndarray) -> bytes:
+    head = np.array([len(u), len(inv), len(bounds)], np.int64)
+    return b"".join(x.tobytes() for x in (head, u, bounds.astype(np.int64), rk.astype(np.int64), inv.astype(np.uint32)))
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    nu, nt, nb = np.frombuffer(raw, np.int64, 3).tolist()
+    at = 24
+    u = np.frombuffer(raw, np.uint64, nu, at)
+    bounds = np.frombuffer(raw, np.int64, nb, at := at + 8 * nu)
+    rk = np.frombuffer(raw, np.int64, nb - 1, at := at + 8 * nb)
+    return u, np.frombuffer(raw, np.uint32, nt, at + 8 * (nb - 1)).astype(np.int64), bounds, rk
+
+
+def _asked(m: Model, u: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all n-grams of a run, their groups, the order in which they are asked for)."""
+    every = np.concatenate([u, keys])
+    g = group_of(Filter.segment_of(every, m.segments), m.segments, m.groups)
+    return every, g, np.argsort(g, kind="stable")
+
+
+def _read(runs: DataFrame, flt: DataFrame, m: Model, shared) -> DataFrame:
+    """(chunk, g, levels): the levels of the n-grams of each run, by groups of segments."""
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # With few groups, each has several copies that share its runs.
+    copies = max(1, parts // m.groups)
+    segments, groups, top = m.segments, m.groups, int(level_of(np.array([max(m.total, 1)]))[0])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column(0).to_pylist()
+            for k in range(batch.num_rows):
+                u, inv, bounds, _ = _unpack(batch.column(1)[k].as_buffer())
+                every, g, order = _asked(shared.value, u, pairs_of(u, inv, bounds)[0])
+                some, start = np.unique(g[order], return_index=True)
+                blobs = [x.tobytes() for x in np.split(every[order], start[1:])]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array(np.full(n, (mix(np.array([chunk[k]], np.int64).view(np.uint64))[0] >> np.uint64(8)) % np.uint64(copies), np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, chunk[k], np.int64)), pa.array(blobs, pa.binary())],
+                    ["g", "copy", "role", "chunk", "blob"],
+                )
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = None, None
+        for batch in batches:
+            g, copy, role, chunk = (batch.column(i).to_pylist() for i in range(4))
+            out = []
+            for k in range(batch.num_rows):
+                if at != (g[k], copy[k]):
+                    at, low = (g[k], copy[k]), _first(g[k], segments, groups)
+                    part = Filter(np.zeros((_first(g[k] + 1, segments, groups) - low) * SEGMENT // 8, np.uint8), segments, low, top)
+                raw = batch.column(4)[k].as_buffer()
+                if role[k] == 0:
+                    o = (chunk[k] - part.first) * SEGMENT // 8
+                    part.bits[o : o + SEGMENT // 8] = np.frombuffer(raw, np.uint8)
+                else:
+                    out.append((chunk[k], g[k], part.levels(np.frombuffer(raw, np.uint64)).astype(np.uint8).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["chunk", "g", "blob"])
+
+    asked = runs.select("chunk", "blob").mapInArrow(ask, "g int, copy int, role int, chunk bigint, blob binary")
+    own = flt.select(
+        F.floor(F.col("seg").cast("long") * groups / segments).cast("int").alias("g") if groups < segments else F.col("seg").alias("g"),
+        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"),
+        F.lit(0).alias("role"),
+        F.col("seg").cast("long").alias("chunk"),
+        F.col("bits").alias("blob"),
+    )
+    dealt = own.unionByName(asked).repartition(parts, "g", "copy").sortWithinPartitions("g", "copy", "role", "chunk")
+    return dealt.mapInArrow(probe, "chunk bigint, g int, blob binary")
+
+
+def run_scores(m: Model, u: np.ndarray, inv: np.ndarray, bounds: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """log10 probability of each text of a run under the interpolated model; levels: as they were asked for."""
+    keys, pinv = pairs_of(u, inv, bounds)
+    _, _, order = _asked(m, u, keys)
+    q = np.empty(len(order))
+    q[order] = count_of(levels.astype(np.int64))
+    q1, joint = q[: len(u)], q[len(u) :]
     q1[u == END] = m.ends
+    d = m.total + ADD * (m.distinct + 1)
     p1 = ((q1 + ADD) / d)[inv]
-    c = _classes(t, m.paired)
-    before = np.empty_like(c)
-    before[1:] = c[:-1]
-    before[bounds[:-1]] = END
-    pu, pinv = np.unique(pair_keys(t, bounds, m.paired), return_inverse=True)
-    joint = count_of(m.filter.levels(pu))[pinv]
-    # Tokens before: END once a text, paired words and the class OTHER by their counts.
-    k = np.minimum(np.searchsorted(m.hot, before), max(len(m.hot) - 1, 0))
-    of = m.hot_count[k] if len(m.hot) else np.zeros(len(t))
-    of = np.where(before == END, m.ends, np.where(before == OTHER, m.other, of))
-    p2 = np.minimum(joint / np.maximum(of, 1), 1.0)
-    # A word of the class OTHER has the share that it has among all words of the class.
-    share = (m.other + ADD) / d
-    p2 = np.where(c == OTHER, p2 * np.minimum(p1 / share, 1.0), p2)
-    p = (1 - LAMBDA) * p1 + LAMBDA * p2
-    return np.add.reduceat(np.log10(p), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+    # Tokens before: END once a text, frequent words by their exact counts, others by the filter.
+    exact = m.counts(u)
+    of_word = np.where(exact > 0, exact, q1)
+    of = np.empty(len(inv))
+    of[1:] = of_word[inv[:-1]]
+    of[bounds[:-1]] = m.ends
+    p2 = np.minimum(joint[pinv] / np.maximum(of, 1), 1.0)
+    return np.add.reduceat(np.log10((1 - LAMBDA) * p1 + LAMBDA * p2), bounds[:-1])
+
+
+def _finish(runs: DataFrame, levels: DataFrame, shared) -> DataFrame:
+    """(rk, score): each run meets the levels of its n-grams."""
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, run, held = None, None, []
+
+        def done() -> pa.RecordBatch:
+            u, inv, bounds, rk = _unpack(run)
+            s = run_scores(shared.value, u, inv, bounds, np.frombuffer(b"".join(held), np.uint8))
+            return pa.RecordBatch.from_arrays([pa.array(rk), pa.array(s)], ["rk", "score"])
+
+        for batch in batches:
+            chunk, g = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                blob = batch.column(2)[k].as_py()
+                if g[k] < 0:
+                    if at is not None:
+                        yield done()
+                    at, run, held = chunk[k], blob, []
+                else:
+                    held.append(blob)
+        if at is not None:
+            yield done()
+
+    both = runs.select("chunk", F.lit(-1).alias("g"), "blob").unionByName(levels)
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "g").mapInArrow(meet, "rk bigint, score double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -251,50 +368,54 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    model, counts = fit(rows.where(remainder("_id", folds) != 0))
+    model, flt, counts = fit(rows.where(remainder("_id", folds) != 0))
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         d = m.total + ADD * (m.distinct + 1)
-        hot_log = np.log10((m.hot_count + ADD) / d)
         end_log = np.log10((m.ends + ADD) / d)
+        names = ["rk", "_id", "key", "n", "known", "base", "chunk", "blob"]
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(2)):
+            for a, b, buf, off in slices(batch.column(2), RUN):
                 t, bounds = tokens(Words(buf, off, lower=True), b - a)
-                s = text_scores(m, t, bounds)
-                k = np.minimum(np.searchsorted(m.hot, t), max(len(m.hot) - 1, 0))
-                is_hot = (m.hot[k] == t) if len(m.hot) else np.zeros(len(t), bool)
-                is_end = t == END
-                term = np.where(is_end, end_log, np.where(is_hot, hot_log[k] if len(m.hot) else 0.0, 0.0))
-                known = is_hot | (is_end & (m.ends > 0))
-                base = np.add.reduceat(term, bounds[:-1])
-                n_known = np.add.reduceat(known.astype(np.int64), bounds[:-1])
+                u, inv = np.unique(t, return_inverse=True)
+                exact = m.counts(u)
+                term = np.where(u == END, end_log, np.where(exact > 0, np.log10((exact + ADD) / d), 0.0))
+                known = (exact > 0) | ((u == END) & (m.ends > 0))
+                base = np.add.reduceat(term[inv], bounds[:-1])
+                n_known = np.add.reduceat(known[inv].astype(np.int64), bounds[:-1])
                 rk = batch.column(0).slice(a, b - a)
                 none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [rk, batch.column(1).slice(a, b - a), none, pa.array(np.diff(bounds)), pa.array(n_known), pa.array(base), pa.array(s)],
-                    ["rk", "_id", "key", "n", "known", "base", "score"],
-                )
-                rare = np.flatnonzero(~is_hot & ~is_end)
+                kind = batch.column(1).type
+                yield pa.RecordBatch.from_arrays([rk, batch.column(1).slice(a, b - a), none, pa.array(np.diff(bounds)), pa.array(n_known), pa.array(base), none, pa.nulls(b - a, pa.binary())], names)
+                key = rk.to_numpy()
+                one = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([one, pa.nulls(1, kind), one, one, one, pa.nulls(1, pa.float64()), pa.array(key[:1]), pa.array([_pack(u, inv, bounds, key)], pa.binary())], names)
+                rare = np.flatnonzero(((exact == 0) & (u != END))[inv])
                 if len(rare):
                     who = np.searchsorted(bounds, rare, "right") - 1
                     n = len(rare)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rk.to_numpy()[who]), pa.nulls(n, batch.column(1).type), pa.array(t[rare].view(np.int64)), pa.array(np.ones(n, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())],
-                        ["rk", "_id", "key", "n", "known", "base", "score"],
+                        [pa.array(key[who]), pa.nulls(n, kind), pa.array(t[rare].view(np.int64)), pa.array(np.ones(n, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+                        names,
                     )
 
     keyed = rows.select(F.monotonically_increasing_id().alias("rk"), "_id", "_t")
-    # Written once, so that the row keys of both kinds of rows agree.
-    got = materialise(keyed.mapInArrow(run, f"rk bigint, _id {kind}, key bigint, n bigint, known bigint, base double, score double"), "scored")
+    # Written once, so that the row keys of all kinds of rows agree.
+    got = materialise(keyed.mapInArrow(run, f"rk bigint, _id {kind}, key bigint, n bigint, known bigint, base double, chunk bigint, blob binary"), "scored")
     d = model.total + ADD * (model.distinct + 1)
     rare = got.where(F.col("key").isNotNull()).select("rk", "key", "n")
     held = rare.join(counts.select("key", "c"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     sums = held.groupBy("rk").agg(F.sum(F.col("n") * F.log10((c + ADD) / F.lit(d))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("also"))
-    out = got.where(F.col("key").isNull()).join(sums, "rk", "left")
+    runs = got.where(F.col("chunk").isNotNull())
+    # The n-grams that travelled are dropped before the runs travel.
+    levels = materialise(_read(runs, flt, model, shared), "levels")
+    _release(spark)
+    scored = _finish(runs, levels, shared)
+    out = got.where(F.col("key").isNull() & F.col("chunk").isNull()).select("rk", "_id", "n", "known", "base").join(sums, "rk", "left").join(scored, "rk")
     return out.select(
         F.col("_id").alias(id_col),
         (remainder("_id", folds) == 0).alias("held_out"),
