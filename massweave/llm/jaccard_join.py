@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: links and components of documents with like shingle sets.
+"""N-gram Jaccard join: components of the links of documents with like shingle sets.
 
 The Jaccard distance d is a metric, but two unrelated documents are at distance 1
 from each other and from any pivot, so pivots drawn from the corpus cannot split it:
@@ -270,19 +270,20 @@ def _gathered(make):
 
 
 def link(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id that links reach), n_links (measured links of its text).
+    """Per row: id, n_shingles, component_id (the smallest id that links reach).
 
+    Pairs within one component are not all measured, so links are not counted.
     Null and empty texts have an empty set and are components of their own.  Rows with
     equal sets are one class, whatever their number, and count as linked; rows that
     repeat an id share it, and rows with a null id keep a null component only when no
     other member has an id.
     """
     out = _linked(docs, scheme, id_col, text_col)
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id", "n_links")
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id")
 
 
 def _linked(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """Per row: _id, _h (hash of the text), _n, comp (name of the component, null for an empty set), component_id, n_links."""
+    """Per row: _id, _h (hash of the text), _n, comp (name of the component, null for an empty set), component_id."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).withColumn("_h", F.xxhash64("_t"))
@@ -328,13 +329,11 @@ def _linked(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> Data
         sub = _open(sub, comp, ["cell"]).join(size, "node")
         last = materialise(_cell_pairs(sub, scheme, measured), "pairs")
         measured, comp = _more(last, measured, comp, texts, scheme, near)
-    links = measured.where(near).select("x", "p")
-    n_links = links.unionByName(links.select(F.col("p").alias("x"), F.col("x").alias("p"))).groupBy(F.col("x").alias("_node")).agg(F.count(F.lit(1)).alias("n_links"))
     cls = reps.join(comp, "node", "left").select(F.col("node").alias("_node"), "first", F.coalesce("comp", "node").alias("comp"))
     least = cls.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of = cls.join(least, "comp").select("_node", "comp", "component_id").join(n_links, "_node", "left")
+    of = cls.join(least, "comp").select("_node", "comp", "component_id")
     out = named.join(of, "_node", "left")
-    return out.select("_id", "_h", "_n", "comp", F.coalesce("component_id", "_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("_id", "_h", "_n", "comp", F.coalesce("component_id", "_id").alias("component_id"))
 
 
 def _more(todo: DataFrame, measured: DataFrame, comp: DataFrame, texts: DataFrame, scheme: Scheme, near) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of 4-word shingle sets with 85 of 100 in common, over all of ``documents``."""
+    """Components of the links of 4-word shingle sets with 85 of 100 in common, over all of ``documents``."""
     return jaccard_join.link(table(spark, sf_dir, "documents"), jaccard_join.Scheme(4, 85, 100))
 
 

@@ -198,6 +198,15 @@ def test_jaccard_cluster_of_edits(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_jaccard_reports_no_partial_link_count(spark):
+    """Three mutually linked texts: one component, and no count of the pairs that happened to be measured."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(3)]
+    out = jaccard_join.link(docs_of(spark, rows))
+    assert out.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(tuple(r) for r in out.collect()) == [(i, 398, 0) for i in range(3)]
+
+
 def test_profiles_exclude_no_link():
     rng = np.random.default_rng(2)
     scheme, excluded = jaccard_join.Scheme(4, 85, 100), 0
