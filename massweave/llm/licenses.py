@@ -18,6 +18,8 @@ BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general
 WORD = r"[0-9A-Za-z\P{ASCII}]+"
 #: Anything but letters, digits and non-ASCII characters, on lower-cased text.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: White space of the patterns (\s) other than a single space.
+RUNS = r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]"
 _V = r"(?:,?\s*(?:version|v|ver\.?)?\s*{v})"
 
 #: Licences: label, keyword of the prefilter, pattern of the name, SPDX identifiers, home of the text.
@@ -82,6 +84,7 @@ def rules() -> list[tuple[int, int, tuple[str, ...], tuple[str, ...], str, str,
 
     A rule is tried on a text with one of its gates and one of its keywords.  All gates
     are rare strings, so most texts are passed over after a few substring searches.
+    Both are sought with white space read as one space, as the patterns read it.
     """
     out = []
     for label, key, name, spdx, home in FAMILIES:
@@ -139,11 +142,12 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table = F.array(
         *[F.struct(F.lit(o).alias("o"), F.lit(p).alias("p"), some(g).alias("g"), some(k).alias("k"), F.lit(r).alias("r"), F.lit(n).alias("n"), F.lit(c).alias("c")) for o, p, g, k, r, n, c in every]
     )
-    low = _lowered(docs, id_col, text_col)
+    # A name may be broken over lines: any white space counts as one space for gates and keywords.
+    low = _lowered(docs, id_col, text_col).select("*", F.explode(F.array(F.regexp_replace("_t", RUNS, " "))).alias("_s"))
     gate = F.lit(False)
     for k in sorted({k for r in every for k in r[2]}):
-        gate = gate | F.contains("_t", F.lit(k))
-    has = lambda keys: F.exists(keys, lambda k: F.contains(F.col("_t"), k))
+        gate = gate | F.contains("_s", F.lit(k))
+    has = lambda keys: F.exists(keys, lambda k: F.contains(F.col("_s"), k))
     hits = low.where(gate).select("_id", "_k", "_t", F.explode(F.filter(table, lambda r: has(r["g"]) & has(r["k"]))).alias("r"))
     spans = hits.where(F.regexp_like("_t", F.col("r.r"))).select("_id", "_k", "r.o", "r.p", "r.n", "r.c", F.explode(_spans(F.col("_t"), F.col("r.r"))).alias("x"))
     spans = spans.select("_id", "_k", "o", "p", "n", "c", F.col("x.s").alias("s"), F.col("x.e").alias("e"))

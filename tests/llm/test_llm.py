@@ -369,6 +369,26 @@ def test_license_base(spark):
     assert out[3].labels == "apache-2.0" and "lgpl-2.1" in out[4].labels
 
 
+def test_license_names_over_lines(spark):
+    """A name that is broken over lines or has two spaces is found as the patterns allow."""
+    texts = {
+        "gpl-3": "GNU General\nPublic  License, version 3",
+        "lgpl-2.1": "gnu lesser\n\tgeneral public\nlicense version 2.1",
+        "fdl-1.3": "GNU Free\r\nDocumentation License 1.3",
+        "proprietary": "All  rights\n reserved",
+        "public-domain": "placed in the public\n   domain",
+        "cc-by": "Creative\nCommons Attribution 4.0",
+        "cddl-1.0": "Common\nDevelopment and Distribution License",
+        "ofl-1.1": "SIL Open\x0bFont License",
+        "mit-0": "MIT No\fAttribution",
+        "wtfpl": "do what\nthe foul you want",
+        "eupl-1.2": "European  Union\tPublic Licence",
+    }
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs_of(spark, list(enumerate(texts.values())))).collect()}
+    for i, label in enumerate(texts):
+        assert label in got[i], (label, got[i])
+
+
 def test_license_suppression(spark):
     t = "x Licensed under the Apache License, Version 2.0 y"
     got = licenses.detections(docs_of(spark, [(1, t)])).collect()
