@@ -314,13 +314,13 @@ def _a16(s, d):
 
 @query("i01_isotope_patterns")
 def _i01(s, d):
-    f = _lattice(s).select("chemsc", "C", "H", "O").where("C % 10 = 0")
+    f = _lattice(s).select("chemsc", "C", "H", "O")
     return isotope.patterns(s, f, {"C": "C", "H": "H", "O": "O"}).select("chemsc", *[rd(F.get("pattern", k), 6).alias(f"p{k}") for k in range(5)])
 
 
 @query("i03_isotope_correction")
 def _i03(s, d):
-    e = views.peaks(s, d).where("mz < 60").groupBy("polarity", "sample", F.round("mz", 1).alias("mz")).agg(F.sum("i").alias("i"))
+    e = views.peaks(s, d).groupBy("polarity", "sample", F.round("mz", 1).alias("mz")).agg(F.sum("i").alias("i"))
     e = e.withColumn("se_id", F.round(F.col("mz") * 10).cast("long") * F.col("polarity")).withColumn("pattern", F.array(*[F.lit(x) for x in (1.0, 0.3, 0.06, 0.01, 0.001)]))
     return isotope.correct(e, Tolerance("da", 0.02), LARGEST, ["polarity"]).select("se_id", "sample", rd("corrected").alias("corrected"))
 

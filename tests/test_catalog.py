@@ -31,6 +31,18 @@ def test_against_sql(spark, con, name):
     assert got == sorted(tuple(norm(r[k]) for k in at) for r in rel.fetchall())
 
 
+def test_isotope_queries_cover_all_rows(spark):
+    """i01 has a pattern for every formula of the lattice, i03 a value for every entry and sample."""
+    import __spark_entry__ as e
+
+    from massweave import views
+
+    q = e.queries()
+    assert q["i01_isotope_patterns"](spark, D).count() == q["m09_lattice"](spark, D).count()
+    want = {(round(r.mz * 10) * r.polarity, r.sample) for r in views.peaks(spark, D).selectExpr("polarity", "sample", "round(mz, 1) AS mz").distinct().collect()}
+    assert {(r.se_id, r.sample) for r in q["i03_isotope_correction"](spark, D).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
