@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -11,19 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset a local folder is made and set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a local folder is made and set, but only if the master is local: on a
+    cluster each executor would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         named = "file://" + tempfile.mkdtemp(prefix="massweave-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table or archive in the shared folder."""
+    return f"{shared_dir(spark)}/massweave-{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/massweave-{name}-{uuid.uuid4().hex}"
+    """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it.
+
+    The table outlives lost executors.  :func:`drop` deletes it; what a result still reads
+    stays, and whoever owns the shared folder clears it.
+    """
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._massweave_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialise` that no later plan reads."""
+    for t in tables:
+        path = getattr(t, "_massweave_path", None)
+        if path:
+            delete(t.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:
