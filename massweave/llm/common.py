@@ -1,54 +1,21 @@
-"""Shared helpers: shared scratch tables and column checks."""
+"""Shared helpers of the operations: scratch tables and column checks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import delete, drop, materialise, new_path, release, shared_dir, ship
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, one machine) a local one is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="massweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table or archive in the shared folder."""
-    return f"{shared_dir(spark)}/massweave-{name}-{uuid.uuid4().hex}"
+__all__ = ["SMALL_ROWS", "delete", "drop", "few", "materialise", "new_path", "release", "remainder", "shared_dir", "ship", "table"]
 
+#: Short rows that are broadcast at most; larger tables are joined by a shuffle.
+SMALL_ROWS = 1 << 19
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it.
 
-    The table outlives lost executors; whoever owns the shared folder clears it.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._massweave_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`materialise` that no later plan reads."""
-    for t in tables:
-        path = getattr(t, "_massweave_path", None)
-        if path:
-            spark = t.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def few(df: DataFrame) -> DataFrame:
+    """A written table of at most ``SMALL_ROWS`` short rows as the side that a join broadcasts; a larger one as it is."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -58,17 +25,3 @@ def remainder(id_col: str, n: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers of the cluster, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_massweave_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="massweave-")) / "massweave.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(archive))
-    sc._massweave_shipped = True

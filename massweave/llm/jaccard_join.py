@@ -2,71 +2,71 @@
 
 The Jaccard distance d is a metric, but two unrelated documents are at distance 1
 from each other and from any pivot, so pivots drawn from the corpus cannot split it:
-every document would lie on every border.  The first regions are therefore cells of
-sub-metrics.  The hash space is cut into k ranges; sets within the radius differ in
-at most H < k elements, so they agree on a whole range, and the cell of a document
-in a range is named by its shingles there.  Inside a cell the metric works: pivots are
-measured against the members of their cells, members within the radius are linked,
-and cells whose members are connected by then are done.  In the region of a pivot
-that is left, each member is cut again into cells, now by its shingles in an order
-that the pivot gives: those that the pivot lacks come first, and the members of a
-pair within the radius share one of the first ``n - ceil(t n) + 1`` of their n
-shingles.  So a member far from the pivot meets only what shares its own peculiar
-shingles.  Pairs of the last cells that sizes and the triangle inequality leave open,
-``|d(x, p) - d(y, p)| <= radius``, are measured.  Nothing is lost: every pair within the
-radius shares a cell at each level, and a pair of a last cell is measured, known to be
-connected, or excluded by the triangle inequality.
+every document would lie on every border.  So the space is first cut into cells of
+documents that share a leading shingle.  All shingles have one order, rare ones first
+as far as a sketch of fixed size tells; documents within the radius share one of the
+first ``n - ceil(t n) + 1`` of their n shingles, hence a cell.
+
+Cells of at most ``leaf`` members, and of one component, are done by pairs: sizes, places
+of the shared shingle, profiles, and at last the sets decide.  A larger cell is a metric
+space of its own in which distances differ, and is joined recursively: some members
+become pivots, every member is measured against them and belongs to the Voronoi region of
+the nearest, and a window around each region, ``d(y, p) <= d(y, nearest) + 2 radius``,
+replicates the members across its border that may have a partner inside.  In its region
+a member is cut again into cells, by its leading shingles in an order that the pivot gives:
+those that the pivot lacks come first.  Pairs there must also fulfil the triangle
+inequality ``|d(x, p) - d(y, p)| <= radius``.  Nothing is lost: every pair within the radius
+shares a cell at each level until it is measured, known to be connected, or excluded by a
+bound.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
-from .components import components
-from .textvec import Words, list_array, mix, shingle_sets, slices
+from ..operators.components import components
+from .common import drop, few, materialise, release, ship
+from .textvec import Words, list_array, shingle_sets, slices
 
 #: Members that are measured against a pivot by one task.
 BLOCK = 512
+#: Counters of a block of the sketch.
+SKETCH_BLOCK = 1 << 16
+#: Levels of regions at most; what is left then is done by pairs.
+LEVELS = 8
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Words of a shingle, the least similarity num/den of a link, and how small cells are treated.
+    """Words of a shingle, the least similarity num/den of a link, and how the work is cut.
 
-    The pairs of cells of at most ``small`` members are bounded by profiles at once;
-    larger cells become regions of a pivot.  The result is the same for any ``small``;
-    lower similarities have more chance cell mates and want it larger.
+    leaf: members of a cell that is done by pairs; pivots: of a larger cell; sketch: bits of
+    the largest sketch (16 MB at 24).  The result is the same for any of them.
     """
 
     k: int = 4
     num: int = 85
     den: int = 100
-    small: int = 0
+    leaf: int = 64
+    pivots: int = 4
+    sketch: int = 24
 
-    def most_apart(self, total: int) -> int:
-        """Largest symmetric difference of two linked sets with ``total`` elements together."""
-        return max(t - 2 * -(-self.num * t // (self.num + self.den)) for t in range(max(total - 3, 0), total + 1))
+    def lead(self, n):
+        """Leading shingles of a set of n."""
+        return n + self.num * -n // self.den + 1
 
-    def classes(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(least size, H, ranges) of the size classes; linked sets lie in the same or in neighbouring classes."""
-        low, h, k = [1], [], []
-        while low[-1] <= largest:
-            nxt = low[-1] * self.den // self.num + 1
-            top = nxt - 1
-            apart = self.most_apart(top + top * self.den // self.num)
-            h.append(apart)
-            k.append(apart + 1 + max(1, -(-3 * apart // 100)))
-            low.append(nxt)
-        return np.array(low, np.int64), np.array(h, np.int64), np.array(k, np.int64)
+    @property
+    def radius(self) -> float:
+        return float(1 - Fraction(self.num, self.den)) + 1e-9
 
 
 def node_of(s: np.ndarray) -> int:
@@ -74,45 +74,26 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def cells(sets: list[np.ndarray], nodes: list[int], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, node) of all cells of non-empty sets: for the set's own size class and for the one below."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    some = np.flatnonzero(sizes)
-    if not len(some):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low, most, ranges = scheme.classes(int(sizes.max()))
-    flat = np.concatenate([sets[i] for i in some])
-    name = np.array([nodes[i] for i in some], np.int64)
-    size = sizes[some]
-    begin = np.cumsum(size) - size
-    doc = np.repeat(np.arange(len(some)), size)
-    mixed = mix(flat)
-    own = np.searchsorted(low, size, "right") - 1
-    out_c, out_n = [], []
-    for cls in (own, own - 1):
-        ok = (cls >= 0) & (most[np.maximum(cls, 0)] > 0)
-        k = np.where(ok, ranges[np.maximum(cls, 0)], 0)
-        j = ((flat >> np.uint64(32)) * k[doc].astype(np.uint64)) >> np.uint64(32)
-        edge = np.ones(len(flat), bool)
-        edge[1:] = (doc[1:] != doc[:-1]) | (j[1:] != j[:-1])
-        at = np.flatnonzero(edge)
-        content = np.add.reduceat(mixed, at)
-        d, r = doc[at], j[at]
-        tag = cls[d].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + r * np.uint64(0xC2B2AE3D27D4EB4F)
-        cell = mix(content ^ mix(tag))
-        keep = ok[d]
-        out_c.append(cell[keep].astype(np.int64))
-        out_n.append(name[d[keep]])
-        # With no more filled ranges than differences, empty ranges may be all that two sets agree on.
-        filled = np.bincount(d, minlength=len(some))
-        for i in np.flatnonzero(ok & (filled <= most[np.maximum(cls, 0)])).tolist():
-            have = set(r[begin_of : begin_of + filled[i]].tolist()) if (begin_of := int(np.searchsorted(d, i))) >= 0 else set()
-            empty = np.array([x for x in range(int(k[i])) if x not in have], np.uint64)
-            if len(empty):
-                tag = np.uint64(int(cls[i]) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) + empty * np.uint64(0xC2B2AE3D27D4EB4F)
-                out_c.append(mix(mix(tag) + np.uint64(1)).astype(np.int64))
-                out_n.append(np.full(len(empty), name[i]))
-    return np.concatenate(out_c), np.concatenate(out_n)
+def profile(s: np.ndarray) -> np.ndarray:
+    """Elements of a set per equal range of the hash space; one or two a range, ranges a power of two."""
+    bits = max(3, int(len(s) // 2).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int, scheme: Scheme) -> bool:
+    """False only if two sets of these sizes and profiles cannot be linked.
+
+    Merging elements into ranges never raises a distance: the profiles differ by no
+    more than the sets do.
+    """
+    if a.max(initial=0) == 255 or b.max(initial=0) == 255:
+        return True  # a counter is full
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(1)
+    elif len(b) > len(a):
+        b = b.reshape(len(a), -1).sum(1)
+    return int(np.abs(a - b).sum()) <= na + nb - 2 * -(-scheme.num * (na + nb) // (scheme.num + scheme.den))
 
 
 def _sets(batch: pa.RecordBatch, column: int, scheme: Scheme) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -121,162 +102,185 @@ def _sets(batch: pa.RecordBatch, column: int, scheme: Scheme) -> Iterator[tuple[
 
 
 def _named(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """_id, _h (hash of the text), _n (size of the set), _node (null for an empty set)."""
+    """_id, _h (hash of the text), _n (size of the set), _node (null for an empty set), _v (profile)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node = [], []
+            n, node, v = [], [], []
             for _, _, sets in _sets(batch, 2, scheme):
                 n += [len(s) for s in sets]
                 node += [node_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["_id", "_h", "_n", "_node"])
+                v += [profile(s).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(v, pa.binary())], ["_id", "_h", "_n", "_node", "_v"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "_h", "_t").mapInArrow(run, f"_id {kind}, _h bigint, _n bigint, _node bigint")
+    return docs.select("_id", "_h", "_t").mapInArrow(run, f"_id {kind}, _h bigint, _n bigint, _node bigint, _v binary")
 
 
-def _memberships(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(cell, node): the cells of every set, once for each task."""
+def _sketch(docs: DataFrame, scheme: Scheme, shingles: int) -> np.ndarray:
+    """Class of frequency of every counter of a sketch of all shingles: 0 up to what chance explains, then by doublings.
+
+    The sketch has eight shingles a counter, or ``2**scheme.sketch`` counters if these are
+    fewer.  Its counts only order shingles, so that they may be rough: a task counts to 255.
+    """
+    bits = min(max(10, int(shingles // 8).bit_length()), scheme.sketch)
+    size = min(SKETCH_BLOCK, 1 << bits)
+    mean = shingles / (1 << bits)
+    chance = max(mean + 4 * mean**0.5, 4.0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, seen = np.zeros(1 << bits, np.uint8), set()
+        for batch in batches:
+            for _, _, sets in _sets(batch, 0, scheme):
+                flat = np.concatenate([_fresh(s, seen) for s in sets])
+                u, n = np.unique((flat >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                c[u] = np.minimum(c[u] + n, 255)
+        at = [i for i in range(0, len(c), size) if c[i : i + size].any()]
+        for i in at:
+            yield pa.RecordBatch.from_arrays([pa.array([i // size], pa.int32()), pa.array([zlib.compress(c[i : i + size].tobytes(), 1)], pa.binary())], ["block", "c"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            cls = np.where(c > chance, 1 + np.floor(np.log2(np.maximum(c, 1) / chance)), 0).clip(0, 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(cls.tobytes(), 1)], pa.binary())], ["block", "c"])
+
+        at, c = None, None
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield done()
+                    at, c = block, np.zeros(size, np.int64)
+                c += np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint8)
+        if at is not None:
+            yield done()
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = docs.select("_t").mapInArrow(count, "block int, c binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(add, "block int, c binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for row in blocks.collect():  # 2**scheme.sketch small numbers at most
+        out[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(row.c), np.uint8)
+    return out
+
+
+def _fresh(s: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The set, or an empty one if the task has met it before."""
+    if not len(s) or (x := node_of(s)) in seen:
+        return s[:0]
+    seen.add(x)
+    return s
+
+
+def leading(sets: list[np.ndarray], classes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, place, shingle) of the leading shingles of non-empty sets, in the order (class of frequency, value)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)), size)
+    bits = len(classes).bit_length() - 1
+    # Sets come sorted, so that an order of (set, class) that keeps ties is all it takes.
+    order = np.argsort(doc * 256 + classes[(flat >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    keep = at < np.repeat(scheme.lead(size), size)
+    return doc[keep], at[keep], flat[order[keep]]
+
+
+def _cells(docs: DataFrame, scheme: Scheme, classes) -> DataFrame:
+    """(cell, node, n, at): the leading shingles of every set, with their places, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, sets in _sets(batch, 0, scheme):
-                take, names = [], []
-                for s in sets:
-                    if len(s) and (x := node_of(s)) not in seen:
-                        seen.add(x)
-                        take.append(s)
-                        names.append(x)
-                c, n = cells(take, names, scheme)
-                if len(c):
-                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["cell", "node"])
+                sets = [s for s in (_fresh(s, seen) for s in sets) if len(s)]
+                if sets:
+                    doc, at, s = leading(sets, classes.value, scheme)
+                    node, n = np.array([node_of(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(node[doc]), pa.array(n[doc]), pa.array(at.astype(np.int32))], ["cell", "node", "n", "at"])
 
-    return docs.select("_t").mapInArrow(run, "cell bigint, node bigint")
+    return docs.select("_t").mapInArrow(run, "cell bigint, node bigint, n int, at int")
 
 
-def _measure(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """(x, p, inter, union, first) of pairs of nodes; texts: node and text of one document each.
+def _measure(pairs: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme, first: bool = False) -> DataFrame:
+    """(x, p, inter, union, first) of pairs of nodes, as a written table.
 
-    ``first``: the leading shingles (half of their bits) of x in the order that p gives (those that p lacks, by
-    value, then those that it has); sets within the radius share a leading shingle.
+    ``first``: if asked for, the leading shingles (half of their bits) of x in the order that p gives
+    (those that p lacks, by value, then those that it has); sets within the radius share a leading shingle.
 
     A set travels once for each of its pivots, and a pivot once for each block of
     ``BLOCK`` members, so a pivot of any number of members is shared by many tasks.
     """
+    wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("p").alias("node"))).distinct()
+    wanted = materialise(reps.join(wanted, "node").select("node", F.col("pick._id").alias("_pid"), F.col("pick._h").alias("_h")), "wanted")
+    texts = rows.join(few(wanted), (rows["_h"] == wanted["_h"]) & rows["_id"].eqNullSafe(wanted["_pid"])).select("node", "_t")
+    texts = texts.dropDuplicates(["node", "_t"])
     per = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("s"))
     to = pairs.join(per, "p").select(F.col("x").alias("node"), "p", F.pmod(F.xxhash64("x", "p"), F.col("s")).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = per.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.lit(0).alias("role"))
-    need = to.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("p", "salt", "role")).alias("to"))
-    rows = texts.join(need, "node").select("node", "_t", "to")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, lists = batch.column(0).to_pylist(), batch.column(2)
-            for a, _, sets in _sets(batch, 1, scheme):
-                for i, s in enumerate(sets):
-                    if node_of(s) != nodes[a + i]:
-                        continue  # another text with the same id and hash
-                    raw, tos = s.tobytes(), lists[a + i].as_py()
-                    # Rows of a bounded size: a set with many pivots goes out in several batches.
-                    step = max(1, (4 << 20) // max(len(raw), 1))
-                    for k in range(0, len(tos), step):
-                        t = tos[k : k + step]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([y["p"] for y in t], pa.int64()), pa.array([y["salt"] for y in t], pa.int32()), pa.array([y["role"] for y in t], pa.int32()), pa.array([nodes[a + i]] * len(t), pa.int64()), pa.array([raw] * len(t), pa.binary())],
-                            ["p", "salt", "role", "x", "set"],
-                        )
-
-    sent = rows.mapInArrow(_gathered(send), "p bigint, salt int, role int, x bigint, set binary")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sent.repartition(n, "p", "salt").sortWithinPartitions("p", "salt", "role")
+    sent = texts.join(to.unionByName(own), "node").select("node", "p", "salt", "role", "_t")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(parts, "p", "salt").sortWithinPartitions("p", "salt", "role")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivot = None, None
         for batch in batches:
             out: list[tuple] = []
-            p, salt, role, x = (batch.column(i).to_pylist() for i in range(4))
-            for i in range(len(p)):
-                s = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
-                if role[i] == 0:
-                    at, pivot = (p[i], salt[i]), s.copy()
-                elif at == (p[i], salt[i]):
-                    k = np.searchsorted(pivot, s)
-                    k[k == len(pivot)] = 0
-                    has = pivot[k] == s
-                    inter = int(has.sum())
-                    lead = np.concatenate([s[~has], s[has]])[: len(s) - -(-scheme.num * len(s) // scheme.den) + 1]
-                    out.append((x[i], p[i], inter, len(s) + len(pivot) - inter, (lead >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            x, p, salt, role = (batch.column(i).to_pylist() for i in range(4))
+            for a, _, sets in _sets(batch, 4, scheme):
+                for i, s in enumerate(sets, a):
+                    if node_of(s) != x[i]:
+                        continue  # another text with the same id and hash
+                    if role[i] == 0:
+                        at, pivot = (p[i], salt[i]), s
+                    elif at == (p[i], salt[i]):
+                        has = np.isin(s, pivot, assume_unique=True)
+                        inter, lead = int(has.sum()), np.zeros(0, np.int32)
+                        if first:
+                            lead = (np.concatenate([s[~has], s[has]])[: scheme.lead(len(s))] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        out.append((x[i], p[i], inter, len(s) + len(pivot) - inter, lead))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], list_array(list(cols[4]), pa.int32())], ["x", "p", "inter", "union", "first"])
 
-    return dealt.mapInArrow(meet, "x bigint, p bigint, inter bigint, union bigint, first array<int>")
+    done = materialise(dealt.mapInArrow(meet, "x bigint, p bigint, inter bigint, union bigint, first array<int>"), "measured")
+    drop(wanted)
+    release(pairs.sparkSession)
+    return done
 
 
-def profile(s: np.ndarray) -> np.ndarray:
-    """Elements of a set per equal range of the hash space; about eight a range, ranges a power of two."""
-    bits = max(5, int(len(s) // 8).bit_length())
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-
-
-def may_link(a: np.ndarray, b: np.ndarray, scheme: Scheme) -> bool:
-    """False only if two sets with these profiles cannot be linked.
-
-    Merging elements into ranges never raises a distance: the profiles differ by no
-    more than the sets do.
-    """
-    na, nb = int(a.sum()), int(b.sum())
-    while len(a) > len(b):
-        a = a.reshape(-1, 2).sum(1)
-    while len(b) > len(a):
-        b = b.reshape(-1, 2).sum(1)
-    return int(np.abs(a - b).sum()) <= na + nb - 2 * -(-scheme.num * (na + nb) // (scheme.num + scheme.den))
-
-
-def _bounded(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (x, p) whose profiles, some bytes for eight shingles, leave a link open."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [profile(s).tobytes() for _, _, sets in _sets(batch, 1, scheme) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "v"])
+def _bounded(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (x, p) whose profiles, a byte for one or two shingles, leave a link open."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            ok = [may_link(np.frombuffer(a[i].as_buffer(), np.int32), np.frombuffer(b[i].as_buffer(), np.int32), scheme) for i in range(batch.num_rows)]
+            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            a, b = batch.column(4), batch.column(5)
+            ok = [may_link(np.frombuffer(a[i].as_buffer(), np.uint8), np.frombuffer(b[i].as_buffer(), np.uint8), n[i], m[i], scheme) for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    v = materialise(texts.select("node", "_t").mapInArrow(make, "node bigint, v binary"), "profiles")
-    j = pairs.join(v.select(F.col("node").alias("x"), F.col("v").alias("vx")), "x").join(v.select(F.col("node").alias("p"), F.col("v").alias("vp")), "p")
-    return j.select("x", "p", "vx", "vp").mapInArrow(keep, "x bigint, p bigint")
+    x, p = (reps.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("v").alias(f"v{k}")) for k in ("x", "p"))
+    return pairs.join(x, "x").join(p, "p").select("x", "p", "nx", "np", "vx", "vp").mapInArrow(keep, "x bigint, p bigint")
 
 
-def _gathered(make):
-    """Join small batches of ``make`` into batches of some megabytes."""
+def _fits(nx: Column, ny: Column, ax: Column, ay: Column, scheme: Scheme) -> Column:
+    """Whether sizes and the places of a shared shingle leave a link open.
+
+    If it is the first that two sets share, they share no more than what follows in either.
+    """
+    sizes = F.least(nx, ny) * scheme.den >= F.greatest(nx, ny) * scheme.num
+    return sizes & (F.least(nx - ax, ny - ay) * (scheme.num + scheme.den) >= scheme.num * (nx + ny))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in make(batches):
-            held.append(b)
-            size += b.nbytes
-            if size > 4 << 20:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return run
+def _near(scheme: Scheme) -> Column:
+    return F.col("inter") * scheme.den >= F.col("union") * scheme.num
 
 
 def link(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links reach).
 
-    Pairs within one component are not all measured, so links are not counted.
-    Null and empty texts have an empty set and are components of their own.  Rows with
-    equal sets are one class, whatever their number, and count as linked; rows that
-    repeat an id share it, and rows with a null id keep a null component only when no
-    other member has an id.
+    Jobs run when this is called.  Pairs within one component are not all measured, so
+    links are not counted.  Null and empty texts have an empty set and are components of
+    their own.  Rows with equal sets are one class, whatever their number, and count as
+    linked; rows that repeat an id share it, and rows with a null id keep a null component
+    only when no other member has an id.
     """
     out = _linked(docs, scheme, id_col, text_col)
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id")
@@ -288,94 +292,110 @@ def _linked(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> Data
     ship(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).withColumn("_h", F.xxhash64("_t"))
     named = materialise(_named(rows, scheme), "named")
-    reps = materialise(named.where(F.col("_node").isNotNull()).groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("first"), F.max("_n").alias("n"), F.min(F.struct("_id", "_h")).alias("pick")), "reps")
+    some = named.where(F.col("_node").isNotNull())
+    reps = materialise(some.groupBy(F.col("_node").alias("node")).agg(F.min("_id").alias("first"), F.max("_n").alias("n"), F.min(F.struct("_id", "_h")).alias("pick"), F.first("_v").alias("v")), "reps")
+    shingles = reps.agg(F.sum("n")).first()[0] or 0
+    classes = spark.sparkContext.broadcast(_sketch(rows, scheme, shingles))
+    # A cell of a single set is none.  Its least member is the first that all others are held against.
     w = Window.partitionBy("cell")
-    member = _memberships(rows, scheme).withColumn("p", F.min("node").over(w)).withColumn("_q", F.max("node").over(w))
-    # A cell of a single set is no region.
-    member = materialise(member.where(F.col("p") != F.col("_q")).select("cell", "node", "p").distinct(), "cells")
-    # Texts of the members of cells, one for each set: the only time that texts are shuffled as a whole.
-    wanted = reps.join(member.select("node").distinct(), "node").select("node", F.col("pick._id").alias("_pid"), F.col("pick._h").alias("_h"))
-    texts = rows.join(wanted, (rows["_h"] == wanted["_h"]) & rows["_id"].eqNullSafe(wanted["_pid"])).select("node", "_t")
-    texts = materialise(texts.dropDuplicates(["node", "_t"]), "texts")
-    size = reps.select("node", "n")
-    near = F.col("inter") * scheme.den >= F.col("union") * scheme.num
-    # First each set against the pivot that it shares most cells with.
-    pairs = member.where(F.col("node") != F.col("p")).groupBy(F.col("node").alias("x"), "p").agg(F.count(F.lit(1)).alias("c"))
-    best = F.max(F.struct("c", F.col("p").alias("p")))["p"].alias("p")
-    todo = materialise(pairs.groupBy("x").agg(best), "todo")
-    measured = materialise(_measure(todo, texts, scheme), "measured")
-    comp = materialise(components(measured.where(near), "x", "p"), "comp")
-    # Then the members of cells that are not connected yet against the pivots of these cells: of a
-    # cell's members that which shares most cells, so that few pivots serve many cells.
-    open_ = _open(member.select("cell", "node"), comp, ["cell"]).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("cell")))
-    open_ = materialise(open_, "open")
-    if scheme.small:
-        # Pairs of small cells are bounded by their profiles first; few are left to measure.
-        few = open_.where(F.col("_m") <= scheme.small).join(size, "node")
-        mine, other = (few.select("cell", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("comp").alias(f"c{k}")) for k in ("x", "p"))
-        fits = F.least("nx", "np") * scheme.den >= F.greatest("nx", "np") * scheme.num
-        close = mine.join(other, "cell").where((F.col("x") < F.col("p")) & (F.col("cx") != F.col("cp")) & fits).select("x", "p").distinct()
-        measured, comp = _more(_bounded(close, texts, scheme), measured, comp, texts, scheme, near)
-    open_ = open_.where(F.col("_m") > scheme.small).drop("comp", "_m")
-    rank = member.groupBy("node").agg(F.count(F.lit(1)).alias("_c"))
-    central = F.max(F.struct("_c", F.col("node").alias("node"))).over(Window.partitionBy("cell"))["node"]
-    region = materialise(_open(open_, comp, ["cell"]).join(rank, "node").withColumn("p", central).select(F.col("node").alias("x"), "p").distinct(), "region")
-    if not region.isEmpty():
-        known = measured.where(F.size("first") > 0).select("x", "p")
-        measured, comp = _more(region.where("x <> p").join(known, ["x", "p"], "left_anti"), measured, comp, texts, scheme, near)
-        # Cells of the second level: pivot and leading shingle.  The pivot itself leads with its least shingles.
-        inside = measured.join(region, ["x", "p"]).select("x", "p", F.posexplode("first").alias("at", "s"))
-        sub = inside.select(F.xxhash64("p", "s").alias("cell"), F.col("x").alias("node"), "p", "at")
-        sub = _open(sub, comp, ["cell"]).join(size, "node")
-        last = materialise(_cell_pairs(sub, scheme, measured), "pairs")
-        measured, comp = _more(last, measured, comp, texts, scheme, near)
+    cells = _cells(rows, scheme, classes).withColumn("p", F.min(F.struct("node", "n", "at")).over(w)).withColumn("_q", F.max("node").over(w))
+    cells = materialise(cells.where(F.col("p.node") != F.col("_q")).distinct(), "cells")
+    release(spark)
+    star = cells.where((F.col("node") != F.col("p.node")) & _fits(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at"), scheme))
+    star = materialise(star.select(F.col("node").alias("x"), F.col("p.node").alias("p")).distinct(), "star")
+    measured = _measure(materialise(_bounded(star, reps, scheme), "todo"), rows, reps, scheme)
+    comp = materialise(components(measured.where(_near(scheme)), "x", "p"), "comp")
+    drop(star)
+    level = materialise(cells.select("cell", "node", "n", "at", F.lit(0.0).alias("d"), F.lit(True).alias("home")), "level")
+    drop(cells)
+    for depth in range(LEVELS + 1):
+        open_ = materialise(_open(level, comp), "open")
+        drop(level)
+        leaf = open_ if depth == LEVELS else open_.where(F.col("m") <= scheme.leaf)
+        comp = _more(_bounded(_pairs(leaf, scheme), reps, scheme), comp, rows, reps, scheme)
+        large = open_.where(F.col("m") > scheme.leaf).drop("m", "comp")
+        if depth == LEVELS or large.isEmpty():
+            drop(open_)
+            break
+        level, comp = _regions(materialise(_open(large, comp).drop("m", "comp"), "large"), comp, rows, reps, scheme)
+        drop(open_)
     cls = reps.join(comp, "node", "left").select(F.col("node").alias("_node"), "first", F.coalesce("comp", "node").alias("comp"))
     least = cls.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of = cls.join(least, "comp").select("_node", "comp", "component_id")
-    out = named.join(of, "_node", "left")
-    return out.select("_id", "_h", "_n", "comp", F.coalesce("component_id", "_id").alias("component_id"))
+    of = materialise(cls.join(least, "comp").select("_node", "comp", "component_id"), "classes")
+    drop(reps, comp)
+    out = named.join(of, "_node", "left").select("_id", "_h", "_n", "comp", F.coalesce("component_id", "_id").alias("component_id"))
+    out = materialise(out, "linked")
+    drop(named, of)
+    return out
 
 
-def _more(todo: DataFrame, measured: DataFrame, comp: DataFrame, texts: DataFrame, scheme: Scheme, near) -> tuple[DataFrame, DataFrame]:
+def _more(todo: DataFrame, comp: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
     """Measure further pairs and connect what they link."""
     todo = materialise(todo, "todo")
     if todo.isEmpty():
-        return measured, comp
-    new = materialise(_measure(todo, texts, scheme), "measured")
-    both = materialise(measured.unionByName(new), "measured")
-    if new.where(near).isEmpty():
-        return both, comp
-    edges = new.where(near).select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-    return both, materialise(components(edges), "comp")
+        drop(todo)
+        return comp
+    new = _measure(todo, rows, reps, scheme)
+    drop(todo)
+    return _connect(new, comp, scheme)
 
 
-def _open(members: DataFrame, comp: DataFrame, by: list[str]) -> DataFrame:
-    """Members, with their component, of the cells that hold more than one component."""
+def _connect(measured: DataFrame, comp: DataFrame, scheme: Scheme) -> DataFrame:
+    links = measured.where(_near(scheme))
+    if links.isEmpty():
+        return comp
+    edges = links.select(F.col("x").alias("a"), F.col("p").alias("b")).unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    return materialise(components(edges), "comp")
+
+
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members, with their component and the size ``m`` of the cell, of the cells that hold more than one component."""
     j = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    w = Window.partitionBy(*by)
-    j = j.withColumn("_a", F.min("comp").over(w)).withColumn("_b", F.max("comp").over(w))
-    return j.where(F.col("_a") != F.col("_b")).drop("_a", "_b")
+    per = j.groupBy("cell").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("m"))
+    return j.join(per.where(F.col("_a") != F.col("_b")).select("cell", "m"), "cell")
+
+
+def _pairs(cells: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs of a cell's members from different components that no bound excludes; one of the two is at home in the region."""
+    x = cells.select("cell", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("d").alias("dx"), F.col("home").alias("hx"), F.col("comp").alias("cx"))
+    y = cells.select("cell", F.col("node").alias("p"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("d").alias("dy"), F.col("home").alias("hy"), F.col("comp").alias("cy"))
+    triangle = (F.abs(F.col("dx") - F.col("dy")) <= scheme.radius) & (F.col("hx") | F.col("hy"))
+    ok = (F.col("x") < F.col("p")) & (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), F.col("ax"), F.col("ay"), scheme) & triangle
+    return x.join(y, "cell").where(ok).select("x", "p").distinct()
 
 
-def _cell_pairs(open_: DataFrame, scheme: Scheme, measured: DataFrame) -> DataFrame:
-    """Pairs of a cell's members from different components that sizes and the triangle inequality leave open.
+def _regions(cells: DataFrame, comp: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """The cells of the next level, inside the Voronoi regions of the pivots of ``cells``, and the components so far.
 
-    open_: cell, node, n, comp, the pivot p of the cell's region, and the place ``at`` of the
-    cell's shingle in the member's order.  If it is the first that two members share, they
-    share no more than what follows in either.
+    The members of a cell are dealt into as many hands as there are pivots; each hand's member
+    of most cells is a pivot, so that few pivots serve many cells.
     """
-    radius = float(1 - Fraction(scheme.num, scheme.den)) + 1e-9
-    d = measured.select(F.col("x").alias("node"), "p", (1 - F.col("inter") / F.col("union")).alias("d"))
-    o = open_.join(d, ["node", "p"])
-    x = o.select("cell", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("d").alias("dx"), (F.col("n") - F.col("at")).alias("rx"))
-    p = o.select("cell", F.col("node").alias("p"), F.col("n").alias("np"), F.col("comp").alias("cp"), F.col("d").alias("dp"), (F.col("n") - F.col("at")).alias("rp"))
-    fits = F.least("nx", "np") * scheme.den >= F.greatest("nx", "np") * scheme.num
-    enough = F.least("rx", "rp") * (scheme.num + scheme.den) >= scheme.num * (F.col("nx") + F.col("np"))
-    j = x.join(p, "cell").where(enough & (F.col("x") < F.col("p")) & (F.col("cx") != F.col("cp")) & fits & (F.abs(F.col("dx") - F.col("dp")) <= radius))
-    return j.select("x", "p").distinct()
-
-
-def keep_one(docs: DataFrame, scheme: Scheme = Scheme(5, 80, 100, 48), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rank = cells.groupBy("node").agg(F.count(F.lit(1)).alias("_c"))
+    hand = F.pmod(F.xxhash64("node"), F.lit(scheme.pivots))
+    dealt = cells.join(rank, "node")
+    best = [F.max(F.when(hand == i, F.struct("_c", "node"))).alias(f"p{i}") for i in range(scheme.pivots)]
+    pivots = dealt.groupBy("cell").agg(*best).select("cell", F.explode(F.array_compact(F.array(*[F.col(f"p{i}.node") for i in range(scheme.pivots)]))).alias("p"))
+    pivots = materialise(pivots, "pivots")
+    # All pairs of a pivot in its cell are measured: it is no member any more.
+    rest = cells.select("cell", F.col("node").alias("x"), "n").join(pivots.select("cell", F.col("p").alias("x")), ["cell", "x"], "left_anti")
+    of = materialise(rest.join(pivots, "cell"), "of")
+    among = pivots.join(pivots.select("cell", F.col("p").alias("x")), "cell").where("x < p").select("x", "p")
+    measured = _measure(materialise(of.select("x", "p").unionByName(among).distinct(), "todo"), rows, reps, scheme, first=True)
+    comp = _connect(measured, comp, scheme)
+    d = measured.select("x", "p", (1 - F.col("inter") / F.col("union")).alias("d"))
+    held = of.join(d, ["x", "p"])
+    nearest = held.groupBy("cell", "x").agg(F.min(F.struct("d", "p")).alias("near"))
+    both = held.join(nearest, ["cell", "x"]).where(F.col("d") <= F.col("near.d") + 2 * scheme.radius)
+    region = both.groupBy("x", "p").agg(F.max("n").alias("n"), F.max("d").alias("d"), F.max(F.col("p") == F.col("near.p")).alias("home"))
+    inside = region.join(measured.select("x", "p", "first"), ["x", "p"]).select("x", "p", "n", "d", "home", F.posexplode("first").alias("at", "s"))
+    level = inside.select(F.xxhash64("p", "s").alias("cell"), F.col("x").alias("node"), "n", F.col("at").cast("int").alias("at"), "d", "home")
+    level = materialise(level, "level")
+    drop(of, measured, pivots, cells)
+    release(cells.sparkSession)
+    return level, comp
+
+
+def keep_one(docs: DataFrame, scheme: Scheme = Scheme(5, 80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of ``docs``, that with the smallest id, with all its columns.
 
     Members without an id come last.  Of rows with equal id and text one stays; null and
@@ -389,7 +409,7 @@ def keep_one(docs: DataFrame, scheme: Scheme = Scheme(5, 80, 100, 48), id_col: s
     found = materialise(chosen.join(rows, same, "left").select("_kid", "_kh", F.coalesce("_rows", F.lit(1)).alias("_rows")), "kept")
     text_hash = F.xxhash64(F.col(text_col).cast("string"))
     here = F.col(id_col).eqNullSafe(F.col("_kid")) & (text_hash == F.col("_kh"))
-    once = docs.join(found.where("_rows = 1").select("_kid", "_kh"), here, "left_semi")
+    once = docs.join(few(found.where("_rows = 1").select("_kid", "_kh")), here, "left_semi")
     again = found.where("_rows > 1").select("_kid", "_kh")
     if again.isEmpty():
         return once

@@ -2,8 +2,9 @@
 
 DataFrame functions only.  Every text is reduced to a few statistics; within
 each (language, source) the minimum-covariance-determinant estimate of centre
-and scatter is refined by concentration steps, each a mergeable aggregation, and
-a text goes if its squared Mahalanobis distance is beyond the cutoff.
+and scatter is the best of several starts, each refined by concentration steps that are
+mergeable aggregations, and a text goes if its squared Mahalanobis distance is beyond the
+cutoff.
 """
 
 from __future__ import annotations
@@ -16,18 +17,23 @@ from .common import drop, materialise
 WHITE = " \t\n\x0b\x0c\r"
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
-#: Share of a group's rows in the concentrated half.
+#: Share of a group's rows in the concentrated part.
 KEEP_SHARE = 0.75
-#: Concentration steps; the determinant settles in three to five.
-STEPS = 5
-#: Variance floor per transformed feature, so that a constant statistic does not reject whatever moves.
+#: Fixed value: 0.75 over the chi-square distribution with 7 degrees at the 0.75 quantile of that with 5; makes the
+#: scatter of the nearest 0.75 consistent for normal data.
+CONSISTENCY = 1.4121
+#: Concentration steps at most, and the change of the log determinant (of the factor) that counts as none.
+STEPS, SETTLED = 10, 1e-3
+#: Least variance of a transformed feature, so that a constant statistic does not reject whatever moves.
 FLOOR = (0.010, 0.003, 0.003, 0.003, 0.012)
 #: Rejection: squared distance over the 1 - 1e-6 quantile of chi-square with 5 degrees.
 CUTOFF = 35.9
-#: Groups with fewer rows use the estimate of their language, or else that of all rows.
-SMALL = 50
-#: Bins per doubling of the squared distance when the concentrated share is looked up.
-BINS = 32
+#: Weight, in rows, of the estimate above a group's own.
+PRIOR = 50
+#: Groups whose estimates are broadcast at most; more are joined by a shuffle.
+SMALL_GROUPS = 1 << 15
+#: Bins per doubling of the squared distance when the concentrated share is looked up; steps of a feature's unit for quantiles.
+BINS, GRID = 32, 256
 
 
 def words_of(text: Column) -> Column:
@@ -131,118 +137,162 @@ def _distance(x: list[Column], mean: list[Column], low: dict[tuple[int, int], Co
     return out
 
 
-def _scatter(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
-    """Mean and Cholesky factor per group, from sums that merge before the shuffle."""
-    x = [F.col(f"x{i}") for i in range(d)]
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(x[i]).alias(f"s{i}") for i in range(d)]
-    sums += [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)]
-    g = rows.groupBy(*keys).agg(*sums)
-    g = g.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)], *[(F.col(f"q{i}_{j}") / F.col("n")).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)])
+def _factor(g: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """Means and Cholesky factor of the covariances c{i}_{j}, with the variances no less than ``FLOOR``."""
     for i in range(d):
         for j in range(i + 1):
-            v = F.col(f"q{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                v = F.greatest(v, F.lit(0.0)) + FLOOR[i]
+            v = F.greatest(F.col(f"c{i}_{i}"), F.lit(FLOOR[i])) if i == j else F.col(f"c{i}_{j}")
             for k in range(j):
                 v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            g = g.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(FLOOR[i] * 0.5))) if i == j else v / F.col(f"l{j}_{j}"))
-    return g.select(*keys, "n", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)])
+            g = g.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(FLOOR[i] * 1e-3))) if i == j else v / F.col(f"l{j}_{j}"))
+    lows = [F.round(f"l{i}_{j}", 9).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)]
+    means = [F.round(f"m{i}", 9).alias(f"m{i}") for i in range(d)]
+    det = sum((F.log(f"l{i}_{i}") for i in range(d)), F.lit(0.0))
+    return g.select(*keys, "n", *means, *[f"c{i}_{j}" for i in range(d) for j in range(i + 1)], *lows, F.round(det, 6).alias("det"))
 
 
-def _with_distance(rows: DataFrame, est: DataFrame, d: int) -> DataFrame:
-    """Join the estimates (one small row per group) to the rows and measure."""
+def _scatter(rows: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """Means, covariances and Cholesky factor per group, from sums that merge before the shuffle."""
+    x = [F.col(f"x{i}") for i in range(d)]
+    sums = [F.count(F.lit(1)).alias("n")] + [F.avg(x[i]).alias(f"m{i}") for i in range(d)]
+    sums += [F.avg(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)]
+    g = rows.groupBy(*keys).agg(*sums)
+    cov = [(F.col(f"q{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
+    return _factor(g.select(*keys, "n", *[f"m{i}" for i in range(d)], *cov), keys, d)
+
+
+def _pooled(est: DataFrame, keys: list[str], prior: DataFrame | None, on: list[str], d: int) -> DataFrame:
+    """Per ``keys`` the moments of all rows that ``est`` summarises, with ``PRIOR`` rows of the estimate above (joined by ``on``)."""
+    second = {(i, j): F.col(f"c{i}_{j}") + F.col(f"m{i}") * F.col(f"m{j}") for i in range(d) for j in range(i + 1)}
+    sums = [F.sum("n").alias("n")] + [F.sum(F.col("n") * F.col(f"m{i}")).alias(f"s{i}") for i in range(d)]
+    sums += [F.sum(F.col("n") * v).alias(f"q{i}_{j}") for (i, j), v in second.items()]
+    g = est.groupBy(*keys).agg(*sums)
+    n = F.col("n")
+    if prior is not None:
+        up = prior.select(*on, *[F.col(f"m{i}").alias(f"_m{i}") for i in range(d)], *[v.alias(f"_q{i}_{j}") for (i, j), v in second.items()])
+        g = g.join(F.broadcast(up), on) if on else g.crossJoin(F.broadcast(up))  # a row for each language, or one row
+        n = n + PRIOR
+        g = g.select(*keys, "n", *[(F.col(f"s{i}") + PRIOR * F.col(f"_m{i}")).alias(f"s{i}") for i in range(d)], *[(F.col(f"q{i}_{j}") + PRIOR * F.col(f"_q{i}_{j}")).alias(f"q{i}_{j}") for (i, j) in second])
+    g = g.select(*keys, "n", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(d)], *[(F.col(f"q{i}_{j}") / n).alias(f"q{i}_{j}") for (i, j) in second])
+    return g.select(*keys, "n", *[f"m{i}" for i in range(d)], *[(F.col(f"q{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}_{j}") for (i, j) in second])
+
+
+def _measured(rows: DataFrame, est: DataFrame, d: int) -> DataFrame:
+    """The rows with the bin ``b`` of their distance from each estimate of their group (a small written table)."""
     low = {(i, k): F.col(f"l{i}_{k}") for i in range(d) for k in range(i + 1)}
     d2 = _distance([F.col(f"x{i}") for i in range(d)], [F.col(f"m{i}") for i in range(d)], low)
-    return rows.join(est.drop("n"), "g").select("g", *[f"x{i}" for i in range(d)], _bin(d2).alias("b"))
+    keep = [c for c in ("edge",) if c in est.columns]
+    few = est.select("_lang", "_source", "start", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)], *keep)
+    held = rows.join(F.broadcast(few) if few.count() <= SMALL_GROUPS else few, ["_lang", "_source"])
+    return held.select("_lang", "_source", "start", *[f"x{i}" for i in range(d)], F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * BINS).cast("long").alias("b"), *keep)
 
 
-def _bin(d2: Column) -> Column:
-    return F.floor(F.log2(F.greatest(d2, F.lit(1e-9))) * BINS).cast("long")
-
-
-def _edges(near: DataFrame, share: float) -> DataFrame:
-    """Per group, the bin of the distance that completes ``share`` of its rows.
+def _edges(near: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """Per group, the bins ``b`` that complete the ``shares`` of its rows (array ``edge``).
 
     The histogram merges before the shuffle and has some hundred bins a group whatever
     the rows, so a group with a third of all rows is no heavier than another.
     """
-    per = near.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("h"), F.sum("c").alias("n"))
-    found = F.aggregate(
+    per = near.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("h"), F.sum("c").alias("n"))
+    found = lambda share: F.aggregate(
         F.col("h"),
         F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")),
         lambda a, x: F.struct(
             (a["seen"] + x["c"]).alias("seen"),
             F.coalesce(a["at"], F.when(a["seen"] + x["c"] >= F.ceil(F.col("n") * F.lit(share)), x["b"])).alias("at"),
         ),
-    )
-    return per.select("g", "n", found["at"].alias("edge"))
+    )["at"]
+    return per.select(*keys, "n", F.array(*[found(x) for x in shares]).alias("edge"))
+
+
+def _starts(rows: DataFrame, d: int) -> DataFrame:
+    """Three starts of each group: medians with quartile ranges, all rows, and the half of the rows that a hash picks."""
+    keys = ["_lang", "_source"]
+    each = rows.select(*keys, F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * GRID).cast("long") for i in range(d)])).alias("i", "b"))
+    q = _edges(each, [*keys, "i"], [0.25, 0.5, 0.75]).groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("edge"))).alias(f"p{i}") for i in range(d)])
+    spread = lambda i: F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / F.lit(GRID) * 0.7413, F.lit(2.0))
+    cov = [(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
+    medians = q.select(*keys, F.lit(0).alias("start"), "n", *[((F.col(f"p{i}")[1] + 0.5) / F.lit(GRID)).alias(f"m{i}") for i in range(d)], *cov)
+    half = F.pmod(F.xxhash64(*[f"x{i}" for i in range(d)]), F.lit(2))
+    by_hash = rows.select(*keys, F.explode(F.when(half == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("start"), *[f"x{i}" for i in range(d)])
+    return _factor(medians, [*keys, "start"], d).unionByName(_scatter(by_hash, [*keys, "start"], d))
 
 
 def _mcd(rows: DataFrame, d: int) -> DataFrame:
-    """Concentration steps from a coordinatewise start; rows: group ``g`` and x0..xd-1."""
-    # Start: medians and scaled quartile ranges, so a minority cannot pull it.
-    med = rows.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"p{i}") for i in range(d)],
-    )
-    est = med.select(
-        "g",
-        "n",
-        *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(d)],
-        *[
-            (F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) * 0.7413, F.lit(2.0)) + FLOOR[i]) if i == j else F.lit(0.0)).alias(f"l{i}_{j}")
-            for i in range(d)
-            for j in range(i + 1)
-        ],
-    )
-    est = materialise(est.where(F.col("n") >= SMALL), "mcd")
-    for _ in range(STEPS):
-        near = _with_distance(rows, est, d)
-        # Written, so that the join below knows its size: broadcast while small, else a join that splits hot groups.
-        edges = materialise(_edges(near, KEEP_SHARE).select("g", "edge"), "edges")
-        held = near.join(edges, "g").where(F.col("b") <= F.col("edge"))
-        last, est = est, materialise(_scatter(held, ["g"], d), "mcd")
-        drop(last, edges)
-    return est
+    """Per language and source the estimate of least determinant; rows: _lang, _source and x0..xd-1.
+
+    From each start, concentration steps: the share ``KEEP_SHARE`` of the rows that lies nearest
+    gives the next estimate, until no determinant moves.  The estimates of small groups lean on
+    their language's and these on that of all rows (``PRIOR`` rows' weight), without a limit
+    where a group begins to count.
+    """
+    keys = ["_lang", "_source", "start"]
+    est = materialise(_starts(rows, d), "mcd")
+    for step in range(STEPS):
+        # Written, so that the joins know their sizes.
+        edges = materialise(_edges(_measured(rows, est, d), keys, [KEEP_SHARE]).select(*keys, F.col("edge")[0].alias("edge")), "edges")
+        cut = materialise(est.join(edges, keys), "cut")
+        new = materialise(_scatter(_measured(rows, cut, d).where(F.col("b") <= F.col("edge")), keys, d), "mcd")
+        # Starts are no concentrated estimates yet: the first step has nothing to compare with.
+        moved = new.join(est.select(*keys, F.col("det").alias("_was")), keys).agg(F.max(F.abs(F.col("det") - F.col("_was")))).first()[0]
+        drop(est, edges, cut)
+        est = new
+        if step and (moved is None or moved < SETTLED):
+            break
+    names = ["n", *[f"m{i}" for i in range(d)], *[f"c{i}_{j}" for i in range(d) for j in range(i + 1)]]
+    best = materialise(est.groupBy("_lang", "_source").agg(F.min(F.struct("det", "start", *names)).alias("e")).select("_lang", "_source", *[f"e.{c}" for c in names]), "best")
+    every = _pooled(best, [], None, [], d)
+    lang = _pooled(best, ["_lang"], every, [], d)
+    own = _pooled(best, ["_lang", "_source"], lang, ["_lang"], d)
+    wide = own.select("_lang", "_source", "n", *[f"m{i}" for i in range(d)], *[(F.col(f"c{i}_{j}") * CONSISTENCY).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)])
+    out = materialise(_factor(wide, ["_lang", "_source"], d), "estimates")
+    drop(est, best)
+    return out
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Base statistics, robust distance ``d2``, ``base_failed`` and ``kept`` per row.
 
-    Rows that fail the base rules take no part in the estimates.  Null languages and
-    sources are groups of their own.  A group with under ``SMALL`` rows is judged by
-    its language's estimate, and a language with under ``SMALL`` by that of all rows;
-    with no estimate at all (an empty or tiny table) base rules alone decide.
+    Jobs run when this is called.  Rows that fail the base rules take no part in the
+    estimates and have no ``d2``.  Null languages and sources are groups of their own.  Null and
+    empty texts fail the base rules; repeated ids stay rows of their own; an empty table
+    gives an empty result.
     """
-    return _judge(docs, id_col, text_col, lang_col, source_col, ()).select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"
-    )
+    stats, est = _estimated(docs, id_col, text_col, lang_col, source_col)
+    return _judged(stats, est).select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
 def keep_inliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns; rows travel with their statistics, so nothing is joined back."""
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
+
+    The statistics are computed again in a second pass over the texts, so that no text is
+    written to scratch or shuffled.
+    """
+    stats, est = _estimated(docs, id_col, text_col, lang_col, source_col)
+    drop(stats)
     whole = docs.select(id_col, text_col, lang_col, source_col, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    return _judge(whole, id_col, text_col, lang_col, source_col, ("_row",)).where("kept").select("_row.*")
+    return _judged(_statistics(whole, id_col, text_col, lang_col, source_col, ("_row",)), est).where("kept").select("_row.*")
 
 
-def _judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...]) -> DataFrame:
-    taken = docs.select(F.col(id_col), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), F.col(text_col), *carry)
+def _statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Base statistics, base_failed and features x0.. of every row, with the names _lang and _source of its group."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    taken = docs.select(F.col(id_col), name(lang_col).alias("_lang"), name(source_col).alias("_source"), F.col(text_col), *carry)
     stats = base_statistics(taken, id_col, text_col, ("_lang", "_source", *carry))
-    xs = features()
-    d = len(xs)
-    stats = materialise(stats.select("*", base_failed().alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(xs)]), "stats")
-    x = [f"x{i}" for i in range(d)]
-    # Three levels of groups at once: language and source, language, all rows.
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    groups = [F.concat_ws("\x1f", F.lit("2"), name("_lang"), name("_source")), F.concat_ws("\x1f", F.lit("1"), name("_lang")), F.lit("0")]
-    rows = stats.where(~F.col("base_failed")).select(F.explode(F.array(*groups)).alias("g"), *x)
-    est = _mcd(rows, d)
-    out = stats
-    for n, g in enumerate(groups):
-        e = est.select(F.col("g").alias(f"_g{n}"), F.struct(*[c for c in est.columns if c not in ("g", "n")]).alias(f"_m{n}"))
-        out = out.join(e, g == F.col(f"_g{n}"), "left")
-    m = F.coalesce(*[F.col(f"_m{n}") for n in range(3)])
-    low = {(i, k): m[f"l{i}_{k}"] for i in range(d) for k in range(i + 1)}
-    d2 = F.when(~F.col("base_failed"), _distance([F.col(c) for c in x], [m[f"m{i}"] for i in range(d)], low))
+    return stats.select("*", base_failed().alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(features())])
+
+
+def _estimated(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(statistics, estimates by language and source), both written."""
+    stats = materialise(_statistics(docs, id_col, text_col, lang_col, source_col), "stats")
+    return stats, _mcd(stats.where(~F.col("base_failed")).select("_lang", "_source", *[f"x{i}" for i in range(len(FLOOR))]), len(FLOOR))
+
+
+def _judged(stats: DataFrame, est: DataFrame) -> DataFrame:
+    d = len(FLOOR)
+    e = est.select("_lang", "_source", *[f"m{i}" for i in range(d)], *[f"l{i}_{j}" for i in range(d) for j in range(i + 1)])
+    out = stats.join(F.broadcast(e) if e.count() <= SMALL_GROUPS else e, ["_lang", "_source"], "left")
+    low = {(i, k): F.col(f"l{i}_{k}") for i in range(d) for k in range(i + 1)}
+    d2 = F.when(~F.col("base_failed"), _distance([F.col(f"x{i}") for i in range(d)], [F.col(f"m{i}") for i in range(d)], low))
     out = out.withColumn("d2", d2)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))

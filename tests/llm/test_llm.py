@@ -148,6 +148,72 @@ def test_quality_outliers(spark):
     assert quality_mcd.judge(docs.where("false")).count() == 0
 
 
+def brute_mcd(x, rng, tries=60):
+    """Mean, covariance and size of the 0.75 of the rows with the least determinant, from many random starts."""
+    h, best = math.ceil(0.75 * len(x)), None
+    for _ in range(tries):
+        at = rng.choice(len(x), min(len(x), 8), replace=False)
+        for _ in range(30):
+            m, c = x[at].mean(0), quality_floor(np.cov(x[at].T, bias=True))
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            new = np.sort(np.argsort(d2, kind="stable")[:h])
+            if len(new) == len(at) and (new == at).all():
+                break
+            at = new
+        det = np.linalg.det(c)
+        if best is None or det < best[0]:
+            best = (det, x[at].mean(0), np.cov(x[at].T, bias=True), h)
+    return best[1:]
+
+
+def quality_floor(c):
+    c = c.copy()
+    for i, f in enumerate(quality_mcd.FLOOR):
+        c[i, i] = max(c[i, i], f)
+    return c
+
+
+def test_quality_distances_match_brute_force(spark):
+    rng, draw = random.Random(8), np.random.default_rng(8)
+    rows = []
+    for i in range(420):
+        lang, source = ("en", "a") if i % 2 else (("en", "b") if i % 4 else ("de", "a"))
+        size = 9 if lang == "de" else 5
+        w = ["".join(rng.choice("abcdEFgh") for _ in range(rng.randint(2, size))) + rng.choice(["", "", "!", ";", "#"]) for _ in range(rng.randint(25, 80))]
+        if i % 11 == 0:
+            w = [x + "%#" * rng.randint(1, 3) for x in w]
+        rows.append((i, " ".join(w), lang, source, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stats = quality_mcd._statistics(docs, "doc_id", "text", "lang", "source").where("not base_failed").collect()
+    groups = {}
+    for r in stats:
+        groups.setdefault((r._lang, r._source), []).append((r.doc_id, [r[f"x{k}"] for k in range(5)]))
+    est = {g: brute_mcd(np.array([x for _, x in v]), draw) for g, v in groups.items()}
+
+    def pool(parts, prior=None):
+        parts = [*parts, *([(*prior[:2], quality_mcd.PRIOR)] if prior else [])]
+        n = sum(k for *_, k in parts)
+        m = sum(k * a for a, _, k in parts) / n
+        return m, sum(k * (c + np.outer(a, a)) for a, c, k in parts) / n - np.outer(m, m)
+
+    every = pool(est.values())
+    lang = {name: pool([e for g, e in est.items() if g[0] == name], every) for name in {g[0] for g in est}}
+    got = {r.doc_id: r for r in quality_mcd.judge(docs).collect()}
+    assert {r.doc_id for r in stats} == {i for i, r in got.items() if r.d2 is not None}
+    near = 0
+    for g, v in groups.items():
+        m, c = pool([est[g]], lang[g[0]])
+        inv = np.linalg.inv(quality_floor(c * quality_mcd.CONSISTENCY))
+        for i, x in v:
+            want = float((np.array(x) - m) @ inv @ (np.array(x) - m))
+            near += abs(got[i].d2 - want) <= 0.1 * want + 0.1
+            if not 0.9 * quality_mcd.CUTOFF < want < 1.1 * quality_mcd.CUTOFF:
+                assert got[i].kept == (want <= quality_mcd.CUTOFF)
+    assert near >= 0.97 * len(stats)
+    again = {r.doc_id: r.d2 for r in quality_mcd.judge(docs.repartition(7)).collect()}
+    assert all(again[i] == r.d2 for i, r in got.items())
+
+
 # --- op3 -------------------------------------------------------------------------------
 
 
@@ -172,10 +238,10 @@ def brute_components(rows, k, num):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "num", "seed", "small"), [(4, 85, 3, 0), (5, 80, 8, 48), (1, 50, 9, 4)])
-def test_jaccard_components(spark, k, num, seed, small):
+@pytest.mark.parametrize(("k", "num", "seed", "cut"), [(4, 85, 3, {}), (5, 80, 8, {"leaf": 2, "pivots": 2, "sketch": 3}), (1, 50, 9, {"leaf": 3, "pivots": 3}), (2, 60, 4, {"leaf": 1, "pivots": 1, "sketch": 0})])
+def test_jaccard_components(spark, k, num, seed, cut):
     rows = corpus(160, seed)
-    out = jaccard_join.link(docs_of(spark, rows), jaccard_join.Scheme(k, num, 100, small)).collect()
+    out = jaccard_join.link(docs_of(spark, rows), jaccard_join.Scheme(k, num, 100, **cut)).collect()
     assert len(out) == len(rows)
     want = brute_components(rows, k, num)
     for r in out:
@@ -192,8 +258,9 @@ def test_jaccard_cluster_of_edits(spark):
             w[rng.randrange(80)] = f"e{rng.randrange(60)}"
         rows.append((i, " ".join(w)))
     want = brute_components(rows, 4, 85)
-    for r in jaccard_join.link(docs_of(spark, rows)).collect():
-        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    for scheme in (jaccard_join.Scheme(), jaccard_join.Scheme(leaf=4, pivots=3)):
+        for r in jaccard_join.link(docs_of(spark, rows), scheme).collect():
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
     kept = jaccard_join.keep_one(docs_of(spark, rows), jaccard_join.Scheme(4, 85, 100))
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
@@ -215,7 +282,7 @@ def test_profiles_exclude_no_link():
         b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.uniform(0, 0.3)], rng.integers(0, 2**63, rng.integers(0, 90)).astype(np.uint64) * np.uint64(2)]))
         inter = len(np.intersect1d(a, b))
         linked = 100 * inter >= 85 * (len(a) + len(b) - inter)
-        may = jaccard_join.may_link(jaccard_join.profile(a), jaccard_join.profile(b), scheme)
+        may = jaccard_join.may_link(jaccard_join.profile(a), jaccard_join.profile(b), len(a), len(b), scheme)
         assert may or not linked
         excluded += not may
     assert excluded
