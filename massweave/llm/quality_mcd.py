@@ -279,6 +279,8 @@ def _statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sour
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     taken = docs.select(F.col(id_col), name(lang_col).alias("_lang"), name(source_col).alias("_source"), F.col(text_col), *carry)
     stats = base_statistics(taken, id_col, text_col, ("_lang", "_source", *carry))
+    # The generator keeps the statistics from being computed once for every use, or for a filter and again above it.
+    stats = stats.select(F.explode(F.array(F.struct("*"))).alias("_s")).select("_s.*")
     return stats.select("*", base_failed().alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(features())])
 
 

@@ -15,16 +15,18 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, ship
+from .common import delete, drop, few, materialise, new_path, ship
 
 END = "\r\n\r\n"
-#: Pages in one archive file at most: files are split, so that readers hold one at a time.
-FILE_PAGES = 1000
+#: Pages in one archive file at most, and bytes of the payloads of pages that share a file with so many others: a reader
+#: holds a file, which so has some 256 MB at most (a larger page alone has one of its own).
+FILE_PAGES, SHORT_PAGE = 1000, 1 << 18
 RECORD = "warc_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, http_head string, fields string, payload binary"
 
 
@@ -33,52 +35,59 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _with_digest(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def _staged(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """_id, _url, _html, _digest, _bytes and the number _row of each page, as a written table: all uses see the same numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = [digest((x.as_buffer() or b"") if x.is_valid else b"") for x in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.string())], ["_id", "_url", "_html", "_digest"])
+            raw = [(x.as_buffer() or b"") if x.is_valid else b"" for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) for x in raw], pa.string()), pa.array([len(x) for x in raw], pa.int64())], ["_id", "_url", "_html", "_digest", "_bytes"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     cols = [F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html")]
-    return pages.select(*cols).mapInArrow(run, f"_id {kind}, _url string, _html string, _digest string")
+    out = pages.select(*cols).mapInArrow(run, f"_id {kind}, _url string, _html string, _digest string, _bytes bigint")
+    return materialise(out.withColumn("_row", F.monotonically_increasing_id()), "staged")
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
     """Write the archives of ``pages`` under ``path``.
 
     Of the pages with equal payloads of at least ``min_bytes`` bytes that with the
-    smallest id is a response and the others are revisits; a null payload is empty.
-    Ids must be distinct and not null.
+    smallest id is a response and the others are revisits; a null payload is empty.  Null
+    ids come after all others, and of rows that repeat the smallest id one is the response.
     """
     spark = pages.sparkSession
     ship(spark)
-    a = _with_digest(pages, id_col, url_col, html_col)
-    first = _with_digest(pages, id_col, url_col, html_col).groupBy("_digest").agg(F.min("_id").alias("_first"))
-    a = a.join(first, "_digest", "left")
+    a = _staged(pages, id_col, url_col, html_col)
+    first = a.where(F.col("_bytes") >= min_bytes).groupBy("_digest").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_row")).alias("f"))
+    # Only payloads that occur twice need their first page; the others are responses.
+    first = materialise(first.join(a.groupBy("_digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "_digest").select("_digest", F.col("f._id").alias("_first"), F.col("f._row").alias("_frow")), "first")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, url, html, dig, orig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                body = html or ""
-                size = len(body.encode("utf-8", "surrogatepass"))
-                out.append(transaction(page, url, body, size, dig, orig if size >= min_bytes else page))
+            out = [transaction(*x) for x in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows = a.select("_id", "_url", "_html", "_digest", "_first").mapInArrow(records, "value string")
-    (
-        rows.write.option("lineSep", END)
-        .option("compression", "gzip")
-        .option("zlib.compress.level", "BEST_SPEED")
-        .option("maxRecordsPerFile", FILE_PAGES)
-        .text(path)
-    )
-
-
-def record_id(kind: str, page: object) -> str:
-    """A stable record id: a name-based UUID of record type and page id."""
-    h = hashlib.sha1(f"{kind}/{page}".encode()).hexdigest()
+    long = a.agg(F.max("_bytes")).first()[0] or 0
+    for k, (which, n) in enumerate(((F.col("_bytes") <= SHORT_PAGE, FILE_PAGES), (F.col("_bytes") > SHORT_PAGE, max(1, FILE_PAGES * SHORT_PAGE // max(long, 1))))):
+        if k and long <= SHORT_PAGE:
+            break
+        rows = a.where(which).join(few(first), "_digest", "left")
+        repeats = F.col("_frow").isNotNull() & (F.col("_frow") != F.col("_row")) & (F.col("_bytes") >= min_bytes)
+        rows = rows.select("_id", "_row", "_url", "_html", "_bytes", "_digest", F.when(repeats, F.col("_first")).alias("_first"), F.when(repeats, F.col("_frow")).alias("_frow"))
+        (
+            rows.mapInArrow(records, "value string").write.mode("append").option("lineSep", END)
+            .option("compression", "gzip")
+            .option("zlib.compress.level", "BEST_SPEED")
+            .option("maxRecordsPerFile", n)
+            .text(path)
+        )
+    drop(a, first)
+
+
+def record_id(kind: str, page: object, row: int) -> str:
+    """A stable record id: a name-based UUID of record type, page id and number of the row."""
+    h = hashlib.sha1(f"{kind}/{row}/{page}".encode("utf-8", "surrogatepass")).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-8{h[17:20]}-{h[20:32]}>"
 
 
@@ -87,21 +96,20 @@ def _line(text: str | None) -> str:
     return "".join(c if c >= " " else f"%{ord(c):02X}" for c in text or "")
 
 
-def transaction(page: object, url: str | None, body: str, size: int, dig: str, first: object) -> str:
-    """The three records of a page, joined by the record terminator."""
-    date, uri = "2024-01-01T00:00:00Z", _line(url)
-    resp, req, meta = (record_id(k, page) for k in ("response", "request", "metadata"))
-    revisit = first != page
+def transaction(page: object, row: int, url: str | None, body: str | None, size: int, dig: str, first: object, first_row: int | None) -> str:
+    """The three records of a page, joined by the record terminator; a ``first_row`` makes it a revisit."""
+    date, uri, body = "2024-01-01T00:00:00Z", _line(url), body or ""
+    resp, req, meta = (record_id(k, page, row) for k in ("response", "request", "metadata"))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
     common = f"WARC-Date: {date}\r\nWARC-Target-URI: {uri}\r\n"
     n_http = len(http)
-    if revisit:
+    if first_row is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        main = f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {resp}\r\n{common}WARC-Profile: {profile}\r\nWARC-Refers-To: {record_id('response', first)}\r\nWARC-Payload-Digest: sha1:{dig}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {n_http}\r\n\r\n{http}"
+        main = f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {resp}\r\n{common}WARC-Profile: {profile}\r\nWARC-Refers-To: {record_id('response', first, first_row)}\r\nWARC-Payload-Digest: sha1:{dig}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {n_http}\r\n\r\n{http}"
     else:
         main = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {resp}\r\n{common}WARC-Payload-Digest: sha1:{dig}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {n_http + size}\r\n\r\n{http}{body}"
     ask = f"GET {uri} HTTP/1.1\r\n\r\n"
-    fields = f"page-id: {page}\r\nfetch-bytes: {size}\r\n"
+    fields = ("" if page is None else f"page-id: {quote(str(page), safe='')}\r\n") + f"fetch-bytes: {size}\r\n"
     request = f"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: {req}\r\n{common}WARC-Concurrent-To: {resp}\r\nContent-Type: application/http;msgtype=request\r\nContent-Length: {len(ask.encode('utf-8', 'surrogatepass'))}\r\n\r\n{ask}"
     metadata = f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: {meta}\r\n{common}WARC-Concurrent-To: {resp}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n{fields}"
     return END.join((request, main, metadata))
@@ -202,15 +210,16 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write the pages, read the archives back, and report each capture.
 
     Per page: id, payload_bytes, payload_digest, record_type, refers_to (id of the
-    response that a revisit repeats), n_records.  Pages without an id are written and
-    reported with a null id only if no other page lacks one.
+    response that a revisit repeats), n_records.  Every row gives one row, with its id, also
+    where ids are null or repeated.  Null and empty payloads are equal.  Jobs run when this is called.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path, id_col, url_col, html_col, min_bytes)
     kind = pages.schema[id_col].dataType.simpleString()
     # A written table: the captures are read twice, the archives once.
-    page = F.regexp_extract("metadata.fields", r"page-id: ([^\r]*)", 1).cast(kind)
+    page = F.regexp_extract("metadata.fields", r"page-id: ([^\r]*)\r", 1)
+    page = F.when(F.contains("metadata.fields", F.lit("page-id: ")), F.url_decode(page)).try_cast(kind)
     size = F.regexp_extract("metadata.fields", r"fetch-bytes: (\d+)", 1).cast("long")
     got = assemble(read(spark, path, payloads=False)).select(
         page.alias("_id"),
@@ -223,6 +232,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         (F.lit(1) + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")).cast("long").alias("_n"),
     )
     got = materialise(got, "captures")
+    delete(spark, path)
     orig = got.where(F.col("_type") == "response").select(F.col("_rid").alias("_o"), F.col("_id").alias("_oid"), F.col("_bytes").alias("_obytes"))
     out = got.join(orig, F.col("_ref") == F.col("_o"), "left")
     return out.select(

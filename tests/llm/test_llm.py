@@ -399,8 +399,25 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_warc_null_and_repeated_ids(spark, kind):
+    """Every row gives one row: of equal payloads that with the smallest id, once, is the response."""
+    rows = [(None, "a"), (None, "a"), (None, None), (7, "a"), (7, "a"), (3, "b"), (3, "c"), (3, ""), (2, "long" * 80000), (2, "long" * 80000), (9, "only")]
+    rows = [(None if i is None or kind == "long" else f"p {i}+%\u00e9\r", h) for i, h in rows] if kind == "string" else rows
+    pages = spark.createDataFrame([(i, "http://h/", h) for i, h in rows], f"page_id {kind}, url string, html string")
+    out = [(r.page_id, r.payload_digest, r.record_type, r.refers_to, r.n_records) for r in warc.round_trip(pages).collect()]
+    want, groups = [], {}
+    for i, h in rows:
+        groups.setdefault(h or "", []).append(i)
+    for h, ids in groups.items():
+        ids = sorted(ids, key=lambda i: (i is None, i or 0) if kind == "long" else (i is None, i or ""))
+        d = warc.digest(h.encode())
+        want += [(i, d, "revisit" if k else "response", ids[0] if k else None, 3) for k, i in enumerate(ids)]
+    assert sorted(map(str, out)) == sorted(map(str, want))
+
+
 def test_warc_parse_rejects_damage():
-    good = warc.transaction(1, "u", "body", 4, warc.digest(b"body"), 1) + warc.END
+    good = warc.transaction(1, 0, "u", "body", 4, warc.digest(b"body"), None, None) + warc.END
     assert [h["warc-type"] for h, _ in warc.parse(io.BytesIO(good.encode()))] == ["request", "response", "metadata"]
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(good.encode()[:-40])))
