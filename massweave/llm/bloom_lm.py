@@ -2,16 +2,16 @@
 
 Counts of words and of word pairs are quantised on a logarithmic scale and stored as
 membership alone: an n-gram of level q is entered with each of the levels 1..q, and
-reading probes level after level until one is missing.  The filter grows with the
-n-grams and stays on the executors: its segments lie in groups, the n-grams of a run of
-texts travel to the groups of their segments, and their levels travel back.  The levels
-give the counts of an interpolated bigram model over all words.  Beside it stands the
+reading probes level after level until one is missing.  The filter holds every n-gram and
+grows with them, so it is not broadcast: it lies in groups of ranges of the n-grams' hash, one
+for each shuffle partition and as large as its n-grams need.  The hashes of a run of
+texts travel to their groups, sorted and as differences, and the levels travel back.  The
+levels give the counts of an interpolated bigram model over all words.  Beside it stands the
 exact unigram score, whose counts of rare words come by a join.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, remainder, ship
+from .common import drop, materialise, release, remainder, ship
 from .textvec import Words, mix, slices
 
-#: Words whose exact counts are broadcast (the rest comes by a join).
+#: Words whose exact counts are broadcast at most (the rest comes by a join).
 HOT = 1 << 19
-#: Word pairs seen less often are unseen to the filter; words are entered from the first time.
-LEAST = 2
-#: Bits for one level of an n-gram, probes for it, bits of a segment.
-KEY_BITS, PROBES, SEGMENT = 12, 5, 1 << 19
+#: Bits for one level of an n-gram, and probes for it: one in 200 absent n-grams is taken for one seen once.
+KEY_BITS, PROBES = 12, 5
+#: Bits of an n-gram's hash: one in 2**45 / n pairs of n n-grams is confounded.
+HASH_BITS = 45
 #: Bytes of text whose n-grams are asked for together.
 RUN = 1 << 21
 #: Levels of a doubling of the count.
@@ -40,7 +40,10 @@ ADD = 0.1
 _PAIR = np.uint64(0xA0761D6478BD642F)
 #: Hash of the end of a text.
 END = np.uint64(0x1)
+#: N-grams that a task sums up before it sends them.
 FLUSH = 1 << 22
+#: Highest level that a count can have.
+TOP = STEPS * 63 + 1
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -54,38 +57,42 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-@dataclass
 class Filter:
-    bits: np.ndarray  # uint8, of the segments from ``first`` on
-    segments: int  # of the whole filter
-    first: int = 0
-    top: int = STEPS * 63 + 1  # highest level that a count can have
-
-    @staticmethod
-    def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-        return ((mix(keys) >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int64)
-
-    @staticmethod
-    def places(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
-        """Bit places [PROBES, n] inside the segment."""
-        g = mix(keys + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-        return np.stack([((a + np.uint64(i) * b) & np.uint64(SEGMENT - 1)).astype(np.int64) for i in range(PROBES)])
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key: probes go on until a level is missing, to ``top`` at most."""
-        out = np.zeros(len(keys), np.int64)
-        base = (self.segment_of(keys, self.segments) - self.first) * (SEGMENT // 8)
-        live = np.arange(len(keys))
-        q = 1
-        while len(live) and q <= self.top:
-            at = self.places(keys[live], q)
+    """Bits of one group."""
+
+    def __init__(self, bits: np.ndarray, top: int = TOP):
+        self.bits, self.top = bits, top  # uint8; highest level that any n-gram has
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray, key_bits: int = KEY_BITS) -> Filter:
+        q = level_of(counts)
+        out = cls(np.zeros(max(8, -(-int(q.sum()) * key_bits // 8)), np.uint8))
+        rows = np.repeat(np.arange(len(q)), q)
+        level = np.arange(len(rows)) - np.repeat(np.cumsum(q) - q, q) + 1
+        bits = np.zeros(len(out.bits) * 8, bool)
+        for at in out._places(hashes[rows], level):
+            bits[at] = True
+        out.bits = np.packbits(bits, bitorder="little")
+        return out
+
+    def _places(self, hashes: np.ndarray, level: np.ndarray | int) -> Iterator[np.ndarray]:
+        g = mix(hashes + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        a, b, m = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1), np.uint64(len(self.bits) * 8)
+        for i in range(PROBES):
+            yield ((a + np.uint64(i) * b) % m).astype(np.int64)
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Level of each hash: probes go on until a level is missing, to ``top`` at most."""
+        out = np.zeros(len(hashes), np.int64)
+        live = np.arange(len(hashes))
+        for q in range(1, self.top + 1):
+            if not len(live):
+                break
             hit = np.ones(len(live), bool)
-            for row in at:
-                hit &= (self.bits[base[live] + (row >> 3)] >> (row & 7).astype(np.uint8)) & 1 == 1
+            for at in self._places(hashes[live], q):
+                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             live = live[hit]
             out[live] = q
-            q += 1
         return out
 
 
@@ -96,8 +103,7 @@ class Model:
     total: int  # N
     distinct: int  # V
     ends: int  # training texts
-    segments: int
-    groups: int  # of segments
+    groups: int
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Exact counts of frequent words; 0 for others."""
@@ -133,188 +139,200 @@ def pairs_of(u: np.ndarray, inv: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
     return mix(u[pu // len(u)] * _PAIR + u[pu % len(u)]) | np.uint64(4), pinv
 
 
-def group_of(seg: np.ndarray, segments: int, groups: int) -> np.ndarray:
-    return seg * groups // segments
+def hashes_of(keys: np.ndarray) -> np.ndarray:
+    return mix(keys) >> np.uint64(64 - HASH_BITS)
+
+
+def group_of(hashes: np.ndarray, groups: int) -> np.ndarray:
+    return (hashes * np.uint64(groups) >> np.uint64(HASH_BITS)).astype(np.int64)
+
+
+def coded(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the first and 32-bit differences; as they are where a difference is longer."""
+    step = np.diff(hashes)
+    if len(hashes) < 2 or step.max() >> np.uint64(32):
+        return hashes.tobytes() + b"\x00"
+    return hashes[:1].tobytes() + step.astype(np.uint32).tobytes() + b"\x01"
+
+
+def decoded(raw) -> np.ndarray:
+    raw = memoryview(raw)
+    if raw[-1] == 0:
+        return np.frombuffer(raw[:-1], np.uint64)
+    step = np.frombuffer(raw[8:-1], np.uint32).astype(np.uint64)
+    return np.frombuffer(raw[:8], np.uint64)[0] + np.concatenate([np.zeros(1, np.uint64), np.cumsum(step)])
+
 
+def _split(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(groups that sorted hashes fall into, bounds of their ranges)."""
+    some, start = np.unique(group_of(hashes, groups), return_index=True)
+    return some, np.append(start, len(hashes))
 
-def _first(group: int, segments: int, groups: int) -> int:
-    """First segment of a group."""
-    return -(-group * segments // groups)
 
+def ngrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens, place of each token's, bounds of the texts, keys of the distinct pairs, place of each token's pair)."""
+    t, bounds = tokens(Words(buf, off, lower=True), len(off) - 1)
+    u, inv = np.unique(t, return_inverse=True)
+    return u, inv, bounds, *pairs_of(u, inv, bounds)
 
-def _count(rows: DataFrame) -> DataFrame:
-    """(pair, key, c) of words and of pairs; a task sums up before the shuffle."""
+
+def _words(rows: DataFrame) -> DataFrame:
+    """(key, c): exact counts of all tokens; a task sums up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        n = 0
+        held: list = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for pair in (0, 1):
-                u, at = np.unique(np.concatenate([k for k, _ in held[pair]]), return_inverse=True)
-                c = np.bincount(at, np.concatenate([c for _, c in held[pair]])).astype(np.int64)
-                held[pair].clear()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), bool(pair))), pa.array(u.view(np.int64)), pa.array(c)], ["pair", "key", "c"])
+        def flush() -> pa.RecordBatch:
+            u, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["key", "c"])
 
         for batch in batches:
             for a, b, buf, off in slices(batch.column(0), RUN):
-                t, bounds = tokens(Words(buf, off, lower=True), b - a)
-                u, inv = np.unique(t, return_inverse=True)
-                keys, pinv = pairs_of(u, inv, bounds)
-                held[0].append((u, np.bincount(inv, minlength=len(u))))
-                held[1].append((keys, np.bincount(pinv, minlength=len(keys))))
-                n += len(keys)
-                if n > FLUSH:
-                    yield from flush()
-                    n = 0
-        if held[0]:
-            yield from flush()
+                t, _ = tokens(Words(buf, off, lower=True), b - a)
+                held.append(np.unique(t, return_counts=True))
+                if sum(len(k) for k, _ in held) > FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return rows.select("_t").mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
-    return rows.select("_t").mapInArrow(run, "pair boolean, key bigint, c bigint").groupBy("pair", "key").agg(F.sum("c").alias("c"))
 
+def _build(rows: DataFrame, groups: int, key_bits: int) -> DataFrame:
+    """The filter of all words and pairs as a table (g, bits): each group is summed up and filled by one task."""
 
-def _build(counts: DataFrame) -> tuple[DataFrame, int]:
-    """The filter of (key, c) rows as a table (seg, bits), each segment by one task, and the number of segments."""
-    spark = counts.sparkSession
-    n = counts.agg(F.sum(F.floor(STEPS * F.log2("c") + 1e-9) + 1)).first()[0] or 0
-    segments = int(max(1, -(-n * KEY_BITS // SEGMENT)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            h, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.uint32)
+            held.clear()
+            some, cut = _split(h, groups)
+            blobs = [coded(h[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            counts = [c[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], ["g", "h", "c"])
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = Filter.segment_of(batch.column(0).to_numpy().view(np.uint64), segments)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(np.int32))], ["key", "c", "seg"])
+            for _, _, buf, off in slices(batch.column(0), RUN):
+                u, inv, _, keys, pinv = ngrams(buf, off)
+                held.append((hashes_of(np.concatenate([u, keys])), np.concatenate([np.bincount(inv, minlength=len(u)), np.bincount(pinv, minlength=len(keys))])))
+                n += len(u) + len(keys)
+                if n > FLUSH:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bits = None, None
+        def done() -> pa.RecordBatch:
+            h, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            c = np.bincount(place, np.concatenate([x for _, x in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([Filter.of(h, c, key_bits).bits.tobytes()], pa.binary())], ["g", "bits"])
+
+        at, held = None, []
         for batch in batches:
-            keys, c, seg = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            cut = np.flatnonzero(np.diff(seg)) + 1
-            for a, b in zip(np.concatenate([[0], cut]).tolist(), np.append(cut, len(seg)).tolist(), strict=True):
-                if a == b:
-                    continue
-                if seg[a] != at:
-                    if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
-                    at, bits = int(seg[a]), np.zeros(SEGMENT, bool)
-                q = level_of(c[a:b])
-                rows = np.repeat(np.arange(a, b), q)
-                lev = np.arange(len(rows)) - np.repeat(np.cumsum(q) - q, q) + 1
-                bits[Filter.places(keys[rows], lev).ravel()] = True
+            for k, g in enumerate(batch.column(0).to_pylist()):
+                if g != at and at is not None:
+                    yield done()
+                    held = []
+                at = g
+                held.append((decoded(batch.column(1)[k].as_py()), np.frombuffer(batch.column(2)[k].as_py(), np.uint32)))
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["seg", "bits"])
-
-    tagged = counts.select("key", "c").mapInArrow(tag, "key bigint, c bigint, seg int")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = tagged.repartition(parts, "seg").sortWithinPartitions("seg").mapInArrow(fill, "seg int, bits binary")
-    return materialise(done, "filter"), segments
-
-
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+            yield done()
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.select("key", "c").toArrow()
+    sent = rows.select("_t").mapInArrow(count, "g int, h binary, c binary")
+    return materialise(sent.repartition(groups, "g").sortWithinPartitions("g").mapInArrow(fill, "g int, bits binary"), "filter")
+
+
+def _hot(single: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of the most frequent words, at most ``HOT``, from the least count that leaves so few."""
+    tall = single.groupBy(F.floor(F.log2("c") * 8).alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("q")).collect()  # some hundred rows
+    least, seen = None, 0
+    for r in tall:
+        seen += r.n
+        if seen > HOT:
+            break
+        least = r.c
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    t = single.where(F.col("c") >= least).select("key", "c").toArrow()
     k, c = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
     order = np.argsort(k)
     return k[order], c[order]
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+def fit(train: DataFrame, key_bits: int = KEY_BITS) -> tuple[Model, DataFrame, DataFrame]:
     """(model, filter, exact counts of all training words); train: text column ``_t``."""
-    counts = materialise(_count(train).where(~F.col("pair") | (F.col("c") >= LEAST)), "counts")
-    _release(train.sparkSession)
-    end = int(END)
-    single = counts.where(~F.col("pair")).select("key", "c")
-    total, distinct = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot, hot_count = _arrays(single.where(F.col("key") != end).orderBy(F.desc("c"), "key").limit(HOT))
-    ends = next((r[0] for r in single.where(F.col("key") == end).select("c").collect()), 0)
-    flt, segments = _build(counts.where(F.col("pair") | (F.col("key") != end)))
-    _release(train.sparkSession)
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Model(hot, hot_count, int(total), int(distinct), int(ends), segments, min(segments, parts)), flt, single
-
-
-def _pack(u: np.ndarray, inv: np.ndarray, bounds: np.ndarray, rk: np.ndarray) -> bytes:
-    head = np.array([len(u), len(inv), len(bounds)], np.int64)
-    return b"".join(x.tobytes() for x in (head, u, bounds.astype(np.int64), rk.astype(np.int64), inv.astype(np.uint32)))
-
-
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    nu, nt, nb = np.frombuffer(raw, np.int64, 3).tolist()
-    at = 24
-    u = np.frombuffer(raw, np.uint64, nu, at)
-    bounds = np.frombuffer(raw, np.int64, nb, at := at + 8 * nu)
-    rk = np.frombuffer(raw, np.int64, nb - 1, at := at + 8 * nb)
-    return u, np.frombuffer(raw, np.uint32, nt, at + 8 * (nb - 1)).astype(np.int64), bounds, rk
-
-
-def _asked(m: Model, u: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all n-grams of a run, their groups, the order in which they are asked for)."""
-    every = np.concatenate([u, keys])
-    g = group_of(Filter.segment_of(every, m.segments), m.segments, m.groups)
-    return every, g, np.argsort(g, kind="stable")
-
-
-def _read(runs: DataFrame, flt: DataFrame, m: Model, shared) -> DataFrame:
-    """(chunk, g, levels): the levels of the n-grams of each run, by groups of segments."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # With few groups, each has several copies that share its runs.
-    copies = max(1, parts // m.groups)
-    segments, groups, top = m.segments, m.groups, int(level_of(np.array([max(m.total, 1)]))[0])
+    spark = train.sparkSession
+    single = materialise(_words(train), "words")
+    end = F.col("key") == int(END)
+    total, distinct, ends = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(end, F.col("c"))), F.lit(0))).first()
+    hot, hot_count = _hot(single.where(~end))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flt = _build(train, groups, key_bits)
+    release(spark)
+    return Model(hot, hot_count, int(total), int(distinct), int(ends), groups), flt, single
+
+
+def _pack(buf: np.ndarray, off: np.ndarray, rk: np.ndarray) -> bytes:
+    """A run of texts: their bytes, lengths and row keys."""
+    return b"".join([np.array([len(rk)], np.int64).tobytes(), np.asarray(off, np.int64).tobytes(), rk.astype(np.int64).tobytes(), buf.tobytes()])
+
+
+def _unpack(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.frombuffer(raw, np.uint8, offset=16 + 16 * n), np.frombuffer(raw, np.int64, n + 1, 8), np.frombuffer(raw, np.int64, n, 16 + 8 * n)
+
+
+def _asked(u: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of all n-grams of a run, place of each word's and pair's)."""
+    return np.unique(hashes_of(np.concatenate([u, keys])), return_inverse=True)
+
+
+def _read(runs: DataFrame, flt: DataFrame, m: Model) -> DataFrame:
+    """(chunk, g, levels): the levels of the n-grams of each run, by groups."""
+    groups, top = m.groups, int(level_of(np.array([max(m.total, 1)]))[0])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunk = batch.column(0).to_pylist()
-            for k in range(batch.num_rows):
-                u, inv, bounds, _ = _unpack(batch.column(1)[k].as_buffer())
-                every, g, order = _asked(shared.value, u, pairs_of(u, inv, bounds)[0])
-                some, start = np.unique(g[order], return_index=True)
-                blobs = [x.tobytes() for x in np.split(every[order], start[1:])]
+            for k, chunk in enumerate(batch.column(0).to_pylist()):
+                u, _, _, keys, _ = ngrams(*_unpack(batch.column(1)[k].as_buffer())[:2])
+                h, _ = _asked(u, keys)
+                some, cut = _split(h, groups)
+                blobs = [coded(h[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(n, (mix(np.array([chunk[k]], np.int64).view(np.uint64))[0] >> np.uint64(8)) % np.uint64(copies), np.int32)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, chunk[k], np.int64)), pa.array(blobs, pa.binary())],
-                    ["g", "copy", "role", "chunk", "blob"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(n, chunk, np.int64)), pa.array(blobs, pa.binary())], ["g", "chunk", "blob"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, None
         for batch in batches:
-            g, copy, role, chunk = (batch.column(i).to_pylist() for i in range(4))
             out = []
-            for k in range(batch.num_rows):
-                if at != (g[k], copy[k]):
-                    at, low = (g[k], copy[k]), _first(g[k], segments, groups)
-                    part = Filter(np.zeros((_first(g[k] + 1, segments, groups) - low) * SEGMENT // 8, np.uint8), segments, low, top)
-                raw = batch.column(4)[k].as_buffer()
-                if role[k] == 0:
-                    o = (chunk[k] - part.first) * SEGMENT // 8
-                    part.bits[o : o + SEGMENT // 8] = np.frombuffer(raw, np.uint8)
+            for k, (g, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                raw = batch.column(2)[k].as_buffer()
+                if chunk is None:
+                    at, part = g, Filter(np.frombuffer(bytes(raw), np.uint8), top)
                 else:
-                    out.append((chunk[k], g[k], part.levels(np.frombuffer(raw, np.uint64)).astype(np.uint8).tobytes()))
+                    h = decoded(raw)
+                    q = part.levels(h) if at == g else np.zeros(len(h), np.int64)
+                    out.append((chunk, g, q.astype(np.uint8).tobytes()))
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["chunk", "g", "blob"])
 
-    asked = runs.select("chunk", "blob").mapInArrow(ask, "g int, copy int, role int, chunk bigint, blob binary")
-    own = flt.select(
-        F.floor(F.col("seg").cast("long") * groups / segments).cast("int").alias("g") if groups < segments else F.col("seg").alias("g"),
-        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"),
-        F.lit(0).alias("role"),
-        F.col("seg").cast("long").alias("chunk"),
-        F.col("bits").alias("blob"),
-    )
-    dealt = own.unionByName(asked).repartition(parts, "g", "copy").sortWithinPartitions("g", "copy", "role", "chunk")
+    asked = runs.select("chunk", "blob").mapInArrow(ask, "g int, chunk bigint, blob binary")
+    own = flt.select("g", F.lit(None).cast("bigint").alias("chunk"), F.col("bits").alias("blob"))
+    dealt = own.unionByName(asked).repartition(groups, "g").sortWithinPartitions("g", F.asc_nulls_first("chunk"))
     return dealt.mapInArrow(probe, "chunk bigint, g int, blob binary")
 
 
-def run_scores(m: Model, u: np.ndarray, inv: np.ndarray, bounds: np.ndarray, levels: np.ndarray) -> np.ndarray:
+def run_scores(m: Model, buf: np.ndarray, off: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """log10 probability of each text of a run under the interpolated model; levels: as they were asked for."""
-    keys, pinv = pairs_of(u, inv, bounds)
-    _, _, order = _asked(m, u, keys)
-    q = np.empty(len(order))
-    q[order] = count_of(levels.astype(np.int64))
+    u, inv, bounds, keys, pinv = ngrams(buf, off)
+    _, place = _asked(u, keys)
+    q = count_of(levels.astype(np.int64))[place]
     q1, joint = q[: len(u)], q[len(u) :]
     q1[u == END] = m.ends
     d = m.total + ADD * (m.distinct + 1)
@@ -329,16 +347,15 @@ def run_scores(m: Model, u: np.ndarray, inv: np.ndarray, bounds: np.ndarray, lev
     return np.add.reduceat(np.log10((1 - LAMBDA) * p1 + LAMBDA * p2), bounds[:-1])
 
 
-def _finish(runs: DataFrame, levels: DataFrame, shared) -> DataFrame:
+def _finish(runs: DataFrame, levels: DataFrame, groups: int, shared) -> DataFrame:
     """(rk, score): each run meets the levels of its n-grams."""
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, run, held = None, None, []
 
         def done() -> pa.RecordBatch:
-            u, inv, bounds, rk = _unpack(run)
-            s = run_scores(shared.value, u, inv, bounds, np.frombuffer(b"".join(held), np.uint8))
+            buf, off, rk = _unpack(run)
+            s = run_scores(shared.value, buf, off, np.frombuffer(b"".join(held), np.uint8))
             return pa.RecordBatch.from_arrays([pa.array(rk), pa.array(s)], ["rk", "score"])
 
         for batch in batches:
@@ -355,20 +372,20 @@ def _finish(runs: DataFrame, levels: DataFrame, shared) -> DataFrame:
             yield done()
 
     both = runs.select("chunk", F.lit(-1).alias("g"), "blob").unionByName(levels)
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "g").mapInArrow(meet, "rk bigint, score double")
+    return both.repartition(groups, "chunk").sortWithinPartitions("chunk", "g").mapInArrow(meet, "rk bigint, score double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, key_bits: int = KEY_BITS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Trains on the rows whose id has a remainder other than 0 (a null id counts as the
-    empty text).  Null and empty texts have the end token alone.  Repeated ids stay rows
-    of their own.  Without training rows every count is 0.
+    Jobs run when this is called.  Trains on the rows whose id has a remainder other than 0
+    (a null id counts as the empty text).  Null and empty texts have the end token alone.
+    Repeated ids stay rows of their own.  Without training rows every count is 0.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    model, flt, counts = fit(rows.where(remainder("_id", folds) != 0))
+    model, flt, counts = fit(rows.where(remainder("_id", folds) != 0), key_bits)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -392,7 +409,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 yield pa.RecordBatch.from_arrays([rk, batch.column(1).slice(a, b - a), none, pa.array(np.diff(bounds)), pa.array(n_known), pa.array(base), none, pa.nulls(b - a, pa.binary())], names)
                 key = rk.to_numpy()
                 one = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([one, pa.nulls(1, kind), one, one, one, pa.nulls(1, pa.float64()), pa.array(key[:1]), pa.array([_pack(u, inv, bounds, key)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([one, pa.nulls(1, kind), one, one, one, pa.nulls(1, pa.float64()), pa.array(key[:1]), pa.array([_pack(buf, off, key)], pa.binary())], names)
                 rare = np.flatnonzero(((exact == 0) & (u != END))[inv])
                 if len(rare):
                     who = np.searchsorted(bounds, rare, "right") - 1
@@ -412,9 +429,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     sums = held.groupBy("rk").agg(F.sum(F.col("n") * F.log10((c + ADD) / F.lit(d))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("also"))
     runs = got.where(F.col("chunk").isNotNull())
     # The n-grams that travelled are dropped before the runs travel.
-    levels = materialise(_read(runs, flt, model, shared), "levels")
-    _release(spark)
-    scored = _finish(runs, levels, shared)
+    levels = materialise(_read(runs, flt, model), "levels")
+    drop(flt)
+    release(spark)
+    scored = _finish(runs, levels, model.groups, shared)
     out = got.where(F.col("key").isNull() & F.col("chunk").isNull()).select("rk", "_id", "n", "known", "base").join(sums, "rk", "left").join(scored, "rk")
     return out.select(
         F.col("_id").alias(id_col),
