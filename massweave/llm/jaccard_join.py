@@ -42,7 +42,7 @@ BLOCK = 512
 #: Counters of a block of the sketch.
 SKETCH_BLOCK = 1 << 16
 #: Levels of regions at most; what is left then is done by pairs.
-LEVELS = 8
+LEVELS = 2
 
 
 @dataclass(frozen=True)

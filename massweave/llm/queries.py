@@ -12,11 +12,12 @@ from .common import remainder, table
 
 
 def op1_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score every text of ``documents``; rows with remainder 0 are held out of the fit."""
+    """Score every text of ``documents``, with the offsets of toxic spans (code points, ``start-end``); rows with remainder 0 are held out of the fit."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity_crf.fit(docs, table(spark, sf_dir, "labels"))
     out = toxicity_crf.score(docs, model)
-    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("span_starts").alias("n_spans"))
+    spans = F.array_join(F.zip_with("span_starts", "span_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))), ",").alias("spans")
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("span_starts").alias("n_spans"), spans)
 
 
 def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remainder, ship
@@ -27,6 +27,8 @@ from .textvec import ALNUM, Words, list_array, slices
 
 #: Documents of each label in the training sample (the bound of the fit).
 SAMPLE = 1000
+#: Bytes of their texts for each label at most.
+SAMPLE_BYTES = 2 << 20
 #: Slots of each kind of hashed feature, as a power of two.
 BITS = 16
 BLOCK = 32
@@ -273,17 +275,23 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 15) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, folds: int = 5) -> Model:
-    """Train on at most ``sample`` rows of each label whose id has a remainder other than 0.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, folds: int = 5) -> Model:
+    """Train on at most ``sample`` rows and ``sample_bytes`` bytes of each label whose id has a remainder other than 0.
 
     The rows are those with the smallest hash of the id, so any partitioning gives the
-    same sample.  Null labels, null ids and labels without a document do not count.
+    same sample.  Null labels, null ids and labels without a document do not count.  Runs jobs
+    and trains on the driver; the bounds keep what it holds the same for any input.
     """
     lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (remainder("_id", folds) != 0))
     lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
     parts = [lab.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id")
+    # One text for each id, whatever number of rows repeats it.
+    rows = rows.groupBy("_id").agg(F.first("_y").alias("_y"), F.min(F.struct(F.xxhash64("_t").alias("h"), "_t"))["_t"].alias("_t"))
+    # Of a label's few rows the running sum of lengths; what exceeds the bound stays out.
+    w = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(F.octet_length("_t")).over(w)).where(F.col("_sum") <= sample_bytes)
     got = rows.select("_id", "_y", "_t").toArrow().to_pydict()
     order = sorted(range(len(got["_id"])), key=lambda i: (got["_id"][i], got["_t"][i] or ""))
     return train([got["_t"][i] for i in order], np.array([got["_y"][i] for i in order], int))
