@@ -64,8 +64,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of a batch that a Python worker gets at once (a longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers of the cluster, once for each context."""
+    """Give the package to the Python workers of the cluster, once for each context, and bound the batches they hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_massweave_shipped", False):
         return
