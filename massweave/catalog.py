@@ -135,16 +135,15 @@ query("j03_formula_interval", W + _LAT + " SELECT peak_id, 'C' || c || ' H' || h
 )
 
 
-@query("j04_formula_list", W + ", f(chemsc, target_mz) AS (VALUES ('C45 H80 O2 N1', 12.0*45+1.0078250321*80+2*15.9949146221+14.0030740052-0.00055), ('C27 H45', 12.0*27+1.0078250321*45-0.00055)) SELECT peak_id, chemsc FROM peaks JOIN f ON abs(mz - target_mz) <= 0.05")
+@query("j04_formula_list", W + ", f(chemsc, target_mz) AS (VALUES ('C45 H80 N1 O2', 12.0*45+1.0078250321*80+2*15.9949146221+14.0030740052-0.00055), ('C27 H45', 12.0*27+1.0078250321*45-0.00055)) SELECT peak_id, chemsc FROM peaks JOIN f ON abs(mz - target_mz) <= 0.05")
 def _j04(s, d):
     fs = [chem.parse_formula(t) for t in ("C45 H80 O2 N1", "C27 H45")]
     rows = s.createDataFrame([(f.text(), chem.Formula(f.n, 1).mass()) for f in fs], "chemsc string, target_mz double")
-    rows = rows.withColumn("chemsc", F.when(F.col("target_mz") > 500, F.lit("C45 H80 O2 N1")).otherwise("C27 H45"))
     return intervals.interval_join(views.peaks(s, d), rows, Tolerance("da", 0.05), LARGEST).select("peak_id", "chemsc")
 
 
-query("j05_neutral_loss", W + "SELECT peak_id, target_id FROM (SELECT *, 1000 - mz AS nl FROM peaks WHERE ms_level = 2) p JOIN targets ON abs(nl - target_mz) <= mz * 200 / 1e6")(
-    lambda s, d: intervals.neutral_loss_join(views.peaks(s, d).where("ms_level = 2").withColumn("prec_mz", F.lit(1000.0)), views.targets(s, d), Tolerance("ppm", 200), LARGEST).select("peak_id", "target_id")
+query("j05_neutral_loss", W + "SELECT peak_id, target_id FROM (SELECT peak_id, p.mz, s.target_mz - p.mz AS nl FROM peaks p JOIN scans s USING (scan_id) WHERE p.ms_level = 2) x JOIN targets ON abs(nl - targets.target_mz) <= mz * 200 / 1e6")(
+    lambda s, d: intervals.neutral_loss_join(views.peaks(s, d).where("ms_level = 2").join(views.scans(s, d).select("scan_id", F.col("target_mz").alias("prec_mz")), "scan_id"), views.targets(s, d), Tolerance("ppm", 200), LARGEST).select("peak_id", "target_id")
 )
 query("j06_gate", W + "SELECT peak_id FROM peaks WHERE ms_level = 2 AND scan_id IN (SELECT scan_id FROM peaks WHERE ms_level = 1 AND mz BETWEEN 300 AND 301)")(
     lambda s, d: views.peaks(s, d).where("ms_level = 2").join(views.peaks(s, d).where("ms_level = 1 and mz between 300 and 301").select("scan_id").distinct(), "scan_id", "left_semi").select("peak_id")
@@ -152,9 +151,9 @@ query("j06_gate", W + "SELECT peak_id FROM peaks WHERE ms_level = 2 AND scan_id
 query("j07_association", W + ", c AS (SELECT DISTINCT target_mz AS prec FROM targets), h AS (SELECT peak_id, prec, row_number() OVER (PARTITION BY peak_id ORDER BY abs(mz - prec), prec DESC) AS r FROM peaks JOIN c ON abs(mz - prec) < 0.25) SELECT peak_id, prec FROM h WHERE r = 1")(
     lambda s, d: intervals.associate(views.targets(s, d).select(F.col("target_mz").alias("prec")).distinct(), views.peaks(s, d), 0.25).select("peak_id", "prec")
 )
-query("j08_bindings", W + ", m AS (SELECT DISTINCT scan_id, flag, floor(mz / 100)::BIGINT AS b FROM peaks WHERE mz < 300) SELECT a.scan_id, a.b AS pr, c.b AS fr FROM m a JOIN m c ON a.scan_id = c.scan_id AND a.flag = 'A' AND c.flag = 'R'")(
+query("j08_bindings", W + ", m AS (SELECT DISTINCT scan_id, flag, floor(mz / 100)::BIGINT AS b FROM peaks) SELECT a.scan_id, a.b AS pr, c.b AS fr FROM m a JOIN m c ON a.scan_id = c.scan_id AND a.flag = 'A' AND c.flag = 'R'")(
     lambda s, d: (lambda m: m.where("flag = 'A'").select("scan_id", F.col("b").alias("pr")).join(m.where("flag = 'R'").select("scan_id", F.col("b").alias("fr")), "scan_id"))(
-        views.peaks(s, d).where("mz < 300").select("scan_id", "flag", F.floor(F.col("mz") / 100).alias("b")).distinct()
+        views.peaks(s, d).select("scan_id", "flag", F.floor(F.col("mz") / 100).alias("b")).distinct()
     )
 )
 query("j09_cross", "SELECT a.r_name AS pr_name, b.r_name AS fr_name FROM region a, region b")(lambda s, d: s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("pr_name")).crossJoin(s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("fr_name"))))
@@ -162,7 +161,7 @@ query("j10_complement", W + "SELECT target_id FROM targets WHERE target_id NOT I
     lambda s, d: views.targets(s, d).join(intervals.interval_join(views.peaks(s, d), views.targets(s, d), PPM, LARGEST).select("target_id").distinct(), "target_id", "left_anti").select("target_id")
 )
 query("j11_triggered", W + "SELECT peak_id FROM peaks WHERE scan_id IN (SELECT scan_id FROM scans WHERE ms_level = 2)")(lambda s, d: views.peaks(s, d).join(views.scans(s, d).where("ms_level = 2").select("scan_id"), "scan_id", "left_semi").select("peak_id"))
-query("j12_peaks_scans", W + "SELECT peak_id, s.time FROM peaks p JOIN scans s ON p.scan_id = s.scan_id WHERE p.mz > 900")(lambda s, d: views.peaks(s, d).where("mz > 900").drop("time").join(views.scans(s, d).select("scan_id", "time"), "scan_id").select("peak_id", "time"))
+query("j12_peaks_scans", W + "SELECT peak_id, s.time FROM peaks p JOIN scans s ON p.scan_id = s.scan_id")(lambda s, d: views.peaks(s, d).drop("time").join(views.scans(s, d).select("scan_id", "time"), "scan_id").select("peak_id", "time"))
 
 
 def _file(s, d, flag):
@@ -198,8 +197,8 @@ query("j15_ladder", _ENT + " SELECT a.polarity, round(a.mz * 10)::BIGINT * a.pol
 query("j16_previous_ms1", W + ", t AS (SELECT scan_id, run, ms_level, max(CASE WHEN ms_level = 1 THEN scan_id END) OVER (PARTITION BY run ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trigger FROM scans) SELECT scan_id, trigger FROM t WHERE ms_level = 2")(
     lambda s, d: A.previous_ms1(views.scans(s, d), ["run"], ["scan_id"]).select("scan_id", "trigger")
 )
-query("j17_nearest_any", W + ", t AS (SELECT DISTINCT target_mz FROM targets), p AS (SELECT peak_id, mz FROM peaks WHERE mz > 700), u AS (SELECT peak_id, mz, (SELECT max(target_mz) FROM t WHERE target_mz <= mz) AS lo, (SELECT min(target_mz) FROM t WHERE target_mz >= mz) AS hi FROM p) SELECT peak_id, CASE WHEN hi IS NULL THEN lo WHEN lo IS NULL THEN hi WHEN mz - lo <= hi - mz THEN lo ELSE hi END AS target_mz FROM u")(
-    lambda s, d: intervals.nearest_any(views.peaks(s, d).where("mz > 700"), views.targets(s, d).select("target_mz").distinct(), "peak_id").select("peak_id", "target_mz")
+query("j17_nearest_any", W + ", t AS (SELECT DISTINCT target_mz FROM targets), lo AS (SELECT peak_id, mz, target_mz AS lo FROM peaks ASOF LEFT JOIN t ON mz >= target_mz), hi AS (SELECT peak_id, target_mz AS hi FROM peaks ASOF LEFT JOIN t ON mz <= target_mz) SELECT peak_id, CASE WHEN hi IS NULL THEN lo WHEN lo IS NULL THEN hi WHEN mz - lo <= hi - mz THEN lo ELSE hi END AS target_mz FROM lo JOIN hi USING (peak_id)")(
+    lambda s, d: intervals.nearest_any(views.peaks(s, d), views.targets(s, d).select("target_mz").distinct(), "peak_id").select("peak_id", "target_mz")
 )
 query("j18_sibling", _ENT + " SELECT round(a.mz * 10)::BIGINT AS pos_key, -round(b.mz * 10)::BIGINT AS neg_key FROM e a JOIN e b ON a.polarity = 1 AND b.polarity = -1 AND abs(b.mz - (a.mz + 43.99)) <= 0.02")(
     lambda s, d: intervals.sibling(_entries(s, d), 43.99, Tolerance("da", 0.02), LARGEST).select("pos_key", "neg_key")
@@ -221,8 +220,8 @@ r AS (SELECT flag, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x:
 b AS (SELECT flag, unnest(a) AS bin_first FROM r)"""
 RES = Tolerance("res", 2000)
 query("a01_greedy_bins", W + _FOLD + " SELECT flag, bin_first FROM b")(lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 1).select("flag", "bin_first").distinct())
-query("a01_greedy_members", W + _FOLD + " SELECT p.flag, bin_first, count(*) AS n, round(avg(mz) + 3.3e-9, 6) AS bin_mz FROM peaks p ASOF JOIN b ON p.flag = b.flag AND p.mz >= b.bin_first GROUP BY ALL")(
-    lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 1).groupBy("flag", "bin_first").agg(F.count("*").alias("n"), rd(F.first("bin_mz") + 3.3e-9, 6).alias("bin_mz"))
+query("a01_greedy_members", W + _FOLD + " SELECT p.flag, bin_first, count(*) AS n, sum(round(mz * 10000)::BIGINT)::BIGINT AS mz_sum FROM peaks p ASOF JOIN b ON p.flag = b.flag AND p.mz >= b.bin_first GROUP BY ALL")(
+    lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 1).groupBy("flag", "bin_first").agg(F.count("*").alias("n"), F.round(F.first("bin_mz") * F.count("*") * 10000).cast("long").alias("mz_sum"))
 )
 query("a02_ppm_bins", W + _FOLD.replace("/ 2000", "* 0.0002") + " SELECT flag, bin_first FROM b")(lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], Tolerance("ppm", 200), 1).select("flag", "bin_first").distinct())
 query("a01_three_passes")(lambda s, d: fold.align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], RES, 3).groupBy("flag", "bin_first").agg(F.count("*").alias("n"), rd(F.first("bin_mz"), 6).alias("bin_mz")))
@@ -233,11 +232,11 @@ query("a05_survey_passes")(lambda s, d: fold.survey(views.peaks(s, d).select("fl
 query("a07_collapse")(
     lambda s, d: fold.collapse_clusters(views.peaks(s, d).groupBy("flag", F.round("mz", 1).alias("mz")).agg(F.array_sort(F.collect_set("sample")).alias("samples")), ["flag"], 0.15).groupBy("flag", "merged").agg(F.count("*").alias("n"))
 )
-query("a10_scan_average", W + ", n AS (SELECT sample, count(DISTINCT scan_id) AS ns FROM peaks GROUP BY 1) SELECT sample, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i) + 3.3e-9, 6) AS mz, round(sum(i) / ns, 6) AS i, count(DISTINCT scan_id) AS n_hit, ns AS n_scans FROM peaks JOIN n USING (sample) GROUP BY sample, bin, ns")(
-    lambda s, d: A.scan_average(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["sample", "bin"], views.peaks(s, d).groupBy("sample").agg(F.countDistinct("scan_id").alias("n_scans")), ["sample"]).withColumns({"mz": rd(F.col("mz") + 3.3e-9, 6), "i": rd("i", 6)})
+query("a10_scan_average", W + ", n AS (SELECT sample, count(DISTINCT scan_id) AS ns FROM peaks GROUP BY 1) SELECT sample, floor(mz)::BIGINT AS bin, sum(round(mz * 10000)::BIGINT * i::BIGINT)::BIGINT AS mz_sum, round(sum(i) / ns, 6) AS i, count(DISTINCT scan_id) AS n_hit, ns AS n_scans FROM peaks JOIN n USING (sample) GROUP BY sample, bin, ns")(
+    lambda s, d: A.scan_average(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["sample", "bin"], views.peaks(s, d).groupBy("sample").agg(F.countDistinct("scan_id").alias("n_scans")), ["sample"]).select("sample", "bin", F.round(F.col("mz") * F.col("i") * F.col("n_scans") * 10000).cast("long").alias("mz_sum"), rd("i", 6).alias("i"), "n_hit", "n_scans")
 )
-query("a11_within_scan", W + "SELECT scan_id, floor(mz)::BIGINT AS bin, round(sum(mz * i) / sum(i) + 3.3e-9, 6) AS mz, round(avg(i), 6) AS i FROM peaks GROUP BY 1, 2")(
-    lambda s, d: A.merge_within_scan(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["scan_id", "bin"]).withColumns({"mz": rd(F.col("mz") + 3.3e-9, 6), "i": rd("i", 6)})
+query("a11_within_scan", W + "SELECT scan_id, floor(mz)::BIGINT AS bin, sum(round(mz * 10000)::BIGINT * i::BIGINT)::BIGINT AS mz_sum, round(avg(i), 6) AS i, count(*) AS n FROM peaks GROUP BY 1, 2")(
+    lambda s, d: A.merge_within_scan(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["scan_id", "bin"]).select("scan_id", "bin", F.round(F.col("mz") * F.col("i") * F.col("n") * 10000).cast("long").alias("mz_sum"), rd("i", 6).alias("i"), "n")
 )
 query("a15_single_linkage", W + ", x AS (SELECT flag, mz, CASE WHEN mz - lag(mz) OVER (PARTITION BY flag ORDER BY mz) < 0.02 THEN 0 ELSE 1 END AS s FROM peaks), c AS (SELECT flag, mz, sum(s) OVER (PARTITION BY flag ORDER BY mz ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT flag, min(mz) AS cluster, count(*) AS n FROM c GROUP BY flag, k")(
     lambda s, d: fold.single_linkage(views.peaks(s, d).select("flag", "mz"), ["flag"], 0.02).groupBy("flag", "cluster").agg(F.count("*").alias("n"))
@@ -246,8 +245,8 @@ query("a21_cluster_statistics", W + "SELECT floor(mz)::BIGINT AS bin, round(avg(
     lambda s, d: (lambda g: g.select("bin", *[rd(c, 6).alias(c) for c in g.columns[1:]]))(views.peaks(s, d).groupBy(F.floor("mz").alias("bin")).agg(*fold.cluster_statistics()))
 )
 query("a22_sample_totals", W + "SELECT sample, round(sum(i), 2) AS total FROM peaks GROUP BY 1")(lambda s, d: views.peaks(s, d).groupBy("sample").agg(rd(F.sum("i"), 2).alias("total")))
-query("a23_ranking", W + ", l AS (SELECT floor(mz)::BIGINT AS bin, sample, sum(i) AS i FROM peaks WHERE mz < 60 GROUP BY 1, 2), m AS (SELECT *, i / max(i) OVER (PARTITION BY sample) AS rel_i FROM l) SELECT bin, round(count(DISTINCT sample) / 4 + avg(rel_i), 6) AS rank_score FROM m GROUP BY bin ORDER BY 2 DESC, 1 LIMIT 25")(
-    lambda s, d: A.candidate_ranking(O.relative_intensity(views.peaks(s, d).where("mz < 60").groupBy(F.floor("mz").alias("bin"), "sample").agg(F.sum("i").alias("i")), ["sample"]), "bin", 4).select("bin", rd("rank_score", 6).alias("rank_score"))
+query("a23_ranking", W + ", l AS (SELECT floor(mz)::BIGINT AS bin, sample, sum(i) AS i FROM peaks GROUP BY 1, 2), m AS (SELECT *, i / max(i) OVER (PARTITION BY sample) AS rel_i FROM l) SELECT bin, round(count(DISTINCT sample) / 4 + avg(rel_i), 6) AS rank_score FROM m GROUP BY bin ORDER BY 2 DESC, 1 LIMIT 25")(
+    lambda s, d: A.candidate_ranking(O.relative_intensity(views.peaks(s, d).groupBy(F.floor("mz").alias("bin"), "sample").agg(F.sum("i").alias("i")), ["sample"]), "bin", 4).select("bin", rd("rank_score", 6).alias("rank_score"))
 )
 query("a24_nearest_hits", W + ", h AS (SELECT peak_id, target_id, round(mz - target_mz, 6) AS err FROM peaks JOIN targets ON abs(mz - target_mz) <= mz * 20 / 1e6), l AS (SELECT target_id, min(abs(err)) AS least FROM h GROUP BY 1) SELECT peak_id, target_id FROM h JOIN l USING (target_id) WHERE abs(err) = least AND abs(err) <= 0.01")(
     lambda s, d: A.nearest_hits(intervals.interval_join(views.peaks(s, d), views.targets(s, d), PPM, LARGEST).withColumn("err", rd(F.col("mz") - F.col("target_mz"), 6)), ["target_id"], "err", 0.01).select("peak_id", "target_id")
@@ -334,28 +333,28 @@ query("i10_isobaric", "WITH p AS (SELECT DISTINCT p_type AS name, p_size AS mz F
 query("i11_permutations", W + ", b AS (SELECT peak_id, least(n_scans, time) AS a, greatest(n_scans, time) AS b, i / greatest(1, abs(n_scans - time)) AS sc FROM peaks) SELECT a, b, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY sc DESC, peak_id) AS r FROM b) WHERE r = 1")(
     lambda s, d: A.drop_permutations(views.peaks(s, d).select("peak_id", F.least("n_scans", "time").alias("a"), F.greatest("n_scans", "time").alias("b"), (F.col("i") / F.greatest(F.lit(1.0), F.abs(F.col("n_scans") - F.col("time")))).alias("sc")), ["a", "b"], F.col("sc"), "peak_id").select("a", "b", "peak_id")
 )
-_CAL = W + ", ref AS (SELECT target_mz FROM targets WHERE target_id % 100 = 0), h AS (SELECT sample, target_mz, mz - target_mz AS shift, row_number() OVER (PARTITION BY sample, target_mz ORDER BY i DESC, mz DESC) AS r FROM peaks JOIN ref ON abs(mz - target_mz) <= mz * 100 / 1e6), pts AS (SELECT sample, target_mz, shift FROM h WHERE r = 1)"
+_CAL = W + ", ref AS (SELECT DISTINCT target_mz FROM targets), h AS (SELECT sample, target_mz, mz - target_mz AS shift, row_number() OVER (PARTITION BY sample, target_mz ORDER BY i DESC, mz DESC) AS r FROM peaks JOIN ref ON abs(mz - target_mz) <= mz * 100 / 1e6), pts AS (SELECT sample, target_mz, shift FROM h WHERE r = 1)"
 
 
 def _points(s, d):
-    return A.calibration_points(views.peaks(s, d), views.targets(s, d).where("target_id % 100 = 0").select("target_mz"), 100, LARGEST, ["sample"])
+    return A.calibration_points(views.peaks(s, d), views.targets(s, d).select("target_mz").distinct(), 100, LARGEST, ["sample"])
 
 
 query("i12_calibration_points", _CAL + " SELECT sample, target_mz, round(shift, 6) AS shift FROM pts")(lambda s, d: _points(s, d).select("sample", "target_mz", rd("shift", 6).alias("shift")))
-query("i14_recalibrate", _CAL + """, p AS (SELECT peak_id, sample, mz FROM peaks WHERE mz > 850),
+query("i14_recalibrate", _CAL + """, p AS (SELECT peak_id, sample, mz FROM peaks),
 lo AS (SELECT p.peak_id, p.sample, p.mz, pts.target_mz AS x0, pts.shift AS y0 FROM p ASOF LEFT JOIN pts ON p.sample = pts.sample AND p.mz >= pts.target_mz),
 hi AS (SELECT p.peak_id, pts.target_mz AS x1, pts.shift AS y1 FROM p ASOF LEFT JOIN pts ON p.sample = pts.sample AND p.mz < pts.target_mz)
-SELECT peak_id, round(mz - CASE WHEN x0 IS NULL AND x1 IS NULL THEN 0 WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (mz - x0) / (x1 - x0) END, 6) AS mz FROM lo JOIN hi USING (peak_id)""")(
-    lambda s, d: A.recalibrate(views.peaks(s, d).where("mz > 850"), _points(s, d), ["sample"]).select("peak_id", rd("mz", 6).alias("mz"))
+SELECT peak_id, floor((mz - CASE WHEN x0 IS NULL AND x1 IS NULL THEN 0 WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (mz - x0) / (x1 - x0) END) * 1e6 + 0.5)::BIGINT AS micro_mz FROM lo JOIN hi USING (peak_id)""")(
+    lambda s, d: A.recalibrate(views.peaks(s, d), _points(s, d), ["sample"], LARGEST).select("peak_id", F.floor(F.col("mz") * 1e6 + 0.5).alias("micro_mz"))
 )
-query("i15_shift", W + "SELECT peak_id, round(mz + 0.0021, 6) AS mz FROM peaks WHERE mz < 50")(lambda s, d: views.peaks(s, d).where("mz < 50").select("peak_id", rd(F.col("mz") + 0.0021, 6).alias("mz")))
+query("i15_shift", W + "SELECT peak_id, round(mz + 0.0021, 6) AS mz FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", rd(F.col("mz") + 0.0021, 6).alias("mz")))
 query("i17_drop_sample", M + "SELECT part, sum(i) AS total FROM long WHERE sample <> 's2' GROUP BY 1")(
     lambda s, d: views.sample_maps(s, d).select("part", F.map_filter("m", lambda k, _: k != "s2").alias("m")).where(F.size("m") > 0).select("part", F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, v: a + v).alias("total"))
 )
 
 # --- scalar functions -------------------------------------------------------------
 
-query("x01_arithmetic", W + "SELECT peak_id, round(CASE WHEN time = 0 THEN 0 ELSE mz / time END + i * 2 - 1 + 3.3e-9, 6) AS v FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", rd(X.divide(F.col("mz"), F.col("time")) + F.col("i") * 2 - 1 + 3.3e-9, 6).alias("v")))
+query("x01_arithmetic", W + "SELECT peak_id, round((CASE WHEN time = 0 THEN 0 ELSE mz / time END + i * 2 - 1) * greatest(time, 1) * 10000)::BIGINT AS v FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", F.round((X.divide(F.col("mz"), F.col("time")) + F.col("i") * 2 - 1) * F.greatest("time", F.lit(1.0)) * 10000).cast("long").alias("v")))
 query("x01_map_arithmetic", M + "SELECT part, round(sum(i / 2 + i), 4) AS total FROM long GROUP BY 1")(
     lambda s, d: views.sample_maps(s, d).select("part", rd(F.aggregate(F.map_values(X.map_map("+", X.map_num("/", F.col("m"), F.lit(2.0)), F.col("m"))), F.lit(0.0), lambda a, v: a + v)).alias("total"))
 )
@@ -413,21 +412,23 @@ def _s17(s, d):
     return t.select("scan_id", line.alias("line")).select("scan_id", *[c.alias(n) for n, c in f.items()])
 
 
-query("k01_report_lines", "WITH a AS (SELECT p_name AS specie, p_size AS n FROM part WHERE p_partkey < 20), b AS (SELECT p_name AS specie, p_brand AS brand FROM part WHERE p_partkey BETWEEN 20 AND 29) SELECT -1 AS ord1, 'specie,n,brand' AS line UNION ALL SELECT 0, '###,a' UNION ALL SELECT 0, concat_ws(',', specie, n::VARCHAR, '') FROM a UNION ALL SELECT 1, '###,b' UNION ALL SELECT 1, concat_ws(',', specie, '', brand) FROM b")(
-    lambda s, d: (lambda p: sinks.report_lines({"a": p.where("p_partkey < 20").select(F.col("p_name").alias("specie"), F.col("p_size").alias("n")), "b": p.where("p_partkey between 20 and 29").select(F.col("p_name").alias("specie"), F.col("p_brand").alias("brand"))}).select("ord1", "line"))(s.read.parquet(f"{d}/part.parquet"))
+query("k01_report_lines", "SELECT -1 AS ord1, 'specie,n,brand' AS line UNION ALL SELECT 0, '###,a' UNION ALL SELECT 0, concat_ws(',', p_name, p_size::VARCHAR, '') FROM part UNION ALL SELECT 1, '###,b' UNION ALL SELECT 1, concat_ws(',', s_name, '', s_nationkey::VARCHAR) FROM supplier")(
+    lambda s, d: sinks.report_lines(
+        {"a": s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("specie"), F.col("p_size").alias("n")), "b": s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("specie"), F.col("s_nationkey").alias("brand"))}
+    ).select("ord1", "line")
 )
-query("k02_dump", "WITH sl AS (SELECT l_suppkey AS se_id, concat('s', l_linenumber) AS sample, sum(l_quantity) AS i FROM lineitem GROUP BY 1, 2) SELECT se_id, 1 AS level, (se_id * 10)::DOUBLE AS mz, sample, i FROM sl UNION ALL SELECT se_id, 2, (se_id * 10 - 1)::DOUBLE, sample, i FROM sl WHERE se_id % 2 = 0")(lambda s, d: _k02(s, d))
+query("k02_dump", "WITH sl AS (SELECT l_suppkey AS se_id, concat('s', l_linenumber) AS sample, sum(l_quantity) AS i FROM lineitem GROUP BY 1, 2) SELECT se_id, 1 AS level, (se_id * 10)::DOUBLE AS mz, sample, i FROM sl UNION ALL SELECT se_id, 2, (se_id * 10 - 1)::DOUBLE, sample, i FROM sl")(lambda s, d: _k02(s, d))
 
 
 def _k02(s, d):
     sl = mono(s, d).groupBy(F.col("l_suppkey").alias("se_id"), F.concat(F.lit("s"), "l_linenumber").alias("sample")).agg(F.sum("l_quantity").alias("i")).withColumn("mz", (F.col("se_id") * 10).cast("double"))
-    fl = sl.where("se_id % 2 = 0").select((F.col("se_id") + 1000).alias("fr_id"), (F.col("mz") - 1).alias("mz"), "sample", "i")
+    fl = sl.select((F.col("se_id") + 1000).alias("fr_id"), (F.col("mz") - 1).alias("mz"), "sample", "i")
     bridge = fl.select("fr_id").distinct().select("fr_id", (F.col("fr_id") - 1000).alias("se_id"))
     return sinks.dump(sl, fl, bridge).select("se_id", "level", "mz", "sample", "i")
 
 
-query("k06_mztab", "SELECT 0 AS ord, 'MTD\tmzTab-version\t2.0.0-M' AS line UNION ALL SELECT 1, 'MTD\tmzTab-ID\tt' UNION ALL SELECT 2, 'MTD\ttitle\tt' UNION ALL SELECT 3, 'MTD\tassay[1]\tp_size' UNION ALL SELECT 1000, 'SMH\tSML_ID\tchemical_name\tchemical_formula\ttheoretical_neutral_mass\tabundance_assay[1]' UNION ALL SELECT 1001, concat_ws('\t', 'SML', p_name, p_name, p_type, p_retailprice::VARCHAR, p_size::VARCHAR) FROM part WHERE p_partkey < 50")(
-    lambda s, d: sinks.mztab_lines(s.read.parquet(f"{d}/part.parquet").where("p_partkey < 50"), "t", "p_name", "p_retailprice", "p_type", ["p_size"])
+query("k06_mztab", "SELECT 0 AS ord, 'MTD\tmzTab-version\t2.0.0-M' AS line UNION ALL SELECT 1, 'MTD\tmzTab-ID\tt' UNION ALL SELECT 2, 'MTD\ttitle\tt' UNION ALL SELECT 3, 'MTD\tassay[1]\tp_size' UNION ALL SELECT 1000, 'SMH\tSML_ID\tchemical_name\tchemical_formula\ttheoretical_neutral_mass\tabundance_assay[1]' UNION ALL SELECT 1001, concat_ws('\t', 'SML', p_name, p_name, p_type, p_retailprice::VARCHAR, p_size::VARCHAR) FROM part")(
+    lambda s, d: sinks.mztab_lines(s.read.parquet(f"{d}/part.parquet"), "t", "p_name", "p_retailprice", "p_type", ["p_size"])
 )
 query("k08_union_results", "SELECT r_name AS name, NULL::INT AS n_nationkey, 'a' AS query FROM region UNION ALL SELECT n_name, n_nationkey, 'b' FROM nation")(
     lambda s, d: sinks.union_results({"a": s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("name")), "b": s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"), "n_nationkey")})
@@ -440,52 +441,77 @@ query("o02_top_k", W + "SELECT peak_id, i FROM peaks ORDER BY i DESC, mz DESC, p
 query("o04_first_per_key", W + "SELECT scan_id, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY i DESC, mz, peak_id) AS r FROM peaks) WHERE r = 1")(lambda s, d: O.first_per_key(views.peaks(s, d), ["scan_id"], [F.desc("i"), F.col("mz"), F.col("peak_id")]).select("scan_id", "peak_id"))
 query("o06_lag", W + "SELECT peak_id, round(mz - lag(mz) OVER (PARTITION BY scan_id ORDER BY mz, peak_id), 6) AS diff FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", rd(F.col("mz") - F.lag("mz").over(Window.partitionBy("scan_id").orderBy("mz", "peak_id")), 6).alias("diff")))
 query("o07_quantile", W + "SELECT flag, round(quantile_cont(mz, 0.95), 6) AS q FROM peaks GROUP BY 1")(lambda s, d: views.peaks(s, d).groupBy("flag").agg(rd(F.percentile("mz", 0.95), 6).alias("q")))
-query("u02_intersect", W + "SELECT scan_id FROM peaks WHERE flag = 'A' AND mz < 20 INTERSECT SELECT scan_id FROM peaks WHERE flag = 'R' AND mz < 20")(lambda s, d: views.peaks(s, d).where("flag = 'A' and mz < 20").select("scan_id").intersect(views.peaks(s, d).where("flag = 'R' and mz < 20").select("scan_id")))
-query("u03_except", W + "SELECT scan_id FROM peaks WHERE flag = 'A' EXCEPT SELECT scan_id FROM peaks WHERE flag = 'R' AND mz < 20")(lambda s, d: views.peaks(s, d).where("flag = 'A'").select("scan_id").subtract(views.peaks(s, d).where("flag = 'R' and mz < 20").select("scan_id")))
-query("u04_tagged_union", W + "SELECT scan_id, string_agg(DISTINCT flag, ',' ORDER BY flag) AS tags FROM peaks WHERE mz < 30 GROUP BY 1")(lambda s, d: views.peaks(s, d).where("mz < 30").groupBy("scan_id").agg(F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("tags")))
+query("u02_intersect", W + "SELECT scan_id FROM peaks WHERE flag = 'A' INTERSECT SELECT scan_id FROM peaks WHERE flag = 'R'")(lambda s, d: views.peaks(s, d).where("flag = 'A'").select("scan_id").intersect(views.peaks(s, d).where("flag = 'R'").select("scan_id")))
+query("u03_except", W + "SELECT scan_id FROM peaks WHERE flag = 'A' EXCEPT SELECT scan_id FROM peaks WHERE flag = 'R'")(lambda s, d: views.peaks(s, d).where("flag = 'A'").select("scan_id").subtract(views.peaks(s, d).where("flag = 'R'").select("scan_id")))
+query("u04_tagged_union", W + "SELECT scan_id, string_agg(DISTINCT flag, ',' ORDER BY flag) AS tags FROM peaks GROUP BY 1")(lambda s, d: views.peaks(s, d).groupBy("scan_id").agg(F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("tags")))
 query("st_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda s, d: averages.windowed(s.read.parquet(f"{d}/events.parquet"), "ts", "event_type", "value").withColumn("total", rd("total"))
 )
 
 # --- the language --------------------------------------------------------------------
 
-FLAGSHIP = """QUERYNAME = Esters;
-DEFINE PR = 'C[30..60] H[30..120] O[2]' WITH DBR = (0.5, 12.5), CHG = +1;
-DEFINE FR = 'C[5..25] H[4..50]' WITH DBR = (0.5, 8.5), CHG = +1;
-IDENTIFY PR IN MS1+ AND FR IN MS2+
-SUCHTHAT avg(FR.intensity) / avg(PR.intensity) >= 0.1 AND avg(FR.intensity) / avg(PR.intensity) <= 10 AND PR.chemsc[C] / PR.chemsc[db] >= 4.6
-REPORT SPECIE = "E %d:%d" % "((PR.chemsc)[C] - 27, (PR.chemsc)[db] - 0.5)";
-  MASS = PR.mass; CHEMSC = PR.chemsc; FRSC = FR.chemsc; ERRppm = "%2.2f" % "(PR.errppm)"; RATIO = avg(FR.intensity) / avg(PR.intensity);;"""
+FLAGSHIP = """QUERYNAME = AmidesWithTails;
+DEFINE head = 'C[18..48] H[30..98] N[1] O[1..4]' WITH CHG = +1, DBR = (1, 14), MINOCC = 0.5;
+DEFINE tail = 'C[4..20] H[7..40] O[1]' WITH CHG = +1, DBR = (0.5, 6.5), MASSRANGE = (70, 320), MAXOCC = 0.75;
+IDENTIFY head IN MS1+ AND tail IN MS2+
+SUCHTHAT medianU(tail.intensity) > 20 AND isEven(head.chemsc[O]) AND head.chemsc[C] > tail.chemsc[C] + 10
+REPORT LABEL = "%d/%d" % "(head.chemsc[C], tail.chemsc[C])"; HEAD = head.chemsc; TAIL = tail.chemsc; OFF = "%.1f" % "(head.errppm)";
+  SEEN = head.occ; MEAN = avg(head.intensity); LOW = medianL(tail.intensity); N = nbsmpls(); ALSO = tail.isobaric; AREA = head.intensity;;"""
 
 
 def _tables(s: SparkSession, d: str) -> identify.Tables:
-    """A survey of the MS1 peaks and the fragments of the same scan and sample group."""
-    p = views.peaks(s, d).where("polarity = 1")
-    ms1, ms2 = p.where("ms_level = 1"), p.where("ms_level = 2")
-    survey = ms1.select(F.col("peak_id").alias("se_id"), "mz", "polarity")
-    sl = ms1.select(F.col("peak_id").alias("se_id"), "sample", "i")
-    frag = ms2.select(F.col("peak_id").alias("fr_id"), "mz", "polarity")
-    fl = ms2.select(F.col("peak_id").alias("fr_id"), "sample", "i")
-    bridge = ms1.select(F.col("peak_id").alias("se_id"), "scan_id", F.col("mz").alias("a")).join(ms2.select(F.col("peak_id").alias("fr_id"), "scan_id", F.col("mz").alias("b")), "scan_id").where("b < a").select("se_id", "fr_id")
-    return identify.Tables(survey, sl, frag, fl, bridge, LARGEST)
+    """Entries and fragments are tenths of a mass unit over all samples; those with a scan in common belong together."""
+    p = views.peaks(s, d).where("polarity = 1").withColumn("key", F.floor(F.col("mz") * 10))
+    level = lambda n, key: p.where(F.col("ms_level") == n).withColumnRenamed("key", key)
+    one, two = level(1, "se_id"), level(2, "fr_id")
+    entries = lambda t, key: t.groupBy(key).agg(F.min("mz").alias("mz"), F.lit(1).alias("polarity"))
+    long = lambda t, key: t.groupBy(key, "sample").agg(F.sum("i").alias("i"))
+    return identify.Tables(
+        entries(one, "se_id"), long(one, "se_id"), entries(two, "fr_id"), long(two, "fr_id"), None, LARGEST, one.select("se_id", "scan_id").distinct(), two.select("fr_id", "scan_id").distinct()
+    )
+
 
+def _level_sql(n: int, name: str) -> str:
+    wide = ", ".join(f"coalesce(sum(i) FILTER (sample = 's{k}'), 0) AS s{k}" for k in range(4))
+    return f""", {name}p AS (SELECT *, floor(mz * 10)::BIGINT AS id FROM peaks WHERE polarity = 1 AND ms_level = {n}),
+{name} AS (SELECT id, min(mz) AS mz, {wide} FROM {name}p GROUP BY id),
+{name}o AS (SELECT *, list_sort([s0, s1, s2, s3]) AS l, ((s0 > 0)::INT + (s1 > 0)::INT + (s2 > 0)::INT + (s3 > 0)::INT) / 4 AS occ FROM {name})"""
 
-_FLAG_SQL = W + _LAT + """, fl AS (SELECT c, h, 12.0 * c + 1.0078250321 * h AS m0, (2.0 + 2 * c - h) / 2 AS dbr FROM range(5, 26) a(c), range(4, 51) b(h)),
-fok AS (SELECT *, m0 - 0.00055 AS m1 FROM fl WHERE dbr BETWEEN 0.5 AND 8.5 AND floor(m0)::BIGINT % 2 = 1),
-a AS (SELECT peak_id AS se_id, scan_id, p.mz, i, c, h, dbr, (p.mz - mz1) / p.mz * 1e6 AS err FROM peaks p JOIN ok ON abs(p.mz - mz1) <= p.mz * 20 / 1e6 WHERE polarity = 1 AND ms_level = 1),
-b AS (SELECT peak_id AS fr_id, scan_id, p.mz, i, c, h FROM peaks p JOIN fok ON abs(p.mz - m1) <= p.mz * 20 / 1e6 WHERE polarity = 1 AND ms_level = 2)
-SELECT a.se_id, printf('E %d:%d', a.c - 27, trunc(a.dbr - 0.5)::BIGINT) AS "SPECIE", a.mz AS "MASS", 'C' || a.c || ' H' || a.h || ' O2' AS "CHEMSC", 'C' || b.c || ' H' || b.h AS "FRSC", printf('%.2f', a.err) AS "ERRppm", round(b.i / a.i, 6) AS "RATIO"
-FROM a JOIN b ON a.scan_id = b.scan_id AND b.mz < a.mz WHERE b.i / a.i BETWEEN 0.1 AND 10 AND a.c / a.dbr >= 4.6"""
+
+_FLAG_SQL = (
+    W
+    + _level_sql(1, "se")
+    + _level_sql(2, "fr")
+    + """, hl AS (SELECT c, h, o, 12.0 * c + 1.0078250321 * h + 14.0030740052 + 15.9949146221 * o AS m0, (2.0 + 2 * c - h + 1) / 2 AS dbr FROM range(18, 49) a(c), range(30, 99) b(h), range(1, 5) d(o)),
+head AS (SELECT se.*, c, h, o, (mz - (m0 - 0.00055)) / mz * 1e6 AS err FROM seo se JOIN hl ON abs(mz - (m0 - 0.00055)) <= mz * 20 / 1e6 WHERE dbr BETWEEN 1 AND 14 AND floor(m0)::BIGINT % 2 = 0 AND occ >= 0.5),
+tl AS (SELECT c, h, 12.0 * c + 1.0078250321 * h + 15.9949146221 AS m0, (2.0 + 2 * c - h) / 2 AS dbr FROM range(4, 21) a(c), range(7, 41) b(h)),
+tail AS (SELECT fr.*, c, h FROM fro fr JOIN tl ON abs(mz - (m0 - 0.00055)) <= mz * 20 / 1e6 WHERE dbr BETWEEN 0.5 AND 6.5 AND floor(m0)::BIGINT % 2 = 1 AND mz BETWEEN 70 AND 320 AND occ <= 0.75),
+both_ AS (SELECT DISTINCT a.id AS se, b.id AS fr FROM sep a JOIN frp b ON a.scan_id = b.scan_id WHERE a.id IN (SELECT id FROM head) AND b.id IN (SELECT id FROM tail))
+SELECT a.id AS se_id, a.c || '/' || b.c AS "LABEL", 'C' || a.c || ' H' || a.h || ' N1 O' || a.o AS "HEAD", 'C' || b.c || ' H' || b.h || ' O1' AS "TAIL", printf('%.1f', a.err) AS "OFF", a.occ AS "SEEN", (a.s0 + a.s1 + a.s2 + a.s3) / 4 AS "MEAN", b.l[2] AS "LOW", 4.0::DOUBLE AS "N",
+CASE WHEN b.mz IN (SELECT mz FROM head) THEN 'head' ELSE '' END AS "ALSO", a.s0 AS "AREA:s0", a.s1 AS "AREA:s1", a.s2 AS "AREA:s2", a.s3 AS "AREA:s3"
+FROM both_ JOIN head a ON a.id = se JOIN tail b ON b.id = fr WHERE b.l[3] > 20 AND a.o % 2 = 0 AND a.c > b.c + 10"""
+)
 
 
 @query("m02_identify", _FLAG_SQL)
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    """m01-m07, x13: a whole query, from its text to its report."""
-    return identify.run(lang.parse_query(FLAGSHIP), _tables(s, d), [f"s{k}" for k in range(4)], PPM).withColumn("RATIO", rd("RATIO", 6))
+    """m01-m07, x04, x05, x10, x13: a whole query, from its text to its report, over entries that some samples lack."""
+    return identify.run(lang.parse_query(FLAGSHIP), _tables(s, d), [f"s{k}" for k in range(4)], PPM)
+
 
+_ONE = "QUERYNAME = Single; DEFINE x = 'C[30..60] H[30..120] O[2]' WITH CHG = +1, DBR = (0.5, 12.5); IDENTIFY x IN MS1+ REPORT M = x.mass; F = x.chemsc;;"
 
-query("k05_complement", W + _LAT + " SELECT peak_id AS se_id FROM peaks p WHERE polarity = 1 AND ms_level = 1 AND NOT EXISTS (SELECT 1 FROM ok WHERE abs(p.mz - mz1) <= p.mz * 20 / 1e6)")(
-    lambda s, d: identify.complement(_tables(s, d), [identify.run(lang.parse_query("QUERYNAME = A; DEFINE PR = 'C[30..60] H[30..120] O[2]' WITH DBR = (0.5, 12.5), CHG = +1; IDENTIFY PR IN MS1+ REPORT MASS = PR.mass;;"), _tables(s, d), [], PPM)]).select("se_id")
+
+def _single(s: SparkSession, d: str, text: str = _ONE) -> DataFrame:
+    return identify.run(lang.parse_query(text), _tables(s, d), [f"s{k}" for k in range(4)], PPM)
+
+
+query("k05_complement", W + _LAT + _level_sql(1, "se") + " SELECT id AS se_id FROM se WHERE NOT EXISTS (SELECT 1 FROM ok WHERE abs(se.mz - mz1) <= se.mz * 20 / 1e6)")(
+    lambda s, d: identify.complement(_tables(s, d), [_single(s, d)]).select("se_id")
+)
+query("m08_tags", W + _LAT + _level_sql(1, "se") + """, hit AS (SELECT id AS se_id, 'C' || c || ' H' || h || ' O2' AS chemsc, c FROM se JOIN ok ON abs(mz - mz1) <= mz * 20 / 1e6)
+SELECT se_id, chemsc, CASE WHEN c >= 40 THEN 'all,large' ELSE 'all' END AS tags FROM hit""")(
+    lambda s, d: identify.with_tags({k: _single(s, d, t).select("se_id", F.col("F").alias("chemsc")) for k, t in (("all", _ONE), ("large", _ONE.replace("C[30..60]", "C[40..60]")))})
 )
 
 

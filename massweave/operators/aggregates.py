@@ -15,8 +15,8 @@ def scan_average(binned: DataFrame, keys: list[str], total_scans: DataFrame, on:
 
 
 def merge_within_scan(binned: DataFrame, keys: list[str]) -> DataFrame:
-    """a11: weighted m/z and mean intensity of peaks that one scan merges."""
-    return binned.groupBy(*keys).agg((F.sum(F.col("mz") * F.col("i")) / F.sum("i")).alias("mz"), F.avg("i").alias("i"))
+    """a11: weighted m/z, mean intensity and number of the peaks that one scan merges."""
+    return binned.groupBy(*keys).agg((F.sum(F.col("mz") * F.col("i")) / F.sum("i")).alias("mz"), F.avg("i").alias("i"), F.count(F.lit(1)).alias("n"))
 
 
 def candidate_ranking(long: DataFrame, key: str, n_samples: int, k: int = 25) -> DataFrame:
@@ -171,9 +171,20 @@ def shift_at(points: Column, mz: Column) -> Column:
     return F.when(F.size(points) == 0, F.lit(0.0)).when(below.isNull(), above["y"]).when(above.isNull(), below["y"]).otherwise(line)
 
 
-def recalibrate(peaks: DataFrame, points: DataFrame, part: list[str]) -> DataFrame:
-    """i14: masses less the interpolated shift of their part (a few points each)."""
-    p = points.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col("target_mz").alias("x"), F.col("shift").alias("y")))).alias("_pts"))
-    j = peaks.join(p, part, "left")
-    empty = F.array().cast("array<struct<x:double,y:double>>")
-    return j.withColumn("mz", F.col("mz") - shift_at(F.coalesce("_pts", empty), F.col("mz"))).drop("_pts")
+def recalibrate(peaks: DataFrame, points: DataFrame, part: list[str], largest: float, block: float = 10.0) -> DataFrame:
+    """i14: masses less the interpolated shift of their part.
+
+    The points of a part cut the axis up to ``largest`` into segments, which meet the peaks by
+    an equi-join on blocks of mass; outside the points the shift is constant, without points 0.
+    """
+    w = Window.partitionBy(*part).orderBy("target_mz")
+    p = points.select(*part, F.col("target_mz").alias("x0"), F.col("shift").alias("y0"), F.lead("target_mz").over(w).alias("x1"), F.lead("shift").over(w).alias("y1"), F.lag("target_mz").over(w).alias("_b"))
+    inner = p.select(*part, "x0", F.coalesce("x1", F.lit(largest + block)).alias("x1"), "y0", F.coalesce("y1", "y0").alias("y1"))
+    first = p.where("_b is null").select(*part, F.lit(0.0).alias("x0"), F.col("x0").alias("x1"), "y0", F.col("y0").alias("y1"))
+    seg = inner.unionByName(first).select("*", F.explode(F.sequence(F.floor(F.col("x0") / block), F.floor(F.col("x1") / block))).alias("_k"))
+    names = peaks.columns
+    j = peaks.withColumn("_k", F.floor(F.col("mz") / block)).alias("l").join(
+        seg.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in part] + [F.col("l._k") == F.col("r._k"), F.col("l.mz") >= F.col("r.x0"), F.col("l.mz") < F.col("r.x1")], "left"
+    )
+    shift = F.coalesce(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("l.mz") - F.col("x0")) / (F.col("x1") - F.col("x0")), F.lit(0.0))
+    return j.select(*[(F.col("l.mz") - shift).alias("mz") if c == "mz" else F.col(f"l.{c}") for c in names])

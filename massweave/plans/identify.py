@@ -1,7 +1,10 @@
 """Compiler of parsed queries: targets, marks, bindings, conditions and reports as DataFrames.
 
 Tables: survey (se_id, mz, polarity), survey_long (se_id, sample, i), frag (fr_id, mz,
-polarity), frag_long (fr_id, sample, i), survey_frag (se_id, fr_id).
+polarity), frag_long (fr_id, sample, i), and what belongs together: survey_frag (se_id,
+fr_id), or survey_scans (se_id, scan_id) and frag_scans (fr_id, scan_id), which are joined
+after both levels are marked.  The long tables hold observed values, one for each entry and
+sample; a sample that lacks an entry counts as 0.0 in every function and condition.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from ..chem import MASSES, Constraint, Formula, Tolerance, lattice
 from ..functions import scalar
 from ..operators import filters
+from ..operators.aggregates import drop_permutations
 from ..operators.intervals import interval_join, neutral_loss_join
 from .lang import Node, Query, QueryError, Variable
 
@@ -24,8 +28,24 @@ class Tables:
     survey_long: DataFrame
     frag: DataFrame
     frag_long: DataFrame
-    survey_frag: DataFrame
+    survey_frag: DataFrame | None = None
     largest: float = 2000.0
+    survey_scans: DataFrame | None = None
+    frag_scans: DataFrame | None = None
+
+    def samples(self) -> list[str]:
+        """Names of all samples (metadata of the study: one for each file)."""
+        names = self.survey_long.select("sample").unionByName(self.frag_long.select("sample")).distinct()
+        return sorted(r[0] for r in names.collect())
+
+    def below(self, gate: DataFrame | None, frags: DataFrame) -> DataFrame:
+        """(se_id, fr_id, prec_mz) of the fragments ``frags`` under entries of ``gate`` (none: under all)."""
+        pruned = lambda t: t if gate is None else t.join(gate, "se_id", "left_semi")
+        if self.survey_frag is not None:
+            pairs = pruned(self.survey_frag).join(frags.select("fr_id").distinct(), "fr_id", "left_semi")
+        else:
+            pairs = pruned(self.survey_scans).join(self.frag_scans.join(frags.select("fr_id").distinct(), "fr_id", "left_semi"), "scan_id").select("se_id", "fr_id").distinct()
+        return pairs.join(self.survey.select("se_id", F.col("mz").alias("prec_mz")), "se_id")
 
 
 def targets(spark: SparkSession, v: Variable) -> DataFrame:
@@ -48,26 +68,33 @@ def _tolerance(v: Variable, default: Tolerance) -> Tolerance:
     return Tolerance(t[1], t[0]) if t else default
 
 
-def marks(q: Query, t: Tables, tol: Tolerance, tol2: Tolerance) -> dict[str, DataFrame]:
-    """Hits of every variable: se_id, var_mz, chemsc, dbr, n_*, errppm, and intensity as a map.
+def marks(q: Query, t: Tables, tol: Tolerance, tol2: Tolerance, samples: list[str] | None = None) -> dict[str, DataFrame]:
+    """Hits of every variable: se_id, a struct of mz, chemsc, dbr, n_*, errppm, occ, isobaric and intensity as a map of all samples.
 
-    Fragments count only below entries that some MS1 variable of this query marks, if it
-    has one.
+    TOLERANCE, MASSRANGE, MINOCC and MAXOCC of a variable hold on either level.  Fragments
+    count only below entries that some MS1 variable of this query marks, if it has one.
     """
     spark = t.survey.sparkSession
-    s_map = _maps(t.survey_long, "se_id")
-    f_map = _maps(t.frag_long, "fr_id")
+    samples = t.samples() if samples is None else samples
+    s_map, f_map = _maps(t.survey_long, "se_id", samples), _maps(t.frag_long, "fr_id", samples)
     out: dict[str, DataFrame] = {}
-    err = (F.col("mz") - F.col("target_mz")) / F.col("mz") * 1e6
+
+    def limited(v: Variable, d: DataFrame) -> DataFrame:
+        return d.where(F.col("mz").between(*v.options["MASSRANGE"])) if "MASSRANGE" in v.options else d
+
+    def finished(v: Variable, hit: DataFrame, measured: str) -> DataFrame:
+        factor = float(abs(v.charge or 1))
+        off = F.col(measured) - F.col("target_mz")
+        d = hit.withColumns({"errppm": off / F.col("mz") * F.lit(1e6 * factor), "errda": off * F.lit(factor)})
+        positive = F.aggregate(F.map_values("intensity"), F.lit(0.0), lambda a, x: a + (x > 0).cast("double"))
+        d = d.withColumn("occ", positive / F.lit(float(max(len(samples), 1))))
+        return d.where(F.col("occ").between(v.options.get("MINOCC", 0.0), v.options.get("MAXOCC", 1.0)))
+
     for name, (level, sign) in q.scopes.items():
         v = q.variables[name]
-        if level != 1:
-            continue
-        s = t.survey.where(F.col("polarity") == sign).select("se_id", "mz")
-        if "MASSRANGE" in v.options:
-            s = s.where(F.col("mz").between(*v.options["MASSRANGE"]))
-        hit = interval_join(s, targets(spark, v), _tolerance(v, tol), t.largest)
-        out[name] = hit.withColumn("errppm", err).join(s_map, "se_id")
+        if level == 1:
+            s = limited(v, t.survey.where(F.col("polarity") == sign).select("se_id", "mz"))
+            out[name] = finished(v, interval_join(s, targets(spark, v), _tolerance(v, tol), t.largest).join(s_map, "se_id"), "mz")
     gate = None
     for d in out.values():
         ids = d.select("se_id").distinct()
@@ -76,19 +103,38 @@ def marks(q: Query, t: Tables, tol: Tolerance, tol2: Tolerance) -> dict[str, Dat
         v = q.variables[name]
         if level == 1:
             continue
-        below = t.survey_frag if gate is None else t.survey_frag.join(gate, "se_id", "left_semi")
-        f = below.join(t.frag.where(F.col("polarity") == sign), "fr_id").join(t.survey.select("se_id", F.col("mz").alias("prec_mz")), "se_id")
+        f = limited(v, t.frag.where(F.col("polarity") == sign).select("fr_id", "mz"))
         if v.neutral_loss:
-            hit = neutral_loss_join(f.select("se_id", "fr_id", "mz", "prec_mz"), targets(spark, v), _tolerance(v, tol2), t.largest)
-            hit = hit.withColumn("errppm", (F.col("nl_mz") - F.col("target_mz")) / F.col("mz") * 1e6)
+            hit = neutral_loss_join(f.join(t.below(gate, f), "fr_id"), targets(spark, v), _tolerance(v, tol2), t.largest)
         else:
-            hit = interval_join(f.select("se_id", "fr_id", "mz", "prec_mz"), targets(spark, v), _tolerance(v, tol2), t.largest).withColumn("errppm", err)
-        out[name] = hit.join(f_map, "fr_id")
+            hit = interval_join(f, targets(spark, v), _tolerance(v, tol2), t.largest)
+            hit = hit.join(t.below(gate, hit), "fr_id")
+        out[name] = finished(v, hit.join(f_map, "fr_id"), "nl_mz" if v.neutral_loss else "mz")
+    if _mentions(q, "isobaric"):
+        # Marks of other variables of the query at the very same measured mass.
+        names = None
+        for k, d in out.items():
+            one = d.select("mz", F.lit(k).alias("_name")).distinct()
+            names = one if names is None else names.unionByName(one)
+        names = names.groupBy("mz").agg(F.array_sort(F.collect_set("_name")).alias("_all"))
+        out = {k: d.join(names, "mz").withColumn("isobaric", F.array_join(F.array_remove("_all", k), " @ ")).drop("_all") for k, d in out.items()}
+    else:
+        out = {k: d.withColumn("isobaric", F.lit("")) for k, d in out.items()}
     return {k: d.select("se_id", F.struct(*[c for c in d.columns if c != "se_id"]).alias(k)) for k, d in out.items()}
 
 
-def _maps(long: DataFrame, key: str) -> DataFrame:
-    return long.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sample", "i")))).alias("intensity"))
+def _mentions(q: Query, attribute: str) -> bool:
+    def seen(n: Node | None) -> bool:
+        return n is not None and ((n.kind == "attr" and n.value[1] == attribute) or any(seen(x) for x in n.args or []))
+
+    return seen(q.suchthat) or any(seen(e) for item in q.report for e in item.exprs)
+
+
+def _maps(long: DataFrame, key: str, samples: list[str]) -> DataFrame:
+    """Intensities of each key as a map of all samples, 0.0 where one lacks it."""
+    held = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("sample", "i"))).alias("_m"))
+    names = F.array(*[F.lit(x) for x in samples]) if samples else F.array().cast("array<string>")
+    return held.select(key, F.map_from_arrays(names, F.transform(names, lambda x: F.coalesce(F.try_element_at("_m", x), F.lit(0.0)))).alias("intensity"))
 
 
 def _presence(n: Node) -> Column:
@@ -181,19 +227,19 @@ class Compiler:
         if a in ("errppm", "error"):
             return Typed(f("errppm"), "num")
         if a == "errda":
-            return Typed(f("mz") - f("target_mz"), "num")
+            return Typed(f("errda"), "num")
         if a == "errres":
-            return Typed(scalar.divide(F.lit(1e6), f("errppm")), "num")
+            return Typed(F.when(f("errppm") == 0, F.lit(1e6)).otherwise(scalar.divide(F.lit(1e6), f("errppm"))), "num")
         if a == "mass":
             return Typed(f("mz"), "num")
         if a == "charge":
             return Typed(F.lit(float(self.q.variables[var].charge or 0)), "num")
         if a == "occ":
-            return Typed(scalar.divide(F.size(F.filter(F.map_values(f("intensity")), lambda v: v > 0)).cast("double"), F.size(f("intensity")).cast("double")), "num")
+            return Typed(f("occ"), "num")
         if a == "name":
             return Typed(F.lit(self.q.name), "str")
         if a == "isobaric":
-            return Typed(F.lit(""), "str")
+            return Typed(f("isobaric"), "str")
         level = self.q.scopes[var][0]
         if a in ("frsc", "nlsc", "frmass", "nlmass") and level == 2:
             mine = self.attr(var, "chemsc").counts
@@ -291,12 +337,19 @@ class Compiler:
         return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y, "==": x == y}[op]
 
 
-def run(q: Query, t: Tables, samples: list[str], tol: Tolerance, tol2: Tolerance | None = None) -> DataFrame:
-    """The report of a query: one row per binding that SUCHTHAT keeps; map items give a column per sample."""
+def run(q: Query, t: Tables, samples: list[str] | None, tol: Tolerance, tol2: Tolerance | None = None, permutations: bool = True) -> DataFrame:
+    """The report of a query: one row per binding that SUCHTHAT keeps; map items give a column per sample.
+
+    samples: all of the study (None: those of the tables).  Without ``permutations`` only the best
+    of the bindings of an entry with the same compositions stays.
+    """
+    samples = t.samples() if samples is None else samples
     comp = Compiler(q)
-    b = bindings(q, marks(q, t, tol, tol2 or tol))
+    b = bindings(q, marks(q, t, tol, tol2 or tol, samples))
     if q.suchthat is not None:
         b = b.where(F.coalesce(comp.cond(q.suchthat), F.lit(False)))
+    if not permutations:
+        b = without_permutations(b, list(q.scopes))
     cols = []
     for item in q.report:
         if item.fmt is not None:
@@ -314,6 +367,25 @@ def run(q: Query, t: Tables, samples: list[str], tol: Tolerance, tol2: Tolerance
     return b.select("se_id", *cols)
 
 
+def without_permutations(b: DataFrame, names: list[str]) -> DataFrame:
+    """i11: of an entry's bindings with the same compositions that whose marks have the most intensity per error."""
+    positive = lambda n: F.filter(F.map_values(f"{n}.intensity"), lambda v: v > 0)
+    mean = lambda n: F.when(F.size(positive(n)) > 0, F.aggregate(positive(n), F.lit(0.0), lambda a, v: a + v) / F.size(positive(n))).otherwise(F.lit(0.0))
+    score = sum((mean(n) / F.greatest(F.lit(1.0), F.abs(F.col(f"{n}.errppm"))) for n in names), F.lit(0.0))
+    d = b.withColumn("_set", F.array_sort(F.array(*[F.col(f"{n}.chemsc") for n in names])))
+    order = F.concat_ws("|", *[F.concat_ws("/", F.col(f"{n}.chemsc"), F.col(f"{n}.mz").cast("string")) for n in names])
+    return drop_permutations(d.withColumn("_o", order), ["se_id", "_set"], score, "_o").drop("_set", "_o")
+
+
+def with_tags(results: dict[str, DataFrame], entry: str = "se_id", composition: str = "chemsc") -> DataFrame:
+    """m08: one row per entry and composition over all queries, with the sorted names of the queries that found it."""
+    every = None
+    for name, r in results.items():
+        one = r.select(entry, composition, F.lit(name).alias("_q"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy(entry, composition).agg(F.array_join(F.array_sort(F.collect_set("_q")), ",").alias("tags"))
+
+
 def complement(t: Tables, results: list[DataFrame]) -> DataFrame:
     """j10, k05: entries that no query reports."""
     out = t.survey
