@@ -16,7 +16,7 @@ from .functions import scalar as X
 from .operators import aggregates as A
 from .operators import filters as O
 from .operators import fold, intervals, isotope
-from .plans import identify, lang
+from .plans import identify, importing, lang
 from .sources import sinks, spectra
 from .streaming import averages
 from .views import LARGEST, MAPS_SQL, SQL
@@ -232,6 +232,45 @@ query("a05_survey_passes")(lambda s, d: fold.survey(views.peaks(s, d).select("fl
 query("a07_collapse")(
     lambda s, d: fold.collapse_clusters(views.peaks(s, d).groupBy("flag", F.round("mz", 1).alias("mz")).agg(F.array_sort(F.collect_set("sample")).alias("samples")), ["flag"], 0.15).groupBy("flag", "merged").agg(F.count("*").alias("n"))
 )
+
+def _msms(s: SparkSession, d: str) -> DataFrame:
+    sc = views.scans(s, d).where("ms_level = 2").select("scan_id", F.col("target_mz").alias("prec_mz"))
+    return views.peaks(s, d).select("polarity", "sample", "scan_id", "mz", "i").join(sc, "scan_id")
+
+
+def _anchors(source: str, keys: str, value: str, name: str, window: str) -> str:
+    """SQL of the first values of greedy bins."""
+    return f"SELECT {keys}, unnest(list_reduce(list_transform(l, lambda v: [v]), lambda acc, v: CASE WHEN v[1] - acc[len(acc)] < {window} THEN acc ELSE list_append(acc, v[1]) END)) AS {name} FROM (SELECT {keys}, list_sort(list({value})) AS l FROM {source} GROUP BY ALL)"
+
+
+_MERGE_SQL = f"""{W}, x AS (SELECT p.polarity, p.sample, p.scan_id, s.target_mz AS prec_mz, p.mz, p.i FROM peaks p JOIN scans s USING (scan_id) WHERE s.ms_level = 2),
+sx AS (SELECT DISTINCT polarity, sample, scan_id, prec_mz FROM x), sr AS ({_anchors("sx", "polarity, sample", "prec_mz", "prec_first", "20")}),
+c AS (SELECT sx.*, prec_first FROM sx ASOF JOIN sr ON sx.polarity = sr.polarity AND sx.sample = sr.sample AND sx.prec_mz >= sr.prec_first),
+t AS (SELECT polarity, sample, prec_first, count(DISTINCT scan_id) AS n_scans, avg(prec_mz) AS prec FROM c GROUP BY ALL),
+y AS (SELECT x.polarity, x.sample, c.prec_first, x.scan_id, x.mz, x.i FROM x JOIN c USING (polarity, sample, scan_id, prec_mz)),
+fb AS ({_anchors("y", "polarity, sample, prec_first", "mz", "bin_first", "acc[len(acc)] / 2000")}),
+b AS (SELECT y.*, bin_first FROM y ASOF JOIN fb ON y.polarity = fb.polarity AND y.sample = fb.sample AND y.prec_first = fb.prec_first AND y.mz >= fb.bin_first),
+g AS (SELECT polarity, sample, prec_first, bin_first, sum(round(mz * 10000)::BIGINT * i::BIGINT)::BIGINT AS mz_sum, sum(mz * i) / sum(i) AS mz, sum(i) AS si, count(DISTINCT scan_id) AS n_hit FROM b GROUP BY ALL)"""
+query("a12_merge_msms", _MERGE_SQL + " SELECT polarity, sample, prec_first, bin_first, mz_sum, n_hit, n_scans FROM g JOIN t USING (polarity, sample, prec_first)")(
+    lambda s, d: importing.merge_msms(_msms(s, d), 20.0, RES, 1).select("polarity", "sample", "prec_first", "bin_first", F.round(F.col("mz") * F.col("i") * F.col("n_scans") * 10000).cast("long").alias("mz_sum"), "n_hit", "n_scans")
+)
+
+
+def _a09(s: SparkSession, d: str, passes: int) -> DataFrame:
+    frag, long = importing.align_msms(importing.merge_msms(_msms(s, d), 20.0, RES, passes), 20.0, RES, 4, passes, 0.5)
+    return long.join(frag.select("fr_id", "polarity"), "fr_id").groupBy("polarity", "sample").agg(F.count("*").alias("n"), rd(F.sum("i"), 3).alias("total"))
+
+
+query("a09_align_msms", _MERGE_SQL + f""", m AS (SELECT polarity, sample, prec_first, prec, mz, si / n_scans AS i FROM g JOIN t USING (polarity, sample, prec_first)),
+mp AS (SELECT DISTINCT polarity, sample, prec_first, prec FROM m), pr AS ({_anchors("mp", "polarity", "prec", "cluster_first", "20")}),
+pc AS (SELECT mp.*, cluster_first FROM mp ASOF JOIN pr ON mp.polarity = pr.polarity AND mp.prec >= pr.cluster_first),
+z AS (SELECT m.polarity, cluster_first, m.sample, m.mz, m.i FROM m JOIN pc USING (polarity, sample, prec_first)),
+zb AS ({_anchors("z", "polarity, cluster_first", "mz", "bin_first", "acc[len(acc)] / 2000")}),
+zz AS (SELECT z.*, bin_first FROM z ASOF JOIN zb ON z.polarity = zb.polarity AND z.cluster_first = zb.cluster_first AND z.mz >= zb.bin_first),
+ok AS (SELECT polarity, cluster_first, bin_first FROM zz GROUP BY ALL HAVING count(DISTINCT sample) >= 2),
+l AS (SELECT polarity, cluster_first, bin_first, sample, sum(i) AS i FROM zz JOIN ok USING (polarity, cluster_first, bin_first) GROUP BY ALL)
+SELECT polarity, sample, count(*) AS n, round(sum(i), 3) AS total FROM l GROUP BY ALL""")(lambda s, d: _a09(s, d, 1))
+query("a09_align_msms_passes")(lambda s, d: _a09(s, d, 3))
 query("a10_scan_average", W + ", n AS (SELECT sample, count(DISTINCT scan_id) AS ns FROM peaks GROUP BY 1) SELECT sample, floor(mz)::BIGINT AS bin, sum(round(mz * 10000)::BIGINT * i::BIGINT)::BIGINT AS mz_sum, round(sum(i) / ns, 6) AS i, count(DISTINCT scan_id) AS n_hit, ns AS n_scans FROM peaks JOIN n USING (sample) GROUP BY sample, bin, ns")(
     lambda s, d: A.scan_average(views.peaks(s, d).withColumn("bin", F.floor("mz")), ["sample", "bin"], views.peaks(s, d).groupBy("sample").agg(F.countDistinct("scan_id").alias("n_scans")), ["sample"]).select("sample", "bin", F.round(F.col("mz") * F.col("i") * F.col("n_scans") * 10000).cast("long").alias("mz_sum"), rd("i", 6).alias("i"), "n_hit", "n_scans")
 )
@@ -327,6 +366,11 @@ def _i03(s, d):
 query("i06_monoisotopic", M + "SELECT part, round(sum(i / 0.75), 4) AS total FROM long GROUP BY 1")(
     lambda s, d: views.sample_maps(s, d).select("part", rd(F.aggregate(F.map_values(isotope.monoisotopic(F.col("m"), F.lit(0.75))), F.lit(0.0), lambda a, v: a + v)).alias("total"))
 )
+query("i07_below_occupation", M + ", c AS (SELECT part, sample, greatest(i - 60, 0) AS i FROM long) SELECT part, sample, i FROM c WHERE part IN (SELECT part FROM c GROUP BY part HAVING count(*) FILTER (i > 0) >= 3)")(
+    lambda s, d: O.meets_occupation(
+        mono(s, d).groupBy(F.col("l_partkey").alias("part"), F.concat(F.lit("s"), F.col("l_suppkey") % 4).alias("sample")).agg(F.greatest(F.sum("l_quantity") - 60, F.lit(0.0)).alias("i")), ["part"], 4, 0.75
+    )
+)
 query("i10_isobaric", "WITH p AS (SELECT DISTINCT p_type AS name, p_size AS mz FROM part) SELECT a.name, a.mz, coalesce(string_agg(b.name, ' @ ' ORDER BY b.name), '') AS isobaric FROM p a LEFT JOIN p b ON a.mz = b.mz AND a.name <> b.name GROUP BY 1, 2")(
     lambda s, d: A.isobaric(s.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("name"), F.col("p_size").alias("mz")).distinct(), ["mz"], "name").select("name", "mz", "isobaric")
 )
@@ -439,10 +483,24 @@ query("k08_union_results", "SELECT r_name AS name, NULL::INT AS n_nationkey, 'a'
 query("o01_sorted_index", W + "SELECT peak_id, row_number() OVER (PARTITION BY sample ORDER BY mz, peak_id) AS idx FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", F.row_number().over(Window.partitionBy("sample").orderBy("mz", "peak_id")).cast("long").alias("idx")))
 query("o02_top_k", W + "SELECT peak_id, i FROM peaks ORDER BY i DESC, mz DESC, peak_id LIMIT 25")(lambda s, d: O.top_k(views.peaks(s, d), [F.desc("i"), F.desc("mz"), F.col("peak_id")], 25).select("peak_id", "i"))
 query("o04_first_per_key", W + "SELECT scan_id, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY i DESC, mz, peak_id) AS r FROM peaks) WHERE r = 1")(lambda s, d: O.first_per_key(views.peaks(s, d), ["scan_id"], [F.desc("i"), F.col("mz"), F.col("peak_id")]).select("scan_id", "peak_id"))
+query("o03_two_errors", W + "SELECT peak_id, target_id, row_number() OVER (PARTITION BY scan_id ORDER BY abs(mz - target_mz), time, peak_id, target_id) AS place FROM peaks JOIN targets ON abs(mz - target_mz) <= mz * 20 / 1e6")(
+    lambda s, d: intervals.interval_join(views.peaks(s, d), views.targets(s, d), PPM, LARGEST).select("peak_id", "target_id", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.abs(F.col("mz") - F.col("target_mz")), "time", "peak_id", "target_id")).cast("long").alias("place"))
+)
+query("o05_nearest_solution", W + _LAT + ", h AS (SELECT peak_id, 'C' || c || ' H' || h || ' O2' AS chemsc, row_number() OVER (PARTITION BY peak_id ORDER BY abs(p.mz - mz1), 'C' || c || ' H' || h || ' O2') AS r FROM peaks p JOIN ok ON abs(p.mz - mz1) <= p.mz * 20 / 1e6) SELECT peak_id, chemsc FROM h WHERE r = 1")(
+    lambda s, d: O.nearest_solution(intervals.interval_join(views.peaks(s, d), _lattice(s).select("chemsc", F.col("mz").alias("target_mz")), PPM, LARGEST), "peak_id").select("peak_id", "chemsc")
+)
 query("o06_lag", W + "SELECT peak_id, round(mz - lag(mz) OVER (PARTITION BY scan_id ORDER BY mz, peak_id), 6) AS diff FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", rd(F.col("mz") - F.lag("mz").over(Window.partitionBy("scan_id").orderBy("mz", "peak_id")), 6).alias("diff")))
 query("o07_quantile", W + "SELECT flag, round(quantile_cont(mz, 0.95), 6) AS q FROM peaks GROUP BY 1")(lambda s, d: views.peaks(s, d).groupBy("flag").agg(rd(F.percentile("mz", 0.95), 6).alias("q")))
 query("u02_intersect", W + "SELECT scan_id FROM peaks WHERE flag = 'A' INTERSECT SELECT scan_id FROM peaks WHERE flag = 'R'")(lambda s, d: views.peaks(s, d).where("flag = 'A'").select("scan_id").intersect(views.peaks(s, d).where("flag = 'R'").select("scan_id")))
 query("u03_except", W + "SELECT scan_id FROM peaks WHERE flag = 'A' EXCEPT SELECT scan_id FROM peaks WHERE flag = 'R'")(lambda s, d: views.peaks(s, d).where("flag = 'A'").select("scan_id").subtract(views.peaks(s, d).where("flag = 'R'").select("scan_id")))
+query("u05_concat", "SELECT p_type AS class, p_partkey AS specie FROM part UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT c_mktsegment, c_custkey FROM customer")(
+    lambda s, d: sinks.concat(
+        [s.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("class"), F.col("p_partkey").alias("specie")), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("specie"), F.lit("supplier").alias("class")), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_mktsegment").alias("class"), F.col("c_custkey").alias("specie"))]
+    )
+)
+query("u06_common_columns", "SELECT s_suppkey AS specie, s_nationkey AS class FROM supplier UNION ALL SELECT c_custkey, c_nationkey FROM customer")(
+    lambda s, d: sinks.concat(sinks.common_columns([s.read.parquet(f"{d}/{t}.parquet").select(F.col(f"{k}").alias("specie"), F.col(f"{n}").alias("class"), f"{x}") for t, k, n, x in (("supplier", "s_suppkey", "s_nationkey", "s_name"), ("customer", "c_custkey", "c_nationkey", "c_mktsegment"))]))
+)
 query("u04_tagged_union", W + "SELECT scan_id, string_agg(DISTINCT flag, ',' ORDER BY flag) AS tags FROM peaks GROUP BY 1")(lambda s, d: views.peaks(s, d).groupBy("scan_id").agg(F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("tags")))
 query("st_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(
     lambda s, d: averages.windowed(s.read.parquet(f"{d}/events.parquet"), "ts", "event_type", "value").withColumn("total", rd("total"))

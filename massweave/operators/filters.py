@@ -149,3 +149,16 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """o04: the first row of each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def nearest_solution(hits: DataFrame, key: str, mz: str = "mz", target: str = "target_mz", name: str = "chemsc") -> DataFrame:
+    """o05: of the hits of each key that with the least absolute error; ties go to the first name."""
+    cols = hits.columns
+    best = F.min_by(F.struct(*cols), F.struct(F.abs(F.col(mz) - F.col(target)), F.col(name)))
+    return hits.groupBy(F.col(key).alias("_k")).agg(best.alias("_r")).select("_r.*")
+
+
+def meets_occupation(long: DataFrame, keys: list[str], n_samples: int, least: float) -> DataFrame:
+    """i07: the rows of entries that, with the intensities they have now, are in a share ``least`` of the samples."""
+    per = long.where("i > 0").groupBy(*keys).agg(F.countDistinct("sample").alias("_n"))
+    return long.join(per.where(F.col("_n") >= F.lit(least * n_samples)).select(*keys), keys, "left_semi")

@@ -8,6 +8,8 @@ small table, so one sample's or polarity's masses are never sorted in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -72,22 +74,43 @@ def align(df: DataFrame, keys: list[str], tol: Tolerance, passes: int = 3, weigh
     Pieces of one block of islands are folded together, since bins never cross islands.
     Null masses must be filtered before.
     """
-    cut = islands(df, keys, tol, block, mz).withColumn("_g", F.floor(F.col("island") / block))
+    cut = islands(df, keys, tol, block, mz)
+    cols = df.columns
+    # Pieces come one behind the other, sorted, so that many small ones cost no more than few large ones.
+    cut = cut.withColumn("_g", F.xxhash64(*keys, F.floor(F.col("island") / block))).select(*cols, "_g")
     ship(df.sparkSession)
     schema = _added(df, "bin_mz", "bin_first")
-    cols = df.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([mz, *[c for c in cols if c not in (mz, *keys)]], kind="stable")
-        m, w = pdf[mz].to_numpy(float), pdf[i].to_numpy(float)
-        b = fold(m, w, tol, passes, weighted)
-        n = int(b.max()) + 1
+    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, w, g = pdf[mz].to_numpy(float), pdf[i].to_numpy(float), pdf["_g"].to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        b, n = np.zeros(len(m), np.int64), 0
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            b[lo:hi] = fold(m[lo:hi], w[lo:hi], tol, passes, weighted) + n
+            n = int(b[hi - 1]) + 1
         c = np.bincount(b, m * w, n) / np.bincount(b, w, n) if weighted else np.bincount(b, m, n) / np.bincount(b, minlength=n)
         first = np.full(n, np.inf)
         np.minimum.at(first, b, m)
         return pdf[cols].assign(bin_mz=c[b], bin_first=first[b])
 
-    return cut.groupBy(*keys, "_g").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the rows of a piece that is not complete
+        for pdf in batches:
+            g = pdf["_g"].to_numpy()
+            if held and len(g) and (g[0] != held[0]["_g"].iat[0]):
+                yield folded(pd.concat(held))
+                held = []
+            new = np.flatnonzero(g[1:] != g[:-1]) + 1
+            if len(new):
+                yield folded(pd.concat([*held, pdf.iloc[: new[-1]]]))
+                held, pdf = [], pdf.iloc[new[-1] :]
+            if len(pdf):
+                held.append(pdf)
+        if held:
+            yield folded(pd.concat(held))
+
+    order = ["_g", mz, *[c for c in cols if c not in (mz, *keys)]]
+    return cut.repartition("_g").sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 def survey(df: DataFrame, tol: Tolerance, keys: list[str], passes: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -65,3 +65,17 @@ def html_report(options: dict[str, object], queries: dict[str, str]) -> str:
     rows = "".join(f"<tr><td>{esc(k)}</td><td>{esc(v)}</td></tr>" for k, v in options.items())
     body = "".join(f"<h2>{esc(k)}</h2><pre>{esc(v)}</pre>" for k, v in queries.items())
     return f"<!DOCTYPE html><html><body><table>{rows}</table>{body}</body></html>"
+
+
+def common_columns(frames: list[DataFrame]) -> list[DataFrame]:
+    """u06: the frames with the columns that all of them have, in the order of the first."""
+    names = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
+    return [f.select(*names) for f in frames]
+
+
+def concat(frames: list[DataFrame]) -> DataFrame:
+    """u05: the rows of all frames, columns by name; what a frame lacks is null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
