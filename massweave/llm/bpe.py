@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 from .textvec import ALNUM, Words, slices
 
 #: Fixed value: the split of byte-level BPE into words.
@@ -457,7 +457,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", keep: int = LEXICON,
         top = total.most_common(proposed)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("_t")).mapInArrow(run, "w string, n bigint")
+    found = docs.select(F.col(text_col).cast("string").alias("_t")).mapInArrow(lean(run), "w string, n bigint")
     top = found.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(keep)
     return top.select("w").toArrow().column(0).to_pylist()
 
@@ -530,5 +530,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, names_)
 
     schema = f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(lean(run), schema)
     return out.withColumnRenamed("_id", id_col)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import drop, few, materialise, release, ship
+from .common import drop, few, lean, materialise, release, ship
 from .textvec import Words, list_array, shingle_sets, slices
 
 #: Members that are measured against a pivot by one task.
@@ -50,7 +50,7 @@ class Scheme:
     """Words of a shingle, the least similarity num/den of a link, and how the work is cut.
 
     leaf: members of a cell that is done by pairs; pivots: of a larger cell; sketch: bits of
-    the largest sketch (16 MB at 24).  The result is the same for any of them.
+    the largest sketch (8 MB at 23).  The result is the same for any of them.
     """
 
     k: int = 4
@@ -58,7 +58,7 @@ class Scheme:
     den: int = 100
     leaf: int = 64
     pivots: int = 4
-    sketch: int = 24
+    sketch: int = 23
 
     def lead(self, n):
         """Leading shingles of a set of n."""
@@ -114,7 +114,7 @@ def _named(docs: DataFrame, scheme: Scheme) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(v, pa.binary())], ["_id", "_h", "_n", "_node", "_v"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "_h", "_t").mapInArrow(run, f"_id {kind}, _h bigint, _n bigint, _node bigint, _v binary")
+    return docs.select("_id", "_h", "_t").mapInArrow(lean(run), f"_id {kind}, _h bigint, _n bigint, _node bigint, _v binary")
 
 
 def _sketch(docs: DataFrame, scheme: Scheme, shingles: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def _sketch(docs: DataFrame, scheme: Scheme, shingles: int) -> np.ndarray:
             yield done()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.select("_t").mapInArrow(count, "block int, c binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(add, "block int, c binary")
+    blocks = docs.select("_t").mapInArrow(lean(count), "block int, c binary").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lean(add), "block int, c binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in blocks.collect():  # 2**scheme.sketch small numbers at most
         out[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(row.c), np.uint8)
@@ -197,7 +197,7 @@ def _cells(docs: DataFrame, scheme: Scheme, classes) -> DataFrame:
                     node, n = np.array([node_of(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(node[doc]), pa.array(n[doc]), pa.array(at.astype(np.int32))], ["cell", "node", "n", "at"])
 
-    return docs.select("_t").mapInArrow(run, "cell bigint, node bigint, n int, at int")
+    return docs.select("_t").mapInArrow(lean(run), "cell bigint, node bigint, n int, at int")
 
 
 def _measure(pairs: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme, first: bool = False) -> DataFrame:
@@ -240,7 +240,7 @@ def _measure(pairs: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme,
             cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], list_array(list(cols[4]), pa.int32())], ["x", "p", "inter", "union", "first"])
 
-    done = materialise(dealt.mapInArrow(meet, "x bigint, p bigint, inter bigint, union bigint, first array<int>"), "measured")
+    done = materialise(dealt.mapInArrow(lean(meet), "x bigint, p bigint, inter bigint, union bigint, first array<int>"), "measured")
     drop(wanted)
     release(pairs.sparkSession)
     return done
@@ -257,7 +257,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     x, p = (reps.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("v").alias(f"v{k}")) for k in ("x", "p"))
-    return pairs.join(x, "x").join(p, "p").select("x", "p", "nx", "np", "vx", "vp").mapInArrow(keep, "x bigint, p bigint")
+    return pairs.join(x, "x").join(p, "p").select("x", "p", "nx", "np", "vx", "vp").mapInArrow(lean(keep), "x bigint, p bigint")
 
 
 def _fits(nx: Column, ny: Column, ax: Column, ay: Column, scheme: Scheme) -> Column:

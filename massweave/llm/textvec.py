@@ -44,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 18)
         for i, b in enumerate((_BASE, _BASE_INV)):
             p = np.full(m, b, np.uint64)
             p[0] = 1
@@ -52,7 +52,7 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array (null: empty) into runs of rows of about ``max_bytes``.
 
     Yields (first row, end row, byte buffer, offsets of the rows in the buffer).

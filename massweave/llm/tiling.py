@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 from .textvec import ALNUM, Words, slices, window_hashes
 
 #: Words of a seed, and of the shortest tile.
@@ -215,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 cols += [pa.array([m / w for m, w in zip(matched, words, strict=True)], pa.float64()), pa.array(n, pa.int64()), pa.array(longest, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["_id", "_item", "item_words", "matched_words", "coverage", "n_tiles", "longest_tile"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "item_words", "matched_words", "coverage", "n_tiles", "longest_tile")
 
@@ -236,5 +236,5 @@ def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 keep[[r[0] for r in found]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, ship
+from .common import lean, remainder, ship
 from .textvec import ALNUM, Words, list_array, slices
 
 #: Documents of each label in the training sample (the bound of the fit).
@@ -344,7 +344,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return score_batches(shared.value, batches)
 
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"_id {kind}, score double, span_starts array<bigint>, span_ends array<bigint>")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).mapInArrow(lean(run), f"_id {kind}, score double, span_starts array<bigint>, span_ends array<bigint>")
     return out.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "span_starts", "span_ends")
 
 
@@ -361,4 +361,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             s = next(score_batches(shared.value, iter([plain]), spans=False)).column(1).to_numpy()
             yield batch.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
