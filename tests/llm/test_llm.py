@@ -477,6 +477,30 @@ def test_license_suppression(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_license_rules_match_brute_force(spark):
+    """Every rule, by Python's own engine: each match is a detection unless it lies inside another."""
+    rng = random.Random(6)
+    notices = ["SPDX-License-Identifier: %s" % f[3] for f in licenses.FAMILIES]
+    notices += ["see http://www.%s now" % f[4].replace("\\", "").replace("?", "").replace(".{0,40}", "/x-").replace(".{0,20}", "3/").replace("(old-licenses/)", "").replace("(en-us/)", "").replace("(:old-licenses/)", "") for f in licenses.FAMILIES]
+    names = ["MIT License", "the MIT-licence", "BSD style license", "new BSD license", "Apache Software License, Version 1.1", "GNU Affero General Public License v3", "GNU General Public License version 2.0", "Creative Commons Attribution ShareAlike 3.0", "CC BY-NC 2.0", "cc-by-nc-sa", "zlib/libpng license", "The Unlicense", "Mozilla Public License 2.0", "PostgreSQL licence", "into the public domain", "All rights reserved"]
+    for n in names:
+        notices += [f"Licensed under the terms of the {n}", f"license: {n}", f"Permission is hereby granted to all {n}", n]
+    rows = [(i, " ".join(rng.choice(["foo", "bar", "\n", "lic", "\u00e9t\u00e9"]) for _ in range(rng.randint(0, 9))) + " " + " and ".join(rng.sample(notices, rng.randint(1, 4)))) for i in range(250)]
+    got = Counter((r.doc_id, r.start, r.end, r.label, r.priority) for r in licenses.detections(docs_of(spark, rows)).collect())
+    compiled = [(o, p, re.compile(pattern), label) for o, p, _, _, pattern, label, _ in licenses.rules()]
+    want, used = Counter(), set()
+    for i, t in rows:
+        low = t.translate(LOW)
+        spans = sorted({(m.start(), -m.end(), -p, o, label) for o, p, rx, label in compiled for m in rx.finditer(low) if m.end() > m.start()})
+        reach = -1
+        for start, end, p, o, label in spans:
+            if -end > reach:
+                want[i, start, -end, label, -p] += 1
+                used.add(o)
+            reach = max(reach, -end)
+    assert got == want and len(used) > 100
+
+
 # --- op7 -------------------------------------------------------------------------------
 
 
@@ -619,3 +643,42 @@ def test_token_attribution(spark):
             cross += any(starts[pos + 1 : pos + n])
             pos += n
         assert (out[i].section_tokens, out[i].n_tokens, out[i].n_crossing) == (want, len(every), cross)
+
+
+# --- pipeline ----------------------------------------------------------------------------
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """The whole pipeline against its stages' decisions, brute-force components and the tokenizer library; then over empty tables."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(600)]
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.randint(40, 120))) for _ in range(60)]
+    item = " ".join(rng.choice(vocab) for _ in range(60))
+    texts = [*base, *base[:8], base[9] + " tail", base[11] + " " + item, item, "short", "", None, " ".join(["same"] * 200)]
+    texts += [b + " vile rotten awful vile rotten" for b in base[20:40]]
+    rows = list(enumerate(texts))
+    docs = docs_of(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    toxic = {i: int("vile" in (t or "")) for i, t in rows}
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    clean = {r.doc_id for r in toxicity_crf.score(docs, toxicity_crf.fit(docs, labels)).collect() if not r.predicted}
+    left = docs.where(F.col("doc_id").isin(sorted(clean)))
+    good = {r.doc_id for r in quality_mcd.judge(left).collect() if r.kept}
+    comp = brute_components([(i, t) for i, t in rows if i in good], 5, 80)
+    firsts = {c for _, c in comp.values()}
+    leaky = {i for i in firsts if item in (texts[i] or "")}
+    assert leaky and len(firsts) < len(good) < len(clean) < len(rows)
+    assert out.keys() == firsts - leaky
+    lib = Tokenizer.from_file(tokenizer_path())
+    for i, r in out.items():
+        ids = lib.encode(texts[i], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
