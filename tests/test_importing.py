@@ -113,3 +113,52 @@ def test_from_scans_to_a_report(spark, tmp_path):
     assert abs(r["I:a"] - 100) < 1e-6 and abs(r["T:b"] - 50) < 1e-6
     none = importing.import_spectra(s.where("false"), p, importing.Options(Tolerance("ppm", 10), Tolerance("ppm", 10)))
     assert none.survey.count() == 0 and none.frag.count() == 0
+
+
+def test_survey_passes_match_brute_force(spark):
+    from massweave.operators import fold as operators
+
+    rng = random.Random(7)
+    data = [(f"s{rng.randrange(3)}", rng.uniform(100, 101), float(rng.randint(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame(data, "sample string, mz double, i double").selectExpr("'A' AS flag", "*")
+    tol = Tolerance("res", 20000)
+    stats, long = operators.survey(df, tol, ["flag"], 3)
+    want = fold([(m, i, s) for s, m, i in data], lambda m: m / 20000, 3, False)
+    assert sorted((round(r.bin_first, 9), r.n_peaks, round(r.mean, 9)) for r in stats.collect()) == sorted((round(min(p[0] for p in g), 9), len(g), round(sum(p[0] for p in g) / len(g), 9)) for g in want)
+    got = {(round(r.bin_first, 9), r.sample): r.i for r in long.collect()}
+    expected = defaultdict(float)
+    for g in want:
+        for _, i, s in g:
+            expected[(round(min(p[0] for p in g), 9), s)] += i
+    assert got == dict(expected)
+
+
+def test_collapse_over_a_table_matches_brute_force(spark):
+    from massweave.operators import fold as operators
+
+    rng = random.Random(3)
+    data = sorted({round(rng.uniform(100, 130), 2): rng.sample("abcde", rng.randint(1, 2)) for _ in range(300)}.items())
+    out = operators.collapse_clusters(spark.createDataFrame([("A", m, s) for m, s in data], "flag string, mz double, samples array<string>"), ["flag"], 0.15).collect()
+    want, have, first, last = {}, set(), None, None
+    for m, s in data:
+        if last is not None and m - last <= 0.15 and not have & set(s):
+            have |= set(s)
+        else:
+            have, first = set(s), m
+        want[m], last = first, m
+    assert {r.mz: r.merged for r in out} == want
+
+
+def test_quadratic_fit_and_kmeans(spark):
+    import numpy as np
+
+    from massweave import catalog
+    from massweave.operators import aggregates
+
+    x = np.linspace(0.1, 1, 40)
+    y = 3 - 2 * x + 0.5 * x * x + np.sin(50 * x) / 20
+    r = aggregates.quadratic_fit(spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double"), "x", "y").first()
+    assert np.allclose([r.c2, r.c1, r.c0], np.polyfit(x, y, 2), atol=1e-6)
+    d = "/root/testdata/sf0.001"
+    counts = [r.n for r in catalog.queries()["a16_kmeans"](spark, d).collect()]
+    assert 1 <= len(counts) <= 4 and sum(counts) == spark.read.parquet(f"{d}/embeddings.parquet").count()
