@@ -279,11 +279,14 @@ def fit(train: DataFrame, key_bits: int = KEY_BITS) -> tuple[Model, DataFrame, D
 
 
 def _pack(buf: np.ndarray, off: np.ndarray, rk: np.ndarray) -> bytes:
-    """A run of texts: their bytes, lengths and row keys."""
-    return b"".join([np.array([len(rk)], np.int64).tobytes(), np.asarray(off, np.int64).tobytes(), rk.astype(np.int64).tobytes(), buf.tobytes()])
+    """A run of texts, compressed: their number, offsets, row keys and bytes."""
+    raw = b"".join([np.array([len(rk)], np.int64).tobytes(), np.asarray(off, np.int64).tobytes(), rk.astype(np.int64).tobytes(), buf.tobytes()])
+    return np.array([len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blob = memoryview(blob)
+    raw = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, np.int64, 1)[0]), codec="zstd", asbytes=True)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     return np.frombuffer(raw, np.uint8, offset=16 + 16 * n), np.frombuffer(raw, np.int64, n + 1, 8), np.frombuffer(raw, np.int64, n, 16 + 8 * n)
 
@@ -427,6 +430,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     held = rare.join(counts.select("key", "c"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     sums = held.groupBy("rk").agg(F.sum(F.col("n") * F.log10((c + ADD) / F.lit(d))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("also"))
+    sums = materialise(sums, "rare")
+    drop(counts)
+    release(spark)
     runs = got.where(F.col("chunk").isNotNull())
     # The n-grams that travelled are dropped before the runs travel.
     levels = materialise(_read(runs, flt, model), "levels")
