@@ -197,7 +197,7 @@ query("j15_ladder", _ENT + " SELECT a.polarity, round(a.mz * 10)::BIGINT * a.pol
 query("j16_previous_ms1", W + ", t AS (SELECT scan_id, run, ms_level, max(CASE WHEN ms_level = 1 THEN scan_id END) OVER (PARTITION BY run ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trigger FROM scans) SELECT scan_id, trigger FROM t WHERE ms_level = 2")(
     lambda s, d: A.previous_ms1(views.scans(s, d), ["run"], ["scan_id"]).select("scan_id", "trigger")
 )
-query("j17_nearest_any", W + ", t AS (SELECT DISTINCT target_mz FROM targets), lo AS (SELECT peak_id, mz, target_mz AS lo FROM peaks ASOF LEFT JOIN t ON mz >= target_mz), hi AS (SELECT peak_id, target_mz AS hi FROM peaks ASOF LEFT JOIN t ON mz <= target_mz) SELECT peak_id, CASE WHEN hi IS NULL THEN lo WHEN lo IS NULL THEN hi WHEN mz - lo <= hi - mz THEN lo ELSE hi END AS target_mz FROM lo JOIN hi USING (peak_id)")(
+query("j17_nearest_any", W + ", t AS (SELECT DISTINCT target_mz FROM targets), lo AS (SELECT peak_id, mz, target_mz AS lo FROM peaks ASOF LEFT JOIN t ON mz >= target_mz), u AS (SELECT lo.*, target_mz AS hi FROM lo ASOF LEFT JOIN t ON lo.mz <= target_mz) SELECT peak_id, CASE WHEN hi IS NULL THEN lo WHEN lo IS NULL THEN hi WHEN mz - lo <= hi - mz THEN lo ELSE hi END AS target_mz FROM u")(
     lambda s, d: intervals.nearest_any(views.peaks(s, d), views.targets(s, d).select("target_mz").distinct(), "peak_id").select("peak_id", "target_mz")
 )
 query("j18_sibling", _ENT + " SELECT round(a.mz * 10)::BIGINT AS pos_key, -round(b.mz * 10)::BIGINT AS neg_key FROM e a JOIN e b ON a.polarity = 1 AND b.polarity = -1 AND abs(b.mz - (a.mz + 43.99)) <= 0.02")(
@@ -387,8 +387,8 @@ def _points(s, d):
 query("i12_calibration_points", _CAL + " SELECT sample, target_mz, round(shift, 6) AS shift FROM pts")(lambda s, d: _points(s, d).select("sample", "target_mz", rd("shift", 6).alias("shift")))
 query("i14_recalibrate", _CAL + """, p AS (SELECT peak_id, sample, mz FROM peaks),
 lo AS (SELECT p.peak_id, p.sample, p.mz, pts.target_mz AS x0, pts.shift AS y0 FROM p ASOF LEFT JOIN pts ON p.sample = pts.sample AND p.mz >= pts.target_mz),
-hi AS (SELECT p.peak_id, pts.target_mz AS x1, pts.shift AS y1 FROM p ASOF LEFT JOIN pts ON p.sample = pts.sample AND p.mz < pts.target_mz)
-SELECT peak_id, floor((mz - CASE WHEN x0 IS NULL AND x1 IS NULL THEN 0 WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (mz - x0) / (x1 - x0) END) * 1e6 + 0.5)::BIGINT AS micro_mz FROM lo JOIN hi USING (peak_id)""")(
+u AS (SELECT lo.*, pts.target_mz AS x1, pts.shift AS y1 FROM lo ASOF LEFT JOIN pts ON lo.sample = pts.sample AND lo.mz < pts.target_mz)
+SELECT peak_id, floor((mz - CASE WHEN x0 IS NULL AND x1 IS NULL THEN 0 WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (mz - x0) / (x1 - x0) END) * 1e6 + 0.5)::BIGINT AS micro_mz FROM u""")(
     lambda s, d: A.recalibrate(views.peaks(s, d), _points(s, d), ["sample"], LARGEST).select("peak_id", F.floor(F.col("mz") * 1e6 + 0.5).alias("micro_mz"))
 )
 query("i15_shift", W + "SELECT peak_id, round(mz + 0.0021, 6) AS mz FROM peaks")(lambda s, d: views.peaks(s, d).select("peak_id", rd(F.col("mz") + 0.0021, 6).alias("mz")))
