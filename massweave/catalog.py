@@ -80,7 +80,7 @@ SELECT se_id, max(occ) AS occ FROM o GROUP BY se_id HAVING max(occ) >= 0.5""")
 def _f11(s, d):
     long, n = occupied(s, d)
     base = long.groupBy("sample").agg(F.max("i").alias("base_peak"))
-    return O.occupation_percent(long.join(F.broadcast(base), "sample"), ["se_id"], 20, 0.5, n)
+    return O.occupation_percent(long.join(base, "sample"), ["se_id"], 20, 0.5, n)
 
 
 query("f12_scan_repetition", W + "SELECT floor(mz)::BIGINT AS bin, count(*) AS n_peaks FROM peaks GROUP BY 1 HAVING count(*) / 100.0 >= 0.6")(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def scan_average(binned: DataFrame, keys: list[str], total_scans: DataFrame, on: list[str]) -> DataFrame:
     """a10: per bin, intensity-weighted m/z and intensity over all scans (those without the peak too)."""
     g = binned.groupBy(*keys).agg((F.sum(F.col("mz") * F.col("i")) / F.sum("i")).alias("mz"), F.sum("i").alias("_s"), F.countDistinct("scan_id").alias("n_hit"))
-    return g.join(F.broadcast(total_scans), on).select(*keys, "mz", (F.col("_s") / F.col("n_scans")).alias("i"), "n_hit", "n_scans")
+    return g.join(total_scans, on).select(*keys, "mz", (F.col("_s") / F.col("n_scans")).alias("i"), "n_hit", "n_scans")
 
 
 def merge_within_scan(binned: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def error_summary(df: DataFrame, keys: list[str], err: str, i: str, q: float = 0
 def ion_statistics(df: DataFrame, sample: str, i: str, keys: list[str]) -> DataFrame:
     """a27: total ion count per sample (distinct positive values), share of it, mean and deviation over samples."""
     tic = df.where(F.col(i) > 0).select(sample, i).distinct().groupBy(sample).agg(F.sum(i).alias("tic"))
-    rel = df.join(F.broadcast(tic), sample).withColumn("_r", F.col(i) / F.col("tic"))
+    rel = df.join(tic, sample).withColumn("_r", F.col(i) / F.col("tic"))
     return rel.groupBy(*keys).agg(F.avg("_r").alias("mean_rel"), F.stddev_pop("_r").alias("std_rel"), F.count(F.lit(1)).alias("n"))
 
 

@@ -70,13 +70,13 @@ def occupation(long: DataFrame, keys: list[str], threshold: float, least: float,
 def occupation_value(long: DataFrame, keys: list[str], threshold: float, n_samples: DataFrame, factor: float = 1.0) -> DataFrame:
     """f10: share of samples above an absolute threshold per group."""
     ok = F.sum((F.col("i") * factor > F.lit(threshold) / F.sqrt("n_scans")).cast("int"))
-    return long.groupBy(*keys, "grp").agg(ok.alias("_ok")).join(F.broadcast(n_samples), "grp").select(*keys, "grp", (F.col("_ok") / F.col("n")).alias("occ"))
+    return long.groupBy(*keys, "grp").agg(ok.alias("_ok")).join(n_samples, "grp").select(*keys, "grp", (F.col("_ok") / F.col("n")).alias("occ"))
 
 
 def occupation_percent(long: DataFrame, keys: list[str], percent: float, least: float, n_samples: DataFrame) -> DataFrame:
     """f11: threshold in percent of the sample's base peak."""
     ok = F.sum((F.col("i") * 100 > F.lit(percent) * F.col("base_peak")).cast("int"))
-    g = long.groupBy(*keys, "grp").agg(ok.alias("_ok")).join(F.broadcast(n_samples), "grp").select(*keys, (F.col("_ok") / F.col("n")).alias("occ"))
+    g = long.groupBy(*keys, "grp").agg(ok.alias("_ok")).join(n_samples, "grp").select(*keys, (F.col("_ok") / F.col("n")).alias("occ"))
     return g.groupBy(*keys).agg(F.max("occ").alias("occ")).where(F.col("occ") >= least)
 
 

@@ -15,14 +15,14 @@ def union_results(results: dict[str, DataFrame]) -> DataFrame:
 
 
 def report_lines(results: dict[str, DataFrame], sep: str = ",", compress: bool = False, head: bool = True) -> DataFrame:
-    """k01: (ord1, ord2, line): head with the union of columns, a separator for each query, its rows."""
+    """k01: (ord1, ord2, line): head with the union of columns, a separator for each query, its rows in the order they have."""
     cols = list(dict.fromkeys(c for _, df in sorted(results.items()) for c in df.columns))
     parts = []
     for n, (name, df) in enumerate(sorted(results.items())):
         if not compress:
             parts.append(df.sparkSession.range(1).select(F.lit(n).alias("ord1"), F.lit(0).cast("long").alias("ord2"), F.lit(f"###,{name}").alias("line")))
         line = F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("") for c in cols])
-        parts.append(df.select(F.lit(n).alias("ord1"), F.lit(1).cast("long").alias("ord2"), line.alias("line")))
+        parts.append(df.select(F.lit(n).alias("ord1"), (F.monotonically_increasing_id() + 1).alias("ord2"), line.alias("line")))
     if head:
         spark = next(iter(results.values())).sparkSession
         parts.insert(0, spark.range(1).select(F.lit(-1).alias("ord1"), F.lit(0).cast("long").alias("ord2"), F.lit(sep.join(cols)).alias("line")))
@@ -31,7 +31,7 @@ def report_lines(results: dict[str, DataFrame], sep: str = ",", compress: bool =
 
 def write_report(results: dict[str, DataFrame], path: str, sep: str = ",") -> None:
     """k01: text files that, read in order of their names, are the report."""
-    report_lines(results, sep).orderBy("ord1", "ord2", "line").select("line").write.text(path)
+    report_lines(results, sep).orderBy("ord1", "ord2").select("line").write.text(path)
 
 
 def dump(survey_long: DataFrame, frag_long: DataFrame, bridge: DataFrame) -> DataFrame:

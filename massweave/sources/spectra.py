@@ -176,9 +176,10 @@ def filter_line_fields(line: Column) -> dict[str, Column]:
 
 
 def scans_of_peaks(peaks: DataFrame) -> DataFrame:
-    """s17: one row per scan of a flat peak list."""
+    """s17: one row per scan of a flat peak list; where its rows differ that with the least time and line."""
     f = filter_line_fields(F.col("filterLine"))
-    return peaks.select("scanNum", "filterLine", "retTime", *[c.alias(n) for n, c in f.items()]).dropDuplicates(["scanNum"])
+    first = peaks.groupBy("scanNum").agg(F.min(F.struct("retTime", "filterLine")).alias("_r")).select("scanNum", "_r.filterLine", "_r.retTime")
+    return first.select("scanNum", "filterLine", "retTime", *[c.alias(n) for n, c in f.items()])
 
 
 def read_dta(spark: SparkSession, path: str) -> DataFrame:

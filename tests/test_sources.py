@@ -43,3 +43,21 @@ def test_report_lines(spark):
     b = spark.createDataFrame([("y",)], "s string")
     lines = [r.line for r in sinks.report_lines({"a": a, "b": b}).orderBy("ord1", "ord2").collect()]
     assert lines == ["s,n", "###,a", "x,1", "###,b", "y,"]
+
+
+def test_report_keeps_the_order_of_rows(spark, tmp_path):
+    from massweave.sources import sinks
+
+    rows = [(f"name{9 - i}", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "specie string, n int").coalesce(1)
+    sinks.write_report({"q": df}, str(tmp_path / "report"))
+    lines = [x for f in sorted((tmp_path / "report").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == ["specie,n", "###,q", *[f"{a},{b}" for a, b in rows]]
+
+
+def test_scans_of_a_flat_peak_list(spark):
+    from massweave.sources import spectra
+
+    rows = [(1, "FTMS + p NSI Full ms [1-2]", 2.0), (1, "FTMS + p NSI Full ms [1-2]", 1.0), (2, "FTMS - p NSI Full ms2 404.39@hcd12.50 [1-2]", 3.0)]
+    out = spectra.scans_of_peaks(spark.createDataFrame(rows, "scanNum int, filterLine string, retTime double").repartition(3)).collect()
+    assert sorted((r.scanNum, r.retTime, r.ms_level, r.polarity, r.precursor) for r in out) == [(1, 1.0, 1, 1, None), (2, 3.0, 2, -1, 404.39)]
