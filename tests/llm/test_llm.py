@@ -568,6 +568,61 @@ def test_tiles_are_greedy():
         assert max((t[2] for t in got), default=0) == max(brute_tiles(a, b, 3), default=0)
 
 
+def brute_greedy(a, b, least):
+    """All tiles: the longest common run of unmarked tokens, of equal ones the first in a, then in b, again and again."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append((i, j, n))
+        for k in range(n):
+            free_a[i + k] = free_b[j + k] = False
+
+
+def test_tiles_match_brute_force():
+    rng = random.Random(17)
+    for _ in range(120):
+        a = [rng.randrange(1, 7) for _ in range(rng.randint(0, 24))]
+        b = [rng.randrange(1, 7) for _ in range(rng.randint(0, 40))]
+        got = tiling.tiles(np.array(a, np.uint64), np.array(b, np.uint64), np.ones(len(b), bool), 3)
+        assert got == brute_greedy(a, b, 3)
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(23)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwx") + rng.choice("xyz")
+    items = [(i, " ".join(word() for _ in range(rng.randint(2, 30)))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):  # pieces of an item, in any order
+            src = rng.choice(items)[1].split()
+            cut = sorted(rng.sample(range(len(src) + 1), 2)) if len(src) > 1 else [0, 1]
+            at = rng.randint(0, len(w))
+            w[at:at] = src[cut[0] : cut[1]]
+        rows.append((i, " ".join(w)))
+    want = set()
+    for i, t in rows:
+        for k, x in items:
+            a = x.split()
+            found = brute_greedy(a, t.split(), tiling.MIN_MATCH)
+            m = sum(n for *_, n in found)
+            if found and m >= tiling.COVERAGE * len(a):
+                want.add((i, k, len(a), m, len(found), found[0][2]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = tiling.leaks(docs_of(spark, rows), bench).collect()
+    assert len(want) > 10 and {(r.doc_id, r.item_id, r.item_words, r.matched_words, r.n_tiles, r.longest_tile) for r in out} == want
+
+
 def test_leaks(spark):
     item = " ".join(f"q{j}" for j in range(24))
     w = item.split()
