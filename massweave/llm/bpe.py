@@ -451,8 +451,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", keep: int = LEXICON,
                 raw = buf.tobytes()
                 for i, j, c in zip(starts[first[big]].tolist(), ends[first[big]].tolist(), n[big].tolist(), strict=True):
                     total[raw[i:j]] += c
-            if len(total) > 8 * proposed:
-                total = Counter(dict(total.most_common(4 * proposed)))
+            if len(total) > 4 * proposed:
+                total = Counter(dict(total.most_common(2 * proposed)))
         total = Counter({w.decode(): n for w, n in total.items()})
         top = total.most_common(proposed)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
