@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, bpe, jaccard_join, licenses, quality_mcd, tiling, token_spans, toxicity_crf, urlfilter, warc
+from . import bloom_lm, bpe, collocations, fagin, jaccard_join, licenses, quality_mcd, spelling, tiling, token_spans, toxicity_crf, urlfilter, warc
 from .common import remainder, table
 
 
@@ -73,6 +73,37 @@ def op10_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ","))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of all words of ``documents``."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fagin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of ``embeddings`` for each row whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return fagin.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language of ``documents``."""
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of a query and a row; ``list_transform`` gives the same integers as doubles.
+OP12_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_crf": op1_toxicity_crf,
@@ -85,8 +116,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_string_tiling": op8_string_tiling,
         "op9_bpe_transducer": op9_bpe_transducer,
         "op10_token_spans": op10_token_spans,
+        "op11_spelling": op11_spelling,
+        "op12_fagin_topk": op12_fagin_topk,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_fagin_topk": OP12_SQL}
