@@ -39,7 +39,9 @@ SCALE = 2_000_000
 #: Bytes of distinct pieces of a run; bytes of text for each bucket, and buckets at most (beyond that duckdb spills more).
 RUN_BYTES, BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 24 << 20, 1 << 13
 #: Memory of duckdb in a worker, in MB; what does not fit goes to the worker's own folder until the bucket is done.
-DUCKDB_MB = 192
+DUCKDB_MB = 128
+#: Rows that go into duckdb at once.
+INSERT = 1 << 17
 
 _STATE = "run long, bucket int, places binary, weights binary, x binary, y binary, words array<string>, langs array<string>, w binary, tokens array<long>"
 
@@ -161,28 +163,35 @@ def _count(least: int, level: int, answer: bool):
     """Counts of a partition's buckets: frequent n-grams with new ids, and for each run that asked the ids of its own."""
     key = "lang, word" if level == 1 else "x, y"
 
-    def asked(b: pa.RecordBatch) -> pa.Table:
-        parts = []
-        for r in b.to_pylist():
-            own = {"run": np.full(len(w := unpacked(r["w"])), r["run"], np.int64), "place": unpacked(r["places"]), "w": w}
-            parts.append(pa.table(own | ({"lang": pa.array(r["langs"], pa.string()), "word": pa.array(r["words"], pa.string())} if level == 1 else {"x": unpacked(r["x"]), "y": unpacked(r["y"])})))
-        return pa.concat_tables(parts)
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows (run, place, w, key) of some questions at once."""
+        parts, n = [], 0
+        for b in batches:
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                own = {"run": np.full(len(w := unpacked(r["w"])), r["run"], np.int64), "place": unpacked(r["places"]), "w": w}
+                parts.append(pa.table(own | ({"lang": pa.array(r["langs"], pa.string()), "word": pa.array(r["words"], pa.string())} if level == 1 else {"x": unpacked(r["x"]), "y": unpacked(r["y"])})))
+                n += len(w)
+                if n >= INSERT:
+                    yield pa.concat_tables(parts)
+                    parts, n = [], 0
+        if parts:
+            yield pa.concat_tables(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="ngrams-")
         try:
             with duckdb.connect(f"{folder}/n.db", config={"memory_limit": f"{DUCKDB_MB}MB", "temp_directory": f"{folder}/t", "threads": 1, "preserve_insertion_order": False}) as con:
                 con.execute(f"create table asked(run bigint, place bigint, w bigint, {'lang varchar, word varchar' if level == 1 else 'x bigint, y bigint'})")
-                for b in batches:
-                    if b.num_rows:
-                        con.register("part", asked(b))
-                        con.execute("insert into asked select * from part")
-                        con.unregister("part")
+                for part in asked(batches):
+                    con.register("part", part)
+                    con.execute("insert into asked select * from part")
+                    con.unregister("part")
                 base = TaskContext.get().partitionId() << 40
                 con.execute(f"create table grams as select {base} + row_number() over () as id, * from (select {key}, sum(w)::bigint as f from asked group by {key} having sum(w) >= {least})")
                 for g in con.execute(f"select id, {key}, f from grams").to_arrow_reader(1 << 16):
                     yield pa.RecordBatch.from_arrays([g.column(c.name) if c.name in g.schema.names else pa.nulls(g.num_rows, c.type) for c in _COUNTED_ARROW], schema=_COUNTED_ARROW)
-                for g in () if not answer else con.execute(f"select run, place, id from asked join grams using ({key}) order by run, place").to_arrow_reader(1 << 18):
+                for g in () if not answer else con.execute(f"select run, place, id from asked join grams using ({key}) order by run, place").to_arrow_reader(1 << 17):
                     runs = np.asarray(g.column(0))
                     cut = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
                     at, ids = np.asarray(g.column(1)), np.asarray(g.column(2))
