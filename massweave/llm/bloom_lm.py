@@ -3,8 +3,8 @@
 Counts of words and of word pairs are quantised on a logarithmic scale and stored as
 membership alone: an n-gram of level q is entered with each of the levels 1..q, and
 reading probes level after level until one is missing.  The filter holds every n-gram and
-grows with them, so it is not broadcast: it lies in groups of ranges of the n-grams' hash, one
-for each shuffle partition and as large as its n-grams need.  The hashes of a run of
+grows with them, so it is not broadcast: it lies in groups of ranges of the n-grams' hash, whose
+number follows the tokens, so that a group stays of one size.  The hashes of a run of
 texts travel to their groups, sorted and as differences, and the levels travel back.  The
 levels give the counts of an interpolated bigram model over all words.  Beside it stands the
 exact unigram score, whose counts of rare words come by a join.
@@ -29,6 +29,8 @@ HOT = 1 << 19
 KEY_BITS, PROBES = 12, 5
 #: Bits of an n-gram's hash: one in 2**45 / n pairs of n n-grams is confounded.
 HASH_BITS = 45
+#: Training tokens for each group of the filter (a group has at most twice as many n-grams, and is one task's).
+GROUP_TOKENS = 1 << 21
 #: Bytes of text whose n-grams are asked for together.
 RUN = 1 << 21
 #: Levels of a doubling of the count.
@@ -272,7 +274,7 @@ def fit(train: DataFrame, key_bits: int = KEY_BITS) -> tuple[Model, DataFrame, D
     end = F.col("key") == int(END)
     total, distinct, ends = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(end, F.col("c"))), F.lit(0))).first()
     hot, hot_count = _hot(single.where(~end))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-int(total) // GROUP_TOKENS))
     flt = _build(train, groups, key_bits)
     release(spark)
     return Model(hot, hot_count, int(total), int(distinct), int(ends), groups), flt, single
