@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, remainder, ship
+from .common import drop, lean, materialise, remainder, ship
 from .textvec import ALNUM, Words, list_array, slices
 
 #: Documents of each label in the training sample (the bound of the fit).
@@ -275,6 +275,17 @@ def train(texts: list[str | None], y: np.ndarray, epochs: int = 15) -> Model:
     return model
 
 
+def within(sizes: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Ids of (hash, id, bytes), in the order of the hash, that fit into ``most`` bytes; a text that does not fit is
+    skipped and the next ones are tried, so one long text costs no other.  If none fits, the shortest one is taken."""
+    out, left = [], most
+    for _, i, n in sorted(sizes):
+        if n <= left:
+            out.append(i)
+            left -= n
+    return out or [i for n, _, i in sorted((n, h, i) for h, i, n in sizes)[:1]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, folds: int = 5) -> Model:
     """Train on at most ``sample`` rows and ``sample_bytes`` bytes of each label whose id has a remainder other than 0.
 
@@ -289,10 +300,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_id")
     # One text for each id, whatever number of rows repeats it.
     rows = rows.groupBy("_id").agg(F.first("_y").alias("_y"), F.min(F.struct(F.xxhash64("_t").alias("h"), "_t"))["_t"].alias("_t"))
-    # Of a label's few rows the running sum of lengths; what exceeds the bound stays out.
-    w = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum(F.octet_length("_t")).over(w)).where(F.col("_sum") <= sample_bytes)
-    got = rows.select("_id", "_y", "_t").toArrow().to_pydict()
+    rows = materialise(rows, "labelled")  # ``sample`` of each label at most
+    sizes = rows.select("_id", "_y", F.octet_length("_t").alias("n"), F.xxhash64("_id").alias("h")).toArrow().to_pylist()
+    kept = {y: within([(r["h"], r["_id"], r["n"]) for r in sizes if r["_y"] == y], sample_bytes) for y in (0, 1)}
+    got = rows.where(F.col("_id").isin(kept[0] + kept[1])).select("_id", "_y", "_t").toArrow().to_pydict()
+    drop(rows)
     order = sorted(range(len(got["_id"])), key=lambda i: (got["_id"][i], got["_t"][i] or ""))
     return train([got["_t"][i] for i in order], np.array([got["_y"][i] for i in order], int))
 

@@ -216,3 +216,28 @@ def test_packed_integers():
 def test_cut_beyond_64_bits(spark):
     df = spark.createDataFrame([(2**62, [2**62, 2**62], [2**62, 2**62])], "a long, heads array<long>, tails array<long>")
     assert df.select(F.expr(collocations.weakest_cut(2)).alias("c")).first().c.score == 1_000_000
+
+
+# --- op1: the training sample ----------------------------------------------------------
+
+
+def test_one_long_text_costs_no_other():
+    from massweave.llm.toxicity_crf import within
+
+    assert within([(1, 10, 5), (2, 11, 900), (3, 12, 5), (4, 13, 91), (5, 14, 90)], 100) == [10, 12, 14]
+    assert within([(1, 10, 500), (2, 11, 400)], 100) == [11] and within([], 100) == []
+
+
+def test_fit_learns_beside_a_long_labelled_text(spark):
+    from massweave.llm import toxicity_crf
+
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(30)) + (" vile scum" if i % 2 else "")) for i in range(300)]
+    first = min((i for i, _ in rows if i % 2), key=lambda i: zlib.crc32(str(i).encode()))
+    rows = [(i, t + " " + "word " * 30000 if i == first else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity_crf.fit(docs, labels, sample_bytes=100_000)
+    got = {r.doc_id: r.predicted for r in toxicity_crf.score(docs, model).collect()}
+    assert sum(got[i] == i % 2 for i, _ in rows if i != first) > 290
