@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from massweave.llm import bpe, jaccard_join, quality_mcd, tiling, toxicity_crf
-from massweave.llm.common import materialise, table
+from massweave.llm.common import drop, materialise, table
 from massweave.llm.queries import tokenizer_path
 
 
@@ -50,5 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; returns the rows of the last one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        drop(before)  # the stage's own input is no longer read
     return docs
