@@ -1,9 +1,8 @@
 """Greedy anchor binning (alignment): exact, and parallel along gaps.
 
 A bin opens at its first mass and takes what follows while ``m - anchor < window(anchor)``.
-No bin spans a gap of a window or more, so masses are cut there and the pieces are
-folded apart.  Gaps are found per block of mass, with the borders of the blocks in a
-small table, so one sample's or polarity's masses are never sorted in one task.
+Masses are folded in blocks of bounded size, whose descriptions are chained (see :mod:`.blocks`), so
+no frame grows with the density of the masses.
 """
 
 from __future__ import annotations
@@ -12,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..chem import Tolerance
-from ..scratch import ship
+from ..scratch import drop, materialise, ship
+from . import blocks
 
 
 def greedy(m: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -68,49 +68,39 @@ def _added(df: DataFrame, *names: str) -> StructType:
     return StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
 
 
-def align(df: DataFrame, keys: list[str], tol: Tolerance, passes: int = 3, weighted: bool = False, block: float = 10.0, mz: str = "mz", i: str = "i") -> DataFrame:
+def align(df: DataFrame, keys: list[str], tol: Tolerance, passes: int = 3, weighted: bool = False, mz: str = "mz", i: str = "i", rows: int | None = None) -> DataFrame:
     """a01, a02: the rows with ``bin_mz`` (mean of the members' masses, or weighted) and ``bin_first`` (least mass).
 
-    Pieces of one block of islands are folded together, since bins never cross islands.
-    Null masses must be filtered before.
+    Each pass is a fold in blocks (see :mod:`.blocks`); later passes run over the centres of the
+    bins.  Null masses must be filtered before.
     """
-    cut = islands(df, keys, tol, block, mz)
-    cols = df.columns
-    # Pieces come one behind the other, sorted, so that many small ones cost no more than few large ones.
-    cut = cut.withColumn("_g", F.xxhash64(*keys, F.floor(F.col("island") / block))).select(*cols, "_g")
-    ship(df.sparkSession)
-    schema = _added(df, "bin_mz", "bin_first")
-
-    def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, w, g = pdf[mz].to_numpy(float), pdf[i].to_numpy(float), pdf["_g"].to_numpy()
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        b, n = np.zeros(len(m), np.int64), 0
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            b[lo:hi] = fold(m[lo:hi], w[lo:hi], tol, passes, weighted) + n
-            n = int(b[hi - 1]) + 1
-        c = np.bincount(b, m * w, n) / np.bincount(b, w, n) if weighted else np.bincount(b, m, n) / np.bincount(b, minlength=n)
-        first = np.full(n, np.inf)
-        np.minimum.at(first, b, m)
-        return pdf[cols].assign(bin_mz=c[b], bin_first=first[b])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # the rows of a piece that is not complete
-        for pdf in batches:
-            g = pdf["_g"].to_numpy()
-            if held and len(g) and (g[0] != held[0]["_g"].iat[0]):
-                yield folded(pd.concat(held))
-                held = []
-            new = np.flatnonzero(g[1:] != g[:-1]) + 1
-            if len(new):
-                yield folded(pd.concat([*held, pdf.iloc[: new[-1]]]))
-                held, pdf = [], pdf.iloc[new[-1] :]
-            if len(pdf):
-                held.append(pdf)
-        if held:
-            yield folded(pd.concat(held))
-
-    order = ["_g", mz, *[c for c in cols if c not in (mz, *keys)]]
-    return cut.repartition("_g").sortWithinPartitions(*order).mapInPandas(run, schema)
+    n, s = ("_w", "_ws") if weighted else ("_n", "_s")
+    first = blocks.anchored(df, keys, tol, mz, "_bin", rows)
+    cur = first.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), _exact(F.col(mz)).alias("_s"), _exact(F.col(i)).alias("_w"), _exact(F.col(mz) * F.col(i)).alias("_ws"))
+    cur, of = materialise(cur.withColumn("bin_first", F.col("_bin")), "bins"), None
+    for _ in range(passes - 1):
+        step = materialise(blocks.anchored(cur.withColumn("_c", F.col(s) / F.col(n)), keys, tol, "_c", "_next", rows), "bins")
+        drop(cur)
+        # What each bin of the first pass has become.
+        went = step.select(*keys, "_bin", "_next")
+        of = went if of is None else _matched(of.withColumnRenamed("_next", "_top"), went, keys, "_top", "_bin").select(*keys, "_bin", "_r__next").withColumnRenamed("_r__next", "_next")
+        sums = [F.sum("_n").alias("_n"), *[_exact(F.col(c)).alias(c) for c in ("_s", "_w", "_ws")]]
+        cur = materialise(step.groupBy(*keys, F.col("_next").alias("_bin")).agg(*sums, F.min("bin_first").alias("bin_first")), "bins")
+    found = cur.select(*keys, "_bin", (F.col(s) / F.col(n)).alias("bin_mz"), "bin_first")
+    if of is not None:
+        found = _matched(of, found, keys, "_next", "_bin").select(*keys, "_bin", F.col("_r_bin_mz").alias("bin_mz"), F.col("_r_bin_first").alias("bin_first"))
+    return _matched(first, found, keys, "_bin", "_bin").select(*df.columns, F.col("_r_bin_mz").alias("bin_mz"), F.col("_r_bin_first").alias("bin_first"))
+
+
+def _exact(c) -> Column:
+    """A sum that no order of the rows changes, so that bins are the same however rows are dealt."""
+    return F.sum(c.cast("decimal(32,12)")).cast("double")
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Rows with equal keys (null equals null) and ``a = b``; columns of the right side get the prefix ``_r_``."""
+    right = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
+    return left.join(right, [*[F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.col(a) == F.col(f"_r_{b}")])
 
 
 def survey(df: DataFrame, tol: Tolerance, keys: list[str], passes: int = 3) -> tuple[DataFrame, DataFrame]:
