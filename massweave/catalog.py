@@ -197,6 +197,11 @@ query("j15_ladder", _ENT + " SELECT a.polarity, round(a.mz * 10)::BIGINT * a.pol
 query("j16_previous_ms1", W + ", t AS (SELECT scan_id, run, ms_level, max(CASE WHEN ms_level = 1 THEN scan_id END) OVER (PARTITION BY run ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trigger FROM scans) SELECT scan_id, trigger FROM t WHERE ms_level = 2")(
     lambda s, d: A.previous_ms1(views.scans(s, d), ["run"], ["scan_id"]).select("scan_id", "trigger")
 )
+query("j16_trigger_peak", W + """, t AS (SELECT scan_id, target_mz, ms_level, max(CASE WHEN ms_level = 1 THEN scan_id END) OVER (PARTITION BY run ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trigger FROM scans),
+h AS (SELECT t.scan_id, p.mz, p.i, row_number() OVER (PARTITION BY t.scan_id ORDER BY abs(p.mz - t.target_mz), p.mz, p.i) AS r FROM t JOIN peaks p ON p.scan_id = t.trigger WHERE t.ms_level = 2)
+SELECT t.scan_id, trigger, h.mz AS peak_mz, h.i AS peak_i FROM t LEFT JOIN h ON t.scan_id = h.scan_id AND r = 1 WHERE t.ms_level = 2""")(
+    lambda s, d: A.trigger_peak(views.scans(s, d), views.peaks(s, d), ["run"], ["scan_id"]).select("scan_id", "trigger", "peak_mz", "peak_i")
+)
 query("j17_nearest_any", W + ", t AS (SELECT DISTINCT target_mz FROM targets), lo AS (SELECT peak_id, mz, target_mz AS lo FROM peaks ASOF LEFT JOIN t ON mz >= target_mz), u AS (SELECT lo.*, target_mz AS hi FROM lo ASOF LEFT JOIN t ON lo.mz <= target_mz) SELECT peak_id, CASE WHEN hi IS NULL THEN lo WHEN lo IS NULL THEN hi WHEN mz - lo <= hi - mz THEN lo ELSE hi END AS target_mz FROM u")(
     lambda s, d: intervals.nearest_any(views.peaks(s, d), views.targets(s, d).select("target_mz").distinct(), "peak_id").select("peak_id", "target_mz")
 )
@@ -336,6 +341,25 @@ query("a35_similarity", W + ", a AS (SELECT floor(mz)::BIGINT AS bin, sum(i) AS
 )
 
 
+query("a03_learnt_window")(lambda s, d: fold.learnt_align(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], 4).groupBy("flag", "bin_first").agg(F.count("*").alias("n"), rd(F.first("bin_mz"), 6).alias("bin_mz")))
+query("a06_survey_learnt_window")(
+    lambda s, d: fold.learnt_align(views.peaks(s, d).select("flag", "sample", "mz", "i"), ["flag"], 4, fold.Learnt(10.0, "below_mean")).groupBy("flag", "bin_first", "sample").agg(F.sum("i").alias("i"))
+)
+
+
+@query("a08_collapse_msms")
+def _a08(s, d):
+    one = views.peaks(s, d).groupBy("flag", F.round("mz", 1).alias("m"), "sample").agg(F.min("mz").alias("mass"), F.sum("i").alias("intensity"))
+    c = one.groupBy("flag", "m").agg(F.array_sort(F.collect_list(F.struct("sample", "mass", "intensity"))).alias("members")).withColumnRenamed("m", "mz")
+    out = fold.collapse_msms(c, ["flag"])
+    return out.groupBy("flag", F.array_min("members.mass").alias("least_mass"), F.size("members").alias("n")).agg(F.count("*").alias("n_clusters"))
+
+
+query("a19_chained_clusters", W + _FOLD.replace("< acc[len(acc)] / 2000", "<= acc[len(acc)] / 2000") + " SELECT p.flag, round(sum(round(mz * 10000)::BIGINT * i::BIGINT)::BIGINT / sum(i) / 10000, 6) AS mz, sum(i) AS i, count(*) AS n FROM peaks p ASOF JOIN b ON p.flag = b.flag AND p.mz >= b.bin_first GROUP BY p.flag, bin_first")(
+    lambda s, d: fold.chained_clusters(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], 2000).select("flag", rd("mz", 6).alias("mz"), "i", "n")
+)
+
+
 @query("a16_kmeans")
 def _a16(s, d):
     """a16: k-means (rows only: another start than the reference's)."""
@@ -356,11 +380,31 @@ def _i01(s, d):
     return isotope.patterns(s, f, {"C": "C", "H": "H", "O": "O"}).select("chemsc", *[rd(F.get("pattern", k), 6).alias(f"p{k}") for k in range(5)])
 
 
+def _patterned(s, df, *pairs):
+    """Patterns of compositions made of masses (a chain of CH2), one column for each (mass, name)."""
+    for mass, name in pairs:
+        n = F.greatest(F.round(F.col(mass) / 14.01565).cast("int"), F.lit(0))
+        df = df.withColumn("_c", n)
+        p = isotope.patterns(s, df.select(F.col("_c").alias("C"), (2 * F.col("_c")).alias("H")).distinct(), {"C": "C", "H": "H"})
+        df = df.join(p.select(F.col("C").alias("_c"), F.col("pattern").alias(name)), "_c").drop("_c")
+    return df
+
+
 @query("i03_isotope_correction")
 def _i03(s, d):
     e = views.peaks(s, d).groupBy("polarity", "sample", F.round("mz", 1).alias("mz")).agg(F.sum("i").alias("i"))
-    e = e.withColumn("se_id", F.round(F.col("mz") * 10).cast("long") * F.col("polarity")).withColumn("pattern", F.array(*[F.lit(x) for x in (1.0, 0.3, 0.06, 0.01, 0.001)]))
-    return isotope.correct(e, Tolerance("da", 0.02), LARGEST, ["polarity"]).select("se_id", "sample", rd("corrected").alias("corrected"))
+    e = _patterned(s, e.withColumn("se_id", F.round(F.col("mz") * 10).cast("long") * F.col("polarity")), ("mz", "pattern"))
+    e = e.join(isotope.reach(e, "se_id", 1.0, 0.5, 4), "se_id")
+    return isotope.correct(e, Tolerance("da", 0.02), ["polarity"]).select("se_id", "sample", rd("corrected").alias("corrected"))
+
+
+@query("i05_msms_correction")
+def _i05(s, d):
+    sc = views.scans(s, d).select("scan_id", F.round("target_mz").alias("prec_mz"))
+    e = views.peaks(s, d).where("ms_level = 2").join(sc, "scan_id").groupBy("polarity", "sample", "prec_mz", F.round("mz").alias("mz")).agg(F.sum("i").alias("i"))
+    e = _patterned(s, e.withColumn("_l", F.greatest(F.col("prec_mz") - F.col("mz"), F.lit(0.0))), ("mz", "fragment"), ("_l", "loss")).drop("_l")
+    e = e.withColumn("fr_id", F.xxhash64("polarity", "prec_mz", "mz"))
+    return isotope.correct_msms(e, Tolerance("da", 0.02), ["polarity"]).select("polarity", "sample", "prec_mz", "mz", rd("corrected").alias("corrected"))
 
 
 query("i06_monoisotopic", M + "SELECT part, round(sum(i / 0.75), 4) AS total FROM long GROUP BY 1")(

@@ -136,6 +136,17 @@ def previous_ms1(scans: DataFrame, part: list[str], order: list[str]) -> DataFra
     return scans.withColumn("trigger", F.last(F.when(F.col("ms_level") == 1, F.col("scan_id")), True).over(w)).where("ms_level = 2")
 
 
+def trigger_peak(scans: DataFrame, peaks: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """j16: for each MS2 scan the peak of the MS1 scan before it that is nearest to its precursor (ties: the smaller mass).
+
+    scans: scan_id, ms_level, target_mz; peaks: scan_id, mz, i.  A scan without such a peak has nulls.
+    """
+    found = previous_ms1(scans, part, order).select("scan_id", "target_mz", "trigger")
+    j = found.join(peaks.select(F.col("scan_id").alias("trigger"), "mz", "i"), "trigger")
+    near = j.groupBy("scan_id").agg(F.min(F.struct(F.abs(F.col("mz") - F.col("target_mz")).alias("off"), "mz", "i")).alias("_p"))
+    return found.join(near, "scan_id", "left").select("scan_id", "trigger", "target_mz", F.col("_p.mz").alias("peak_mz"), F.col("_p.i").alias("peak_i"))
+
+
 def shared_fragments(marks: DataFrame, key: list[str], entry: str) -> DataFrame:
     """j21: entries that share a mark."""
     return marks.groupBy(*key).agg(F.countDistinct(entry).alias("n_entries"), F.min(entry).alias("first_entry"), F.max(entry).alias("last_entry")).where("n_entries > 1")

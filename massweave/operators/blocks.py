@@ -18,8 +18,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from ..chem import Tolerance
@@ -181,59 +182,55 @@ def anchored(df: DataFrame, keys: list[str], tol: Tolerance, mz: str = "mz", out
     return packed.join(entries, "blk", "left").select("blk", "rows", "entry").select(F.col("blk"), "rows", "entry").mapInArrow(assign, full)
 
 
-def relay(packed: DataFrame, key: list[str], fold: Callable, new: str, kind: DataType) -> DataFrame:
+def relay(packed: DataFrame, key: list[str], fold: Callable, new: str, kind: DataType, forgets: bool = True) -> DataFrame:
     """The rows of a packed table with a column from a fold whose state passes from block to block.
 
-    ``fold(table, state)`` gets a run of rows of one key and the state of the run before it (None at first), and returns (values of
-    the column, state).  In a round each block whose entering state has changed runs, in parallel; blocks of a key whose entering
-    state no longer differs are done.  A block is final once those before it are, so rounds end; states that forget their past
-    soon need few.
+    ``fold(table, state)`` gets a run of rows of one key and the state of the run before it (None at first), and returns (values
+    of the column, state).  The states are small and travel pickled.  With ``forgets`` all blocks begin at once without a state, and a
+    round runs those again whose entering state has changed; a block is final once those before it are, so rounds end, and
+    states that soon forget their past need few.  Else a round runs the blocks whose predecessor is done: the n-th of each key together.
     """
-    spark = packed.sparkSession
     order = packed.select("blk", F.get("rows", 0).alias("a"), F.element_at("rows", -1).alias("z"))
-    same = lambda x, y: (F.struct(*[F.col(f"{x}.{k}") for k in key]).eqNullSafe(F.struct(*[F.col(f"{y}.{k}") for k in key])) if key else F.lit(True))
-    # The block before holds the same key: blocks of a key are neighbours in the order.
-    from pyspark.sql import Window
-
-    seq = order.select("blk", F.struct(*[F.col(f"a.{k}") for k in key], F.lit(0)).alias("a"), F.struct(*[F.col(f"z.{k}") for k in key], F.lit(0)).alias("z"))
-    w = Window.orderBy("blk")  # one short row for each block
-    seq = seq.withColumn("prev", F.lag("blk").over(w)).withColumn("p", F.lag("z").over(w))
-    seq = materialise(seq.select("blk", F.when(F.col("prev").isNotNull() & same("p", "a"), F.col("prev")).alias("prev")), "sequence")
+    ends = lambda c: F.struct(*[F.col(f"{c}.{k}") for k in key], F.lit(0).alias("_"))
+    w = Window.orderBy("blk")  # one short row for each block; those of a key are neighbours
+    seq = order.select("blk", ends("a").alias("a"), F.lag("blk").over(w).alias("prev"), F.lag(ends("z")).over(w).alias("p"))
+    seq = materialise(seq.select("blk", F.when(F.col("prev").isNotNull() & F.col("p").eqNullSafe(F.col("a")), F.col("prev")).alias("prev")), "sequence")
     fields = packed.schema["rows"].dataType.elementType.fields
 
+    def runs(b: pa.RecordBatch) -> Iterator[tuple[pa.Table, list[int], object]]:
+        for r in range(b.num_rows):
+            t = pa.Table.from_struct_array(b.column(1)[r].values).combine_chunks()
+            before = b.column(2)[r].as_py()
+            yield t, starts_of([t[k].combine_chunks() for k in key], t.num_rows).tolist(), None if before is None else pickle.loads(before)
+
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for r in range(b.num_rows):
-                t = pa.Table.from_struct_array(b.column(1)[r].values).combine_chunks()
-                starts = starts_of([t[k].combine_chunks() for k in key], t.num_rows)
-                before = b.column(2)[r].as_py() if len(starts) == 1 else None
-                got.append(pickle.dumps(fold(t.slice(int(starts[-1])), None if before is None else pickle.loads(before))[1]))
+            got = [pickle.dumps(fold(t.slice(starts[-1]), before if len(starts) == 1 else None)[1]) for t, starts, before in runs(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["blk", "exit"])
 
-    state = materialise(packed.select("blk", "rows", F.lit(None).cast("binary").alias("entry")).mapInArrow(exits, "blk long, exit binary").join(seq, "blk").select("blk", "prev", F.lit(None).cast("binary").alias("entry"), "exit"), "states")
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, starts, before in runs(b):
+                for a, z in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                    part = t.slice(a, z - a)
+                    values = fold(part, before if a == 0 else None)[0]
+                    yield from part.append_column(new, pa.array(values, to_arrow_type(kind))).to_batches()
+
+    def left(t: DataFrame, entries: DataFrame) -> DataFrame:
+        """The blocks of ``entries`` run from their entering states."""
+        return entries.join(t.join(few(entries), "blk").select("blk", "rows", "entry").mapInArrow(exits, "blk long, exit binary"), "blk").select("blk", "prev", "entry", "exit")
+
+    none = F.lit(None).cast("binary").alias("entry")
+    begin = seq.select("blk", "prev", none) if forgets else seq.where("prev is null").select("blk", "prev", none)
+    state = materialise(left(packed, materialise(begin, "due")), "states")
     while True:
-        entry = state.select(F.col("blk").alias("prev"), F.col("exit").alias("now"))
-        due = state.join(entry, "prev", "left").where(F.col("prev").isNotNull() & ~F.col("now").eqNullSafe(F.col("entry"))).select("blk", "prev", F.col("now").alias("entry"))
-        due = materialise(due, "due")
+        done = state.select(F.col("blk").alias("prev"), F.col("exit").alias("now"))
+        held = seq.where("prev is not null").join(done, "prev").join(state.select("blk", "entry", F.lit(True).alias("ran")), "blk", "left")
+        due = materialise(held.where(F.col("ran").isNull() | ~F.col("now").eqNullSafe(F.col("entry"))).select("blk", "prev", F.col("now").alias("entry")), "due")
         if due.isEmpty():
             drop(due)
             break
-        again = packed.join(few(due), "blk").select("blk", "rows", "entry").mapInArrow(exits, "blk long, exit binary")
-        fresh = due.join(again, "blk").select("blk", "prev", "entry", "exit")
-        nxt = materialise(state.join(due.select("blk"), "blk", "left_anti").unionByName(fresh), "states")
+        nxt = materialise(state.join(due.select("blk"), "blk", "left_anti").unionByName(left(packed, due)), "states")
         drop(state, due)
         state = nxt
-
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                t = pa.Table.from_struct_array(b.column(1)[r].values).combine_chunks()
-                starts = starts_of([t[k].combine_chunks() for k in key], t.num_rows)
-                before = b.column(2)[r].as_py()
-                for a, z in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
-                    part = t.slice(a, z - a)
-                    values, _ = fold(part, pickle.loads(before) if a == 0 and before is not None else None)
-                    yield from part.append_column(new, pa.array(values)).to_batches()
-
     return packed.join(few(state.select("blk", "entry")), "blk").select("blk", "rows", "entry").mapInArrow(final, StructType([*fields, StructField(new, kind)]))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..chem import Tolerance
 from ..scratch import ship
-from .intervals import ladder
+from . import blocks
 
 # Abundances of the isotopes at +0, +1, +2, ... nominal masses.
 ABUNDANCE = {
@@ -22,6 +22,8 @@ ABUNDANCE = {
     "S": (0.9493, 0.0076, 0.0429, 0.0, 0.0002),
 }
 TERMS = 5
+#: Fixed value: distance of neighbouring isotopes.
+SPACING = 1.0033
 
 
 def _power(p: np.ndarray, n: int) -> np.ndarray:
@@ -47,13 +49,6 @@ def pattern(counts: dict[str, int], normalised: bool = True) -> np.ndarray:
     return out / out[0] if normalised else out
 
 
-def pattern_matrix(fragment: dict[str, int], loss: dict[str, int]) -> np.ndarray:
-    """i02: products F_a N_b of the patterns of fragment and neutral loss, without sulphur."""
-    f = pattern({k: v for k, v in fragment.items() if k != "S"})
-    n = pattern({k: v for k, v in loss.items() if k != "S"})
-    return np.outer(f, n)
-
-
 def monoisotopic(m: Column, ratio: Column) -> Column:
     """i06: intensities divided by the monoisotopic share."""
     return F.transform_values(m, lambda _, v: v / ratio)
@@ -72,41 +67,107 @@ def patterns(spark, counts: DataFrame, cols: dict[str, str]) -> DataFrame:
     return counts.distinct().mapInPandas(run, schema)
 
 
-def correct(marked: DataFrame, tol: Tolerance, largest: float, keys: list[str], key: str = "se_id", mz: str = "mz") -> DataFrame:
-    """i03: subtract isotope overlap among marked entries in ascending m/z.
+def correct(marked: DataFrame, tol: Tolerance, keys: list[str], key: str = "se_id", mz: str = "mz", spacing: float = SPACING, rows: int | None = None) -> DataFrame:
+    """i03: subtract isotope overlap among the marked entries of a sample in ascending m/z.
 
-    marked: key, mz, sample, i, pattern (array of M+0..M+4 relative to M+0).  Entries are
-    joined to those one to four spacings above; connected ladders are corrected apart, each
-    in order, since a corrected intensity feeds the next.  Negative results become -1.
+    marked: keys, key, mz, sample, i, pattern (array of M+0..M+4 relative to M+0); optional charge
+    (entries stand ``spacing / charge`` apart) and reach (highest isotope that is subtracted, see
+    :func:`reach`).  A corrected intensity feeds the next ones, so the entries of the last four spacings
+    pass from block to block.  Negative results become -1, and such entries are no longer read.
     """
-    from .components import components
-
-    entries = marked.select(*keys, key, mz).distinct()
-    edges = ladder(entries, tol, largest, key=key, mz=mz, keys=keys)
-    comp = components(edges.select(F.col("base_key").alias("a"), F.col("iso_key").alias("b")))
-    m = marked.join(comp.select(F.col("node").alias(key), "comp"), key, "left").withColumn("comp", F.coalesce("comp", F.col(key)))
-    # The edges travel with their base entry.
-    out = edges.groupBy(F.col("base_key").alias(key)).agg(F.collect_list(F.struct("iso_key", "step")).alias("_to"))
-    m = m.join(out, key, "left")
-    cols = marked.columns
-    ship(marked.sparkSession)
-    schema = StructType([*marked.schema.fields, StructField("corrected", DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([mz, key], kind="stable").reset_index(drop=True)
-        val = pdf["i"].to_numpy(float).copy()
-        at = {(k, s): n for n, (k, s) in enumerate(zip(pdf[key], pdf["sample"], strict=True))}
-        for n in range(len(pdf)):
-            to = pdf["_to"].iat[n]
-            if to is None or val[n] <= 0:
+    has = [c for c in ("charge", "reach") if c in marked.columns]
+
+    def run(t: pa.Table, state: tuple | None) -> tuple[list, tuple]:
+        m = np.asarray(t[mz].combine_chunks(), float)
+        val = np.array(t["i"].combine_chunks(), float)
+        z = np.abs(np.asarray(t["charge"].combine_chunks(), float)) if "charge" in has else np.ones(len(m))
+        top = np.asarray(t["reach"].combine_chunks(), np.int64) if "reach" in has else np.full(len(m), TERMS - 1)
+        p = np.array(t["pattern"].to_pylist(), float).reshape(len(m), -1)
+        n = 0
+        if state is not None:
+            n = len(state[0])
+            m, val, z, top, p = (np.concatenate([x, y]) for x, y in zip(state, (m, val, z, top, p), strict=True))
+        widths = np.asarray(tol.width_of(m), float)
+        kinds = np.unique(z)
+        for k in range(n, len(m)):
+            if not val[k] > 0:
                 continue
-            p = pdf["pattern"].iat[n]
-            for e in to:
-                k = at.get((e["iso_key"], pdf["sample"].iat[n]))
-                if k is not None and val[k] > 0:
-                    val[k] -= val[n] * p[e["step"]]
+            bases = []
+            for c in kinds:
+                for step in range(1, p.shape[1]):
+                    at = m[k] - step * spacing / c
+                    lo, hi = np.searchsorted(m[:k], [at - 2 * widths[k], at + 2 * widths[k]])
+                    near = np.arange(lo, hi)
+                    near = near[(np.abs(m[k] - (m[near] + step * spacing / c)) <= widths[k]) & (z[near] == c) & (top[near] >= step) & (val[near] > 0)]
+                    bases += [(b, step) for b in near.tolist()]
+            for b, step in sorted(bases):
+                if val[k] > 0:
+                    val[k] -= val[b] * p[b, step]
                     if val[k] < 0:
                         val[k] = -1.0
-        return pdf[cols].assign(corrected=val)
-
-    return m.groupBy("comp").applyInPandas(run, schema)
+        keep = slice(int(np.searchsorted(m, m[-1] - TERMS * spacing)), None)
+        return val[n:].tolist(), tuple(x[keep] for x in (m, val, z, top, p))
+
+    by = [*keys, "sample"]
+    return blocks.relay(blocks.pack(marked, by, [mz, key], rows), by, run, "corrected", DoubleType(), forgets=False)
+
+
+def reach(marked: DataFrame, key: str, threshold: float, least: float, n_samples: int) -> DataFrame:
+    """Gate of i03: (key, reach), the highest isotope up to which the predicted intensities of an entry are above
+    the threshold in a share ``least`` of the samples."""
+    share = lambda k: F.sum((F.col("i") * F.get("pattern", F.lit(k)) > threshold).cast("int")) / F.lit(n_samples)
+    ok = marked.groupBy(key).agg(*[share(k).alias(f"s{k}") for k in range(1, TERMS)])
+    out = F.lit(0)
+    for k in range(TERMS - 1, 0, -1):
+        every = F.lit(True)
+        for j in range(1, k + 1):
+            every = every & (F.col(f"s{j}") >= least)
+        out = F.when(every & (out == 0), k).otherwise(out)
+    return ok.select(key, out.alias("reach"))
+
+
+def overlap_matrix(fragment: list[float], loss: list[float]) -> np.ndarray:
+    """i02: share of M+a's spectrum at fragment +b, relative to M's own fragment: F_b N_(a-b) (row a, column b)."""
+    f, n = np.asarray(fragment, float), np.asarray(loss, float)
+    out = np.zeros((TERMS, TERMS))
+    for a in range(TERMS):
+        out[a, : a + 1] = f[: a + 1] * n[a::-1][: a + 1]
+    return out / out[0, 0] if out[0, 0] else out
+
+
+def correct_msms(marked: DataFrame, tol: Tolerance, keys: list[str], tol1: Tolerance | None = None, key: str = "fr_id", spacing: float = SPACING, rows: int | None = None) -> DataFrame:
+    """i05: subtract the isotope overlap of marked fragments, in ascending precursor and fragment m/z.
+
+    marked: keys, key, prec_mz, mz, sample, i, fragment and loss (patterns of the fragment and of what the precursor lost).
+    The precursor's isotope +a has the fragment at +b, 0 <= b <= a, with the share F_b N_(a-b), so the entry at
+    (precursor + a, fragment + b) loses that share of the entry at (precursor, fragment), which is corrected before it.
+    The entries of the last four precursor spacings pass from block to block.  Negative results become -1.
+    """
+    first = tol1 or tol
+
+    def run(t: pa.Table, state: tuple | None) -> tuple[list, tuple]:
+        pm, m, val = (np.array(t[c].combine_chunks(), float) for c in ("prec_mz", "mz", "i"))
+        share = np.array([overlap_matrix(f, n) for f, n in zip(t["fragment"].to_pylist(), t["loss"].to_pylist(), strict=True)]).reshape(-1, TERMS, TERMS)
+        n = 0
+        if state is not None:
+            n = len(state[0])
+            pm, m, val, share = (np.concatenate([x, y]) for x, y in zip(state, (pm, m, val, share), strict=True))
+        w1, w2 = np.asarray(first.width_of(pm), float), np.asarray(tol.width_of(m), float)
+        for k in range(n, len(m)):
+            for a in range(TERMS - 1, 0, -1):  # precursors in ascending order
+                at = pm[k] - a * spacing
+                lo, hi = np.searchsorted(pm, [at - 2 * w1[k], at + 2 * w1[k]])
+                near = np.arange(lo, min(hi, k))
+                near = near[(np.abs(pm[k] - (pm[near] + a * spacing)) <= w1[k]) & (val[near] > 0)]
+                b = np.round((m[k] - m[near]) / spacing).astype(np.int64)
+                fits = (b >= 0) & (b <= a) & (np.abs(m[k] - (m[near] + b * spacing)) <= w2[k])
+                for x, y in zip(near[fits].tolist(), b[fits].tolist(), strict=True):
+                    if val[k] > 0:
+                        val[k] -= val[x] * share[x, a, y]
+                        if val[k] < 0:
+                            val[k] = -1.0
+        keep = slice(int(np.searchsorted(pm, pm[-1] - TERMS * spacing)), None)
+        return val[n:].tolist(), tuple(x[keep] for x in (pm, m, val, share))
+
+    by = [*keys, "sample"]
+    return blocks.relay(blocks.pack(marked, by, ["prec_mz", "mz", key], rows), by, run, "corrected", DoubleType(), forgets=False)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..chem import Tolerance
 from ..operators import fold
-from ..operators.aggregates import scan_average
+from ..operators.aggregates import calibration_points, recalibrate, scan_average
+from ..operators.filters import scan_threshold
 from ..operators.intervals import associate
 from ..scratch import materialise
 from .identify import Tables
@@ -34,6 +35,10 @@ class Options:
     occupation2: float = 0.0
     time: tuple[float, float] = (0.0, float("inf"))
     largest: float = 2000.0
+    shift: float = 0.0  # Da, added to all masses
+    calibration_ppm: float = 100.0  # reach of the reference masses
+    threshold: float = 0.0  # least intensity of an averaged peak, divided by the root of the scans
+    threshold2: float = 0.0
 
 
 def average_ms1(peaks: DataFrame, tol: Tolerance, passes: int = 3, least: float = 0.0) -> DataFrame:
@@ -89,22 +94,33 @@ def align_msms(merged: DataFrame, window: float, tol: Tolerance, n_samples: int,
     return frag, long
 
 
-def import_spectra(scans: DataFrame, peaks: DataFrame, o: Options) -> Tables:
-    """Readers' tables to query tables.
+def import_spectra(scans: DataFrame, peaks: DataFrame, o: Options, references: DataFrame | None = None, groups: DataFrame | None = None) -> Tables:
+    """The tables of :func:`..sources.spectra.scans_and_peaks` to query tables.
 
-    scans: sample, id, time (minutes), msLevel, positive_scan, target_mz; peaks: sample, id, m, i.
-    Peaks without intensity do not count.  Aligned tables are written, so jobs run when this is called.
+    scans: sample, scan_id, time (minutes), ms_level, polarity, target_mz; peaks: sample, scan_id, mz, i.
+    Masses are shifted by ``o.shift`` and, with ``references`` (target_mz), recalibrated per sample by its MS1
+    peaks.  With ``groups`` (sample, grp) an entry must be in a share of the samples of some group.  Peaks
+    without intensity do not count.  Aligned tables are written, so jobs run when this is called.
     """
-    s = scans.where((F.col("time") * 60).between(*o.time)).select("sample", F.col("id").alias("scan_id"), "msLevel", F.when(F.col("positive_scan"), 1).otherwise(-1).alias("polarity"), F.col("target_mz").alias("prec_mz"))
-    p = peaks.where("i > 0").select("sample", F.col("id").alias("scan_id"), F.col("m").alias("mz"), "i").join(s, ["sample", "scan_id"])
+    s = scans.where((F.col("time") * 60).between(*o.time)).select("sample", "scan_id", "ms_level", "polarity", F.col("target_mz").alias("prec_mz"))
+    p = peaks.where("i > 0").select("sample", "scan_id", (F.col("mz") + o.shift).alias("mz"), "i").join(s, ["sample", "scan_id"])
+    p = materialise(p, "peaks")  # read several times, and files are decoded once
+    if references is not None:
+        points = calibration_points(p.where("ms_level = 1"), references.select("target_mz").distinct(), o.calibration_ppm, o.largest, ["sample"])
+        p = recalibrate(p, materialise(points, "points"), ["sample"], o.largest)
     n = s.select("sample").distinct().count()
-    one = average_ms1(p.where("msLevel = 1"), o.ms1, o.passes, o.repetition)
+    own = s.select("sample").distinct().join(groups, "sample") if groups is not None else None
+    one = scan_threshold(average_ms1(p.where("ms_level = 1"), o.ms1, o.passes, o.repetition), o.threshold)
     a = materialise(fold.align(one.select("polarity", "sample", "mz", "i"), ["polarity"], o.ms1, o.passes).withColumn("se_id", F.xxhash64("polarity", "bin_first")), "survey")
-    survey = a.groupBy("se_id").agg(F.first("polarity").alias("polarity"), F.avg("mz").alias("mz"), F.countDistinct("sample").alias("_n")).where(F.col("_n") >= F.lit(o.occupation * n)).drop("_n")
-    survey = materialise(survey, "survey")
+    held = occupied(a, "se_id", o.occupation, n, own)
+    survey = materialise(a.groupBy("se_id").agg(F.first("polarity").alias("polarity"), F.avg("mz").alias("mz")).join(held, "se_id", "left_semi"), "survey")
     long = a.groupBy("se_id", "sample").agg(F.sum("i").alias("i")).join(survey.select("se_id"), "se_id", "left_semi")
-    two = p.where("msLevel = 2 and prec_mz is not null")
-    frag, frag_long = align_msms(merge_msms(two, o.selection, o.ms2, o.passes, o.repetition2), o.selection, o.ms2, n, o.passes, o.occupation2)
+    two = p.where("ms_level = 2 and prec_mz is not null").withColumn("prec_mz", F.col("prec_mz") + o.shift)
+    merged = scan_threshold(merge_msms(two, o.selection, o.ms2, o.passes, o.repetition2), o.threshold2)
+    frag, frag_long = align_msms(merged, o.selection, o.ms2, n, o.passes, 0.0 if own is not None else o.occupation2)
+    if own is not None:
+        held = occupied(frag_long, "fr_id", o.occupation2, n, own)
+        frag, frag_long = frag.join(held, "fr_id", "left_semi"), frag_long.join(held, "fr_id", "left_semi")
     frag = materialise(frag, "frag")
     clusters = frag.select("polarity", "cluster_first", F.col("cluster_mz").alias("prec")).distinct()
     near = associate(clusters, survey, o.selection, keys=["polarity"]).select("se_id", "polarity", "cluster_first")
@@ -112,6 +128,16 @@ def import_spectra(scans: DataFrame, peaks: DataFrame, o: Options) -> Tables:
     return Tables(survey, materialise(long, "survey_long"), frag, materialise(frag_long, "frag_long"), materialise(bridge, "bridge"), o.largest)
 
 
+def occupied(long: DataFrame, key: str, least: float, n: int, groups: DataFrame | None) -> DataFrame:
+    """Keys that are in a share ``least`` of the samples, or with ``groups`` of the samples of some group."""
+    have = long.select(key, "sample").distinct()
+    if groups is None:
+        return have.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= F.lit(least * n)).select(key)
+    size = groups.groupBy("grp").agg(F.countDistinct("sample").alias("_all"))
+    share = have.join(groups, "sample").groupBy(key, "grp").agg(F.count(F.lit(1)).alias("_n")).join(size, "grp")
+    return share.where(F.col("_n") >= F.lit(least) * F.col("_all")).select(key).distinct()
+
+
 def save(t: Tables, path: str) -> None:
     """k04: the aligned tables under one folder."""
     for name in ("survey", "survey_long", "frag", "frag_long", "survey_frag"):

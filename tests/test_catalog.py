@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 D = "/root/testdata/sf0.001"
-NAMES = ["f09_occupation", "f13_glob", "f16_map_against_map", "j01_interval", "j02_nearest", "j07_association", "j15_ladder", "j17_nearest_any", "m09_lattice", "a01_greedy_members", "a05_survey", "a32_resolution", "i14_recalibrate", "x07_sum_intensity", "x13_format", "k06_mztab", "m02_identify", "st_event_windows"]
+NAMES = ["f09_occupation", "f13_glob", "f16_map_against_map", "j01_interval", "j02_nearest", "j07_association", "j15_ladder", "j17_nearest_any", "m09_lattice", "a01_greedy_members", "a05_survey", "a19_chained_clusters", "j16_trigger_peak", "a32_resolution", "i14_recalibrate", "x07_sum_intensity", "x13_format", "k06_mztab", "m02_identify", "st_event_windows"]
 
 
 @pytest.fixture(scope="module")

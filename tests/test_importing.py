@@ -98,11 +98,11 @@ def test_from_scans_to_a_report(spark, tmp_path):
     for sample in "ab":
         for k in range(8):
             level = 1 if k % 2 == 0 else 2
-            scans.append((sample, f"s{k}", float(k), level, True, None if level == 1 else head + 0.1))
+            scans.append((sample, f"s{k}", float(k), level, 1, None if level == 1 else head + 0.1))
             near = lambda m: m * (1 + rng.uniform(-1e-6, 1e-6))
             peaks += [(sample, f"s{k}", near(head if level == 1 else tail), 100.0 if sample == "a" else 50.0), (sample, f"s{k}", 700.0 + rng.random(), 3.0)]
-    s = spark.createDataFrame(scans, "sample string, id string, time double, msLevel int, positive_scan boolean, target_mz double")
-    p = spark.createDataFrame(peaks, "sample string, id string, m double, i double")
+    s = spark.createDataFrame(scans, "sample string, scan_id string, time double, ms_level int, polarity int, target_mz double")
+    p = spark.createDataFrame(peaks, "sample string, scan_id string, mz double, i double")
     t = importing.import_spectra(s, p, importing.Options(Tolerance("ppm", 10), Tolerance("ppm", 10), repetition=0.6, repetition2=0.6, occupation=1.0))
     importing.save(t, str(tmp_path / "aligned"))
     t = importing.load(spark, str(tmp_path / "aligned"))
@@ -115,6 +115,45 @@ def test_from_scans_to_a_report(spark, tmp_path):
     assert none.survey.count() == 0 and none.frag.count() == 0
 
 
+def mzml(spectra):
+    """An mzML text of (index, level, precursor, [(mz, i), ...])."""
+    import base64
+    import struct
+
+    numbers = lambda v: base64.b64encode(struct.pack(f"<{len(v)}d", *v)).decode()
+    out = []
+    for k, level, prec, peaks in spectra:
+        own = f'<precursorList><precursor spectrumRef="s0"><isolationWindow><cvParam name="isolation window target m/z" value="{prec!r}"/></isolationWindow></precursor></precursorList>' if prec else ""
+        arrays = "".join(f'<binaryDataArray><cvParam name="64-bit float"/><cvParam name="no compression"/><cvParam name="{name}"/><binary>{numbers(v)}</binary></binaryDataArray>' for name, v in (("m/z array", [m for m, _ in peaks]), ("intensity array", [i for _, i in peaks])))
+        out.append(f'<spectrum index="{k}" id="s{k}"><cvParam name="ms level" value="{level}"/><cvParam name="positive scan"/><scanList><scan><cvParam name="scan start time" value="{k}" unitName="minute"/></scan></scanList>{own}<binaryDataArrayList>{arrays}</binaryDataArrayList></spectrum>')
+    return '<mzML xmlns="http://psi.hupo.org/ms/mzml"><run><spectrumList>' + "".join(out) + "</spectrumList></run></mzML>"
+
+
+def test_from_files_to_a_report(spark, tmp_path):
+    from massweave.sources import spectra as reader
+
+    rng = random.Random(2)
+    head = chem.Formula(chem.parse_formula("C30 H60 N1 O2").n, 1).mass()
+    tail = chem.Formula(chem.parse_formula("C9 H17 O1").n, 1).mass()
+    lock = 650.25
+    for sample, drift in (("a", 4e-3), ("b", -6e-3), ("c", 5e-3)):
+        near = lambda m: m + drift + rng.uniform(-1e-4, 1e-4)  # noqa: E731, B023
+        scans = [(k, 1 + k % 2, head if k % 2 else None, [(near(tail), 40.0)] if k % 2 else [(near(head), 100.0), (near(lock), 500.0)]) for k in range(8)]
+        (tmp_path / f"{sample}.mzML").write_text(mzml([x for x in scans if sample != "c" or x[1] == 1 or x[0] > 3]))
+    scans, peaks = reader.scans_and_peaks(reader.read_raw(spark, str(tmp_path)))
+    ppm = Tolerance("ppm", 6)
+    groups = spark.createDataFrame([("a.mzML", "g"), ("b.mzML", "g"), ("c.mzML", "h")], "sample string, grp string")
+    references = spark.createDataFrame([(lock,)], "target_mz double")
+    o = importing.Options(ppm, ppm, repetition=0.6, repetition2=0.6, occupation=1.0, occupation2=1.0, threshold=50.0, calibration_ppm=20.0)
+    t = importing.import_spectra(scans, peaks, o, references, groups)
+    q = "QUERYNAME = Tail; DEFINE h = 'C[20..40] H[40..80] N1 O[1..3]' WITH CHG = +1; DEFINE t = 'C9 H17 O1' WITH CHG = +1; IDENTIFY h IN MS1+ AND t IN MS2+ REPORT F = h.chemsc; I = h.intensity; T = t.intensity;;"
+    r = {r.F: r.asDict() for r in identify.run(lang.parse_query(q), t, None, ppm).collect()}["C30 H60 N1 O2"]
+    assert all(abs(r[f"I:{s}.mzML"] - 100) < 1e-6 and abs(r[f"T:{s}.mzML"] - 40) < 1e-6 for s in "abc")
+    # Without the references the drift of the samples keeps their masses apart.
+    apart = importing.import_spectra(scans, peaks, o)
+    assert apart.survey.count() == 0
+
+
 def test_survey_passes_match_brute_force(spark):
     from massweave.operators import fold as operators
 

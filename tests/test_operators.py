@@ -66,7 +66,7 @@ def test_isotope_pattern_and_cascade(spark):
     assert p[0] == 1.0 and abs(p[1] - 100 * 0.0107 / 0.9893) < 1e-9
     rows = [(1, 100.0, "s", 100.0), (2, 101.0033, "s", 60.0), (3, 102.0066, "s", 5.0), (4, 300.0, "s", 7.0)]
     df = spark.createDataFrame(rows, "se_id long, mz double, sample string, i double").withColumn("pattern", F.array(*[F.lit(x) for x in (1.0, 0.5, 0.1, 0.0, 0.0)]))
-    got = {r.se_id: r.corrected for r in isotope.correct(df, Tolerance("da", 0.01), 400.0, []).collect()}
+    got = {r.se_id: r.corrected for r in isotope.correct(df, Tolerance("da", 0.01), []).collect()}
     # 60 - 50 = 10; 5 - 10 (from the first) is negative, so -1.
     assert got == {1: 100.0, 2: 10.0, 3: -1.0, 4: 7.0}
 
