@@ -355,8 +355,8 @@ def _a08(s, d):
     return out.groupBy("flag", F.array_min("members.mass").alias("least_mass"), F.size("members").alias("n")).agg(F.count("*").alias("n_clusters"))
 
 
-query("a19_chained_clusters", W + _FOLD.replace("< acc[len(acc)] / 2000", "<= acc[len(acc)] / 2000") + " SELECT p.flag, round(sum(round(mz * 10000)::BIGINT * i::BIGINT)::BIGINT / sum(i) / 10000, 6) AS mz, sum(i) AS i, count(*) AS n FROM peaks p ASOF JOIN b ON p.flag = b.flag AND p.mz >= b.bin_first GROUP BY p.flag, bin_first")(
-    lambda s, d: fold.chained_clusters(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], 2000).select("flag", rd("mz", 6).alias("mz"), "i", "n")
+query("a19_chained_clusters", W + _FOLD.replace("< acc[len(acc)] / 2000", "<= acc[len(acc)] / 2000") + " SELECT p.flag, sum(round(mz * 10000)::BIGINT * i::BIGINT)::BIGINT AS mz_sum, sum(i) AS i, count(*) AS n FROM peaks p ASOF JOIN b ON p.flag = b.flag AND p.mz >= b.bin_first GROUP BY p.flag, bin_first")(
+    lambda s, d: fold.chained_clusters(views.peaks(s, d).select("flag", "mz", "i"), ["flag"], 2000).select("flag", F.round(F.col("mz") * F.col("i") * 10000).cast("long").alias("mz_sum"), "i", "n")
 )
 
 

@@ -9,6 +9,7 @@ sample; a sample that lacks an entry counts as 0.0 in every function and conditi
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..chem import MASSES, Constraint, Formula, Tolerance, lattice
 from ..functions import scalar
-from ..operators import filters
+from ..operators import filters, isotope
 from ..operators.aggregates import drop_permutations
 from ..operators.intervals import interval_join, neutral_loss_join
+from ..scratch import materialise
 from .lang import Node, Query, QueryError, Variable
 
 
@@ -123,6 +125,60 @@ def marks(q: Query, t: Tables, tol: Tolerance, tol2: Tolerance, samples: list[st
     return {k: d.select("se_id", F.struct(*[c for c in d.columns if c != "se_id"]).alias(k)) for k, d in out.items()}
 
 
+def without_overlap(q: Query, found: dict[str, DataFrame], tol: Tolerance, tol2: Tolerance) -> dict[str, DataFrame]:
+    """i03, i05, i07: marks with intensities less the isotopes of other marks of their polarity.
+
+    An entry that several formulas mark counts with their mean composition.  Fragments are corrected below entries that an
+    MS1 variable marks, since what the precursor lost is known there.  Used up intensities are 0, and
+    MINOCC and MAXOCC hold again afterwards.
+    """
+    elements = list(isotope.ABUNDANCE)
+    of_level = lambda n: [x for x in found if q.scopes[x][0] == n]
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    mean = lambda c: F.round(F.avg(c)).cast("int").alias(c)
+
+    def patterned(df: DataFrame, prefix: str, name: str) -> DataFrame:
+        cols = {e: f"{prefix}{e}" for e in elements}
+        p = isotope.patterns(df.sparkSession, df.select(*cols.values()), cols).withColumnRenamed("pattern", name)
+        return df.join(p, list(cols.values()))
+
+    def settled(fixed: DataFrame, key: list[str]) -> DataFrame:
+        return fixed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("sample", F.greatest("corrected", F.lit(0.0)).alias("i")))).alias("_i"))
+
+    def replaced(name: str, d: DataFrame) -> DataFrame:
+        held = F.coalesce("_i", F.col(f"{name}.intensity"))
+        share = F.aggregate(F.map_values(held), F.lit(0.0), lambda a, x: a + (x > 0).cast("double")) / F.greatest(F.size(held), F.lit(1))
+        options = q.variables[name].options
+        out = d.select("se_id", F.col(name).withField("intensity", held).withField("occ", share).alias(name))
+        return out.where(F.col(f"{name}.occ").between(options.get("MINOCC", 0.0), options.get("MAXOCC", 1.0)))
+
+    out = dict(found)
+    if not of_level(1):
+        return out
+    rows = union([found[x].select("se_id", F.lit(q.scopes[x][1]).alias("polarity"), f"{x}.mz", *[F.col(f"{x}.n_{e}").alias(f"n_{e}") for e in elements], f"{x}.intensity") for x in of_level(1)])
+    entries = rows.groupBy("se_id", "polarity").agg(F.first("mz").alias("mz"), F.first("intensity").alias("intensity"), *[mean(f"n_{e}") for e in elements])
+    entries = materialise(entries, "entries")
+    long = patterned(entries, "n_", "pattern").select("se_id", "polarity", "mz", "pattern", F.explode("intensity").alias("sample", "i"))
+    fixed = materialise(settled(isotope.correct(long, tol, ["polarity"]), ["se_id"]), "corrected")
+    for x in of_level(1):
+        out[x] = replaced(x, found[x].join(fixed, "se_id", "left"))
+    if of_level(2):
+        parts = []
+        for x in of_level(2):
+            own = found[x].join(entries.select("se_id", *[F.col(f"n_{e}").alias(f"p_{e}") for e in elements]), "se_id")
+            other = {e: F.greatest(F.col(f"p_{e}") - F.col(f"{x}.n_{e}"), F.lit(0)) for e in elements}
+            mine = {e: F.col(f"{x}.n_{e}") for e in elements}
+            fragment, loss = (other, mine) if q.variables[x].neutral_loss else (mine, other)
+            parts.append(own.select("se_id", f"{x}.fr_id", F.lit(q.scopes[x][1]).alias("polarity"), f"{x}.prec_mz", f"{x}.mz", f"{x}.intensity", *[fragment[e].alias(f"f_{e}") for e in elements], *[loss[e].alias(f"l_{e}") for e in elements]))
+        frags = union(parts).groupBy("se_id", "fr_id", "polarity", "prec_mz", "mz").agg(F.first("intensity").alias("intensity"), *[mean(f"{k}_{e}") for k in "fl" for e in elements])
+        frags = patterned(patterned(frags, "f_", "fragment"), "l_", "loss").select("se_id", "fr_id", "polarity", "prec_mz", "mz", "fragment", "loss", F.explode("intensity").alias("sample", "i"))
+        fixed = materialise(settled(isotope.correct_msms(frags, tol2, ["polarity"], tol), ["se_id", "fr_id"]), "corrected")
+        for x in of_level(2):
+            at = found[x].withColumn("fr_id", F.col(f"{x}.fr_id"))
+            out[x] = replaced(x, at.join(fixed, ["se_id", "fr_id"], "left"))
+    return out
+
+
 def _mentions(q: Query, attribute: str) -> bool:
     def seen(n: Node | None) -> bool:
         return n is not None and ((n.kind == "attr" and n.value[1] == attribute) or any(seen(x) for x in n.args or []))
@@ -337,15 +393,18 @@ class Compiler:
         return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y, "==": x == y}[op]
 
 
-def run(q: Query, t: Tables, samples: list[str] | None, tol: Tolerance, tol2: Tolerance | None = None, permutations: bool = True) -> DataFrame:
+def run(q: Query, t: Tables, samples: list[str] | None, tol: Tolerance, tol2: Tolerance | None = None, permutations: bool = True, isotopes: bool = False) -> DataFrame:
     """The report of a query: one row per binding that SUCHTHAT keeps; map items give a column per sample.
 
+    With ``isotopes`` the overlap of isotopes is subtracted from the marks before they are bound (:func:`without_overlap`).
+
     samples: all of the study (None: those of the tables).  Without ``permutations`` only the best
     of the bindings of an entry with the same compositions stays.
     """
     samples = t.samples() if samples is None else samples
     comp = Compiler(q)
-    b = bindings(q, marks(q, t, tol, tol2 or tol, samples))
+    found = marks(q, t, tol, tol2 or tol, samples)
+    b = bindings(q, without_overlap(q, found, tol, tol2 or tol) if isotopes else found)
     if q.suchthat is not None:
         b = b.where(F.coalesce(comp.cond(q.suchthat), F.lit(False)))
     if not permutations:

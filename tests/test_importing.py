@@ -201,3 +201,26 @@ def test_quadratic_fit_and_kmeans(spark):
     d = "/root/testdata/sf0.001"
     counts = [r.n for r in catalog.queries()["a16_kmeans"](spark, d).collect()]
     assert 1 <= len(counts) <= 4 and sum(counts) == spark.read.parquet(f"{d}/embeddings.parquet").count()
+
+
+def test_isotopes_are_subtracted_from_the_marks(spark):
+    from massweave.operators import isotope
+
+    formula = lambda c, h: chem.Formula(chem.parse_formula(f"C{c} H{h} N1 O2").n, 1)
+    one, two, tail = formula(30, 60), formula(30, 62), chem.Formula(chem.parse_formula("C9 H17 O1").n, 1)
+    p = isotope.pattern(one.counts).tolist()
+    # The second entry is the first with two more hydrogens; its mass is within 0.02 Da of the first one's M+2.
+    survey = spark.createDataFrame([(1, one.mass(), 1), (2, two.mass(), 1)], "se_id long, mz double, polarity int")
+    long = spark.createDataFrame([(1, "a", 1000.0), (2, "a", 1000.0 * p[2] + 40.0), (1, "b", 1000.0), (2, "b", 1000.0 * p[2] / 2)], "se_id long, sample string, i double")
+    m = isotope.overlap_matrix(isotope.pattern(tail.counts), isotope.pattern((one - tail).counts))
+    frag = spark.createDataFrame([(7, tail.mass(), 1), (8, tail.mass(), 1)], "fr_id long, mz double, polarity int")
+    frag_long = spark.createDataFrame([(7, "a", 500.0), (8, "a", 500.0 * float(m[2, 0]) + 9.0)], "fr_id long, sample string, i double")
+    bridge = spark.createDataFrame([(1, 7), (2, 8)], "se_id long, fr_id long")
+    t = identify.Tables(survey, long, frag, frag_long, bridge)
+    q = lang.parse_query("QUERYNAME = Q; DEFINE h = 'C30 H[60..62] N1 O2' WITH CHG = +1; DEFINE t = 'C9 H17 O1' WITH CHG = +1; IDENTIFY h IN MS1+ AND t IN MS2+ REPORT F = h.chemsc; I = h.intensity; T = t.intensity;;")
+    run = lambda flag: {r.F: r.asDict() for r in identify.run(q, t, None, Tolerance("da", 0.02), isotopes=flag).collect()}
+    raw, done = run(False)["C30 H62 N1 O2"], run(True)
+    assert raw["I:a"] > 50 and raw["T:a"] > 10
+    r = done["C30 H62 N1 O2"]
+    assert abs(r["I:a"] - 40) < 1e-6 and r["I:b"] == 0 and abs(r["T:a"] - 9) < 1e-6
+    assert done["C30 H60 N1 O2"]["I:a"] == 1000 and done["C30 H60 N1 O2"]["T:a"] == 500
