@@ -129,7 +129,24 @@ def _lattice(s: SparkSession) -> DataFrame:
     return chem.lattice(s, Constraint(_CONS.allowed, (0.5, 12.5), 1))
 
 
-query("m09_lattice", W + _LAT + " SELECT 'C' || c || ' H' || h || ' O2' AS chemsc, round(mz1, 6) AS mz, dbr FROM ok")(lambda s, d: _lattice(s).select("chemsc", rd("mz", 6).alias("mz"), "dbr"))
+#: Compositions of parts, one for each row.
+_COMP = """WITH comp AS (SELECT p_partkey, 20 + p_size AS c, 2 * (20 + p_size) + 1 - 2 * (p_partkey % 6) AS h FROM part),
+full_comp AS (SELECT *, 'C' || c || ' H' || h || ' O2' AS chemsc, (12.0 * c + 1.0078250321 * h + 2 * 15.9949146221)::DOUBLE AS mz0, ((2.0 + 2 * c - h) / 2)::DOUBLE AS dbr FROM comp)"""
+
+
+def _compositions(s: SparkSession, d: str) -> DataFrame:
+    """p_partkey, C, H, O of each part, with chemsc, mass, m/z and double bonds."""
+    c = F.col("p_size") + 20
+    t = s.read.parquet(f"{d}/part.parquet").select("p_partkey", c.cast("int").alias("C"), (2 * c + 1 - 2 * (F.col("p_partkey") % 6)).cast("int").alias("H"), F.lit(2).alias("O"))
+    n = {e: F.col(e) for e in "CHO"}
+    return t.withColumns({"chemsc": chem.text_column(n), "mass": chem.mass_column(n, 0), "mz": chem.mass_column(n, 1), "dbr": chem.dbr_column(n)})
+
+
+query("m09_lattice", _COMP + """, lat AS (SELECT p_partkey, c + a AS c, h + b AS h FROM comp, range(0, 3) x(a), range(0, 5) y(b)),
+f AS (SELECT *, (12.0 * c + 1.0078250321 * h + 2 * 15.9949146221)::DOUBLE AS mz0, ((2.0 + 2 * c - h) / 2)::DOUBLE AS dbr FROM lat)
+SELECT p_partkey, 'C' || c || ' H' || h || ' O2' AS chemsc, round(mz0 - 0.00055, 6) AS mz, dbr FROM f WHERE dbr BETWEEN 0.5 AND 12.5 AND (floor(mz0)::BIGINT % 2 = 1 OR h > 127)""")(
+    lambda s, d: chem.lattice_of(_compositions(s, d).select("p_partkey", F.col("C").alias("_c"), F.col("H").alias("_h")), {"C": (F.col("_c"), F.col("_c") + 2), "H": (F.col("_h"), F.col("_h") + 4), "O": (F.lit(2), F.lit(2))}, 1, (0.5, 12.5)).select("p_partkey", "chemsc", rd("mz", 6).alias("mz"), "dbr")
+)
 query("j03_formula_interval", W + _LAT + " SELECT peak_id, 'C' || c || ' H' || h || ' O2' AS chemsc FROM peaks p JOIN ok ON abs(p.mz - mz1) <= p.mz * 20 / 1e6")(
     lambda s, d: intervals.interval_join(views.peaks(s, d), _lattice(s).select("chemsc", F.col("mz").alias("target_mz")), PPM, LARGEST).select("peak_id", "chemsc")
 )
@@ -183,11 +200,11 @@ def _j14(s, d):
     return A.quantify(q, st, "specie", "class", "v").withColumn("quantity", rd("quantity", 6))
 
 
-_ENT = W + ", e AS (SELECT DISTINCT polarity, round(mz, 1) AS mz FROM peaks WHERE flag <> 'N')"
+_ENT = W + ", e AS (SELECT DISTINCT polarity, round(mz, 1) AS mz FROM peaks)"
 
 
 def _entries(s, d):
-    e = views.peaks(s, d).where("flag <> 'N'").select("polarity", F.round("mz", 1).alias("mz")).distinct()
+    e = views.peaks(s, d).select("polarity", F.round("mz", 1).alias("mz")).distinct()
     return e.withColumn("se_id", F.round(F.col("mz") * 10).cast("long") * F.col("polarity"))
 
 
@@ -317,8 +334,9 @@ def _a28(s, d):
 query("a29_total_row", W + "SELECT sample, round(sum(i), 2) AS i FROM peaks GROUP BY 1 UNION ALL SELECT 'total', round(sum(i), 2) FROM peaks")(
     lambda s, d: A.with_total(views.peaks(s, d).groupBy("sample").agg(F.sum("i").alias("i")), "sample", ["i"]).withColumn("i", rd("i", 2))
 )
-query("a30_pivot", W + "SELECT floor(mz)::BIGINT AS bin, round(coalesce(sum(i) FILTER (sample = 's0'), 0), 2) AS s0, round(coalesce(sum(i) FILTER (sample = 's1'), 0), 2) AS s1 FROM peaks GROUP BY 1")(
-    lambda s, d: views.peaks(s, d).groupBy(F.floor("mz").alias("bin")).pivot("sample", ["s0", "s1"]).agg(F.sum("i")).select("bin", *[rd(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("s0", "s1")])
+_SAMPLES = ("s0", "s1", "s2", "s3")
+query("a30_pivot", W + "SELECT floor(mz)::BIGINT AS bin, " + ", ".join(f"round(coalesce(sum(i) FILTER (sample = '{x}'), 0), 2) AS {x}" for x in _SAMPLES) + " FROM peaks GROUP BY 1")(
+    lambda s, d: views.peaks(s, d).groupBy(F.floor("mz").alias("bin")).pivot("sample", list(_SAMPLES)).agg(F.sum("i")).select("bin", *[rd(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in _SAMPLES])
 )
 query("a30_unpivot", "SELECT p_partkey, 'p_size' AS name, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")(
     lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice").unpivot("p_partkey", ["p_size", "p_retailprice"], "name", "value")
@@ -376,8 +394,9 @@ def _a16(s, d):
 
 @query("i01_isotope_patterns")
 def _i01(s, d):
-    f = _lattice(s).select("chemsc", "C", "H", "O")
-    return isotope.patterns(s, f, {"C": "C", "H": "H", "O": "O"}).select("chemsc", *[rd(F.get("pattern", k), 6).alias(f"p{k}") for k in range(5)])
+    f = _compositions(s, d).select("p_partkey", "C", "H", "O")
+    p = isotope.patterns(s, f.select("C", "H", "O"), {"C": "C", "H": "H", "O": "O"})
+    return f.join(p, ["C", "H", "O"]).select("p_partkey", *[rd(F.get("pattern", F.lit(k)), 6).alias(f"p{k}") for k in range(5)])
 
 
 def _patterned(s, df, *pairs):
@@ -407,8 +426,10 @@ def _i05(s, d):
     return isotope.correct_msms(e, Tolerance("da", 0.02), ["polarity"]).select("polarity", "sample", "prec_mz", "mz", rd("corrected").alias("corrected"))
 
 
-query("i06_monoisotopic", M + "SELECT part, round(sum(i / 0.75), 4) AS total FROM long GROUP BY 1")(
-    lambda s, d: views.sample_maps(s, d).select("part", rd(F.aggregate(F.map_values(isotope.monoisotopic(F.col("m"), F.lit(0.75))), F.lit(0.0), lambda a, v: a + v)).alias("total"))
+query("i06_monoisotopic", "WITH long AS (SELECT l_partkey AS p_partkey, sum(l_quantity) AS i FROM lineitem GROUP BY 1), comp AS (SELECT p_partkey, 20 + p_size AS c, 2 * (20 + p_size) + 1 - 2 * (p_partkey % 6) AS h FROM part) SELECT p_partkey, round(i / (pow(0.9893, c) * pow(0.999885, h) * pow(0.99757, 2)), 4) AS total FROM long JOIN comp USING (p_partkey)")(
+    lambda s, d: views.sample_maps(s, d).join(_compositions(s, d), F.col("part") == F.col("p_partkey")).select(
+        "p_partkey", rd(F.aggregate(F.map_values(isotope.monoisotopic(F.col("m"), isotope.share_column({e: F.col(e) for e in "CHO"}))), F.lit(0.0), lambda a, v: a + v)).alias("total")
+    )
 )
 query("i07_below_occupation", M + ", c AS (SELECT part, sample, greatest(i - 60, 0) AS i FROM long) SELECT part, sample, i FROM c WHERE part IN (SELECT part FROM c GROUP BY part HAVING count(*) FILTER (i > 0) >= 3)")(
     lambda s, d: O.meets_occupation(
@@ -448,13 +469,13 @@ query("x01_map_arithmetic", M + "SELECT part, round(sum(i / 2 + i), 4) AS total
 )
 
 
-@query("x02_formula_arithmetic", W + _LAT + " SELECT 'C' || c || ' H' || h || ' O2' AS chemsc, c - 27 AS \"C\", greatest(h - 45, 0) AS \"H\" FROM ok")
+@query("x02_formula_arithmetic", _COMP + " SELECT p_partkey, greatest(c - 27, 0) AS \"C\", greatest(h - 45, 0) AS \"H\" FROM comp")
 def _x02(s, d):
     f = chem.parse_formula("C27 H45").counts
-    return _lattice(s).select("chemsc", F.greatest(F.col("C") - f["C"], F.lit(0)).cast("long").alias("C"), F.greatest(F.col("H") - f["H"], F.lit(0)).cast("long").alias("H"))
+    return _compositions(s, d).select("p_partkey", *[F.greatest(F.col(e) - f[e], F.lit(0)).cast("long").alias(e) for e in "CH"])
 
 
-query("x03_weight_dbr", W + _LAT + " SELECT 'C' || c || ' H' || h || ' O2' AS chemsc, round(mz0, 6) AS mass, dbr FROM ok")(lambda s, d: _lattice(s).select("chemsc", rd(chem.mass_column({e: F.col(e) for e in ("C", "H", "O")}, 0), 6).alias("mass"), "dbr"))
+query("x03_weight_dbr", _COMP + " SELECT p_partkey, chemsc, round(mz0, 6) AS mass, dbr FROM full_comp")(lambda s, d: _compositions(s, d).select("p_partkey", "chemsc", rd("mass", 6).alias("mass"), "dbr"))
 query("x04_average", M + "SELECT part, round(avg(i), 6) AS v FROM long GROUP BY 1")(lambda s, d: views.sample_maps(s, d).select("part", rd(X.map_average(F.col("m")), 6).alias("v")))
 query("x05_medians", M + "SELECT part, list_sort(list(i))[count(*) // 2 + 1] AS upper, list_sort(list(i))[(count(*) - 1) // 2 + 1] AS lower FROM long GROUP BY part")(
     lambda s, d: views.sample_maps(s, d).select("part", X.median_upper(F.map_values("m")).alias("upper"), X.median_lower(F.map_values("m")).alias("lower"))
@@ -468,8 +489,8 @@ query("x11_to_standard", M + "SELECT a.part, round(sum(a.i / b.i), 6) AS v FROM
     lambda s, d: (lambda m: m.join(F.broadcast(m.where("part = 1").select(F.explode("m").alias("k", "sv"))), F.lit(True)).where(F.map_contains_key("m", F.col("k"))).groupBy("part").agg(rd(F.sum(X.relative_to_standard(F.element_at("m", F.col("k")), F.col("sv"))), 6).alias("v")))(views.sample_maps(s, d))
 )
 query("x12_parity", "SELECT p_partkey, p_size % 2 = 0 AS even, p_size % 2 = 1 AS odd, (p_size * p_size)::DOUBLE AS sq FROM part")(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", X.is_even(F.col("p_size")).alias("even"), X.is_odd(F.col("p_size")).alias("odd"), X.square(F.col("p_size")).alias("sq")))
-query("x13_format", W + _LAT + " SELECT printf('FA %d:%d', c - 3, trunc(dbr)::BIGINT) AS name, printf('%.2f', mz1) AS mz FROM ok")(
-    lambda s, d: _lattice(s).select(X.printf("FA %d:%d", [(F.col("C") - 3, "num"), (F.col("dbr"), "num")]).alias("name"), X.printf("%.2f", [(F.col("mz"), "num")]).alias("mz"))
+query("x13_format", _COMP + " SELECT p_partkey, printf('FA %d:%d', c - 3, trunc(dbr)::BIGINT) AS name, printf('%.2f', mz0 - 0.00055) AS mz FROM full_comp")(
+    lambda s, d: _compositions(s, d).select("p_partkey", X.printf("FA %d:%d", [(F.col("C") - 3, "num"), (F.col("dbr"), "num")]).alias("name"), X.printf("%.2f", [(F.col("mz"), "num")]).alias("mz"))
 )
 query("x14_names", "SELECT p_brand, string_agg(DISTINCT p_type, ' @ ' ORDER BY p_type) AS names FROM part GROUP BY 1")(lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy("p_brand").agg(F.collect_set("p_type").alias("n")).select("p_brand", X.join_names(F.col("n")).alias("names")))
 query("x17_minmax", "SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 6) AS v FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")(
@@ -488,7 +509,7 @@ query("s02_scan_list", W + "SELECT time, target_mz FROM scans WHERE time BETWEEN
 query("s02_time_span", W + "SELECT min(time) AS first, max(time) AS last FROM scans")(lambda s, d: spectra.time_span(views.scans(s, d)))
 query("s03_xic", W + ", p AS (SELECT scan_id, sum(i) AS i FROM peaks WHERE mz BETWEEN 100 AND 300 GROUP BY 1) SELECT scan_id, s.time, coalesce(p.i, 0) AS i FROM scans s LEFT JOIN p USING (scan_id) WHERE ms_level = 1 AND time BETWEEN 0 AND 50")(lambda s, d: spectra.xic(views.scans(s, d), views.peaks(s, d), 0, 50, 100, 300))
 query("s04_closest", W + "SELECT peak_id, mz FROM peaks ORDER BY abs(mz - 512.345), mz LIMIT 1")(lambda s, d: spectra.closest(views.peaks(s, d), "mz", 512.345).select("peak_id", "mz"))
-query("s16_target_list", W + _LAT + " SELECT 'C' || c || ' H' || h || ' O2' AS chemsc, round(mz1, 6) AS mz FROM ok")(lambda s, d: _lattice(s).select("chemsc", rd("mz", 6).alias("mz")))
+query("s16_target_list", _COMP + " SELECT DISTINCT chemsc, round(mz0 - 0.00055, 6) AS mz FROM full_comp")(lambda s, d: _compositions(s, d).select("chemsc", rd("mz", 6).alias("mz")).distinct())
 
 
 @query("s17_filter_line", W + "SELECT scan_id, ms_level, polarity, CASE WHEN ms_level = 2 THEN round(target_mz, 2) END AS precursor FROM scans")

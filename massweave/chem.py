@@ -195,6 +195,18 @@ def lattice(spark: SparkSession, c: Constraint, parity: bool = True) -> DataFram
     return df
 
 
+def lattice_of(df: DataFrame, ranges: dict[str, tuple[Column, Column]], charge: int = 0, dbr: tuple[float, float] | None = None, parity: bool = True) -> DataFrame:
+    """m09 over a table of constraints: the rows of ``df`` with every formula of their own ranges of counts (both ends
+    included): one column per element, chemsc, mz and dbr."""
+    for e, (lo, hi) in ranges.items():
+        df = df.where(lo <= hi).withColumn(e, F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+    n = {e: F.col(e) for e in ranges}
+    df = df.withColumns({"chemsc": text_column(n), "mz": mass_column(n, charge), "dbr": dbr_column(n)})
+    if dbr is not None:
+        df = df.where(F.col("dbr").between(*dbr))
+    return df.where(parity_column(n, charge, mass_column(n, 0))) if parity else df
+
+
 @dataclass
 class Tolerance:
     """A window as a function of mass: Da, ppm, or resolution with a slope."""

@@ -49,6 +49,15 @@ def pattern(counts: dict[str, int], normalised: bool = True) -> np.ndarray:
     return out / out[0] if normalised else out
 
 
+def share_column(counts: dict[str, Column]) -> Column:
+    """Share of the molecules without a heavy isotope, from element counts."""
+    out = F.lit(1.0)
+    for e, n in counts.items():
+        if e in ABUNDANCE:
+            out = out * F.pow(F.lit(ABUNDANCE[e][0]), n)
+    return out
+
+
 def monoisotopic(m: Column, ratio: Column) -> Column:
     """i06: intensities divided by the monoisotopic share."""
     return F.transform_values(m, lambda _, v: v / ratio)

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 D = "/root/testdata/sf0.001"
-NAMES = ["f09_occupation", "f13_glob", "f16_map_against_map", "j01_interval", "j02_nearest", "j07_association", "j15_ladder", "j17_nearest_any", "m09_lattice", "a01_greedy_members", "a05_survey", "a19_chained_clusters", "j16_trigger_peak", "a32_resolution", "i14_recalibrate", "x07_sum_intensity", "x13_format", "k06_mztab", "m02_identify", "st_event_windows"]
+NAMES = ["f09_occupation", "f13_glob", "f16_map_against_map", "j01_interval", "j02_nearest", "j07_association", "j15_ladder", "j17_nearest_any", "m09_lattice", "a01_greedy_members", "a05_survey", "a19_chained_clusters", "j16_trigger_peak", "a32_resolution", "i14_recalibrate", "x07_sum_intensity", "x13_format", "x02_formula_arithmetic", "x03_weight_dbr", "s16_target_list", "i06_monoisotopic", "a30_pivot", "j18_sibling", "j19_charge", "k06_mztab", "m02_identify", "st_event_windows"]
 
 
 @pytest.fixture(scope="module")
@@ -31,16 +31,37 @@ def test_against_sql(spark, con, name):
     assert got == sorted(tuple(norm(r[k]) for k in at) for r in rel.fetchall())
 
 
-def test_isotope_queries_cover_all_rows(spark):
-    """i01 has a pattern for every formula of the lattice, i03 a value for every entry and sample."""
+def test_isotope_patterns_equal_whole_polynomials(spark):
+    """i01 against products of all terms, for every part."""
+    import numpy as np
+
+    import __spark_entry__ as e
+
+    from massweave.operators.isotope import ABUNDANCE
+
+    def power(p, n):
+        out = np.ones(1)
+        for _ in range(n):
+            out = np.convolve(out, p)
+        return out
+
+    got = {r.p_partkey: [r[f"p{k}"] for k in range(5)] for r in e.queries()["i01_isotope_patterns"](spark, D).collect()}
+    parts = spark.read.parquet(f"{D}/part.parquet").select("p_partkey", "p_size").collect()
+    assert len(got) == len(parts)
+    for r in parts:
+        c = 20 + r.p_size
+        p = np.convolve(np.convolve(power(ABUNDANCE["C"], c), power(ABUNDANCE["H"], 2 * c + 1 - 2 * (r.p_partkey % 6))), power(ABUNDANCE["O"], 2))
+        assert np.allclose(got[r.p_partkey], p[:5] / p[0], atol=1e-5)
+
+
+def test_isotope_correction_covers_all_rows(spark):
+    """i03 has a value for every entry and sample."""
     import __spark_entry__ as e
 
     from massweave import views
 
-    q = e.queries()
-    assert q["i01_isotope_patterns"](spark, D).count() == q["m09_lattice"](spark, D).count()
     want = {(round(r.mz * 10) * r.polarity, r.sample) for r in views.peaks(spark, D).selectExpr("polarity", "sample", "round(mz, 1) AS mz").distinct().collect()}
-    assert {(r.se_id, r.sample) for r in q["i03_isotope_correction"](spark, D).collect()} == want
+    assert {(r.se_id, r.sample) for r in e.queries()["i03_isotope_correction"](spark, D).collect()} == want
 
 
 def test_entry(spark):
