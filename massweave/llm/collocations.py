@@ -19,7 +19,6 @@ import shutil
 import tempfile
 from collections.abc import Iterator
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -179,6 +178,8 @@ def _count(least: int, level: int, answer: bool):
             yield pa.concat_tables(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb  # only workers that count need it
+
         folder = tempfile.mkdtemp(prefix="ngrams-")
         try:
             with duckdb.connect(f"{folder}/n.db", config={"memory_limit": f"{DUCKDB_MB}MB", "temp_directory": f"{folder}/t", "threads": 1, "preserve_insertion_order": False}) as con:

@@ -14,6 +14,7 @@ messages, so no text is cut or windowed.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -290,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on at most ``sample`` rows and ``sample_bytes`` bytes of each label whose id has a remainder other than 0.
 
     The rows are those with the smallest hash of the id, so any partitioning gives the
-    same sample.  Null labels, null ids and labels without a document do not count.  Runs jobs
-    and trains on the driver; the bounds keep what it holds the same for any input.
+    same sample.  Null labels, null ids and labels without a document do not count.  Runs jobs;
+    one task trains on the sample, whose bounds keep it the same for any input.
     """
     lab = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (remainder("_id", folds) != 0))
     lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -303,10 +304,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = materialise(rows, "labelled")  # ``sample`` of each label at most
     sizes = rows.select("_id", "_y", F.octet_length("_t").alias("n"), F.xxhash64("_id").alias("h")).toArrow().to_pylist()
     kept = {y: within([(r["h"], r["_id"], r["n"]) for r in sizes if r["_y"] == y], sample_bytes) for y in (0, 1)}
-    got = rows.where(F.col("_id").isin(kept[0] + kept[1])).select("_id", "_y", "_t").toArrow().to_pydict()
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r["_id"], r["_t"] or "", r["_y"]) for b in batches for r in b.to_pylist())
+        model = train([t for _, t, _ in got], np.array([y for _, _, y in got], int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # The sample is bounded, so one task trains on it; the driver gets the weights alone.
+    chosen = rows.where(F.col("_id").isin(kept[0] + kept[1])).select("_id", "_y", "_t").repartition(1)
+    got = chosen.mapInArrow(lean(run), "model binary").first()
     drop(rows)
-    order = sorted(range(len(got["_id"])), key=lambda i: (got["_id"][i], got["_t"][i] or ""))
-    return train([got["_t"][i] for i in order], np.array([got["_y"][i] for i in order], int))
+    return pickle.loads(got[0]) if got else train([], np.zeros(0, int))  # no labelled text, perhaps no task
 
 
 def score_batches(model: Model, batches: Iterator[pa.RecordBatch], spans: bool = True) -> Iterator[pa.RecordBatch]:
