@@ -629,6 +629,20 @@ def _single(s: SparkSession, d: str, text: str = _ONE) -> DataFrame:
     return identify.run(lang.parse_query(text), _tables(s, d), [f"s{k}" for k in range(4)], PPM)
 
 
+_EITHER = """QUERYNAME = Either; DEFINE x = 'C[30..60] H[30..120] O[2]' WITH CHG = +1, DBR = (0.5, 12.5); DEFINE y = 'C[20..50] H[20..100] N[1] O[3]' WITH CHG = +1, DBR = (0.5, 8.5);
+IDENTIFY x IN MS1+ {} y IN MS1+ SUCHTHAT {} REPORT X = x.chemsc; Y = y.chemsc; OFF = "%.1f" % "(y.errppm)"; PART = x.intensity;;"""
+_EITHER_SQL = (
+    W
+    + _LAT
+    + _level_sql(1, "se")
+    + """, m AS (SELECT c, h, 12.0 * c + 1.0078250321 * h + 14.0030740052 + 3 * 15.9949146221 AS m0, (2.0 + 2 * c - h + 1) / 2 AS dbr FROM range(20, 51) a(c), range(20, 101) b(h)),
+x AS (SELECT id, c, h, s0, s1, s2, s3 FROM se JOIN ok ON abs(mz - mz1) <= mz * 20 / 1e6),
+y AS (SELECT id, c, h, (mz - (m0 - 0.00055)) / mz * 1e6 AS err FROM se JOIN m ON abs(mz - (m0 - 0.00055)) <= mz * 20 / 1e6 WHERE dbr BETWEEN 0.5 AND 8.5 AND floor(m0)::BIGINT % 2 = 0)
+SELECT coalesce(x.id, y.id) AS se_id, coalesce('C' || x.c || ' H' || x.h || ' O2', '') AS "X", coalesce('C' || y.c || ' H' || y.h || ' N1 O3', '') AS "Y", coalesce(printf('%.1f', err), '') AS "OFF",
+coalesce(s0, 0) AS "PART:s0", coalesce(s1, 0) AS "PART:s1", coalesce(s2, 0) AS "PART:s2", coalesce(s3, 0) AS "PART:s3" FROM x FULL JOIN y ON x.id = y.id """
+)
+query("m03_either_mark", _EITHER_SQL + "WHERE y.c IS NULL OR y.c <= 40 OR x.c < 35")(lambda s, d: _single(s, d, _EITHER.format("OR", "NOT y.chemsc[C] > 40 OR x.chemsc[C] < 35")))
+query("m03_absent_mark", _EITHER_SQL + "WHERE x.c > 0 AND y.c IS NULL")(lambda s, d: _single(s, d, _EITHER.format("AND NOT", "x.chemsc[C] > 0")))
 query("k05_complement", W + _LAT + _level_sql(1, "se") + " SELECT id AS se_id FROM se WHERE NOT EXISTS (SELECT 1 FROM ok WHERE abs(se.mz - mz1) <= se.mz * 20 / 1e6)")(
     lambda s, d: identify.complement(_tables(s, d), [_single(s, d)]).select("se_id")
 )

@@ -71,37 +71,39 @@ def _tolerance(v: Variable, default: Tolerance) -> Tolerance:
 
 
 def marks(q: Query, t: Tables, tol: Tolerance, tol2: Tolerance, samples: list[str] | None = None) -> dict[str, DataFrame]:
-    """Hits of every variable: se_id, a struct of mz, chemsc, dbr, n_*, errppm, occ, isobaric and intensity as a map of all samples.
+    """Hits of every variable: se_id, a struct of mz, chemsc, dbr, n_*, errppm, occ, isobaric, scope and intensity as a map of all samples.
 
-    TOLERANCE, MASSRANGE, MINOCC and MAXOCC of a variable hold on either level.  Fragments
-    count only below entries that some MS1 variable of this query marks, if it has one.
+    TOLERANCE, MASSRANGE, MINOCC and MAXOCC of a variable hold on either level; a variable with several
+    scopes has the hits of all of them.  Fragments count only below entries that some MS1 variable of this
+    query marks, if it has one.
     """
     spark = t.survey.sparkSession
     samples = t.samples() if samples is None else samples
     s_map, f_map = _maps(t.survey_long, "se_id", samples), _maps(t.frag_long, "fr_id", samples)
-    out: dict[str, DataFrame] = {}
+    parts: dict[str, list[DataFrame]] = {name: [] for name in q.scopes}
 
     def limited(v: Variable, d: DataFrame) -> DataFrame:
         return d.where(F.col("mz").between(*v.options["MASSRANGE"])) if "MASSRANGE" in v.options else d
 
-    def finished(v: Variable, hit: DataFrame, measured: str) -> DataFrame:
+    def finished(v: Variable, hit: DataFrame, measured: str, level: int, sign: int) -> DataFrame:
         factor = float(abs(v.charge or 1))
         off = F.col(measured) - F.col("target_mz")
-        d = hit.withColumns({"errppm": off / F.col("mz") * F.lit(1e6 * factor), "errda": off * F.lit(factor)})
+        d = hit.withColumns({"errppm": off / F.col("mz") * F.lit(1e6 * factor), "errda": off * F.lit(factor), "level": F.lit(level), "polarity": F.lit(sign)})
         positive = F.aggregate(F.map_values("intensity"), F.lit(0.0), lambda a, x: a + (x > 0).cast("double"))
         d = d.withColumn("occ", positive / F.lit(float(max(len(samples), 1))))
         return d.where(F.col("occ").between(v.options.get("MINOCC", 0.0), v.options.get("MAXOCC", 1.0)))
 
-    for name, (level, sign) in q.scopes.items():
+    every = [(name, level, sign) for name, scopes in q.scopes.items() for level, sign in scopes]
+    for name, level, sign in every:
         v = q.variables[name]
         if level == 1:
             s = limited(v, t.survey.where(F.col("polarity") == sign).select("se_id", "mz"))
-            out[name] = finished(v, interval_join(s, targets(spark, v), _tolerance(v, tol), t.largest).join(s_map, "se_id"), "mz")
+            parts[name].append(finished(v, interval_join(s, targets(spark, v), _tolerance(v, tol), t.largest).join(s_map, "se_id"), "mz", level, sign))
     gate = None
-    for d in out.values():
+    for d in (d for found in parts.values() for d in found):
         ids = d.select("se_id").distinct()
         gate = ids if gate is None else gate.unionByName(ids).distinct()
-    for name, (level, sign) in q.scopes.items():
+    for name, level, sign in every:
         v = q.variables[name]
         if level == 1:
             continue
@@ -111,7 +113,8 @@ def marks(q: Query, t: Tables, tol: Tolerance, tol2: Tolerance, samples: list[st
         else:
             hit = interval_join(f, targets(spark, v), _tolerance(v, tol2), t.largest)
             hit = hit.join(t.below(gate, hit), "fr_id")
-        out[name] = finished(v, hit.join(f_map, "fr_id"), "nl_mz" if v.neutral_loss else "mz")
+        parts[name].append(finished(v, hit.join(f_map, "fr_id"), "nl_mz" if v.neutral_loss else "mz", level, sign))
+    out = {name: functools.reduce(lambda a, b: a.unionByName(b, True), found) for name, found in parts.items()}
     if _mentions(q, "isobaric"):
         # Marks of other variables of the query at the very same measured mass.
         names = None
@@ -133,7 +136,8 @@ def without_overlap(q: Query, found: dict[str, DataFrame], tol: Tolerance, tol2:
     MINOCC and MAXOCC hold again afterwards.
     """
     elements = list(isotope.ABUNDANCE)
-    of_level = lambda n: [x for x in found if q.scopes[x][0] == n]
+    of_level = lambda n: [x for x in found if n in levels(q, x)]
+    at_level = lambda x, n: found[x].where(F.col(f"{x}.level") == n)
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
     mean = lambda c: F.round(F.avg(c)).cast("int").alias(c)
 
@@ -145,8 +149,9 @@ def without_overlap(q: Query, found: dict[str, DataFrame], tol: Tolerance, tol2:
     def settled(fixed: DataFrame, key: list[str]) -> DataFrame:
         return fixed.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("sample", F.greatest("corrected", F.lit(0.0)).alias("i")))).alias("_i"))
 
-    def replaced(name: str, d: DataFrame) -> DataFrame:
-        held = F.coalesce("_i", F.col(f"{name}.intensity"))
+    def replaced(name: str, d: DataFrame, level: int) -> DataFrame:
+        old = F.col(f"{name}.intensity")
+        held = F.when(F.col(f"{name}.level") == level, F.coalesce("_i", old)).otherwise(old)
         share = F.aggregate(F.map_values(held), F.lit(0.0), lambda a, x: a + (x > 0).cast("double")) / F.greatest(F.size(held), F.lit(1))
         options = q.variables[name].options
         out = d.select("se_id", F.col(name).withField("intensity", held).withField("occ", share).alias(name))
@@ -155,27 +160,27 @@ def without_overlap(q: Query, found: dict[str, DataFrame], tol: Tolerance, tol2:
     out = dict(found)
     if not of_level(1):
         return out
-    rows = union([found[x].select("se_id", F.lit(q.scopes[x][1]).alias("polarity"), f"{x}.mz", *[F.col(f"{x}.n_{e}").alias(f"n_{e}") for e in elements], f"{x}.intensity") for x in of_level(1)])
+    rows = union([at_level(x, 1).select("se_id", f"{x}.polarity", f"{x}.mz", *[F.col(f"{x}.n_{e}").alias(f"n_{e}") for e in elements], f"{x}.intensity") for x in of_level(1)])
     entries = rows.groupBy("se_id", "polarity").agg(F.first("mz").alias("mz"), F.first("intensity").alias("intensity"), *[mean(f"n_{e}") for e in elements])
     entries = materialise(entries, "entries")
     long = patterned(entries, "n_", "pattern").select("se_id", "polarity", "mz", "pattern", F.explode("intensity").alias("sample", "i"))
     fixed = materialise(settled(isotope.correct(long, tol, ["polarity"]), ["se_id"]), "corrected")
     for x in of_level(1):
-        out[x] = replaced(x, found[x].join(fixed, "se_id", "left"))
+        out[x] = replaced(x, found[x].join(fixed, "se_id", "left"), 1)
     if of_level(2):
         parts = []
         for x in of_level(2):
-            own = found[x].join(entries.select("se_id", *[F.col(f"n_{e}").alias(f"p_{e}") for e in elements]), "se_id")
+            own = at_level(x, 2).join(entries.select("se_id", *[F.col(f"n_{e}").alias(f"p_{e}") for e in elements]), "se_id")
             other = {e: F.greatest(F.col(f"p_{e}") - F.col(f"{x}.n_{e}"), F.lit(0)) for e in elements}
             mine = {e: F.col(f"{x}.n_{e}") for e in elements}
             fragment, loss = (other, mine) if q.variables[x].neutral_loss else (mine, other)
-            parts.append(own.select("se_id", f"{x}.fr_id", F.lit(q.scopes[x][1]).alias("polarity"), f"{x}.prec_mz", f"{x}.mz", f"{x}.intensity", *[fragment[e].alias(f"f_{e}") for e in elements], *[loss[e].alias(f"l_{e}") for e in elements]))
+            parts.append(own.select("se_id", f"{x}.fr_id", f"{x}.polarity", f"{x}.prec_mz", f"{x}.mz", f"{x}.intensity", *[fragment[e].alias(f"f_{e}") for e in elements], *[loss[e].alias(f"l_{e}") for e in elements]))
         frags = union(parts).groupBy("se_id", "fr_id", "polarity", "prec_mz", "mz").agg(F.first("intensity").alias("intensity"), *[mean(f"{k}_{e}") for k in "fl" for e in elements])
         frags = patterned(patterned(frags, "f_", "fragment"), "l_", "loss").select("se_id", "fr_id", "polarity", "prec_mz", "mz", "fragment", "loss", F.explode("intensity").alias("sample", "i"))
         fixed = materialise(settled(isotope.correct_msms(frags, tol2, ["polarity"], tol), ["se_id", "fr_id"]), "corrected")
         for x in of_level(2):
-            at = found[x].withColumn("fr_id", F.col(f"{x}.fr_id"))
-            out[x] = replaced(x, at.join(fixed, ["se_id", "fr_id"], "left"))
+            at = out[x].withColumn("fr_id", F.col(f"{x}.fr_id"))
+            out[x] = replaced(x, at.join(fixed, ["se_id", "fr_id"], "left"), 2)
     return out
 
 
@@ -201,21 +206,44 @@ def _presence(n: Node) -> Column:
     if n.kind == "not":
         return ~a
     b = _presence(n.args[1])
-    return {"and": a & b, "iff": a & b, "or": a | b, "implies": a | b, "arrow": a}[n.kind]
+    return {"and": a & b, "iff": a & b, "or": a | b, "implies": a | b, "arrow": a, "back": b}[n.kind]
+
+
+def levels(q: Query, name: str) -> set[int]:
+    """MS levels of the scopes of a variable."""
+    return {level for level, _ in q.scopes[name]}
+
+
+def required(q: Query) -> set[str]:
+    """Variables that every binding has: all if there is no SUCHTHAT (m07), else those without which IDENTIFY can't hold."""
+
+    def need(n: Node) -> set[str]:
+        if n.kind in ("var", "not"):
+            return {n.value} if n.kind == "var" else set()
+        a, b = (need(x) for x in n.args)
+        return {"and": a | b, "iff": a | b, "or": a & b, "implies": a & b, "arrow": a, "back": b}[n.kind]
+
+    return set(q.scopes) if q.suchthat is None else need(q.identify)
 
 
 def bindings(q: Query, marked: dict[str, DataFrame]) -> DataFrame:
-    """One row per combination of hits of an entry that IDENTIFY accepts, a struct per variable.
+    """One row per combination of hits of an entry that IDENTIFY accepts, a struct per variable (null: it has no hit).
 
-    A binding is complete: it has every variable.
+    IDENTIFY is decided for each entry on presence bits before hits are combined.  Without SUCHTHAT a
+    binding is complete; with it, variables that IDENTIFY does not require may be absent.
     """
-    names = list(q.scopes)
-    out = marked[names[0]]
-    for n in names[1:]:
-        out = out.join(marked[n], "se_id")
-    # With every variable present a negated one can never hold; the algebra decides.
-    flags = out.withColumns({f"has_{n}": F.lit(True) for n in names})
-    return flags.where(_presence(q.identify)).drop(*[f"has_{n}" for n in names])
+    names, must = list(q.scopes), required(q)
+    if must == set(names):
+        out = functools.reduce(lambda a, b: a.join(b, "se_id"), [marked[n] for n in names])
+        flags = out.withColumns({f"has_{n}": F.lit(True) for n in names})
+        return flags.where(_presence(q.identify)).drop(*[f"has_{n}" for n in names])
+    marked = {n: materialise(d, "marks") for n, d in marked.items()}
+    seen = functools.reduce(DataFrame.unionByName, [marked[n].select("se_id", F.lit(n).alias("_v")) for n in names])
+    bits = seen.groupBy("se_id").agg(*[F.max(F.col("_v") == n).alias(f"has_{n}") for n in names])
+    out = bits.where(_presence(q.identify)).select("se_id")
+    for n in names:
+        out = out.join(marked[n], "se_id", "inner" if n in must else "left")
+    return out
 
 
 @dataclass
@@ -232,6 +260,27 @@ class Compiler:
 
     def __init__(self, q: Query, accuracy_ppm: float = 5.0):
         self.q, self.accuracy = q, accuracy_ppm
+        self.optional = set(q.scopes) - required(q)
+
+    def present(self, *nodes: Node) -> Column | None:
+        """Whether a binding has all the variables that the expressions read (None: it always has)."""
+        used: set[str] = set()
+
+        def visit(n: Node) -> None:
+            name, a = n.value if n.kind == "attr" else (n.value if n.kind == "var" else None, "")
+            used.update({name} & self.optional)
+            if a in ("frsc", "nlsc") and name in self.q.scopes:
+                used.update({self.precursor(name)} & self.optional)
+            for x in n.args or []:
+                visit(x)
+
+        for n in nodes:
+            visit(n)
+        return functools.reduce(Column.__and__, [F.col(n).isNotNull() for n in sorted(used)]) if used else None
+
+    def precursor(self, name: str) -> str | None:
+        """The first other variable on the first level."""
+        return next((n for n in self.q.scopes if n != name and 1 in levels(self.q, n)), None)
 
     def chem(self, f: Formula) -> Typed:
         return Typed(F.lit(f.mass()), "chem", {e: F.lit(f.counts.get(e, 0)) for e in MASSES})
@@ -296,10 +345,9 @@ class Compiler:
             return Typed(F.lit(self.q.name), "str")
         if a == "isobaric":
             return Typed(f("isobaric"), "str")
-        level = self.q.scopes[var][0]
-        if a in ("frsc", "nlsc", "frmass", "nlmass") and level == 2:
+        if a in ("frsc", "nlsc", "frmass", "nlmass") and 2 in levels(self.q, var):
             mine = self.attr(var, "chemsc").counts
-            first = next((n for n, (lv, _) in self.q.scopes.items() if lv == 1), None)
+            first = self.precursor(var)
             same = self.q.variables[var].neutral_loss == a.startswith("nl")
             if a.endswith("mass"):
                 return Typed(f("mz") if self.q.variables[var].neutral_loss == a.startswith("nl") and a == "frmass" else F.when(F.lit(a == "frmass"), f("mz")).otherwise(f("prec_mz") - f("mz")), "num")
@@ -346,7 +394,7 @@ class Compiler:
         if name == "score":
             return Typed(scalar.score(self.accuracy, *[self.attr(n.value, "errppm").col for n in nodes]), "str")
         if name == "nbsmpls":
-            return Typed(F.size(self.attr(next(iter(self.q.scopes)), "intensity").col).cast("double"), "num")
+            return Typed(F.size(F.coalesce(*[self.attr(n, "intensity").col for n in self.q.scopes])).cast("double"), "num")
         whole = {"iseven": scalar.is_even, "isodd": scalar.is_odd}
         if name in whole:
             return Typed(whole[name](cols[0]), "bool")
@@ -355,9 +403,15 @@ class Compiler:
         raise QueryError(f"unknown function {name}")
 
     def cond(self, n: Node) -> Column:
+        """A condition; a comparison or call that reads an absent variable does not hold."""
         if n.kind in ("and", "or", "not"):
             a = [F.coalesce(self.cond(x), F.lit(False)) for x in n.args]
             return ~a[0] if n.kind == "not" else a[0] & a[1] if n.kind == "and" else a[0] | a[1]
+        held = self._holds(n)
+        given = self.present(n)
+        return held if given is None else given & held
+
+    def _holds(self, n: Node) -> Column:
         if n.kind != "cmp":
             t = self.expr(n)
             if t.kind != "bool":
@@ -399,7 +453,8 @@ def run(q: Query, t: Tables, samples: list[str] | None, tol: Tolerance, tol2: To
     With ``isotopes`` the overlap of isotopes is subtracted from the marks before they are bound (:func:`without_overlap`).
 
     samples: all of the study (None: those of the tables).  Without ``permutations`` only the best
-    of the bindings of an entry with the same compositions stays.
+    of the bindings of an entry with the same compositions stays.  An item that reads an absent variable
+    is an empty text, null for a number, 0.0 for the samples of a map.
     """
     samples = t.samples() if samples is None else samples
     comp = Compiler(q)
@@ -411,18 +466,20 @@ def run(q: Query, t: Tables, samples: list[str] | None, tol: Tolerance, tol2: To
         b = without_permutations(b, list(q.scopes))
     cols = []
     for item in q.report:
+        given = comp.present(*item.exprs)
+        or_empty = lambda c, given=given: c if given is None else F.when(given, c).otherwise("")
         if item.fmt is not None:
             ex = [comp.expr(e) for e in item.exprs]
-            cols.append((scalar.printf(item.fmt, [(e.col, e.kind) for e in ex]) if ex else F.lit(item.fmt)).alias(item.name))
+            cols.append(or_empty(scalar.printf(item.fmt, [(e.col, e.kind) for e in ex]) if ex else F.lit(item.fmt)).alias(item.name))
             continue
         e = comp.expr(item.exprs[0])
         if e.kind == "map":
             cols += [F.coalesce(F.try_element_at(e.col, F.lit(s)), F.lit(0.0)).alias(f"{item.name}:{s}") for s in samples]
         elif e.kind == "chem":
             text = F.concat_ws(" ", *[F.when(e.counts[x] != 0, F.concat(F.lit(x), e.counts[x].cast("string"))) for x in MASSES])
-            cols.append(text.alias(item.name))
+            cols.append(or_empty(text).alias(item.name))
         else:
-            cols.append(e.col.alias(item.name))
+            cols.append((or_empty(e.col) if e.kind == "str" else e.col if given is None else F.when(given, e.col)).alias(item.name))
     return b.select("se_id", *cols)
 
 
@@ -456,9 +513,9 @@ def complement(t: Tables, results: list[DataFrame]) -> DataFrame:
 def mass_bounds(spark: SparkSession, q: Query) -> dict[int, tuple[float, float]]:
     """i16: least and largest target mass per MS level, for pruning at import."""
     out: dict[int, tuple[float, float]] = {}
-    for name, (level, _) in q.scopes.items():
+    for name in q.scopes:
         r = targets(spark, q.variables[name]).agg(F.min("target_mz"), F.max("target_mz")).first()
-        if r[0] is not None:
+        for level in levels(q, name) if r[0] is not None else ():
             lo, hi = out.get(level, (r[0], r[1]))
             out[level] = (min(lo, r[0]), max(hi, r[1]))
     return out

@@ -94,6 +94,76 @@ def test_complement_bounds_and_tags(spark):
     assert sorted(tags.values()) == ["a,b", "b"]
 
 
+SIGNS = {
+    "a IN MS2- AND b IN MS2-": lambda a, b: a and b,
+    "a IN MS2- OR b IN MS2-": lambda a, b: a or b,
+    "a IN MS2- => b IN MS2-": lambda a, b: a or b,
+    "a IN MS2- <= b IN MS2-": lambda a, b: a or b,
+    "a IN MS2- <=> b IN MS2-": lambda a, b: a and b,
+    "a IN MS2- -> b IN MS2-": lambda a, b: a,
+    "a IN MS2- <- b IN MS2-": lambda a, b: b,
+    "a IN MS2- AND NOT b IN MS2-": lambda a, b: a and not b,
+    "NOT (a IN MS2- OR b IN MS2-)": lambda a, b: not (a or b),
+    "NOT a IN MS2- OR NOT b IN MS2-": lambda a, b: not a or not b,
+}
+
+
+def marked_tables(spark):
+    """Entry 0 has neither fragment, 1 has a, 2 has b, 3 both with two peaks of a; entry 4 is not of the precursor."""
+    mk = spark.createDataFrame
+    whole, a, b = mz("C24 H44 N2 O3", 2), mz("C10 H19 O2", -1), mz("C12 H23 O2", -1)
+    frag = [(1, a, -1), (2, a * (1 + 2e-6), -1), (3, b, -1)]
+    pairs = [(1, 1), (2, 3), (3, 1), (3, 2), (3, 3), (4, 1), (4, 3)]
+    return identify.Tables(
+        mk([(k, 900.0 if k == 4 else whole, 1) for k in range(5)], "se_id long, mz double, polarity int"),
+        mk([(k, "s", 10.0 + k) for k in range(5)], "se_id long, sample string, i double"),
+        mk(frag, "fr_id long, mz double, polarity int"),
+        mk([(k, "s", 1.0 * k) for k, _, _ in frag], "fr_id long, sample string, i double"),
+        mk(pairs, "se_id long, fr_id long"),
+        1000.0,
+    )
+
+
+MARKED = """QUERYNAME = Marked; DEFINE p = 'C24 H44 N2 O3' WITH CHG = +2; DEFINE a = 'C10 H19 O2' WITH CHG = -1; DEFINE b = 'C12 H23 O2' WITH CHG = -1;
+IDENTIFY p IN MS1+ AND ({}) {} REPORT A = a.chemsc; I = a.intensity; E = b.errda; T = "%d" % "(b.chemsc[C])"; L = b.nlsc; N = nbsmpls();;"""
+
+
+@pytest.mark.parametrize("sign", SIGNS)
+def test_marks_that_are_absent(spark, sign):
+    hits = {0: ([], []), 1: ([1], []), 2: ([], [3]), 3: ([1, 2], [3])}
+    every = [(k, x, y) for k, (a, b) in hits.items() if SIGNS[sign](bool(a), bool(b)) for x in a or [None] for y in b or [None]]
+    found = lambda such: identify.run(lang.parse_query(MARKED.format(sign, such)), marked_tables(spark), None, Tolerance("ppm", 5)).collect()
+    got = sorted((r.se_id, r.A, r["I:s"], r.E is None, r["T"], r.L, r.N) for r in found("SUCHTHAT p.mass > 0"))
+    row = lambda k, x, y: (k, "C10 H19 O2" if x else "", float(x or 0), y is None, "12" if y else "", "C12 H21 N2 O1" if y else "", 1.0)
+    assert got == sorted(row(*x) for x in every)
+    # A comparison with an absent mark does not hold, its negation does; maps, differences and calls too.
+    for such, keep in [
+        ("a.intensity >= 0", lambda x, y: x),
+        ("NOT a.intensity >= 0", lambda x, y: not x),
+        ("a.mass <> 5", lambda x, y: x),
+        ("b.nlsc[C] >= 0", lambda x, y: y),
+        ("isEven(b.chemsc[C]) OR a.chemsc == 'C10 H19 O2'", lambda x, y: x or y),
+        ("avg(a.intensity) < avg(b.intensity)", lambda x, y: x and y and x < y),
+    ]:
+        assert sorted((r.se_id, r["I:s"]) for r in found("SUCHTHAT " + such)) == sorted((k, float(x or 0)) for k, x, y in every if keep(x, y)), such
+    # Without SUCHTHAT bindings are complete.
+    assert sorted((r.se_id, r["I:s"]) for r in found("")) == sorted((k, float(x)) for k, x, y in every if x and y and SIGNS[sign](True, True))
+
+
+def test_one_variable_in_two_scopes(spark):
+    q = "QUERYNAME = Two; DEFINE p = 'C[23..24] H[42..44] N2 O3' WITH CHG = +2; DEFINE a = 'C10 H19 O2' WITH CHG = -1; IDENTIFY p IN MS1+ AND (a IN MS2- OR a IN MS1-) SUCHTHAT p.mass > 0 REPORT M = a.mass; I = a.intensity;;"
+    t = marked_tables(spark)
+    assert sorted((r.se_id, r["I:s"]) for r in identify.run(lang.parse_query(q), t, None, Tolerance("ppm", 5)).collect()) == [(1, 1.0), (3, 1.0), (3, 2.0)]
+    # The same variable also marks entries of the other polarity, which then have no p.
+    t.survey = t.survey.unionByName(spark.createDataFrame([(9, mz("C10 H19 O2", -1), -1)], t.survey.schema))
+    t.survey_long = t.survey_long.unionByName(spark.createDataFrame([(9, "s", 7.0)], t.survey_long.schema))
+    either = q.replace("AND (a IN MS2- OR a IN MS1-) SUCHTHAT p.mass > 0", "OR a IN MS2- OR a IN MS1- SUCHTHAT a.mass > 0")
+    assert lang.parse_query(either).scopes["a"] == [(2, -1), (1, -1)]
+    for isotopes in (False, True):
+        got = sorted((r.se_id, r["I:s"]) for r in identify.run(lang.parse_query(either), t, None, Tolerance("ppm", 5), isotopes=isotopes).collect())
+        assert [k for k, _ in got] == [1, 3, 3, 9] and (isotopes or [i for _, i in got] == [1.0, 1.0, 2.0, 7.0])
+
+
 @pytest.mark.parametrize("bad", ["QUERYNAME = a_b;", DIAMIDE.replace("AND right IN MS2-", ""), DIAMIDE.replace("REPORT", "REPORT X = ;"), DIAMIDE.replace("'C[6..18] H[8..36] O[1..2]'", "'C[6..18] H[8'")])
 def test_errors(bad):
     with pytest.raises(ValueError):
