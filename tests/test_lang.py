@@ -3,6 +3,7 @@ import pytest
 from massweave import chem
 from massweave.chem import Tolerance
 from massweave.plans import identify, lang
+from massweave.scratch import materialise
 
 #: A diamide of two acids: two acid tails on the second level, one doubly charged head on the first.
 DIAMIDE = """
@@ -128,15 +129,35 @@ MARKED = """QUERYNAME = Marked; DEFINE p = 'C24 H44 N2 O3' WITH CHG = +2; DEFINE
 IDENTIFY p IN MS1+ AND ({}) {} REPORT A = a.chemsc; I = a.intensity; E = b.errda; T = "%d" % "(b.chemsc[C])"; L = b.nlsc; N = nbsmpls();;"""
 
 
+HITS = {0: ([], []), 1: ([1], []), 2: ([], [3]), 3: ([1, 2], [3])}
+
+
+def combined(sign):
+    return [(k, x, y) for k, (a, b) in HITS.items() if SIGNS[sign](bool(a), bool(b)) for x in a or [None] for y in b or [None]]
+
+
 @pytest.mark.parametrize("sign", SIGNS)
-def test_marks_that_are_absent(spark, sign):
-    hits = {0: ([], []), 1: ([1], []), 2: ([], [3]), 3: ([1, 2], [3])}
-    every = [(k, x, y) for k, (a, b) in hits.items() if SIGNS[sign](bool(a), bool(b)) for x in a or [None] for y in b or [None]]
-    found = lambda such: identify.run(lang.parse_query(MARKED.format(sign, such)), marked_tables(spark), None, Tolerance("ppm", 5)).collect()
-    got = sorted((r.se_id, r.A, r["I:s"], r.E is None, r["T"], r.L, r.N) for r in found("SUCHTHAT p.mass > 0"))
+def test_signs_of_the_mark_algebra(spark, sign):
+    hit = lambda n, rows: spark.createDataFrame([(k, (x,)) for k, x in rows], f"se_id int, {n} struct<i:int>")
+    marked = {"p": hit("p", [(k, 0) for k in HITS]), "a": hit("a", [(k, x) for k, h in HITS.items() for x in h[0]]), "b": hit("b", [(k, x) for k, h in HITS.items() for x in h[1]])}
+    rows = identify.bindings(lang.parse_query(MARKED.format(sign, "SUCHTHAT p.mass > 0")), marked).collect()
+    key = lambda r: (r[0], r[1] or 0, r[2] or 0)
+    assert sorted(((r.se_id, r.a and r.a.i, r.b and r.b.i) for r in rows), key=key) == sorted(combined(sign), key=key)
+    # Without SUCHTHAT bindings are complete.
+    rows = identify.bindings(lang.parse_query(MARKED.format(sign, "")), marked).collect()
+    assert sorted((r.se_id, r.a.i, r.b.i) for r in rows) == [(k, x, y) for k, x, y in combined(sign) if x and y and SIGNS[sign](True, True)]
+
+
+def test_conditions_and_reports_over_absent_marks(spark):
+    either = "NOT a IN MS2- OR a IN MS2-"
+    every = [(k, x, y) for k, (a, b) in HITS.items() for x in a or [None] for y in b or [None]]
+    t, tol = marked_tables(spark), Tolerance("ppm", 5)
+    q = lang.parse_query(MARKED.format(either + " OR b IN MS2-", "SUCHTHAT p.mass > 0"))
+    got = sorted((r.se_id, r.A, r["I:s"], r.E is None, r["T"], r.L, r.N) for r in identify.run(q, t, None, tol).collect())
     row = lambda k, x, y: (k, "C10 H19 O2" if x else "", float(x or 0), y is None, "12" if y else "", "C12 H21 N2 O1" if y else "", 1.0)
     assert got == sorted(row(*x) for x in every)
     # A comparison with an absent mark does not hold, its negation does; maps, differences and calls too.
+    b = materialise(identify.bindings(q, identify.marks(q, t, tol, tol)), "bindings")
     for such, keep in [
         ("a.intensity >= 0", lambda x, y: x),
         ("NOT a.intensity >= 0", lambda x, y: not x),
@@ -145,15 +166,15 @@ def test_marks_that_are_absent(spark, sign):
         ("isEven(b.chemsc[C]) OR a.chemsc == 'C10 H19 O2'", lambda x, y: x or y),
         ("avg(a.intensity) < avg(b.intensity)", lambda x, y: x and y and x < y),
     ]:
-        assert sorted((r.se_id, r["I:s"]) for r in found("SUCHTHAT " + such)) == sorted((k, float(x or 0)) for k, x, y in every if keep(x, y)), such
-    # Without SUCHTHAT bindings are complete.
-    assert sorted((r.se_id, r["I:s"]) for r in found("")) == sorted((k, float(x)) for k, x, y in every if x and y and SIGNS[sign](True, True))
+        q = lang.parse_query(MARKED.format(either + " OR b IN MS2-", "SUCHTHAT " + such))
+        left = b.where(identify.Compiler(q).cond(q.suchthat)).select("se_id", "a.fr_id", "b.fr_id").collect()
+        assert sorted((r[0], r[1] or 0, r[2] or 0) for r in left) == sorted((k, x or 0, y or 0) for k, x, y in every if keep(x, y)), such
 
 
 def test_one_variable_in_two_scopes(spark):
     q = "QUERYNAME = Two; DEFINE p = 'C[23..24] H[42..44] N2 O3' WITH CHG = +2; DEFINE a = 'C10 H19 O2' WITH CHG = -1; IDENTIFY p IN MS1+ AND (a IN MS2- OR a IN MS1-) SUCHTHAT p.mass > 0 REPORT M = a.mass; I = a.intensity;;"
     t = marked_tables(spark)
-    assert sorted((r.se_id, r["I:s"]) for r in identify.run(lang.parse_query(q), t, None, Tolerance("ppm", 5)).collect()) == [(1, 1.0), (3, 1.0), (3, 2.0)]
+    assert len(lang.parse_query(q).scopes["a"]) == 2
     # The same variable also marks entries of the other polarity, which then have no p.
     t.survey = t.survey.unionByName(spark.createDataFrame([(9, mz("C10 H19 O2", -1), -1)], t.survey.schema))
     t.survey_long = t.survey_long.unionByName(spark.createDataFrame([(9, "s", 7.0)], t.survey_long.schema))
@@ -161,7 +182,8 @@ def test_one_variable_in_two_scopes(spark):
     assert lang.parse_query(either).scopes["a"] == [(2, -1), (1, -1)]
     for isotopes in (False, True):
         got = sorted((r.se_id, r["I:s"]) for r in identify.run(lang.parse_query(either), t, None, Tolerance("ppm", 5), isotopes=isotopes).collect())
-        assert [k for k, _ in got] == [1, 3, 3, 9] and (isotopes or [i for _, i in got] == [1.0, 1.0, 2.0, 7.0])
+        assert [k for k, _ in got] == [1, 3, 3, 9]
+        assert isotopes or [i for _, i in got] == [1.0, 1.0, 2.0, 7.0]
 
 
 @pytest.mark.parametrize("bad", ["QUERYNAME = a_b;", DIAMIDE.replace("AND right IN MS2-", ""), DIAMIDE.replace("REPORT", "REPORT X = ;"), DIAMIDE.replace("'C[6..18] H[8..36] O[1..2]'", "'C[6..18] H[8'")])
