@@ -15,7 +15,9 @@ the nearest, and a window around each region, ``d(y, p) <= d(y, nearest) + 2 rad
 replicates the members across its border that may have a partner inside.  In its region
 a member is cut again into cells, by its leading shingles in an order that the pivot gives:
 those that the pivot lacks come first.  Pairs there must also fulfil the triangle
-inequality ``|d(x, p) - d(y, p)| <= radius``.  Nothing is lost: every pair within the radius
+inequality ``|d(x, p) - d(y, p)| <= radius``.  Near copies share a run of consecutive cells; a
+pair is left to an earlier one if both members name it among the ``BEFORE`` cells before this
+one.  Nothing is lost: every pair within the radius
 shares a cell at each level until it is measured, known to be connected, or excluded by a
 bound.
 """
@@ -43,6 +45,8 @@ BLOCK = 512
 SKETCH_BLOCK = 1 << 16
 #: Levels of regions at most; what is left then is done by pairs.
 LEVELS = 2
+#: Cells before a cell, in the order of a set's leading shingles, that a member of it names.
+BEFORE = 16
 
 
 @dataclass(frozen=True)
@@ -306,18 +310,18 @@ def _linked(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> Data
     measured = _measure(materialise(_bounded(star, reps, scheme), "todo"), rows, reps, scheme)
     comp = materialise(components(measured.where(_near(scheme)), "x", "p"), "comp")
     drop(star)
-    level = materialise(cells.select("cell", "node", "n", "at", F.lit(0.0).alias("d"), F.lit(True).alias("home")), "level")
+    level = materialise(cells.select("cell", "node", "n", "at", F.lit(0).cast("bigint").alias("region"), F.lit(0.0).alias("d"), F.lit(True).alias("home")), "level")
     drop(cells)
     for depth in range(LEVELS + 1):
         open_ = materialise(_open(level, comp), "open")
         drop(level)
         leaf = open_ if depth == LEVELS else open_.where(F.col("m") <= scheme.leaf)
         comp = _more(_bounded(_pairs(leaf, scheme), reps, scheme), comp, rows, reps, scheme)
-        large = open_.where(F.col("m") > scheme.leaf).drop("m", "comp")
+        large = open_.where(F.col("m") > scheme.leaf).drop("m", "comp", "before")
         if depth == LEVELS or large.isEmpty():
             drop(open_)
             break
-        level, comp = _regions(materialise(_open(large, comp).drop("m", "comp"), "large"), comp, rows, reps, scheme)
+        level, comp = _regions(materialise(_open(large, comp).drop("m", "comp", "before"), "large"), comp, rows, reps, scheme)
         drop(open_)
     cls = reps.join(comp, "node", "left").select(F.col("node").alias("_node"), "first", F.coalesce("comp", "node").alias("comp"))
     least = cls.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -349,18 +353,25 @@ def _connect(measured: DataFrame, comp: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members, with their component and the size ``m`` of the cell, of the cells that hold more than one component."""
+    """Members of the cells that hold more than one component.
+
+    With their component, the size ``m`` of the cell, and the cells ``before`` it that are open as well.
+    """
+    order = Window.partitionBy("node", "region").orderBy("at").rowsBetween(-BEFORE, -1)
     j = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = j.groupBy("cell").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("m"))
-    return j.join(per.where(F.col("_a") != F.col("_b")).select("cell", "m"), "cell")
+    return j.join(per.where(F.col("_a") != F.col("_b")).select("cell", "m"), "cell").withColumn("before", F.collect_list("cell").over(order))
 
 
 def _pairs(cells: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs of a cell's members from different components that no bound excludes; one of the two is at home in the region."""
-    x = cells.select("cell", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("d").alias("dx"), F.col("home").alias("hx"), F.col("comp").alias("cx"))
-    y = cells.select("cell", F.col("node").alias("p"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("d").alias("dy"), F.col("home").alias("hy"), F.col("comp").alias("cy"))
+    """Pairs of a cell's members from different components that no bound excludes; one of the two is at home in the region.
+
+    Of the cells that a pair shares the first always lists it: bounds by places hold there, and no cell before it is shared.
+    """
+    x = cells.select("cell", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("d").alias("dx"), F.col("home").alias("hx"), F.col("comp").alias("cx"), F.col("before").alias("bx"))
+    y = cells.select("cell", F.col("node").alias("p"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("d").alias("dy"), F.col("home").alias("hy"), F.col("comp").alias("cy"), F.col("before").alias("by"))
     triangle = (F.abs(F.col("dx") - F.col("dy")) <= scheme.radius) & (F.col("hx") | F.col("hy"))
-    ok = (F.col("x") < F.col("p")) & (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), F.col("ax"), F.col("ay"), scheme) & triangle
+    ok = (F.col("x") < F.col("p")) & (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), F.col("ax"), F.col("ay"), scheme) & triangle & ~F.arrays_overlap("bx", "by")
     return x.join(y, "cell").where(ok).select("x", "p").distinct()
 
 
@@ -388,7 +399,7 @@ def _regions(cells: DataFrame, comp: DataFrame, rows: DataFrame, reps: DataFrame
     both = held.join(nearest, ["cell", "x"]).where(F.col("d") <= F.col("near.d") + 2 * scheme.radius)
     region = both.groupBy("x", "p").agg(F.max("n").alias("n"), F.max("d").alias("d"), F.max(F.col("p") == F.col("near.p")).alias("home"))
     inside = region.join(measured.select("x", "p", "first"), ["x", "p"]).select("x", "p", "n", "d", "home", F.posexplode("first").alias("at", "s"))
-    level = inside.select(F.xxhash64("p", "s").alias("cell"), F.col("x").alias("node"), "n", F.col("at").cast("int").alias("at"), "d", "home")
+    level = inside.select(F.xxhash64("p", "s").alias("cell"), F.col("x").alias("node"), "n", F.col("at").cast("int").alias("at"), F.col("p").alias("region"), "d", "home")
     level = materialise(level, "level")
     drop(of, measured, pivots, cells)
     release(cells.sparkSession)

@@ -248,7 +248,9 @@ def test_jaccard_components(spark, k, num, seed, cut):
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
-def test_jaccard_cluster_of_edits(spark):
+@pytest.mark.parametrize("before", [1, 16])
+def test_jaccard_cluster_of_edits(spark, monkeypatch, before):
+    monkeypatch.setattr(jaccard_join, "BEFORE", before)
     rng = random.Random(5)
     base = [f"w{j}" for j in range(80)]
     rows = []
