@@ -622,6 +622,31 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     return identify.run(lang.parse_query(FLAGSHIP), _tables(s, d), [f"s{k}" for k in range(4)], PPM)
 
 
+#: The same scopes over sparser tables: entries of one sample, and longer tails.
+ENTRY = """QUERYNAME = AmidesWithLongTails;
+DEFINE head = 'C[18..48] H[30..98] N[1] O[1..4]' WITH CHG = +1, DBR = (1, 14);
+DEFINE tail = 'C[4..40] H[7..80] O[1]' WITH CHG = +1, DBR = (0.5, 12.5), MASSRANGE = (70, 620), MAXOCC = 0.75;
+IDENTIFY head IN MS1+ AND tail IN MS2+
+SUCHTHAT avg(tail.intensity) > 2 AND isEven(head.chemsc[O]) AND head.chemsc[C] > tail.chemsc[C]
+REPORT LABEL = "%d/%d" % "(head.chemsc[C], tail.chemsc[C])"; HEAD = head.chemsc; TAIL = tail.chemsc; OFF = "%.1f" % "(head.errppm)";
+  SEEN = head.occ; MEAN = avg(head.intensity); LOW = medianL(tail.intensity); N = nbsmpls(); ALSO = tail.isobaric; AREA = head.intensity;;"""
+
+_ENTRY_SQL = (
+    _FLAG_SQL.replace(" AND occ >= 0.5", "")
+    .replace("range(4, 21) a(c), range(7, 41) b(h)", "range(4, 41) a(c), range(7, 81) b(h)")
+    .replace("dbr BETWEEN 0.5 AND 6.5", "dbr BETWEEN 0.5 AND 12.5")
+    .replace("mz BETWEEN 70 AND 320", "mz BETWEEN 70 AND 620")
+    .replace("b.l[3] > 20", "(b.s0 + b.s1 + b.s2 + b.s3) / 4 > 2")
+    .replace("a.c > b.c + 10", "a.c > b.c")
+)
+
+
+@query("m02_long_tails", _ENTRY_SQL)
+def long_tails(s: SparkSession, d: str) -> DataFrame:
+    """The query of the entry point: pairs of both levels also where each entry is of one sample."""
+    return identify.run(lang.parse_query(ENTRY), _tables(s, d), [f"s{k}" for k in range(4)], PPM)
+
+
 _ONE = "QUERYNAME = Single; DEFINE x = 'C[30..60] H[30..120] O[2]' WITH CHG = +1, DBR = (0.5, 12.5); IDENTIFY x IN MS1+ REPORT M = x.mass; F = x.chemsc;;"
 
 

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 D = "/root/testdata/sf0.001"
-NAMES = ["f09_occupation", "f13_glob", "f16_map_against_map", "j01_interval", "j02_nearest", "j07_association", "j15_ladder", "j17_nearest_any", "m09_lattice", "a01_greedy_members", "a05_survey", "a19_chained_clusters", "j16_trigger_peak", "a32_resolution", "i14_recalibrate", "x07_sum_intensity", "x13_format", "x02_formula_arithmetic", "x03_weight_dbr", "s16_target_list", "i06_monoisotopic", "a30_pivot", "j18_sibling", "j19_charge", "k06_mztab", "m02_identify", "m03_either_mark", "m03_absent_mark", "m08_tags", "st_event_windows"]
+NAMES = ["f09_occupation", "m02_long_tails", "f13_glob", "f16_map_against_map", "j01_interval", "j02_nearest", "j07_association", "j15_ladder", "j17_nearest_any", "m09_lattice", "a01_greedy_members", "a05_survey", "a19_chained_clusters", "j16_trigger_peak", "a32_resolution", "i14_recalibrate", "x07_sum_intensity", "x13_format", "x02_formula_arithmetic", "x03_weight_dbr", "s16_target_list", "i06_monoisotopic", "a30_pivot", "j18_sibling", "j19_charge", "k06_mztab", "m02_identify", "m03_either_mark", "m03_absent_mark", "m08_tags", "st_event_windows"]
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,9 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
