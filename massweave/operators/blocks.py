@@ -29,13 +29,23 @@ from ..scratch import drop, few, materialise, ship
 #: Rows of a block, and so of the largest frame.
 ROWS = 1 << 16
 
+#: Blocks of a round that a filter names.
+NAMED = 1000
 
-def pack(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> DataFrame:
-    """Written table (blk, rows): the rows of ``df`` sorted by ``keys`` and ``order``, in blocks; ``blk`` grows along the order."""
+
+def pack(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, few_blocks: bool = False) -> DataFrame:
+    """Written table (blk, rows): the rows of ``df`` sorted by ``keys`` and ``order``, in blocks; ``blk`` grows along the order.
+
+    With ``few_blocks`` the blocks are as many as their size asks for, not one for each partition of a shuffle: a fold that
+    passes its state on needs as many rounds as a key has blocks.
+    """
     spark = df.sparkSession
     ship(spark)
     most = rows or ROWS
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, written = int(spark.conf.get("spark.sql.shuffle.partitions")), None
+    if few_blocks:
+        df = written = materialise(df, "unpacked")
+        n = -(-df.count() // most) or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blk, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -60,7 +70,10 @@ def pack(df: DataFrame, keys: list[str], order: list[str], rows: int | None = No
     by = [*keys, *order]
     sort = [*by, *[c for c in df.columns if c not in by]]
     ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*sort)
-    return materialise(ranged.mapInArrow(run, StructType([StructField("blk", LongType()), StructField("rows", ArrayType(df.schema))])), "blocks")
+    out_ = materialise(ranged.mapInArrow(run, StructType([StructField("blk", LongType()), StructField("rows", ArrayType(df.schema))])), "blocks")
+    if written is not None:
+        drop(written)
+    return out_
 
 
 def starts_of(cols: list[pa.Array], n: int) -> np.ndarray:
@@ -217,7 +230,9 @@ def relay(packed: DataFrame, key: list[str], fold: Callable, new: str, kind: Dat
                     yield from part.append_column(new, pa.array(values, to_arrow_type(kind))).to_batches()
 
     def left(t: DataFrame, entries: DataFrame) -> DataFrame:
-        """The blocks of ``entries`` run from their entering states."""
+        """The blocks of ``entries`` run from their entering states; of few entries only the files of their blocks are read."""
+        due = [r.blk for r in entries.select("blk").limit(NAMED + 1).collect()]
+        t = t.where(F.col("blk").isin(due)) if len(due) <= NAMED else t
         return entries.join(t.join(few(entries), "blk").select("blk", "rows", "entry").mapInArrow(exits, "blk long, exit binary"), "blk").select("blk", "prev", "entry", "exit")
 
     none = F.lit(None).cast("binary").alias("entry")

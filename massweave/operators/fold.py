@@ -154,7 +154,7 @@ def collapse_clusters(entries: DataFrame, keys: list[str], most: float, mz: str
             out.append(state[0])
         return out, (state[0], state[1], _Sorted(state[2]))
 
-    return blocks.relay(blocks.pack(entries, keys, [mz], rows), keys, run, "merged", DoubleType())
+    return blocks.relay(blocks.pack(entries, keys, [mz], rows, True), keys, run, "merged", DoubleType())
 
 
 class _Sorted(set):
@@ -235,7 +235,7 @@ def learnt_align(df: DataFrame, keys: list[str], n_samples: int, how: Learnt = L
     of = None
     for k in range(passes):
         own = _matched(cur, width, keys, None, None).withColumn("_w0", F.col("_r__w0")).select(*cur.columns, "_w0").withColumn("_down", -F.col("_m"))
-        step = blocks.relay(blocks.pack(own, keys, ["_down"], rows), keys, lambda t, state: learnt_bins(t, state, n_samples, how, "_m"), "_to", kind)
+        step = blocks.relay(blocks.pack(own, keys, ["_down"], rows, True), keys, lambda t, state: learnt_bins(t, state, n_samples, how, "_m"), "_to", kind)
         step = materialise(step.select(*keys, "_bin", "_m", "_n", "bin_first", F.col("_to.anchor").alias("_next"), F.col("_to.first").alias("_first")), "bins")
         went = step.select(*keys, "_bin", "_next").distinct()
         of = went if of is None else _matched(of.withColumnRenamed("_next", "_top"), went, keys, "_top", "_bin").select(*keys, "_bin", F.col("_r__next").alias("_next"))
@@ -285,7 +285,7 @@ def collapse_msms(clusters: DataFrame, keys: list[str], mz: str = "mz", members:
         return out, state
 
     kind = ArrayType(clusters.schema[members].dataType)
-    done = blocks.relay(blocks.pack(own, keys, [mz, members], rows), keys, run, "_closed", kind)
+    done = blocks.relay(blocks.pack(own, keys, [mz, members], rows, True), keys, run, "_closed", kind)
     return done.select(*keys, F.explode("_closed").alias(members))
 
 

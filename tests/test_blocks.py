@@ -218,3 +218,19 @@ def test_overlap_matrix():
     whole = isotope.pattern({"C": 15, "O": 1})
     assert np.allclose(m.sum(1), whole)  # a row sums up to the precursor's isotope
     assert m[2, 1] == f[1] * n[1] and m[1, 2] == 0
+
+
+def test_rounds_follow_the_rows_not_the_partitions(spark):
+    """i03, i05: a small table is one block, so its keys need one round."""
+    df = spark.createDataFrame([(k % 2, float(k)) for k in range(40)], "k int, mz double")
+    assert blocks.pack(df, ["k"], ["mz"], 100, True).count() == 1
+    assert blocks.pack(df, ["k"], ["mz"], 5, True).selectExpr("max(size(rows))").first()[0] == 5
+
+
+def test_entries_without_a_spacing_between_them_are_corrected_at_once():
+    m = np.array([100.0, 100.5, 100.9, 101.0033, 101.2, 105.0])
+    runs = list(isotope._independent(m, np.full(6, 0.01), 1.0033, 0))
+    assert runs == [(0, 3), (3, 5), (5, 6)]
+    val = np.array([10.0, 1.0, 5.0])
+    isotope._subtract(val, np.array([0, 0, 1, 1, 2]), np.array([4.0, 3.0, 2.0, -9.0, 5.0]))
+    assert val.tolist() == [3.0, -1.0, 0.0]  # what is below zero is no longer read
