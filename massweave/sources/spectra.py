@@ -156,9 +156,9 @@ def time_span(scans: DataFrame) -> DataFrame:
     return scans.agg(F.min("time").alias("first"), F.max("time").alias("last"))
 
 
-def closest(df: DataFrame, key: str, value: float) -> DataFrame:
-    """s04: the row whose key is nearest to a value; ties go to the smaller key."""
-    return df.orderBy(F.abs(F.col(key) - value), key).limit(1)
+def closest(df: DataFrame, key: str, value: float, *ties: str) -> DataFrame:
+    """s04: the row whose key is nearest to a value; ties go to the smaller key, then to the least of ``ties``."""
+    return df.orderBy(F.abs(F.col(key) - value), key, *ties).limit(1)
 
 
 def read_csv_peaks(spark: SparkSession, path: str) -> DataFrame:

@@ -61,3 +61,9 @@ def test_scans_of_a_flat_peak_list(spark):
     rows = [(1, "FTMS + p NSI Full ms [1-2]", 2.0), (1, "FTMS + p NSI Full ms [1-2]", 1.0), (2, "FTMS - p NSI Full ms2 404.39@hcd12.50 [1-2]", 3.0)]
     out = spectra.scans_of_peaks(spark.createDataFrame(rows, "scanNum int, filterLine string, retTime double").repartition(3)).collect()
     assert sorted((r.scanNum, r.retTime, r.ms_level, r.polarity, r.precursor) for r in out) == [(1, 1.0, 1, 1, None), (2, 3.0, 2, -1, 404.39)]
+
+
+def test_closest_breaks_ties(spark):
+    """s04: of equal keys the row with the least id, wherever it lies."""
+    df = spark.createDataFrame([(k, 10.0) for k in (9, 4, 7, 2, 8)], "id int, mz double").repartition(3)
+    assert spectra.closest(df, "mz", 10.1, "id").first().id == 2
