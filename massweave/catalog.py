@@ -242,7 +242,7 @@ query("j19_charge", _ENT + ", x AS (SELECT round(a.mz * 10)::BIGINT * a.polarity
     lambda s, d: intervals.charge_by_spacing(_entries(s, d).where("polarity = 1"), Tolerance("da", 0.02), LARGEST).unionByName(intervals.charge_by_spacing(_entries(s, d).where("polarity = -1"), Tolerance("da", 0.02), LARGEST)).select("se_id", "charge")
 )
 query("j20_lookup", W + ", h AS (SELECT target_id, peak_id, row_number() OVER (PARTITION BY target_id ORDER BY abs(mz - target_mz), mz, peak_id) AS r FROM peaks JOIN targets ON abs(mz - target_mz) <= mz * 20 / 1e6) SELECT target_id, peak_id FROM h WHERE r = 1")(
-    lambda s, d: intervals.interval_join(views.peaks(s, d), views.targets(s, d), PPM, LARGEST).groupBy("target_id").agg(F.min_by("peak_id", F.struct(F.abs(F.col("mz") - F.col("target_mz")), "mz", "peak_id")).alias("peak_id"))
+    lambda s, d: intervals.lookup(views.peaks(s, d).select("peak_id", "mz"), views.targets(s, d), PPM, LARGEST, "peak_id").select("target_id", "peak_id")
 )
 query("j21_shared_fragments", W + "SELECT floor(mz * 10)::BIGINT AS mark, count(DISTINCT scan_id) AS n_entries, min(scan_id) AS first_entry, max(scan_id) AS last_entry FROM peaks GROUP BY 1 HAVING count(DISTINCT scan_id) > 1")(
     lambda s, d: A.shared_fragments(views.peaks(s, d).withColumn("mark", F.floor(F.col("mz") * 10)), ["mark"], "scan_id")

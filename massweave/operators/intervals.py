@@ -97,3 +97,48 @@ def nearest_any(left: DataFrame, right: DataFrame, left_id: str, lm: str = "mz",
     j = j.where(F.col("_t").isNull()).join(per, "_b").select("_id", "_m", F.coalesce("_u", "_under").alias("_u"), F.coalesce("_o", "_over").alias("_o"))
     pick = F.when(F.col("_o").isNull(), F.col("_u")).when(F.col("_u").isNull(), F.col("_o")).when(F.col("_m") - F.col("_u") <= F.col("_o") - F.col("_m"), F.col("_u")).otherwise(F.col("_o"))
     return j.select(F.col("_id").alias(left_id), F.col("_m").alias(lm), pick.alias(rm))
+
+
+def _neighbours(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest: float, peak_id: str, mz: str, target: str) -> DataFrame:
+    """Distinct target masses (_t) with the next mass on each side (_u at or below, _o at or above) as far as the tolerance goes: (_m, _p), the mass
+    and its smallest peak.
+
+    A mass beyond the next one fits only if the next one does, so these two decide what is nearest; no pairs are made. The ends of a
+    bucket are copied to its neighbours.
+    """
+    reach = tol.most(largest)
+    p = peaks.where(F.col(mz).isNotNull()).groupBy(F.col(mz).alias("_m")).agg(F.min(peak_id).alias("_p"))
+    p = p.select(F.floor(F.col("_m") / reach).alias("_b"), "_m", F.struct("_m", "_p").alias("_s"))
+    ends = p.groupBy("_b").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    p = p.unionByName(ends.select((F.col("_b") + 1).alias("_b"), F.col("_hi._m").alias("_m"), F.col("_hi").alias("_s")))
+    p = p.unionByName(ends.select((F.col("_b") - 1).alias("_b"), F.col("_lo._m").alias("_m"), F.col("_lo").alias("_s")))
+    t = targets.select(F.col(target).alias("_t")).where("_t is not null").distinct().select(F.floor(F.col("_t") / reach).alias("_b"), F.col("_t").alias("_m"), "_t")
+    both = p.unionByName(t, allowMissingColumns=True)
+    w = Window.partitionBy("_b")
+    both = both.select("_t", F.last("_s", True).over(w.orderBy("_m")).alias("_u"), F.last("_s", True).over(w.orderBy(F.desc("_m"))).alias("_o")).where("_t is not null")
+    return both.select("_t", *[F.when(tol.fits(F.col(f"{c}._m"), F.col("_t")), F.col(c)).alias(c) for c in ("_u", "_o")])
+
+
+def lookup(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest: float, peak_id: str, mz: str = "mz", target: str = "target_mz") -> DataFrame:
+    """j20: the targets that have a peak within the tolerance, with the nearest one (ties: smaller mass, then smaller id)."""
+    n = _neighbours(peaks, targets, tol, largest, peak_id, mz, target)
+    sides = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._m") - F.col("_t")), F.col(f"{c}._m"), F.col(f"{c}._p").alias("_p"))) for c in ("_u", "_o")]
+    best = n.select("_t", F.array_min(F.array(*sides))["_p"].alias(peak_id)).where(F.coalesce("_u", "_o").isNotNull())
+    return targets.join(best, F.col(target) == F.col("_t")).drop("_t")
+
+
+def nearest_hits_join(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest: float, most: float, digits: int = 6, peak_id: str = "peak_id", mz: str = "mz", target: str = "target_mz") -> DataFrame:
+    """a24: all pairs within the tolerance whose error, rounded to ``digits``, is the least of the target and at most ``most``.
+
+    The least errors come from the next masses; the masses that have them are found by an equi-join on the mass in
+    units of the last digit. Only pairs of the result are made.
+    """
+    err = lambda m: F.abs(F.round(m - F.col("_t"), digits))
+    n = _neighbours(peaks, targets, tol, largest, peak_id, mz, target)
+    n = n.select("_t", F.least(err(F.col("_u._m")), err(F.col("_o._m"))).alias("_least")).where(F.col("_least") <= most)
+    unit = 10**digits
+    at = [F.floor((F.col("_t") + sign * F.col("_least")) * unit) + k for sign in (-1, 1) for k in (-1, 0, 1)]
+    n = n.select("_t", "_least", F.explode(F.array_distinct(F.array(*at))).alias("_k"))
+    masses = peaks.select(F.col(mz).alias("_m")).distinct().withColumn("_k", F.floor(F.col("_m") * unit))
+    hits = masses.join(n, "_k").where((err(F.col("_m")) == F.col("_least")) & tol.fits(F.col("_m"), F.col("_t"))).select("_m", "_t")
+    return peaks.join(targets.join(hits, F.col(target) == F.col("_t")), F.col(mz) == F.col("_m")).drop("_m", "_t")
