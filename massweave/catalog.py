@@ -323,7 +323,7 @@ query("a23_ranking", W + ", l AS (SELECT floor(mz)::BIGINT AS bin, sample, sum(i
     lambda s, d: A.candidate_ranking(O.relative_intensity(views.peaks(s, d).groupBy(F.floor("mz").alias("bin"), "sample").agg(F.sum("i").alias("i")), ["sample"]), "bin", 4).select("bin", rd("rank_score", 6).alias("rank_score"))
 )
 query("a24_nearest_hits", W + ", h AS (SELECT peak_id, target_id, round(mz - target_mz, 6) AS err FROM peaks JOIN targets ON abs(mz - target_mz) <= mz * 20 / 1e6), l AS (SELECT target_id, min(abs(err)) AS least FROM h GROUP BY 1) SELECT peak_id, target_id FROM h JOIN l USING (target_id) WHERE abs(err) = least AND abs(err) <= 0.01")(
-    lambda s, d: A.nearest_hits(intervals.interval_join(views.peaks(s, d), views.targets(s, d), PPM, LARGEST).withColumn("err", rd(F.col("mz") - F.col("target_mz"), 6)), ["target_id"], "err", 0.01).select("peak_id", "target_id")
+    lambda s, d: intervals.nearest_hits_join(views.peaks(s, d).select("peak_id", "mz"), views.targets(s, d).select("target_id", "target_mz"), PPM, LARGEST, 0.01).select("peak_id", "target_id")
 )
 query("a25_error_summary", W + ", g AS (SELECT scan_id, avg(time) AS mean_err, avg(i) AS mean_i, stddev_samp(i) / avg(i) * 100 AS rsd, count(*) AS n FROM peaks GROUP BY 1) SELECT scan_id, round(mean_err, 6) AS mean_err, round(mean_i, 6) AS mean_i, round(rsd, 6) AS rsd, n FROM g WHERE mean_err <= (SELECT quantile_cont(mean_err, 0.25) FROM g)")(
     lambda s, d: A.error_summary(views.peaks(s, d), ["scan_id"], "time", "i").select("scan_id", rd("mean_err", 6).alias("mean_err"), rd("mean_i", 6).alias("mean_i"), rd("rsd", 6).alias("rsd"), "n")
