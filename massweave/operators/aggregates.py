@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import few, materialise
+
 
 def scan_average(binned: DataFrame, keys: list[str], total_scans: DataFrame, on: list[str]) -> DataFrame:
     """a10: per bin, intensity-weighted m/z and intensity over all scans (those without the peak too)."""
@@ -31,6 +33,21 @@ def nearest_hits(df: DataFrame, keys: list[str], err: str, most: float) -> DataF
     return df.join(least, keys).where((F.abs(err) == F.col("_least")) & (F.abs(err) <= most)).drop("_least")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "idx", rows: int = 1 << 20) -> DataFrame:
+    """o01: the rows with their place (from 1) in the order of their key; a key is cut into ranges of some ``rows`` rows.
+
+    The ranges are written and numbered; a row's place is that in its range and the rows of the ranges before.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    cut = materialise(df.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    size = cut.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))  # few short rows
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")
+    size = size.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), before.alias("_before"))
+    placed = cut.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)))
+    on = [F.col("_p") == F.col("_q"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    return placed.join(few(size), on).select(*df.columns, (F.col("_before") + F.col("_r")).alias(out))
+
+
 def error_summary(df: DataFrame, keys: list[str], err: str, i: str, q: float = 0.25) -> DataFrame:
     """a25: mean error, mean intensity, RSD percent and count; groups up to the quantile of the mean errors."""
     g = df.groupBy(*keys).agg(F.avg(err).alias("mean_err"), F.avg(i).alias("mean_i"), (F.stddev_samp(i) / F.avg(i) * 100).alias("rsd"), F.count(F.lit(1)).alias("n"))

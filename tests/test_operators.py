@@ -104,3 +104,48 @@ def test_merge_tables_outer(spark):
     b = spark.createDataFrame([(2, 3.0)], "k int, x double")
     got = sorted(tuple(r) for r in aggregates.merge_tables([("a", a), ("b", b)], ["k"]).collect())
     assert got == [(1, 2.0, 0.0), (2, 0.0, 3.0)]
+
+
+def _near_case(spark):
+    import random
+
+    rng = random.Random(5)
+    mz = [round(rng.uniform(100, 101), 4) for _ in range(300)] + [100.5, 100.502, 100.501]
+    peaks = [(9 - c + 10 * k, m) for k, m in enumerate(mz) for c in range(3)]
+    targets = [(c + 10 * k, t) for k, t in enumerate([100.501, 99.999, 150.0] + [round(rng.uniform(99.9, 101.1), 4) for _ in range(60)]) for c in range(2)]
+    p = spark.createDataFrame([*peaks, (7, None)], "peak_id int, mz double")
+    return peaks, targets, p, spark.createDataFrame([*targets, (5, None)], "target_id int, target_mz double")
+
+
+def test_lookup_of_copies(spark):
+    """j20 against all pairs; copies on both sides, ties and borders of buckets."""
+    peaks, targets, p, t = _near_case(spark)
+    tol = Tolerance("ppm", 20)
+    got = {r.target_id: r.peak_id for r in intervals.lookup(p, t, tol, 1100.0, "peak_id").collect()}
+    want = {}
+    for i, x in targets:
+        fits = [(abs(m - x), m, k) for k, m in peaks if abs(m - x) <= m * 20 / 1e6]
+        if fits:
+            want[i] = min(fits)[2]
+    assert got == want and len(want) > 20
+
+
+def test_nearest_hits_of_copies(spark):
+    """a24 against all pairs: every peak and target whose error is the least of its target."""
+    peaks, targets, p, t = _near_case(spark)
+    got = sorted((r.peak_id, r.target_id) for r in intervals.nearest_hits_join(p, t, Tolerance("ppm", 20), 1100.0, 0.0015).collect())
+    want = []
+    for i, x in targets:
+        fits = [(round(abs(m - x), 6), k) for k, m in peaks if abs(m - x) <= m * 20 / 1e6]
+        want += [(k, i) for e, k in fits if e == min(fits)[0] and e <= 0.0015]
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_places_across_ranges(spark):
+    """o01: a key that lies in several ranges is counted on."""
+    df = spark.createDataFrame([(k % 2 and "a" or None, float(k % 37), k) for k in range(400)], "s string, mz double, id long")
+    cut = aggregates.ranked(df, ["s"], ["mz", "id"], rows=40).collect()
+    for s in ("a", None):
+        mine = sorted((r.mz, r.id) for r in cut if r.s == s)
+        assert [(r.mz, r.id) for r in sorted((r for r in cut if r.s == s), key=lambda r: r.idx)] == mine
+        assert sorted(r.idx for r in cut if r.s == s) == list(range(1, 201))
