@@ -196,9 +196,12 @@ def start_width(masses: list[float], n_samples: int, how: Learnt) -> float:
 
 
 def learnt_bins(t: pa.Table, state: tuple | None, n_samples: int, how: Learnt, mz: str) -> tuple[list, tuple]:
-    """A fold over descending masses: (anchor, learnt window) of each; state: anchor, last mass, elements, window, learnt."""
+    """A fold over descending masses: (anchor, learnt window) of each; state: anchor, last mass, elements, window, learnt.
+
+    A row stands for ``_c`` elements of one mass; those after the first are inside its window.
+    """
     out = []
-    for m, n, w0 in zip(t[mz].to_pylist(), t["_n"].to_pylist(), t["_w0"].to_pylist(), strict=True):
+    for m, n, w0, copies in zip(t[mz].to_pylist(), t["_n"].to_pylist(), t["_w0"].to_pylist(), t["_c"].to_pylist(), strict=True):
         anchor, last, count, width, first = state or (None, None, 0, w0, None)
         inside = anchor is not None and anchor - m < width and not (n_samples > 1 and n >= FULL * n_samples)
         if inside:
@@ -209,6 +212,8 @@ def learnt_bins(t: pa.Table, state: tuple | None, n_samples: int, how: Learnt, m
                 if NARROWEST < new < width:
                     width, first = new, first or new
             state = (m, m, 1, width, first)
+        if copies > 1 and width > 0:
+            state = (state[0], m, state[2] + copies - 1, width, first)
         out.append({"anchor": state[0], "first": state[4]})
     return out, state
 
@@ -230,16 +235,17 @@ def learnt_align(df: DataFrame, keys: list[str], n_samples: int, how: Learnt = L
     width = materialise(width, "widths")
     kind = StructType([StructField("anchor", DoubleType()), StructField("first", DoubleType())])
     cur = materialise(df.groupBy(*keys, F.col(mz).alias("_m")).agg(F.count(F.lit(1)).alias("_c")), "bins")
-    # Equal masses are elements of their own, as rows; a bin counts its peaks.
-    cur = cur.select(*keys, F.col("_m").alias("_bin"), "_m", F.lit(1).cast("long").alias("_n"), (F.col("_m") * 1.0).alias("bin_first"), F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_copy"))
+    # Equal masses are elements of their own, counted by their row; a bin counts its peaks.
+    cur = cur.select(*keys, F.col("_m").alias("_bin"), "_m", F.lit(1).cast("long").alias("_n"), (F.col("_m") * 1.0).alias("bin_first"), "_c")
     of = None
     for k in range(passes):
         own = _matched(cur, width, keys, None, None).withColumn("_w0", F.col("_r__w0")).select(*cur.columns, "_w0").withColumn("_down", -F.col("_m"))
         step = blocks.relay(blocks.pack(own, keys, ["_down"], rows, True), keys, lambda t, state: learnt_bins(t, state, n_samples, how, "_m"), "_to", kind)
-        step = materialise(step.select(*keys, "_bin", "_m", "_n", "bin_first", F.col("_to.anchor").alias("_next"), F.col("_to.first").alias("_first")), "bins")
+        step = materialise(step.select(*keys, "_bin", "_m", "_n", "_c", "bin_first", F.col("_to.anchor").alias("_next"), F.col("_to.first").alias("_first")), "bins")
         went = step.select(*keys, "_bin", "_next").distinct()
         of = went if of is None else _matched(of.withColumnRenamed("_next", "_top"), went, keys, "_top", "_bin").select(*keys, "_bin", F.col("_r__next").alias("_next"))
-        total = step.groupBy(*keys, F.col("_next").alias("_bin")).agg(F.sum("_n").alias("_n"), (_exact(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("_m"), F.min("bin_first").alias("bin_first"))
+        masses = F.sum((F.col("_m") * F.col("_n")).cast("decimal(26,12)") * F.col("_c").cast("decimal(10,0)")).cast("double")
+        total = step.groupBy(*keys, F.col("_next").alias("_bin")).agg(F.sum(F.col("_n") * F.col("_c")).alias("_n"), (masses / F.sum(F.col("_n") * F.col("_c"))).alias("_m"), F.min("bin_first").alias("bin_first"), F.lit(1).cast("long").alias("_c"))
         cur = materialise(total, "bins")
         learnt = step.groupBy(*keys).agg(F.max("_first").alias("_f"))
         width = materialise(_matched(width, learnt, keys, None, None).select(*keys, F.coalesce("_r__f", F.lit(how.least_gap * 0.99) if how.start == "smallest" else F.col("_w0")).alias("_w0")), "widths")

@@ -234,3 +234,18 @@ def test_entries_without_a_spacing_between_them_are_corrected_at_once():
     val = np.array([10.0, 1.0, 5.0])
     isotope._subtract(val, np.array([0, 0, 1, 1, 2]), np.array([4.0, 3.0, 2.0, -9.0, 5.0]))
     assert val.tolist() == [3.0, -1.0, 0.0]  # what is below zero is no longer read
+
+
+def test_copies_of_a_mass_are_one_row():
+    """a03, a06: a row with a count folds as its copies did one by one, also over full bins and a window of zero."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for w0 in (0.0, 0.5):
+        rows = sorted(((round(rng.uniform(0, 20), 2), rng.randint(1, 5)) for _ in range(300)), reverse=True)
+        rows = [(m, c) for k, (m, c) in enumerate(rows) if not k or rows[k - 1][0] != m]
+        table = lambda r: pa.table({"_m": [m for m, _ in r], "_n": [1] * len(r), "_w0": [w0] * len(r), "_c": [c for _, c in r]})  # noqa: E731, B023
+        for n in (1, 4):
+            one, end = fold.learnt_bins(table(rows), None, n, fold.Learnt(), "_m")
+            many, last = fold.learnt_bins(table([(m, 1) for m, c in rows for _ in range(c)]), None, n, fold.Learnt(), "_m")
+            assert [x for x, (_, c) in zip(one, rows, strict=True) for _ in range(c)] == many and end == last
