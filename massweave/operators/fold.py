@@ -72,7 +72,7 @@ def align(df: DataFrame, keys: list[str], tol: Tolerance, passes: int = 3, weigh
     bins.  Null masses must be filtered before.
     """
     n, s = ("_w", "_ws") if weighted else ("_n", "_s")
-    first = blocks.anchored(df, keys, tol, mz, "_bin", rows)
+    first = materialise(blocks.anchored(df, keys, tol, mz, "_bin", rows), "anchored")  # read for the bins and for the result
     cur = first.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), _exact(F.col(mz)).alias("_s"), _exact(F.col(i)).alias("_w"), _exact(F.col(mz) * F.col(i)).alias("_ws"))
     cur, of = materialise(cur.withColumn("bin_first", F.col("_bin")), "bins"), None
     for _ in range(passes - 1):

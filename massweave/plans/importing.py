@@ -79,6 +79,7 @@ def align_msms(merged: DataFrame, window: float, tol: Tolerance, n_samples: int,
     fragments in less than a share ``least`` of the samples go.  fragments: fr_id, polarity,
     cluster_mz (mean precursor), cluster_first, mz, win; long: fr_id, sample, i.
     """
+    merged = materialise(merged, "merged")  # read for the precursors and for the fragments
     of = merged.select("polarity", "sample", "prec_first", "prec").distinct().withColumn("i", F.lit(1.0))
     c = fold.align(of, ["polarity"], Tolerance("da", window), 1, mz="prec").select("polarity", "sample", "prec_first", F.col("bin_mz").alias("cluster_mz"), F.col("bin_first").alias("cluster_first"))
     c = materialise(c, "clusters")
