@@ -13,8 +13,12 @@ space of its own in which distances differ, and is joined recursively: some memb
 become pivots, every member is measured against them and belongs to the Voronoi region of
 the nearest, and a window around each region, ``d(y, p) <= d(y, nearest) + 2 radius``,
 replicates the members across its border that may have a partner inside.  In its region
-a member is cut again into cells, by its leading shingles in an order that the pivot gives:
-those that the pivot lacks come first.  Pairs there must also fulfil the triangle
+a member is its difference from the pivot, the shingles that it gains and then those that it
+lacks: two members differ by what only one of their differences holds.  Members linked to the pivot are
+one component.  Of any other pair within the radius the differences must have a part in common, more
+than half of each, and so share a leading element: these are the next cells, apart for pairs
+with a member linked to the pivot and for pairs without.  What near copies share with their pivot
+makes no cell, however many they are.  Pairs there must also fulfil the triangle
 inequality ``|d(x, p) - d(y, p)| <= radius``.  Near copies share a run of consecutive cells; a
 pair is left to an earlier one if both members name it among the ``BEFORE`` cells before this
 one.  Nothing is lost: every pair within the radius
@@ -53,7 +57,7 @@ BEFORE = 16
 class Scheme:
     """Words of a shingle, the least similarity num/den of a link, and how the work is cut.
 
-    leaf: members of a cell that is done by pairs; pivots: of a larger cell; sketch: bits of
+    leaf: members of a cell that is done by pairs (its square bounds the pairs); pivots: of a larger cell; sketch: bits of
     the largest sketch (8 MB at 23).  The result is the same for any of them.
     """
 
@@ -68,6 +72,20 @@ class Scheme:
         """Leading shingles of a set of n."""
         return n + self.num * -n // self.den + 1
 
+    def reach(self, nx: int, n: int, a: int) -> tuple[int, int]:
+        """How many elements lead in the difference, of ``a`` elements, of a set of ``nx`` from a pivot of ``n``: (for partners not linked to the pivot, for linked ones).
+
+        Sets are linked if ``(num + den) (a + b - 2 common) <= (den - num) (nx + ny)``, so the common part of
+        the differences is bounded from below: against a partner that is not linked to the pivot, so that
+        its ``(num + den) b > (den - num) (ny + n)``; and against any, by ``b >= a - (den - num) (nx + ny) / (num + den)``
+        and ``num ny <= den nx``.  Two members linked to the pivot need none.
+        """
+        s, c = self.num + self.den, self.den - self.num
+        apart = a - (s * a + c * (n - nx)) // (2 * s)
+        if s * a <= c * (nx + n):
+            return 0, apart
+        return apart, a + 1 - max(1, a - c * nx // self.num)
+
     @property
     def radius(self) -> float:
         return float(1 - Fraction(self.num, self.den)) + 1e-9
@@ -204,11 +222,26 @@ def _cells(docs: DataFrame, scheme: Scheme, classes) -> DataFrame:
     return docs.select("_t").mapInArrow(lean(run), "cell bigint, node bigint, n int, at int")
 
 
-def _measure(pairs: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme, first: bool = False) -> DataFrame:
-    """(x, p, inter, union, first) of pairs of nodes, as a written table.
+def difference(s: np.ndarray, pivot: np.ndarray, classes: np.ndarray, scheme: Scheme) -> tuple[int, np.ndarray, int, int]:
+    """(elements in common, leading elements of the difference, how many lead for partners not linked to the pivot, and for linked ones).
+
+    What the set gains comes before what it lacks, each in the order (class of frequency, value).
+    """
+    has = np.isin(s, pivot, assume_unique=True)
+    inter = int(has.sum())
+    bits = len(classes).bit_length() - 1
+    parts = []
+    for e in (s[~has], pivot[~np.isin(pivot, s, assume_unique=True)]):
+        parts.append(e[np.argsort(classes[(e >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")])
+    reach = scheme.reach(len(s), len(pivot), len(s) + len(pivot) - 2 * inter)
+    return inter, np.concatenate(parts)[: max(reach)], *reach
+
+
+def _measure(pairs: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme, classes=None) -> DataFrame:
+    """(x, p, inter, union, first, apart, linked) of pairs of nodes, as a written table.
 
-    ``first``: if asked for, the leading shingles (half of their bits) of x in the order that p gives
-    (those that p lacks, by value, then those that it has); sets within the radius share a leading shingle.
+    ``first``: with the broadcast ``classes`` the leading elements (half of their bits) of the difference of x from p, of
+    which ``apart`` and ``linked`` lead for the two kinds of partners; else none.
 
     A set travels once for each of its pivots, and a pivot once for each block of
     ``BLOCK`` members, so a pivot of any number of members is shared by many tasks.
@@ -236,15 +269,15 @@ def _measure(pairs: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme,
                     if role[i] == 0:
                         at, pivot = (p[i], salt[i]), s
                     elif at == (p[i], salt[i]):
-                        has = np.isin(s, pivot, assume_unique=True)
-                        inter, lead = int(has.sum()), np.zeros(0, np.int32)
-                        if first:
-                            lead = (np.concatenate([s[~has], s[has]])[: scheme.lead(len(s))] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                        out.append((x[i], p[i], inter, len(s) + len(pivot) - inter, lead))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], list_array(list(cols[4]), pa.int32())], ["x", "p", "inter", "union", "first"])
-
-    done = materialise(dealt.mapInArrow(lean(meet), "x bigint, p bigint, inter bigint, union bigint, first array<int>"), "measured")
+                        if classes is None:
+                            inter, lead, apart, linked = int(np.isin(s, pivot, assume_unique=True).sum()), np.zeros(0, np.uint64), 0, 0
+                        else:
+                            inter, lead, apart, linked = difference(s, pivot, classes.value, scheme)
+                        out.append((x[i], p[i], inter, len(s) + len(pivot) - inter, apart, linked, (lead >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], list_array(list(cols[6]), pa.int32())], ["x", "p", "inter", "union", "apart", "linked", "first"])
+
+    done = materialise(dealt.mapInArrow(lean(meet), "x bigint, p bigint, inter bigint, union bigint, apart bigint, linked bigint, first array<int>"), "measured")
     drop(wanted)
     release(pairs.sparkSession)
     return done
@@ -264,13 +297,17 @@ def _bounded(pairs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
     return pairs.join(x, "x").join(p, "p").select("x", "p", "nx", "np", "vx", "vp").mapInArrow(lean(keep), "x bigint, p bigint")
 
 
-def _fits(nx: Column, ny: Column, ax: Column, ay: Column, scheme: Scheme) -> Column:
-    """Whether sizes and the places of a shared shingle leave a link open.
+def _fits(nx: Column, ny: Column, ax: Column, ay: Column, scheme: Scheme, a: Column | None = None, b: Column | None = None) -> Column:
+    """Whether sizes and the places of a shared element leave a link open.
 
-    If it is the first that two sets share, they share no more than what follows in either.
+    The places are those in the sets, or in their differences of ``a`` and ``b`` elements from one pivot.
+    If it is the first that two share, they share no more than what follows in either.
     """
+    nx, ny = nx.cast("bigint"), ny.cast("bigint")
+    a, b = (nx if a is None else a), (ny if b is None else b)
     sizes = F.least(nx, ny) * scheme.den >= F.greatest(nx, ny) * scheme.num
-    return sizes & (F.least(nx - ax, ny - ay) * (scheme.num + scheme.den) >= scheme.num * (nx + ny))
+    s = scheme.num + scheme.den
+    return sizes & (F.least(a - ax, b - ay) * (2 * s) >= (a + b) * s - (nx + ny) * (scheme.den - scheme.num))
 
 
 def _near(scheme: Scheme) -> Column:
@@ -310,18 +347,18 @@ def _linked(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> Data
     measured = _measure(materialise(_bounded(star, reps, scheme), "todo"), rows, reps, scheme)
     comp = materialise(components(measured.where(_near(scheme)), "x", "p"), "comp")
     drop(star)
-    level = materialise(cells.select("cell", "node", "n", "at", F.lit(0).cast("bigint").alias("region"), F.lit(0.0).alias("d"), F.lit(True).alias("home")), "level")
+    level = materialise(cells.select("cell", "node", "n", "at", F.lit(0).cast("bigint").alias("region"), F.lit(0.0).alias("d"), F.lit(True).alias("home"), F.col("n").cast("bigint").alias("a"), F.lit(True).alias("apart"), F.lit(False).alias("between")), "level")
     drop(cells)
     for depth in range(LEVELS + 1):
         open_ = materialise(_open(level, comp), "open")
         drop(level)
-        leaf = open_ if depth == LEVELS else open_.where(F.col("m") <= scheme.leaf)
+        leaf = open_ if depth == LEVELS else open_.where(F.col("m") <= scheme.leaf**2)
         comp = _more(_bounded(_pairs(leaf, scheme), reps, scheme), comp, rows, reps, scheme)
-        large = open_.where(F.col("m") > scheme.leaf).drop("m", "comp", "before")
+        large = open_.where(F.col("m") > scheme.leaf**2).drop("m", "comp", "before")
         if depth == LEVELS or large.isEmpty():
             drop(open_)
             break
-        level, comp = _regions(materialise(_open(large, comp).drop("m", "comp", "before"), "large"), comp, rows, reps, scheme)
+        level, comp = _regions(materialise(_open(large, comp).drop("m", "comp", "before"), "large"), comp, rows, reps, scheme, classes)
         drop(open_)
     cls = reps.join(comp, "node", "left").select(F.col("node").alias("_node"), "first", F.coalesce("comp", "node").alias("comp"))
     least = cls.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -353,14 +390,17 @@ def _connect(measured: DataFrame, comp: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of the cells that hold more than one component.
+    """Members of the cells that hold more than one component and a pair to look at: one of it at home, and of both kinds where a pair needs both.
 
-    With their component, the size ``m`` of the cell, and the cells ``before`` it that are open as well.
+    With their component, the number ``m`` of pairs that the kinds and homes of the cell's members leave, and the cells ``before`` it that are open as well.
     """
-    order = Window.partitionBy("node", "region").orderBy("at").rowsBetween(-BEFORE, -1)
+    order = Window.partitionBy("node", "region", "between").orderBy("at").rowsBetween(-BEFORE, -1)
     j = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = j.groupBy("cell").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("m"))
-    return j.join(per.where(F.col("_a") != F.col("_b")).select("cell", "m"), "cell").withColumn("before", F.collect_list("cell").over(order))
+    all_, home, apart = F.count(F.lit(1)), F.count_if("home"), F.count_if("apart")
+    both = F.count_if(F.col("home") & F.col("apart"))
+    m = F.when(F.max("between"), both * (all_ - apart) + apart * (home - both)).otherwise(home * all_)
+    per = j.groupBy("cell").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), m.alias("m"))
+    return j.join(per.where((F.col("_a") != F.col("_b")) & (F.col("m") > 0)).select("cell", "m"), "cell").withColumn("before", F.collect_list("cell").over(order))
 
 
 def _pairs(cells: DataFrame, scheme: Scheme) -> DataFrame:
@@ -368,38 +408,49 @@ def _pairs(cells: DataFrame, scheme: Scheme) -> DataFrame:
 
     Of the cells that a pair shares the first always lists it: bounds by places hold there, and no cell before it is shared.
     """
-    x = cells.select("cell", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("d").alias("dx"), F.col("home").alias("hx"), F.col("comp").alias("cx"), F.col("before").alias("bx"))
-    y = cells.select("cell", F.col("node").alias("p"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("d").alias("dy"), F.col("home").alias("hy"), F.col("comp").alias("cy"), F.col("before").alias("by"))
+    x = cells.select("cell", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("d").alias("dx"), F.col("home").alias("hx"), F.col("comp").alias("cx"), F.col("before").alias("bx"), F.col("a").alias("lx"), F.col("apart").alias("ux"), "between")
+    y = cells.select("cell", F.col("node").alias("p"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("d").alias("dy"), F.col("home").alias("hy"), F.col("comp").alias("cy"), F.col("before").alias("by"), F.col("a").alias("ly"), F.col("apart").alias("uy"))
     triangle = (F.abs(F.col("dx") - F.col("dy")) <= scheme.radius) & (F.col("hx") | F.col("hy"))
-    ok = (F.col("x") < F.col("p")) & (F.col("cx") != F.col("cy")) & _fits(F.col("nx"), F.col("ny"), F.col("ax"), F.col("ay"), scheme) & triangle & ~F.arrays_overlap("bx", "by")
+    kinds = ~F.col("between") | (F.col("ux") != F.col("uy"))
+    places = _fits(F.col("nx"), F.col("ny"), F.col("ax"), F.col("ay"), scheme, F.col("lx"), F.col("ly"))
+    ok = (F.col("x") < F.col("p")) & (F.col("cx") != F.col("cy")) & kinds & places & triangle & ~F.arrays_overlap("bx", "by")
     return x.join(y, "cell").where(ok).select("x", "p").distinct()
 
 
-def _regions(cells: DataFrame, comp: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+def _regions(cells: DataFrame, comp: DataFrame, rows: DataFrame, reps: DataFrame, scheme: Scheme, classes) -> tuple[DataFrame, DataFrame]:
     """The cells of the next level, inside the Voronoi regions of the pivots of ``cells``, and the components so far.
 
     The members of a cell are dealt into as many hands as there are pivots; each hand's member
-    of most cells is a pivot, so that few pivots serve many cells.
+    of most cells is a pivot, so that few pivots serve many cells.  Cells with the same pivots are
+    one space, in which a member occurs once.  Of two regions that a pair is at home in, the one whose pivot has
+    more cells gets the member of the other.
     """
     rank = cells.groupBy("node").agg(F.count(F.lit(1)).alias("_c"))
     hand = F.pmod(F.xxhash64("node"), F.lit(scheme.pivots))
     dealt = cells.join(rank, "node")
-    best = [F.max(F.when(hand == i, F.struct("_c", "node"))).alias(f"p{i}") for i in range(scheme.pivots)]
-    pivots = dealt.groupBy("cell").agg(*best).select("cell", F.explode(F.array_compact(F.array(*[F.col(f"p{i}.node") for i in range(scheme.pivots)]))).alias("p"))
+    best = [F.max(F.when(hand == i, F.struct("_c", "node"))) for i in range(scheme.pivots)]
+    ranked = F.transform(F.array_compact(F.array(*best)), lambda e: F.struct((-e["_c"]).alias("r"), e["node"].alias("p")))
+    pivots = dealt.groupBy("cell").agg(F.array_sort(ranked).alias("ps"))
     pivots = materialise(pivots, "pivots")
     # All pairs of a pivot in its cell are measured: it is no member any more.
-    rest = cells.select("cell", F.col("node").alias("x"), "n").join(pivots.select("cell", F.col("p").alias("x")), ["cell", "x"], "left_anti")
-    of = materialise(rest.join(pivots, "cell"), "of")
-    among = pivots.join(pivots.select("cell", F.col("p").alias("x")), "cell").where("x < p").select("x", "p")
-    measured = _measure(materialise(of.select("x", "p").unionByName(among).distinct(), "todo"), rows, reps, scheme, first=True)
+    rest = cells.select("cell", F.col("node").alias("x"), "n").join(pivots, "cell").where(~F.array_contains("ps.p", F.col("x")))
+    of = rest.select("ps", "x", "n").distinct().withColumn("q", F.explode("ps")).select("ps", "x", "n", F.col("q.r").alias("r"), F.col("q.p").alias("p"))
+    of = materialise(of, "of")
+    among = pivots.select("ps.p").distinct().withColumn("x", F.explode("p")).select("x", F.explode("p").alias("p")).where("x < p")
+    measured = _measure(materialise(of.select("x", "p").unionByName(among).distinct(), "todo"), rows, reps, scheme, classes)
     comp = _connect(measured, comp, scheme)
     d = measured.select("x", "p", (1 - F.col("inter") / F.col("union")).alias("d"))
-    held = of.join(d, ["x", "p"])
-    nearest = held.groupBy("cell", "x").agg(F.min(F.struct("d", "p")).alias("near"))
-    both = held.join(nearest, ["cell", "x"]).where(F.col("d") <= F.col("near.d") + 2 * scheme.radius)
-    region = both.groupBy("x", "p").agg(F.max("n").alias("n"), F.max("d").alias("d"), F.max(F.col("p") == F.col("near.p")).alias("home"))
-    inside = region.join(measured.select("x", "p", "first"), ["x", "p"]).select("x", "p", "n", "d", "home", F.posexplode("first").alias("at", "s"))
-    level = inside.select(F.xxhash64("p", "s").alias("cell"), F.col("x").alias("node"), "n", F.col("at").cast("int").alias("at"), F.col("p").alias("region"), "d", "home")
+    # Of the few pivots of its space a member keeps the nearest, and those before it whose windows it lies in.
+    held = of.join(d, ["x", "p"]).groupBy("ps", "x").agg(F.max("n").alias("n"), F.collect_list(F.struct("d", "r", "p")).alias("all")).withColumn("near", F.array_min("all"))
+    order = F.struct("near.r", "near.p")
+    inside = F.filter("all", lambda e: (e["p"] == F.col("near.p")) | ((e["d"] <= F.col("near.d") + 2 * scheme.radius) & (F.struct(e["r"].alias("r"), e["p"].alias("p")) < order)))
+    both = held.select("x", "n", "near", F.explode(inside).alias("e")).select("x", "n", F.col("e.p").alias("p"), F.col("e.d").alias("d"), (F.col("e.p") == F.col("near.p")).alias("home"))
+    region = both.groupBy("x", "p").agg(F.max("n").alias("n"), F.max("d").alias("d"), F.max("home").alias("home"))
+    how = measured.select("x", "p", "first", F.col("apart").alias("_a"), F.col("linked").alias("_l"), (F.col("union") - F.col("inter")).alias("a"), (~_near(scheme)).alias("apart"))
+    led = region.join(how, ["x", "p"]).select("x", "p", "n", "d", "home", "a", "apart", "_a", "_l", F.posexplode("first").alias("at", "s"))
+    kinds = F.array_compact(F.array(F.when(F.col("at") < F.col("_a"), F.lit(False)), F.when(F.col("at") < F.col("_l"), F.lit(True))))
+    level = led.withColumn("between", F.explode(kinds))
+    level = level.select(F.xxhash64("p", "s", "between").alias("cell"), F.col("x").alias("node"), "n", F.col("at").cast("int").alias("at"), F.col("p").alias("region"), "d", "home", "a", "apart", "between")
     level = materialise(level, "level")
     drop(of, measured, pivots, cells)
     release(cells.sparkSession)

@@ -267,6 +267,53 @@ def test_jaccard_cluster_of_edits(spark, monkeypatch, before):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_jaccard_lists_few_pairs_of_many_copies(spark, monkeypatch):
+    """Copies that each differ from their base in places of their own: what is listed follows their number, not its square."""
+    rng, listed, bounded = random.Random(11), [], jaccard_join._bounded
+
+    def counted(pairs, reps, scheme):
+        pairs = jaccard_join.materialise(pairs, "listed")
+        listed.append(pairs.count())
+        return bounded(pairs, reps, scheme)
+
+    monkeypatch.setattr(jaccard_join, "_bounded", counted)
+    rows = []
+    for i in range(400):
+        w = [f"w{j}" for j in range(150)]
+        for j in rng.sample(range(150), rng.randint(1, 12)):
+            w[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 4, 85)
+    for r in jaccard_join.link(docs_of(spark, rows), jaccard_join.Scheme(leaf=8)).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    assert sum(listed) < 10 * len(rows)
+
+
+def test_linked_differences_share_a_leading_element():
+    rng = np.random.default_rng(4)
+    pairs = 0
+    for scheme in (jaccard_join.Scheme(4, 85, 100), jaccard_join.Scheme(1, 50, 100)):
+        classes = rng.integers(0, 3, 1 << 10).astype(np.uint8)
+        for _ in range(150):
+            pivot = np.unique(rng.integers(0, 2**64, rng.integers(5, 80), np.uint64))
+            new, sets = rng.integers(0, 2**64, 12, np.uint64), []
+            for _ in range(12):
+                kept = pivot[rng.random(len(pivot)) > rng.uniform(0, 0.4)]
+                sets.append(np.unique(np.concatenate([kept, rng.choice(new, rng.integers(0, 10))])))
+            sets = [s for s in sets if len(s) and not np.array_equal(s, pivot)]
+            got = [jaccard_join.difference(s, pivot, classes, scheme) for s in sets]
+            near = [scheme.den * g[0] >= scheme.num * (len(s) + len(pivot) - g[0]) for s, g in zip(sets, got, strict=True)]
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets[:i]):
+                    inter = len(np.intersect1d(x, y))
+                    if near[i] and near[j] or np.array_equal(x, y) or scheme.den * inter < scheme.num * (len(x) + len(y) - inter):
+                        continue
+                    kind = 3 if near[i] or near[j] else 2
+                    assert np.isin(got[i][1][: got[i][kind]], got[j][1][: got[j][kind]]).any()
+                    pairs += 1
+    assert pairs > 100
+
+
 def test_jaccard_reports_no_partial_link_count(spark):
     """Three mutually linked texts: one component, and no count of the pairs that happened to be measured."""
     base = [f"w{i}" for i in range(400)]
