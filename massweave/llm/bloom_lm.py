@@ -44,6 +44,8 @@ _PAIR = np.uint64(0xA0761D6478BD642F)
 END = np.uint64(0x1)
 #: N-grams that a task sums up before it sends them.
 FLUSH = 1 << 22
+#: Hashes of a group that are probed together: a call costs the same for few.
+PROBED = 1 << 17
 #: Highest level that a count can have.
 TOP = STEPS * 63 + 1
 
@@ -314,18 +316,37 @@ def _read(runs: DataFrame, flt: DataFrame, m: Model) -> DataFrame:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, None
+        held: list[tuple[int, np.ndarray]] = []
+
+        def done() -> pa.RecordBatch:
+            q = part.levels(np.concatenate([h for _, h in held])).astype(np.uint8)
+            cut = np.cumsum([0] + [len(h) for _, h in held]).tolist()
+            blobs = [q[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), pa.array(np.full(len(held), at, np.int32)), pa.array(blobs, pa.binary())], ["chunk", "g", "blob"])
+            held.clear()
+            return out
+
         for batch in batches:
-            out = []
+            n = 0
             for k, (g, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 raw = batch.column(2)[k].as_buffer()
                 if chunk is None:
+                    if held:
+                        yield done()
+                        n = 0
                     at, part = g, Filter(np.frombuffer(bytes(raw), np.uint8), top)
-                else:
-                    h = decoded(raw)
-                    q = part.levels(h) if at == g else np.zeros(len(h), np.int64)
-                    out.append((chunk, g, q.astype(np.uint8).tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["chunk", "g", "blob"])
+                    continue
+                h = decoded(raw)
+                if at != g:  # a group without a filter
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([g], pa.int32()), pa.array([bytes(len(h))], pa.binary())], ["chunk", "g", "blob"])
+                    continue
+                held.append((chunk, h))
+                n += len(h)
+                if n >= PROBED:
+                    yield done()
+                    n = 0
+            if held:
+                yield done()
 
     asked = runs.select("chunk", "blob").mapInArrow(ask, "g int, chunk bigint, blob binary")
     own = flt.select("g", F.lit(None).cast("bigint").alias("chunk"), F.col("bits").alias("blob"))
