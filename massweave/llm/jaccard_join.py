@@ -12,7 +12,8 @@ of the shared shingle, profiles, and at last the sets decide.  A larger cell is
 space of its own in which distances differ, and is joined recursively: some members
 become pivots, every member is measured against them and belongs to the Voronoi region of
 the nearest, and a window around each region, ``d(y, p) <= d(y, nearest) + 2 radius``,
-replicates the members across its border that may have a partner inside.  In its region
+replicates the members across its border that may have a partner inside.  Where windows hold
+so much that regions divide nothing, all members stay in the region of one pivot.  In its region
 a member is its difference from the pivot, the shingles that it gains and then those that it
 lacks: two members differ by what only one of their differences holds.  Members linked to the pivot are
 one component.  Of any other pair within the radius the differences must have a part in common, more
@@ -225,7 +226,9 @@ def _cells(docs: DataFrame, scheme: Scheme, classes) -> DataFrame:
 def difference(s: np.ndarray, pivot: np.ndarray, classes: np.ndarray, scheme: Scheme) -> tuple[int, np.ndarray, int, int]:
     """(elements in common, leading elements of the difference, how many lead for partners not linked to the pivot, and for linked ones).
 
-    What the set gains comes before what it lacks, each in the order (class of frequency, value).
+    What the set gains comes before what it lacks, each in the order (class of frequency, value).  In the order that puts
+    the pivot's elements last a partner shares a leading element of the set itself: if only gains lead, it is
+    also the first element that the differences share, and no more need to lead.
     """
     has = np.isin(s, pivot, assume_unique=True)
     inter = int(has.sum())
@@ -234,6 +237,9 @@ def difference(s: np.ndarray, pivot: np.ndarray, classes: np.ndarray, scheme: Sc
     for e in (s[~has], pivot[~np.isin(pivot, s, assume_unique=True)]):
         parts.append(e[np.argsort(classes[(e >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")])
     reach = scheme.reach(len(s), len(pivot), len(s) + len(pivot) - 2 * inter)
+    lead = scheme.lead(len(s))
+    if len(s) - inter >= lead:
+        reach = tuple(min(r, lead) for r in reach)
     return inter, np.concatenate(parts)[: max(reach)], *reach
 
 
@@ -423,7 +429,9 @@ def _regions(cells: DataFrame, comp: DataFrame, rows: DataFrame, reps: DataFrame
     The members of a cell are dealt into as many hands as there are pivots; each hand's member
     of most cells is a pivot, so that few pivots serve many cells.  Cells with the same pivots are
     one space, in which a member occurs once.  Of two regions that a pair is at home in, the one whose pivot has
-    more cells gets the member of the other.
+    more cells gets the member of the other.  A space whose members lie in more than one and a half
+    regions on average is one region, that of the pivot with the least differences.  A member is listed only
+    for the kinds of partners that its region has in other components.
     """
     rank = cells.groupBy("node").agg(F.count(F.lit(1)).alias("_c"))
     hand = F.pmod(F.xxhash64("node"), F.lit(scheme.pivots))
@@ -439,20 +447,32 @@ def _regions(cells: DataFrame, comp: DataFrame, rows: DataFrame, reps: DataFrame
     among = pivots.select("ps.p").distinct().withColumn("x", F.explode("p")).select("x", F.explode("p").alias("p")).where("x < p")
     measured = _measure(materialise(of.select("x", "p").unionByName(among).distinct(), "todo"), rows, reps, scheme, classes)
     comp = _connect(measured, comp, scheme)
-    d = measured.select("x", "p", (1 - F.col("inter") / F.col("union")).alias("d"))
+    d = measured.select("x", "p", (1 - F.col("inter") / F.col("union")).alias("d"), (F.col("union") - F.col("inter")).alias("a"))
     # Of the few pivots of its space a member keeps the nearest, and those before it whose windows it lies in.
-    held = of.join(d, ["x", "p"]).groupBy("ps", "x").agg(F.max("n").alias("n"), F.collect_list(F.struct("d", "r", "p")).alias("all")).withColumn("near", F.array_min("all"))
-    order = F.struct("near.r", "near.p")
-    inside = F.filter("all", lambda e: (e["p"] == F.col("near.p")) | ((e["d"] <= F.col("near.d") + 2 * scheme.radius) & (F.struct(e["r"].alias("r"), e["p"].alias("p")) < order)))
-    both = held.select("x", "n", "near", F.explode(inside).alias("e")).select("x", "n", F.col("e.p").alias("p"), F.col("e.d").alias("d"), (F.col("e.p") == F.col("near.p")).alias("home"))
+    held = of.join(d, ["x", "p"]).groupBy("ps", "x").agg(F.max("n").alias("n"), F.collect_list(F.struct("d", "r", "p", "a")).alias("all")).withColumn("near", F.array_min("all"))
+    each = held.select("ps", "x", "n", "near", F.explode("all").alias("e")).withColumn("home", F.col("e.p") == F.col("near.p"))
+    inside = F.col("home") | ((F.col("e.d") <= F.col("near.d") + 2 * scheme.radius) & (F.struct("e.r", "e.p") < F.struct("near.r", "near.p")))
+    each = materialise(each.select("ps", "x", "n", "home", inside.alias("inside"), "e.p", "e.d", "e.a"), "each")
+    spread = each.groupBy("ps", "p").agg(F.sum("a").alias("_a"), F.count_if("inside").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    spread = spread.groupBy("ps").agg(F.min(F.struct("_a", "p"))["p"].alias("only"), F.sum("_k").alias("_k"), F.max("_n").alias("_n"))
+    whole = materialise(spread.where(2 * F.col("_k") > 3 * F.col("_n")).select("ps", "only"), "whole")
+    only = F.col("p") == F.col("only")
+    both = each.join(few(whole), "ps", "left").where(F.coalesce(only, "inside")).select("x", "n", "p", "d", F.coalesce(only, "home").alias("home"))
     region = both.groupBy("x", "p").agg(F.max("n").alias("n"), F.max("d").alias("d"), F.max("home").alias("home"))
     how = measured.select("x", "p", "first", F.col("apart").alias("_a"), F.col("linked").alias("_l"), (F.col("union") - F.col("inter")).alias("a"), (~_near(scheme)).alias("apart"))
-    led = region.join(how, ["x", "p"]).select("x", "p", "n", "d", "home", "a", "apart", "_a", "_l", F.posexplode("first").alias("at", "s"))
+    held = region.join(how, ["x", "p"]).join(comp.select(F.col("node").alias("x"), "comp"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    held = materialise(held, "held")
+    # The component of the pivot, if a member is linked to it, and the least and greatest of those that are not.
+    apart = F.when(F.col("apart"), F.col("comp"))
+    others = materialise(held.groupBy("p").agg(F.max(F.when(~F.col("apart"), F.col("comp"))).alias("_c"), F.min(apart).alias("_lo"), F.max(apart).alias("_hi")), "others")
+    other = F.when(F.col("apart"), F.col("comp") != F.col("_c")).otherwise((F.col("_lo") != F.col("_c")) | (F.col("_hi") != F.col("_c")))
+    led = held.join(few(others), "p").withColumn("_a", F.when(F.col("_lo") != F.col("_hi"), F.col("_a")).otherwise(0)).withColumn("_l", F.when(other, F.col("_l")).otherwise(0))
+    led = led.select("x", "p", "n", "d", "home", "a", "apart", "_a", "_l", F.posexplode(F.slice("first", F.lit(1), F.greatest("_a", "_l").cast("int"))).alias("at", "s"))
     kinds = F.array_compact(F.array(F.when(F.col("at") < F.col("_a"), F.lit(False)), F.when(F.col("at") < F.col("_l"), F.lit(True))))
     level = led.withColumn("between", F.explode(kinds))
     level = level.select(F.xxhash64("p", "s", "between").alias("cell"), F.col("x").alias("node"), "n", F.col("at").cast("int").alias("at"), F.col("p").alias("region"), "d", "home", "a", "apart", "between")
     level = materialise(level, "level")
-    drop(of, measured, pivots, cells)
+    drop(of, measured, pivots, cells, each, whole, held, others)
     release(cells.sparkSession)
     return level, comp
 

@@ -289,6 +289,50 @@ def test_jaccard_lists_few_pairs_of_many_copies(spark, monkeypatch):
     assert sum(listed) < 10 * len(rows)
 
 
+def test_jaccard_regions_that_divide_nothing_are_one(spark, monkeypatch):
+    """Near copies lie in the windows of all pivots: a member is listed in one region, not in each."""
+    rng, listed, regions = random.Random(12), [], jaccard_join._regions
+
+    def counted(*args):
+        level, comp = regions(*args)
+        per = level.select("node", "region").distinct()
+        listed.append((per.count(), per.select("node").distinct().count()))
+        return level, comp
+
+    monkeypatch.setattr(jaccard_join, "_regions", counted)
+    rows = []
+    for i in range(200):
+        w = [f"w{j}" for j in range(150)]
+        for j in rng.sample(range(150), rng.randint(4, 12)):
+            w[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows, 4, 85)
+    for r in jaccard_join.link(docs_of(spark, rows), jaccard_join.Scheme(leaf=8)).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    assert listed and all(2 * a <= 3 * b for a, b in listed)
+
+
+def test_leading_elements_follow_the_set_far_from_the_pivot():
+    rng = np.random.default_rng(5)
+    classes = rng.integers(0, 3, 1 << 10).astype(np.uint8)
+    for scheme in (jaccard_join.Scheme(4, 85, 100), jaccard_join.Scheme(1, 50, 100)):
+        pivot, base = (np.unique(rng.integers(0, 2**64, 60, np.uint64)) for _ in range(2))
+        sets = []
+        for _ in range(80):  # they share much with each other and little with the pivot
+            kept = base[rng.random(len(base)) > rng.uniform(0, 0.2)]
+            sets.append(np.unique(np.concatenate([kept, rng.choice(pivot, rng.integers(0, 6)), rng.integers(0, 2**64, rng.integers(0, 5), np.uint64)])))
+        got = [jaccard_join.difference(s, pivot, classes, scheme) for s in sets]
+        assert all(len(g[1]) <= scheme.lead(len(s)) for s, g in zip(sets, got, strict=True))
+        pairs = 0
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                inter = len(np.intersect1d(x, y))
+                if scheme.den * inter >= scheme.num * (len(x) + len(y) - inter):
+                    assert np.isin(got[i][1][: got[i][2]], got[j][1][: got[j][2]]).any()
+                    pairs += 1
+        assert pairs > 20
+
+
 def test_linked_differences_share_a_leading_element():
     rng = np.random.default_rng(4)
     pairs = 0
