@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import delete, drop, materialise, new_path, release, shared_dir, ship
+from ..scratch import delete, drop, materialise, new_path, release, shared_dir, ship, unsent
 
-__all__ = ["SMALL_ROWS", "delete", "drop", "few", "lean", "materialise", "new_path", "release", "remainder", "shared_dir", "ship", "table"]
+__all__ = ["SMALL_ROWS", "delete", "drop", "few", "lean", "materialise", "new_path", "release", "remainder", "shared_dir", "ship", "table", "unsent"]
 
 #: Short rows that are broadcast at most; larger tables are joined by a shuffle.
 SMALL_ROWS = 1 << 19

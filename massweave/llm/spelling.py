@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import drop, lean, materialise, release, ship
+from .common import drop, lean, materialise, release, ship, unsent
 
 #: Runs of letters (Latin-1 letters with the two signs between them).
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -124,7 +124,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     left = words.mapInArrow(_keys(ranks, (False,)), kind).select(F.col("word").alias("a"), F.col("n").alias("na"), "key")
     right = words.mapInArrow(_keys(ranks, (False, True)), kind).select(F.col("word").alias("b"), F.col("n").alias("nb"), "key", "longer")
     one = (F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
-    found = left.join(right, "key").where(one).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+    found = unsent(left).join(right, "key").where(one).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     both = F.explode(F.array(F.struct("a", "na", "b", "nb"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"))))
     return found.select(both.alias("p")).select("p.*")
 
@@ -134,7 +134,7 @@ def forms(words: DataFrame, times: int = TIMES) -> DataFrame:
     best = F.min(F.struct((-F.col("nb")).alias("n"), "b"))
     near = near_pairs(words).groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best.alias("best"))
     enough = -F.col("best.n") >= times * F.col("n")
-    return words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("best.b")).alias("form"), F.when(enough, -F.col("best.n")).alias("form_n"))
+    return words.join(unsent(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("best.b")).alias("form"), F.when(enough, -F.col("best.n")).alias("form_n"))
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def roots(links: DataFrame) -> DataFrame:
     cur = links.select("word", F.col("form").alias("root"))
     while True:
         ahead = cur.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        new = materialise(cur.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "roots")
+        new = materialise(cur.join(unsent(ahead), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "roots")
         moved = new.where("moved").limit(1).count()
         drop(cur)
         if not moved:
@@ -160,4 +160,4 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     drop(words)
     release(spark)
     last = roots(out.where(F.col("form").isNotNull()))
-    return out.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return out.join(unsent(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

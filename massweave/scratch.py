@@ -71,6 +71,11 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: Spark sizes what an Arrow function or an explode makes like one row for each row of its input."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more, and give freed memory of the driver back."""
     gc.collect()

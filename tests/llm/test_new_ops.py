@@ -95,6 +95,17 @@ def test_every_near_pair_shares_a_key():
                 assert keys[a, False] & keys[b, len(b) > len(a)], (a, b)
 
 
+def test_no_join_of_words_is_broadcast(spark):
+    """Spark sizes the keys like the words, a dozen times too low, and would send them through the driver."""
+    seen = []
+    plan = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString())
+    words = spelling.materialise(spark.createDataFrame([(f"aaaa{k}", k) for k in "bcdef"], "word string, n string").withColumn("n", F.lit(3).cast("long")), "words")
+    plan(spelling.near_pairs(words))
+    plan(spelling.forms(words))
+    plan(spelling.variants(spark.createDataFrame(spelled(30), "doc_id long, text string")))
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in seen)
+
+
 def test_variants_of_nothing(spark):
     for rows in ([], [(1, None)], [(1, "ab cd ab")]):
         assert spelling.variants(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
