@@ -521,7 +521,7 @@ query("x18_cells", "SELECT event_id, greatest(coalesce(try_cast(CASE WHEN event_
 query("s02_scan_list", W + "SELECT time, target_mz FROM scans WHERE time BETWEEN 10 AND 20")(lambda s, d: spectra.scan_list(views.scans(s, d), 10, 20))
 query("s02_time_span", W + "SELECT min(time) AS first, max(time) AS last FROM scans")(lambda s, d: spectra.time_span(views.scans(s, d)))
 query("s03_xic", W + ", p AS (SELECT scan_id, sum(i) AS i FROM peaks WHERE mz BETWEEN 100 AND 300 GROUP BY 1) SELECT scan_id, s.time, coalesce(p.i, 0) AS i FROM scans s LEFT JOIN p USING (scan_id) WHERE ms_level = 1 AND time BETWEEN 0 AND 50")(lambda s, d: spectra.xic(views.scans(s, d), views.peaks(s, d), 0, 50, 100, 300))
-query("s04_closest", W + "SELECT peak_id, mz FROM peaks ORDER BY abs(mz - 512.345), mz LIMIT 1")(lambda s, d: spectra.closest(views.peaks(s, d), "mz", 512.345, "peak_id").select("peak_id", "mz"))
+query("s04_closest", W + "SELECT peak_id, mz FROM peaks ORDER BY abs(mz - 512.345), mz LIMIT 1")(lambda s, d: spectra.closest(views.peaks(s, d), "mz", 512.345, *spectra.INPUT_ORDER).select("peak_id", "mz"))
 query("s16_target_list", _FORMULAS + " SELECT p_partkey, chemsc, round(mz0 - 0.00055, 6) AS mz FROM ok")(lambda s, d: _formulas(s, d).select("p_partkey", "chemsc", rd("mz", 6).alias("mz")))
 
 

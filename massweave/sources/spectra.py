@@ -156,8 +156,12 @@ def time_span(scans: DataFrame) -> DataFrame:
     return scans.agg(F.min("time").alias("first"), F.max("time").alias("last"))
 
 
+#: The order of the rows of a table of Parquet files, as ties of :func:`closest`: by file, then by place in it.
+INPUT_ORDER = ("_metadata.file_path", "_metadata.row_index")
+
+
 def closest(df: DataFrame, key: str, value: float, *ties: str) -> DataFrame:
-    """s04: the row whose key is nearest to a value; ties go to the smaller key, then to the least of ``ties``."""
+    """s04: the row whose key is nearest to a value; ties go to the smaller key, then to the least of ``ties`` (:data:`INPUT_ORDER`: to the first row read, as the reference's ``min``)."""
     return df.orderBy(F.abs(F.col(key) - value), key, *ties).limit(1)
 
 

@@ -67,3 +67,24 @@ def test_closest_breaks_ties(spark):
     """s04: of equal keys the row with the least id, wherever it lies."""
     df = spark.createDataFrame([(k, 10.0) for k in (9, 4, 7, 2, 8)], "id int, mz double").repartition(3)
     assert spectra.closest(df, "mz", 10.1, "id").first().id == 2
+
+
+def test_closest_takes_the_first_copy(spark, tmp_path):
+    """s04: of peaks with equal masses the first of the input, as DuckDB returns with one thread, wherever the least id lies."""
+    import duckdb
+
+    from massweave import catalog
+
+    con = duckdb.connect()
+    con.sql("set threads=1")
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for k, keys in enumerate(([90, 70, 80], [10, 60], [20])):  # the copies of the nearest mass come after two rows farther off
+        rows = ", ".join(f"({o}::bigint, {p})" for o, p in [(1, 50000.0), (2, 51300.0), *[(o, 51234.5) for o in keys]])
+        con.sql(f"copy (select o as l_orderkey, 1::bigint as l_partkey, 1::bigint as l_suppkey, 1 as l_linenumber, 1.0::double as l_quantity, p::double as l_extendedprice, 0.0::double as l_discount, 'A' as l_returnflag, 'F' as l_linestatus from (values {rows}) v(o, p)) to '{folder}/part-{k}.parquet' (format parquet)")
+    con.sql(f"create view lineitem as select * from '{folder}/*.parquet'")
+    con.sql("create view orders as select 1 as o_orderkey, 'F' as o_orderstatus, 1.0 as o_totalprice, 1 as o_custkey")
+    con.sql("create view part as select 1 as p_partkey, 1.0 as p_retailprice, 'x' as p_type")
+    got = [tuple(r) for r in catalog.queries()["s04_closest"](spark, str(tmp_path)).collect()]
+    assert got == con.sql(catalog.oracle_sql()["s04_closest"]).fetchall()
+    assert got[0][0] // 10**11 == 90
