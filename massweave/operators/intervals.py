@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..chem import Tolerance
+from ..scratch import unsent
+
+#: Ids in one row of a list at most.
+RUN = 256
 
 
 def bucketed(left: DataFrame, right: DataFrame, lm: Column, rm: Column, reach: float, keys: list[str] | None = None) -> DataFrame:
@@ -27,6 +31,28 @@ def interval_join(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest:
     return j.where(tol.fits(F.col(mz), F.col(target)))
 
 
+def runs(df: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """(keys, run, ids): the values of ``key`` for each of ``keys`` in ascending order, ``RUN`` of them in a row, runs numbered from 0."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(key)) - 1
+    parts = df.select(*keys, F.struct(F.col(key).alias("v")).alias("_v"), F.floor(place / RUN).alias("run"))  # in a struct, as lists leave out nulls
+    return parts.groupBy(*keys, "run").agg(F.transform(F.array_sort(F.collect_list("_v")), lambda x: x["v"]).alias("ids"))
+
+
+def interval_pairs(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest: float, peak_id: str, target_id: str, mz: str = "mz", target: str = "target_mz") -> DataFrame:
+    """j01: the two ids of all pairs within the tolerance.
+
+    Targets of one mass are met as one: the join finds peaks for runs of their ids, which are laid out last.  Only ids and masses are
+    shuffled, never pairs, and nothing is broadcast.  A run meets one peak after the other, so files of the result hold repeated
+    stretches of ids and pack well.
+    """
+    reach = tol.most(largest)
+    b = F.floor(F.col(target) / reach)
+    t = runs(targets.where(F.col(target).isNotNull()), [target], target_id).select(target, "ids", F.explode(F.array(b - 1, b, b + 1)).alias("_b"))
+    p = peaks.select(F.col(peak_id), F.col(mz), F.floor(F.col(mz) / reach).alias("_b"))
+    n = int(peaks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as few bytes make many pairs
+    return unsent(t.repartition(n, "_b")).join(p.repartition(n, "_b"), "_b").where(tol.fits(F.col(mz), F.col(target))).select(peak_id, F.explode("ids").alias(target_id))
+
+
 def nearest_join(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest: float, peak_id: str, mz: str = "mz", target: str = "target_mz", keys: list[str] | None = None) -> DataFrame:
     """j02: the nearest target of each peak within the tolerance; ties go to the smaller target."""
     j = interval_join(peaks, targets, tol, largest, mz, target, keys)

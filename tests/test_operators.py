@@ -1,7 +1,11 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from massweave import catalog
 from massweave.chem import Tolerance
 from massweave.functions import scalar
 from massweave.operators import aggregates, filters, fold, intervals, isotope
@@ -149,3 +153,20 @@ def test_places_across_ranges(spark):
         mine = sorted((r.mz, r.id) for r in cut if r.s == s)
         assert [(r.mz, r.id) for r in sorted((r for r in cut if r.s == s), key=lambda r: r.idx)] == mine
         assert sorted(r.idx for r in cut if r.s == s) == list(range(1, 201))
+
+
+def test_pairs_come_from_runs_of_ids(spark, tmp_path):
+    """j01: equal to brute force with many copies of a mass, null ids and null masses; no pair is shuffled and no table broadcast."""
+    rng = random.Random(4)
+    peaks = [(rng.choice([k, k, None, 7]), rng.choice([950.0, 950.019, 950.0190001, 949.981, 20.0, None])) for k in range(60)]
+    targets = [(rng.choice([k, k, None, 5]), 950.0) for k in range(600)] + [(k, rng.choice([949.99, 950.02, 20.0004, 20.0005, None])) for k in range(40)]
+    p, t = spark.createDataFrame(peaks, "peak_id long, mz double"), spark.createDataFrame(targets, "target_id long, target_mz double")
+    tol = Tolerance("ppm", 20)
+    got = Counter(tuple(r) for r in intervals.interval_pairs(p, t, tol, 1100.0, "peak_id", "target_id").collect())
+    assert got == Counter((i, j) for i, m in peaks for j, x in targets if m is not None and x is not None and abs(m - x) <= m * 20 / 1e6)
+    run = intervals.runs(t.where("target_mz = 950"), ["target_mz"], "target_id").orderBy("run").collect()
+    assert [len(r.ids) for r in run[:2]] == [intervals.RUN, intervals.RUN] and [r.run for r in run] == list(range(len(run)))
+    for n in ("lineitem", "part"):
+        (tmp_path / f"{n}.parquet").symlink_to(f"/root/testdata/sf0.001/{n}.parquet")
+    plan = catalog.queries()["j01_interval"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.index("Generate explode(ids") < plan.index("SortMergeJoin")  # laid out above the join
