@@ -32,9 +32,10 @@ def interval_join(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest:
 
 
 def runs(df: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """(keys, run, ids): the values of ``key`` for each of ``keys`` in ascending order, ``RUN`` of them in a row, runs numbered from 0."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(key)) - 1
-    parts = df.select(*keys, F.struct(F.col(key).alias("v")).alias("_v"), F.floor(place / RUN).alias("run"))  # in a struct, as lists leave out nulls
+    """(keys, run, ids): the values of ``key`` for each of ``keys`` in ascending order (nulls last), ``RUN`` of them in a row, runs numbered from 0."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(key).asc_nulls_last())) - 1
+    value = F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("v"))  # as lists leave out nulls
+    parts = df.select(*keys, value.alias("_v"), F.floor(place / RUN).alias("run"))
     return parts.groupBy(*keys, "run").agg(F.transform(F.array_sort(F.collect_list("_v")), lambda x: x["v"]).alias("ids"))
 
 
@@ -53,6 +54,34 @@ def interval_pairs(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest
     return unsent(t.repartition(n, "_b")).join(p.repartition(n, "_b"), "_b").where(tol.fits(F.col(mz), F.col(target))).select(peak_id, F.explode("ids").alias(target_id))
 
 
+def ranked_pairs(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest: float, scan: str, ties: list[str], peak_id: str, target_id: str, mz: str = "mz", target: str = "target_mz") -> DataFrame:
+    """o03: the two ids of all pairs within the tolerance, and their place in the order of error, ties, peak and target in each scan.
+
+    Targets of one mass have one error against a peak, so a scan ranks its peaks against distinct masses, each weighing as much as it has
+    targets; the places of the targets follow by counting.  Pairs are laid out last, from runs of peaks with equal mass and place
+    against runs of targets; they are never shuffled.  Only where equal peaks or two masses with equal errors mix their targets, pairs
+    are ranked one by one.
+    """
+    n, reach = int(peaks.sparkSession.conf.get("spark.sql.shuffle.partitions")), tol.most(largest)
+    targets = targets.where(F.col(target).isNotNull())
+    key = ["_e", *ties, peak_id]
+    hits = interval_join(unsent(peaks.select(scan, *ties, peak_id, mz)), targets.groupBy(target).agg(F.count(F.lit(1)).alias("_n")), tol, largest, mz, target)
+    hits = hits.select(scan, *ties, peak_id, target, "_n", F.abs(F.col(mz) - F.col(target)).alias("_e"))
+    so_far, equal = Window.partitionBy(scan).orderBy(*[F.col(c).asc_nulls_last() for c in key]), Window.partitionBy(scan, *key)  # with all that are equal
+    hits = hits.withColumn("_before", F.sum("_n").over(so_far) - F.sum("_n").over(equal)).withColumn("_equal", F.count(F.lit(1)).over(equal))
+
+    dealt = lambda df: df.withColumn("_b", F.floor(F.col(target) / reach)).repartition(n, "_b")  # noqa: E731  by number, as few bytes make many pairs
+    p = runs(dealt(hits.where("_equal = 1").select(peak_id, target, "_before")), ["_b", target, "_before"], peak_id).select("_b", target, "_before", F.col("ids").alias("_p"))
+    t = runs(dealt(targets.select(target_id, target)), ["_b", target], target_id).select("_b", F.col(target).alias("_t"), "run", F.col("ids").alias("_ids"))
+    j = unsent(p).join(t, "_b").where(F.col(target) - F.col("_t") == 0)
+    j = j.select(F.explode("_p").alias(peak_id), "_ids", (F.col("_before") + F.col("run") * RUN + 1).alias("_first"))
+    alone = j.select(peak_id, "_first", F.posexplode("_ids").alias("_at", target_id)).select(peak_id, target_id, (F.col("_first") + F.col("_at")).alias("place"))
+
+    mixed = unsent(hits.where("_equal > 1")).join(targets.select(target_id, target), target)
+    mixed = mixed.select(peak_id, target_id, (F.col("_before") + F.row_number().over(Window.partitionBy(scan, *key).orderBy(F.col(target_id).asc_nulls_last()))).alias("place"))
+    return alone.unionByName(mixed)
+
+
 def nearest_join(peaks: DataFrame, targets: DataFrame, tol: Tolerance, largest: float, peak_id: str, mz: str = "mz", target: str = "target_mz", keys: list[str] | None = None) -> DataFrame:
     """j02: the nearest target of each peak within the tolerance; ties go to the smaller target."""
     j = interval_join(peaks, targets, tol, largest, mz, target, keys)

@@ -1,5 +1,5 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -170,3 +170,23 @@ def test_pairs_come_from_runs_of_ids(spark, tmp_path):
         (tmp_path / f"{n}.parquet").symlink_to(f"/root/testdata/sf0.001/{n}.parquet")
     plan = catalog.queries()["j01_interval"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.index("Generate explode(ids") < plan.index("SortMergeJoin")  # laid out above the join
+
+
+def test_places_of_pairs_equal_a_full_ranking(spark, tmp_path):
+    """o03: equal peaks, two masses at one error, null ids and ties; pairs are not shuffled to be ranked."""
+    rng = random.Random(8)
+    peaks = [(rng.choice([1, 2, None]), rng.choice([0.0, 3.0]), rng.choice([k, k, 7, None]), rng.choice([950.0, 950.0078125, 950.015625, 950.01, 20.0, None])) for k in range(80)]
+    targets = [(rng.choice([k, k, 5, None]), 950.0) for k in range(300)] + [(1000 - k, 950.015625) for k in range(40)] + [(9, 20.0), (3, None)]
+    p, t = spark.createDataFrame(peaks, "scan_id long, time double, peak_id long, mz double"), spark.createDataFrame(targets, "target_id long, target_mz double")
+    got = Counter(tuple(r) for r in intervals.ranked_pairs(p, t, Tolerance("ppm", 20), 1100.0, "scan_id", ["time"], "peak_id", "target_id").collect())
+    last = lambda v: (v is None, v or 0)
+    pairs = defaultdict(list)
+    for s, time, i, m in peaks:
+        for j, x in targets:
+            if m is not None and x is not None and abs(m - x) <= m * 20 / 1e6:
+                pairs[s].append((abs(m - x), time, last(i), last(j), i, j))
+    assert got == Counter((i, j, k + 1) for rows in pairs.values() for k, (*_, i, j) in enumerate(sorted(rows, key=lambda r: r[:4])))
+    for n in ("lineitem", "part"):
+        (tmp_path / f"{n}.parquet").symlink_to(f"/root/testdata/sf0.001/{n}.parquet")
+    plan = catalog.queries()["o03_two_errors"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode(_ids" in plan and "Broadcast" not in plan
